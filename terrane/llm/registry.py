@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_frequency, near_dup, sharding, sql
+from . import decontaminate, line_frequency, mixing, near_dup, sharding, sql
 from .common import read
 
 
@@ -18,6 +18,10 @@ def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read(spark, sf_dir, "documents"))
 
 
+def op6_soft_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_fast_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"), near_dup.CONTRACT)
 
@@ -27,7 +31,7 @@ def op10_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_line_frequency, op3_virtual_slots, op8_fast_similarity, op10_prefix_filter)
+    found = (op2_line_frequency, op3_virtual_slots, op6_soft_membership, op8_fast_similarity, op10_prefix_filter)
     return {f.__name__: f for f in found}
 
 
