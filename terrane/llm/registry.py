@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_frequency, mixing, near_dup, sharding, sql
+from . import chat, decontaminate, html_extract, line_frequency, lm_score, mixing, near_dup, sharding, sql, token_counts, url_rules
 from .common import read
 
 
+def op1_template_deduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
 def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.quality(read(spark, sf_dir, "documents"))
 
@@ -18,20 +22,47 @@ def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read(spark, sf_dir, "documents"))
 
 
+def op4_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(read(spark, sf_dir, "conversations"))
+
+
+def op5_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
+
+
 def op6_soft_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_count_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), token_counts.load_vocabulary())
+
+
 def op8_fast_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"), near_dup.CONTRACT)
 
 
+def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(read(spark, sf_dir, "documents"))
+
+
 def op10_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_line_frequency, op3_virtual_slots, op6_soft_membership, op8_fast_similarity, op10_prefix_filter)
+    found = (
+        op1_template_deduction,
+        op2_line_frequency,
+        op3_virtual_slots,
+        op4_snapshot_collapse,
+        op5_association_rules,
+        op6_soft_membership,
+        op7_count_viterbi,
+        op8_fast_similarity,
+        op9_deleted_interpolation,
+        op10_prefix_filter,
+    )
     return {f.__name__: f for f in found}
 
 
