@@ -32,7 +32,9 @@ BAD = "label=bad"
 class Mining:
     #: Share of the labelled pages that have all of a rule's tokens and the label.
     min_support: float = 0.002
-    min_confidence: float = 0.4
+    #: And so many pages at least: a few pages prove nothing.
+    min_pages: int = 8
+    min_confidence: float = 0.6
     #: Tokens of one URL that take part in mining and matching are those of its host, path and query names, at most 2**n combinations of n tokens.
     bad: str = "toxic = 1"
 
@@ -86,9 +88,10 @@ def mine(pages: DataFrame, labels: DataFrame, mining: Mining) -> DataFrame:
     known = _parsed(pages).join(named, F.col("page_id") == F.col("doc_id")).where(F.size("tokens") > 0)
     items = scratch.keep(known.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items")), "labelled")
     empty = spark.createDataFrame([], "rule array<string>, confidence double, support double")
-    if items.isEmpty():
+    n = items.count()
+    if not n:
         return empty
-    model = FPGrowth(minSupport=mining.min_support, minConfidence=mining.min_confidence, itemsCol="items").fit(items)
+    model = FPGrowth(minSupport=min(1.0, max(mining.min_support, mining.min_pages / n)), minConfidence=mining.min_confidence, itemsCol="items").fit(items)
     rules = model.associationRules.where(F.array_contains("consequent", BAD)).select(F.array_sort("antecedent").alias("rule"), "confidence", "support")
     rules = scratch.keep(rules, "rules")
     # a rule goes if a proper part of it is a rule at least as sure: its parts are found by their rarest form, one token
