@@ -8,8 +8,8 @@ that share a band are candidates. Every link is confirmed on the full sets.
 
 No bucket is expanded into all pairs. In a first step the members of a bucket are held against
 one of them only (the most copied). Components of those links are found; then only buckets
-whose members still lie in several components are looked at again, across components, in
-blocks, and only pairs whose sketches may reach the threshold are emitted.
+whose members still lie in several components are looked at again, in blocks that hold the
+members' full sets, and a block emits one link for two components that it joins, never pairs.
 
 With 80 bins in 20 bands of 4, a pair at the threshold 0.85 shares no band with a chance of
 4e-7, and its sketches agree in fewer than 48 bins with a chance of 4e-7.
@@ -45,7 +45,7 @@ class Similarity:
     #: Pairs whose sketches agree in a smaller share of bins are not verified.
     sketch_floor: float = 0.55
     #: Members of a bucket that one block holds when components are compared.
-    block: int = 256
+    block: int = 384
 
 
 #: The digest query's contract.
@@ -132,6 +132,12 @@ def _verified(spec: Similarity):
     return run
 
 
+def class_texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """cls, text: of the classes in wanted (cls), the text of the row that stands for each."""
+    keyed = classes.join(wanted, "cls").select("cls", "_k1", "_k2")
+    return docs.select(*row_key(), "text").join(keyed, ["_k1", "_k2"]).dropDuplicates(["cls"]).select("cls", "text")
+
+
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, spec: Similarity, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of classes whose full sets are similar enough.
 
@@ -143,11 +149,11 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, spec: Similari
     b = one.toDF("b", "nb", "sb")
     near = scratch.keep(pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_may_match(spec), "a binary, b binary"), "near")
     involved = near.select(F.col("a").alias("cls")).union(near.select(F.col("b").alias("cls"))).distinct()
-    keyed = classes.join(involved, "cls").select("cls", "_k1", "_k2")
-    text = docs.select(*row_key(), "text").join(keyed, ["_k1", "_k2"]).dropDuplicates(["cls"]).select("cls", "text")
-    texts = scratch.keep(text, "texts")
+    texts = scratch.keep(class_texts(involved, classes, docs), "texts")
     met = near.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-    return met.select("a", "b", "ta", "tb").mapInArrow(_verified(spec), "a binary, b binary")
+    links = scratch.keep(met.select("a", "b", "ta", "tb").mapInArrow(_verified(spec), "a binary, b binary"), "links")
+    scratch.drop(texts)
+    return links
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -174,37 +180,84 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return current.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
+def _sets(spec: Similarity):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for at in range(0, big.num_rows, 256):
+                b = big.slice(at, 256)
+                values, counts = textcodes.shingles(*textcodes.words(b.column("text").to_pylist()), spec.shingle)
+                ends = np.cumsum(counts)
+                yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array([values[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)], pa.binary())], names=["cls", "shingles"])
+
+    return run
+
+
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets left with all sets right, as a matrix."""
+    every = [*left, *right]
+    owner = np.repeat(np.arange(len(every)), [len(x) for x in every])
+    values, place, seen = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(seen > 1)
+    column = np.full(len(values), -1)
+    column[shared] = np.arange(len(shared))
+    column = column[place]
+    owner, column = owner[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    for first in range(0, len(shared), 2048):
+        lo, hi = np.searchsorted(column, [first, first + 2048])
+        m = np.zeros((len(every), 2048), dtype=np.float32)
+        m[owner[lo:hi], column[lo:hi] - first] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return np.rint(out).astype(np.int64)
+
+
 def _across(spec: Similarity):
-    """Pairs of different components within two blocks of a bucket (or one, against itself) that may reach the threshold."""
+    """Links between components within two blocks of a bucket (or one, against itself), confirmed on the full sets; of links that join the same components one is enough."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         if not len(right):
             right = left
-        sa, sb = (np.frombuffer(b"".join(x["sketch"]), dtype=np.uint16).reshape(len(x), -1) for x in (left, right))
-        na, nb = left["n_shingles"].to_numpy(), right["n_shingles"].to_numpy()
-        la, lb = left["label"].to_numpy(), right["label"].to_numpy()
-        ca, cb = left["cls"].to_numpy(), right["cls"].to_numpy()
         found: list[tuple[bytes, bytes]] = []
-        for k in range(len(left)):
-            ok = (np.minimum(na[k], nb) * 100 >= spec.percent * np.maximum(na[k], nb)) & ((sb == sa[k]).sum(axis=1) >= spec.sketch_floor * spec.bins)
-            found += [(min(ca[k], cb[j]), max(ca[k], cb[j])) for j in np.flatnonzero(ok) if la[k] != lb[j]]
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"])
+        if len(left) and len(set(left["label"]) | set(right["label"])) > 1:
+            a, b = ([np.frombuffer(v, dtype=np.uint64) for v in x["shingles"]] for x in (left, right))
+            both = intersections(a, b)
+            sizes = np.add.outer([len(x) for x in a], [len(x) for x in b])
+            name = {v: k for k, v in enumerate(sorted(set(left["label"]) | set(right["label"])))}
+            la, lb = (np.array([name[v] for v in x["label"]]) for x in (left, right))
+            ca, cb = left["cls"].to_numpy(), right["cls"].to_numpy()
+            root = list(range(len(name)))
+
+            def top(k: int) -> int:
+                while root[k] != k:
+                    root[k] = root[root[k]]
+                    k = root[k]
+                return k
+
+            for k, j in np.argwhere((100 * both >= spec.percent * (sizes - both)) & (la[:, None] != lb[None, :])):
+                x, y = top(la[k]), top(lb[j])
+                if x != y:
+                    root[x] = y
+                    found.append((min(ca[k], cb[j]), max(ca[k], cb[j])))
+        return pd.DataFrame(found, columns=["a", "b"])
 
     return run
 
 
-def open_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, spec: Similarity) -> DataFrame:
-    """Candidate pairs (a, b) of different components in the buckets that still hold several."""
+def open_links(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, spec: Similarity, scratch: Scratch) -> DataFrame:
+    """Confirmed links (a, b) between components, in the buckets that still hold several; they join all components that any link of the bucket would."""
     own = members.join(labels.toDF("cls", "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     several = own.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y")
-    rows = own.join(several.select("band", "n"), "band").join(classes.select("cls", "n_shingles", "sketch"), "cls")
-    blocks = F.ceil(F.col("n") / spec.block).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    rows = scratch.keep(own.join(several.select("band", "n"), "band").select("band", "cls", "label", "n"), "open")
+    sets = scratch.keep(class_texts(rows.select("cls").distinct(), classes, docs).mapInArrow(_sets(spec), "cls binary, shingles binary"), "sets")
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / spec.block).cast("int")).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     # block k meets each block of a higher number, and itself
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", "cls", "label", "n_shingles", "sketch", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    return dealt.groupBy("band", "i", "j").applyInPandas(_across(spec), "a binary, b binary").distinct()
+    dealt = dealt.select("band", "cls", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    links = dealt.join(sets, "cls").groupBy("band", "i", "j").applyInPandas(_across(spec), "a binary, b binary")
+    return links.distinct()
 
 
 def classify(docs: DataFrame, spec: Similarity = Similarity()) -> DataFrame:
@@ -221,10 +274,9 @@ def classify(docs: DataFrame, spec: Similarity = Similarity()) -> DataFrame:
     pivots = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("copies", "cls")).alias("top")).where("n > 1").select("band", F.col("top.cls").alias("pivot"))
     members = scratch.keep(banded.join(pivots, "band").select("band", "cls", "pivot"), "members")
     stars = members.where("cls <> pivot").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
-    links = scratch.keep(verify(stars, classes, docs, spec, scratch), "links")
+    links = verify(stars, classes, docs, spec, scratch)
     labels = components(links, scratch)
-    rest = open_pairs(members.select("band", "cls"), labels, classes, spec).join(stars, ["a", "b"], "left_anti")
-    more = scratch.keep(verify(rest, classes, docs, spec, scratch), "links")
+    more = scratch.keep(open_links(members.select("band", "cls"), labels, classes, docs, spec, scratch), "links")
     if not more.isEmpty():
         labels = components(links.union(more), scratch)
     named = classes.select("cls", "first_id").join(labels.toDF("cls", "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
