@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..errors import require
 from ..functions import expressions as X
 from ..sources.catalog import Check, Enum, ForeignKey, Index, Store, Table
+from ..sources.checkpoints import cut
 
 
 def not_null_violations(t: Table, rows: DataFrame) -> DataFrame:
@@ -90,6 +91,8 @@ def delete_cascading(tables: list[Table], start: Table, deleted: DataFrame, stor
                 blocked = fk.on_delete in ("restrict", "no action")
                 if blocked or fk.on_delete == "cascade":
                     # one look per edge of the graph of tables, at whether any row is hit
+                    if t.key == gone_key:
+                        hit, states[t.key] = cut(hit), cut(states[t.key])  # levels of a tree may be many
                     any_hit = not hit.isEmpty()
                     require(not (blocked and any_hit), "still-referenced", f"rows of {t.name} refer to the deleted ones")
                     if any_hit:

@@ -220,6 +220,20 @@ query("serial_assign", "SELECT row_number() OVER (ORDER BY c_custkey)::INTEGER +
     )
 )
 
+_BUCKET = table("storage", "buckets", {"id": column("text").primary_key(), "name": column("text").not_null(), "public": column("boolean"), "file_size_limit": column("bigint")})
+
+
+def _buckets(w: World) -> DataFrame:
+    """Declared buckets are put into the table again and again with the same result."""
+    there = w.spark.sql("select * from values ('avatars', 'avatars', false, 100L), ('old', 'old', true, null) t(id, name, public, file_size_limit)")
+    declared = w.spark.sql("select * from values ('avatars', 'avatars', true, 200L), ('docs', 'docs', false, null) t(id, name, public, file_size_limit)")
+    sets = {c: X.local(f"new_{c}") for c in ("name", "public", "file_size_limit")}
+    once = changes.insert_or_update(_BUCKET, declared, ["id"], sets, ["id"], Store(w.spark).bind(_BUCKET, there)).state
+    return changes.insert_or_update(_BUCKET, declared, ["id"], sets, ["id"], Store(w.spark).bind(_BUCKET, once)).state
+
+
+query("bucket_upsert", "SELECT * FROM (VALUES ('avatars', 'avatars', true, 200::BIGINT), ('docs', 'docs', false, NULL), ('old', 'old', true, NULL)) t(id, name, public, file_size_limit)")(_buckets)
+
 # ---- constraints -----------------------------------------------------------
 
 query("viol_not_null", "SELECT o_orderkey FROM orders WHERE nullif(o_orderstatus, 'P') IS NULL")(
