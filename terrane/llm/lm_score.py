@@ -84,45 +84,65 @@ def _block(pdf: pd.DataFrame, order: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return uni, counts, (uni if order == 1 else bi), pdf["part"].to_numpy()
 
 
-def _requests(model: Model, reducers: int):
+def _pack(counts: np.ndarray) -> bytes:
+    """One byte for a count below 255; larger ones follow, eight bytes each. Most n-grams are rare."""
+    large = counts >= 255
+    return np.where(large, 255, counts).astype(np.uint8).tobytes() + counts[large].astype(np.int64).tobytes()
+
+
+def _unpack(blob: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(blob, dtype=np.uint8, count=n).astype(np.int64)
+    out[out == 255] = np.frombuffer(blob, dtype=np.int64, offset=n)
+    return out
+
+
+def _requests(reducers: int):
+    """Of a block: its distinct keys of each order, by reducer, with the counts in training documents."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for order in (1, 2):
             _, counts, keys, parts = _block(pdf, order)
-            owner = np.repeat(parts, counts)
-            weights = np.stack([(owner > 0), (owner > 0) & (owner != model.deleted_part)], axis=1).astype(np.int64)
-            keys, sums = _sum_by_key(keys, weights)
+            keys, sums = _sum_by_key(keys, (np.repeat(parts, counts) > 0).astype(np.int64))
             to = (keys >> np.uint64(40)) % np.uint64(reducers)
             for r in range(reducers):
                 mine = to == r
-                out.append((order * reducers + r, int(pdf["block"].iloc[0]), keys[mine].tobytes(), sums[mine].astype(np.int32).tobytes()))
+                out.append((order * reducers + r, int(pdf["block"].iloc[0]), keys[mine].tobytes(), _pack(sums[mine])))
         return pd.DataFrame(out, columns=["reducer", "block", "keys", "sums"])
 
     return run
 
 
-def _reduce(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Adds the blocks' counts of one reducer and sends each block the totals, in the order of its keys."""
-    keys = [np.frombuffer(x, dtype=np.uint64) for x in pdf["keys"]]
-    sums = [np.frombuffer(x, dtype=np.int32).reshape(-1, 2) for x in pdf["sums"]]
-    every, totals = _sum_by_key(np.concatenate(keys), np.concatenate(sums).astype(np.int64))
-    seen, seen_less = int((totals[:, 0] > 0).sum()), int((totals[:, 1] > 0).sum())
-    rows = [(r, b, totals[np.searchsorted(every, k)].astype(np.int64).tobytes()) for r, b, k in zip(pdf["reducer"], pdf["block"], keys, strict=True)]
-    out = pd.DataFrame(rows, columns=["reducer", "block", "totals"])
-    first = [True] + [False] * (len(out) - 1)
-    for name, value in (("tokens", totals[:, 0].sum()), ("tokens_less", totals[:, 1].sum()), ("types", seen), ("types_less", seen_less)):
-        out[name] = np.where(first, int(value), 0)
-    return out
+def _reduce(blocks: int):
+    """Adds the blocks' counts of one reducer and sends each block the totals, in the order of its keys. Blocks from `blocks` on hold the deleted documents."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys = [np.frombuffer(x, dtype=np.uint64) for x in pdf["keys"]]
+        sums = [_unpack(x, len(k)) for x, k in zip(pdf["sums"], keys, strict=True)]
+        deleted = np.repeat(pdf["block"].to_numpy() >= blocks, [len(k) for k in keys])
+        every = np.concatenate(sums)
+        distinct, totals = _sum_by_key(np.concatenate(keys), np.stack([every, np.where(deleted, every, 0)], axis=1))
+        at = [np.searchsorted(distinct, k) for k in keys]
+        rows = [(r, b, _pack(totals[x, 0]), _pack(totals[x, 1])) for r, b, x in zip(pdf["reducer"], pdf["block"], at, strict=True)]
+        out = pd.DataFrame(rows, columns=["reducer", "block", "totals", "deleted"])
+        less = totals[:, 0] - totals[:, 1]
+        first = np.arange(len(out)) == 0
+        for name, value in (("tokens", totals[:, 0].sum()), ("tokens_less", less.sum()), ("types", (totals[:, 0] > 0).sum()), ("types_less", (less > 0).sum())):
+            out[name] = np.where(first, int(value), 0)
+        return out
+
+    return run
 
 
-def _answers(keys: np.ndarray, answers: pd.DataFrame, order: int, reducers: int) -> np.ndarray:
-    """Totals of each of these keys, from the answers to their block."""
+def _answers(keys: np.ndarray, answers: pd.DataFrame, order: int, reducers: int, column: str) -> np.ndarray:
+    """Totals of each of these keys (column totals: in all training documents, deleted: in the deleted ones), from the answers to their block."""
     distinct = np.unique(keys)
     to = (distinct >> np.uint64(40)) % np.uint64(reducers)
-    found = np.zeros((len(distinct), 2), dtype=np.int64)
-    for r, blob in zip(answers["reducer"], answers["totals"], strict=True):
+    found = np.zeros(len(distinct), dtype=np.int64)
+    for r, blob in zip(answers["reducer"], answers[column], strict=True):
         if r // reducers == order:
-            found[to == r % reducers] = np.frombuffer(blob, dtype=np.int64).reshape(-1, 2)
+            mine = to == r % reducers
+            found[mine] = _unpack(blob, int(mine.sum()))
     return found[np.searchsorted(distinct, keys)]
 
 
@@ -147,7 +167,7 @@ def _histogram(model: Model, reducers: int, size: dict[str, int]):
         if len(docs) and len(answers):
             uni, counts, bi, parts = _block(docs, 2)
             mine = np.repeat(parts == model.deleted_part, counts)
-            c1, c2 = _answers(uni, answers, 1, reducers)[:, 1], _answers(bi, answers, 2, reducers)[:, 1]
+            c1, c2 = (_answers(k, answers, n, reducers, "totals") - _answers(k, answers, n, reducers, "deleted") for n, k in ((1, uni), (2, bi)))
             context = _context(uni, counts, c1, size["docs_less"])[mine]
             low = (c1[mine] + model.smoothing) / (size["tokens_less"] + model.smoothing * (size["types_less"] + 1))
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -184,7 +204,7 @@ def _scores(model: Model, reducers: int, size: dict[str, int], weight: np.ndarra
         if not len(docs):
             return pd.DataFrame({k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")})
         uni, counts, bi, parts = _block(docs, 2)
-        c1, c2 = _answers(uni, answers, 1, reducers)[:, 0], _answers(bi, answers, 2, reducers)[:, 0]
+        c1, c2 = _answers(uni, answers, 1, reducers, "totals"), _answers(bi, answers, 2, reducers, "totals")
         context = _context(uni, counts, c1, size["docs"])
         low = (c1 + model.smoothing) / (size["tokens"] + model.smoothing * (size["types"] + 1))
         lam = np.where(context > 0, weight[_bucket(context)], 0.0)
@@ -219,14 +239,14 @@ def score(docs: DataFrame, model: Model = Model()) -> DataFrame:
     spread = F.xxhash64("doc_id", "text")
     block = F.when(own == model.deleted_part, blocks + F.pmod(spread, F.lit(few))).otherwise(F.pmod(spread, F.lit(blocks))).cast("int")
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", own.alias("part"), block.alias("block"))
-    asked = dealt.groupBy("block").applyInPandas(_requests(model, reducers), "reducer int, block int, keys binary, sums binary")
-    answers = scratch.keep(asked.groupBy("reducer").applyInPandas(_reduce, "reducer int, block int, totals binary, tokens long, tokens_less long, types long, types_less long"), "answers")
+    asked = dealt.groupBy("block").applyInPandas(_requests(reducers), "reducer int, block int, keys binary, sums binary")
+    answers = scratch.keep(asked.groupBy("reducer").applyInPandas(_reduce(blocks), "reducer int, block int, totals binary, deleted binary, tokens long, tokens_less long, types long, types_less long"), "answers")
     total = answers.where(F.col("reducer") < 2 * reducers).agg(*(F.sum(c).alias(c) for c in ("tokens", "tokens_less", "types", "types_less"))).first()
     size = {k: int(total[k] or 0) for k in ("tokens", "tokens_less", "types", "types_less")} | {k: int(known[k] or 0) for k in ("docs", "docs_less")}
-    back = answers.select("block", "reducer", "totals")
+    back = answers.select("block", "reducer", "totals", "deleted")
     deleted = dealt.where(F.col("part") == model.deleted_part).groupBy("block").cogroup(back.where(F.col("block") >= blocks).groupBy("block"))
     cells = deleted.applyInPandas(_histogram(model, reducers, size), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     weight = learn([(r["cell"], r["n"]) for r in cells.collect()], model.iterations)
-    met = dealt.groupBy("block").cogroup(back.groupBy("block"))
+    met = dealt.groupBy("block").cogroup(back.drop("deleted").groupBy("block"))
     out = met.applyInPandas(_scores(model, reducers, size, weight), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(size["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
