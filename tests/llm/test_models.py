@@ -39,9 +39,10 @@ def test_extract(spark):
         (10, "http://c.example/2", page("<div class=wrap><div class=txt><p>Other words stand here instead.</p></div></div>")),
         (11, "http://a.example/11", "<html><body><article><p>cut <b>off"),
         (11, "http://a.example/11", "<html><body><article><p>cut <b>off"),
+        (13, "http://d.example/13", "<html><head><title>t</title><meta name=x content='y'><body><div data-id='ad'><article id=main><p>No end of head</article>"),
         (12, "http://a.example/12", "<p 'broken <article>" + "<div>" * 3000 + "deep"),
     ]
-    want = {1: "One & two Some bold text next last € 5", 2: "Two Body", 3: "Same", 4: "Same", 5: "Only page here a b", 6: "plain tail x", 7: "", 8: "", 9: "Main text of this one is long enough. More.", 10: "Other words stand here instead.", 11: "cut off"}
+    want = {1: "One & two Some bold text next last € 5", 2: "Two Body", 3: "Same", 4: "Same", 5: "Only page here a b", 6: "plain tail x", 7: "", 8: "", 9: "Main text of this one is long enough. More.", 10: "Other words stand here instead.", 11: "cut off", 13: "No end of head"}
     frame = spark.createDataFrame([(*r, "h", "t") for r in rows], PAGE)
     for deduction in (html_extract.Deduction(), html_extract.Deduction(broadcast_tokens=0)):
         got = html_extract.extract(frame, deduction).collect()
