@@ -5,7 +5,7 @@ prefix hashes; a conversation whose whole is a proper prefix of another one's tu
 of equal conversations the one with the least id stays. The rest is rendered. DataFrame
 functions only.
 
-A turn's prefix hash is the wrapping sum of its own and all earlier turns' hashes, each of which
+A turn's prefix hash is the sum of its own and all earlier turns' hashes, each of which
 takes in the turn's rank, so it is computed in blocks: turns are ordered within (conversation,
 block of turn numbers), and blocks add the totals of those before them. No conversation,
 however long, is in one task; a long one is rendered in parts of at most `block` turn numbers.
@@ -34,7 +34,7 @@ class Style:
     end: str = "<|im_end|>\n"
 
 
-#: Hashes are summed as decimals, modulo nothing: 38 digits hold 10**19 turns.
+#: Hashes are summed as decimals: 38 digits hold the exact sum of 10**19 of them.
 _EXACT = "decimal(38,0)"
 
 
@@ -79,9 +79,11 @@ def _join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> Da
     return joined.select("x.*", *(F.col(f"y.{c}") for c in b.columns if c not in keys)) if how in ("inner", "left") else joined.select("x.*")
 
 
-def maximal(prefixes: DataFrame) -> DataFrame:
-    """conv_id, n_turns: the conversations that no other continues, one of equal ones."""
+def maximal(prefixes: DataFrame, scratch: Scratch) -> DataFrame:
+    """conv_id, n_turns: the conversations that no other continues, one of equal ones. prefixes: kept in a table."""
     totals = prefixes.groupBy("conv_id").agg(F.max(F.struct("rank", "h")).alias("x")).select("conv_id", F.col("x.rank").alias("rank"), F.col("x.h").alias("h"))
+    # kept, so that both sides of the join below are plain shuffles and a long conversation can be split
+    totals = scratch.keep(totals, "totals")
     one = totals.groupBy("rank", "h").agg(F.min("conv_id").alias("conv_id"))
     proper = _join(prefixes.select("conv_id", "rank", "h"), totals.select("conv_id", F.col("rank").alias("n")), ["conv_id"]).where("rank < n").select("rank", "h").distinct()
     return one.join(proper, ["rank", "h"], "left_anti").select("conv_id", F.col("rank").alias("n_turns"))
@@ -95,7 +97,7 @@ def format_chats(turns: DataFrame, style: Style = Style()) -> DataFrame:
     """conv_id, part (from 0), n_parts, n_turns (of the conversation), text, for each maximal conversation; its parts' texts in order are its rendering."""
     scratch = Scratch(turns.sparkSession, "chats")
     prefixes = scratch.keep(prefix_hashes(turns, style, scratch), "prefixes")
-    kept = scratch.keep(maximal(prefixes), "maximal")
+    kept = scratch.keep(maximal(prefixes, scratch), "maximal")
     rows = _join(prefixes.select("conv_id", "block", "place", "role", "text"), kept, ["conv_id"])
     each = rows.groupBy("conv_id", "block", "n_turns").agg(F.array_sort(F.collect_list(F.struct(F.col("place"), rendered(F.col("role"), F.col("text"), style).alias("t")))).alias("turns"))
     each = each.select("conv_id", "block", "n_turns", F.array_join(F.transform("turns", lambda x: x.t), "").alias("text"))

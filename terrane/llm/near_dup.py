@@ -250,7 +250,8 @@ def open_links(members: DataFrame, labels: DataFrame, classes: DataFrame, docs:
     """Confirmed links (a, b) between components, in the buckets that still hold several; they join all components that any link of the bucket would."""
     own = members.join(labels.toDF("cls", "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     several = own.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y")
-    rows = scratch.keep(own.join(several.select("band", "n"), "band").select("band", "cls", "label", "n"), "open")
+    several = scratch.keep(several.select("band", "n"), "several")
+    rows = scratch.keep(own.join(several, "band").select("band", "cls", "label", "n"), "open")
     sets = scratch.keep(class_texts(rows.select("cls").distinct(), classes, docs).mapInArrow(_sets(spec), "cls binary, shingles binary"), "sets")
     rows = rows.withColumn("blocks", F.ceil(F.col("n") / spec.block).cast("int")).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     # block k meets each block of a higher number, and itself
@@ -272,6 +273,8 @@ def classify(docs: DataFrame, spec: Similarity = Similarity()) -> DataFrame:
     banded = classes.select("cls", "copies", F.explode("bands").alias("band"))
     # a bucket's pivot: the class with most copies
     pivots = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("copies", "cls")).alias("top")).where("n > 1").select("band", F.col("top.cls").alias("pivot"))
+    # kept, so that both sides of the join are plain shuffles and a large bucket can be split
+    pivots = scratch.keep(pivots, "pivots")
     members = scratch.keep(banded.join(pivots, "band").select("band", "cls", "pivot"), "members")
     stars = members.where("cls <> pivot").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
     links = verify(stars, classes, docs, spec, scratch)
