@@ -60,3 +60,10 @@ r AS (SELECT doc_id AS node, doc_id AS seen FROM d UNION SELECT r.node, e2.b FRO
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.seen) AS component_id, d.doc_id = min(r.seen) AS kept
 FROM d JOIN r ON r.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id, n.n
 """
+
+SQL["op4_snapshot_collapse"] = """
+WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+c AS (SELECT conv_id, count(*) AS n, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS s FROM t GROUP BY conv_id)
+SELECT conv_id, 0::INTEGER AS part, 1::BIGINT AS n_parts, n::BIGINT AS n_turns, s AS text FROM c a
+WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.conv_id <> a.conv_id AND starts_with(b.s, a.s) AND (b.n > a.n OR b.n = a.n AND b.conv_id < a.conv_id))
+"""
