@@ -141,13 +141,13 @@ def quality(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
 def clean(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
     """The documents that pass, without their common lines; the columns of documents."""
     keyed = docs.select(*DOCUMENT_COLUMNS, *_key())
-    judged = base_measures(docs).join(removed_lines(docs, limits), ["_k1", "_k2"], "left")
+    # written first: a filter on computed columns would be pushed below them and compute words anew for every word
+    base = Scratch(docs.sparkSession, "quality").keep(base_measures(docs), "measures")
+    judged = base.join(removed_lines(docs, limits), ["_k1", "_k2"], "left")
     gone = F.filter("lines", lambda x: F.array_contains("removed", x.line))
     lost = F.when(F.col("removed").isNull(), 0).otherwise(F.aggregate(gone, F.lit(0), lambda a, x: a + x.words))
-    good = ~F.col("base_failed") & (F.col("n_words") - lost >= limits.min_left * F.col("n_words"))
-    # written first: a filter on computed columns would be pushed below them and compute words anew for every word
-    verdict = Scratch(docs.sparkSession, "quality").keep(judged.select("_k1", "_k2", good.alias("good"), "removed"), "verdict")
-    passed = verdict.where("good").groupBy("_k1", "_k2").agg(F.first("removed").alias("removed"))
+    passed = judged.where(~F.col("base_failed") & (F.col("n_words") - lost >= limits.min_left * F.col("n_words")))
+    passed = passed.groupBy("_k1", "_k2").agg(F.first("removed").alias("removed"))
     both = keyed.join(passed, ["_k1", "_k2"])
     stays = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("removed", F.xxhash64(F.lower(F.regexp_replace(strip_spaces(x), SPACES_RE, " ")))))
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
