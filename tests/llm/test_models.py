@@ -52,6 +52,18 @@ def test_extract(spark):
     assert html_extract.extract(frame.limit(0)).count() == 0
 
 
+def test_template_text(spark):
+    """Boilerplate without a telling tag or name, heavier than the article, on a host with copies of a page."""
+    top, end = "Best site of all for you and yours " * 9, "Call us today"
+    rows = [(k, "http://t.example/", f"<body><div><p>{top}</p></div><div><p>Story number{k} told</p><p>{end}</p><p>Tail{k}</p></div></body>") for k in range(6)]
+    rows += [(10 + k, "http://t.example/", rows[0][2]) for k in range(20)]  # copies are one page
+    rows += [(40, "http://t.example/", rows[1][2])]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {k: f"Story number{k} told Tail{k}" for k in range(6)}
+    assert got == want | {10 + k: want[0] for k in range(20)} | {40: want[1]}
+    assert end in html_extract.extract_page(rows[0][2], set(), [])
+
+
 def test_chats(spark):
     rng = random.Random(2)
     talks = {k: [(("user", "assistant")[j % 2], rng.choice("abcdef") * 3) for j in range(rng.randint(1, 6))] for k in range(60)}
