@@ -52,6 +52,17 @@ def test_extract(spark):
     assert html_extract.extract(frame.limit(0)).count() == 0
 
 
+def test_deep_and_named_elements():
+    one = lambda html: " ".join(html_extract.extract_page(html, set(), []))
+    assert one("<p 'broken <article>" + "<div>" * 3000 + "deep") == "deep"
+    for n in (10, 300, 3000):  # their end tags close what they opened, and no more
+        assert one(f"<body><article>{'<div>' * n}in{'<nav>menu</nav>' * 2}<div class=ad>buy</div>{'</div>' * n}<p>after</p></article><p>out</p></body>") == "in after"
+    for name in ("content no-sidebar", "post has-comments", "layout-with-ads"):
+        assert one(f"<body><div class='{name}'><p>All of it</p></div></body>") == "All of it"
+    assert one("<body><article class='post comments'><p>Mine</p><div class='comment-list'>Hi</div><div id=leftSidebar>x</div></article></body>") == "Mine"
+    assert one("<article><p>See <span class=ad>buy <span>now</span></span><b hidden>no</b><a class='link'>this</a>.</p><p><i class='share'>tweet<p>end</article>") == "See this. end"
+
+
 def test_template_text(spark):
     """Boilerplate without a telling tag or name, heavier than the article, on a host with copies of a page."""
     top, end = "Best site of all for you and yours " * 9, "Call us today"
