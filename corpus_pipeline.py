@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from terrane.llm import decontaminate, line_frequency, mixing, near_dup, sharding
 from terrane.llm.common import Scratch, read
 
+#: Shared lines go by an absolute count, so that the bar does not rise with a source; the fraction serves small sources.
+LIMITS = line_frequency.LineLimits(max_docs=10)
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality rules reject, and common lines from the others."""
-    return line_frequency.clean(docs)
+    return line_frequency.clean(docs, LIMITS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,10 +24,12 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class LineLimits:
-    """A line goes if over min_docs documents and over max_fraction of its host's documents have it."""
+    """A line goes if over min_docs documents and over max_fraction of its host's documents have it, or over max_docs, whatever the host's size."""
 
     min_docs: int = 5
     max_fraction: float = 0.1
+    #: None: no absolute limit, as in the SQL of the query op2.
+    max_docs: int | None = None
     #: A document is depleted if less than this share of its words stays.
     min_left: float = 0.5
 
@@ -111,7 +113,10 @@ def common_lines(docs: DataFrame, limits: LineLimits) -> DataFrame:
     counts = lines.groupBy("host", "line").agg(F.count_distinct("_k2").alias("docs")).where(F.col("docs") > limits.min_docs)
     hosts = docs.select(F.col("source").alias("host"), *_key()).groupBy("host").agg(F.count_distinct("_k2").alias("all"))
     joined = counts.alias("c").join(hosts.alias("h"), F.col("c.host").eqNullSafe(F.col("h.host")))
-    return joined.where(F.col("docs") > limits.max_fraction * F.col("all")).select("c.host", "c.line")
+    above = F.col("docs") > limits.max_fraction * F.col("all")
+    if limits.max_docs is not None:
+        above |= F.col("docs") > limits.max_docs
+    return joined.where(above).select("c.host", "c.line")
 
 
 def removed_lines(docs: DataFrame, limits: LineLimits) -> DataFrame:

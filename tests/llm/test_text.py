@@ -222,3 +222,14 @@ def test_slot_map(spark, tmp_path):
     assert store.load(1).shard == first.shard and store.load(2).shard == grown.shard
     with pytest.raises(Exception, match="(?i)exists"):
         store.save(first)
+
+
+def test_shared_line_of_a_large_source(spark):
+    """A line of 300 of 20,000 documents is far below the fraction, and goes; a line of 10 stays."""
+    import corpus_pipeline
+
+    words = " ".join(f"a{k}" for k in range(60))
+    rows = [(k, f"own{k} {words}" + ("\nShared by hundreds" if k < 300 else "") + ("\nShared by ten" if k < 10 else ""), "en", "big", 0) for k in range(20_000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.quality(spark, table, "").where("doc_id < 400").collect()}
+    assert got == {k: f"own{k} {words}" + ("\nShared by ten" if k < 10 else "") for k in range(400)}
