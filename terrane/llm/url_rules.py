@@ -30,12 +30,10 @@ BAD = "label=bad"
 
 @dataclass(frozen=True)
 class Mining:
-    #: Share of the labelled pages that have all of a rule's tokens and the label.
-    min_support: float = 0.002
-    #: And so many pages at least: a few pages prove nothing.
+    #: So many labelled pages have all of a rule's tokens and the label, at any size of the table: a few pages prove nothing.
     min_pages: int = 8
     min_confidence: float = 0.6
-    #: Tokens of one URL that take part in mining and matching are those of its host, path and query names, at most 2**n combinations of n tokens.
+    #: Tokens of one URL that take part in mining and matching are those of its host, path, query and fragment, at most 2**n combinations of n tokens.
     bad: str = "toxic = 1"
 
 
@@ -62,16 +60,19 @@ def listed(host_: Column, path_: Column, rules: tuple[tuple[str, str, str], ...]
 
 
 def tokens(url: Column, host_: Column, path_: Column) -> Column:
-    """Distinct tokens: labels of the host except the last two, its registered name, path parts without digits, extension, query names, fragment mark."""
+    """Distinct tokens: labels of the host except the last two, its registered name, path parts and query values other than plain numbers, extension, query names, fragment mark and fragment."""
     labels = F.split(host_, r"\.")
     n = F.size(labels)
     sub = F.transform(F.slice(labels, F.lit(1), F.greatest(n - 2, F.lit(0))), lambda x: F.concat(F.lit("h:"), x))
     tail = F.array(F.concat(F.lit("d:"), F.array_join(F.slice(labels, F.greatest(n - 1, F.lit(1)), F.lit(2)), ".")))
-    parts = F.filter(F.split(path_, "/"), lambda x: (x != "") & ~x.rlike("[0-9]"))
+    parts = F.filter(F.split(path_, "/"), lambda x: (x != "") & ~x.rlike("^[0-9]+$"))
     query = F.filter(F.split(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)\?([^#]*)", 1), "&"), lambda x: x != "")
     names = F.transform(query, lambda x: F.concat(F.lit("q:"), F.split_part(x, F.lit("="), F.lit(1))))
-    ext = F.filter(F.array(F.regexp_extract(path_, r"\.([A-Za-z]{1,5})$", 1)), lambda x: x != "")
-    every = F.concat(sub, tail, F.transform(parts, lambda x: F.concat(F.lit("p:"), x)), names, F.transform(ext, lambda x: F.concat(F.lit("e:"), x)))
+    values = F.transform(F.filter(query, lambda x: x.rlike("(?s)=(?![0-9]*$).")), lambda x: F.concat(F.lit("v:"), x))
+    ext = F.filter(F.array(F.regexp_extract(path_, r"\.([0-9]*[A-Za-z][A-Za-z0-9]*)$", 1)), lambda x: x != "")
+    mark = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)(#.*)", 1)
+    fragment = F.filter(F.array(F.substring(mark, 1, 1), F.concat(F.lit("f:"), mark)), lambda x: (x != "") & ~x.rlike("^f:#?[0-9]*$"))
+    every = F.concat(sub, tail, F.transform(parts, lambda x: F.concat(F.lit("p:"), x)), names, values, F.transform(ext, lambda x: F.concat(F.lit("e:"), x)), fragment)
     return F.when(host_ == "", F.array().cast("array<string>")).otherwise(F.array_distinct(every))
 
 
@@ -91,7 +92,7 @@ def mine(pages: DataFrame, labels: DataFrame, mining: Mining) -> DataFrame:
     n = items.count()
     if not n:
         return empty
-    model = FPGrowth(minSupport=min(1.0, max(mining.min_support, mining.min_pages / n)), minConfidence=mining.min_confidence, itemsCol="items").fit(items)
+    model = FPGrowth(minSupport=min(1.0, (mining.min_pages - 0.5) / n), minConfidence=mining.min_confidence, itemsCol="items").fit(items)
     rules = model.associationRules.where(F.array_contains("consequent", BAD)).select(F.array_sort("antecedent").alias("rule"), "confidence", "support")
     rules = scratch.keep(rules, "rules")
     # a rule goes if a proper part of it is a rule at least as sure: its parts are found by their rarest form, one token
