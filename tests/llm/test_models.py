@@ -186,68 +186,90 @@ def tokens(text):
     return [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").translate(LOWER)) if w] + [None]
 
 
-def test_language_model(spark):
-    rng = random.Random(9)
-    follows = {k: rng.sample(range(60), 3) for k in range(60)}
-    rows = []
-    for k in range(400):
-        at, out = rng.randrange(60), []
-        for _ in range(rng.randint(0, 80)):
-            out.append(f"W{at}")
-            at = rng.choice(follows[at])
-        rows.append((k, " ".join(out)))
-    rows += [(1000, None), (1001, ""), (None, "W1 W2"), (1002, "never seen")]
-    model = lm_score.Model(block_bytes=4000)
-    got = {r.doc_id: r for r in lm_score.score(docs(spark, rows), model).collect()}
+def brute_model(rows, order, smoothing=0.1):
+    """Score, base score and known tokens of each row: counts in dictionaries, EM token by token."""
     part = lambda i: -1 if i is None else zlib.crc32(str(i).encode()) % 10
 
     def counts(parts):
-        uni, bi, n = Counter(), Counter(), 0
+        grams, n = Counter(), 0
         for i, t in rows:
             if part(i) in parts:
-                x = tokens(t)
-                uni.update(x), bi.update(zip([None, *x], x, strict=False))
+                x = [None] * (order - 1) + tokens(t)
+                grams.update(tuple(x[k - n : k + 1]) for n in range(order) for k in range(order - 1, len(x)))
                 n += 1
-        return uni, bi, n
-
-    uni, bi, n = counts(range(1, 10))
-    less, bi_less, n_less = counts(range(2, 10))
-    low = lambda u: lambda w: (u[w] + 0.1) / (sum(u.values()) + 0.1 * (len(u) + 1))
-    bucket = lambda c: min(int(math.log2(c)) + 1, lm_score.BUCKETS - 1) if c else 0
-    context = lambda u, docs_, v, first: docs_ if first else u[v]
-    # expectation-maximisation on the deleted documents' tokens, one by one
-    events = []
+        return grams, n
+
+    def mixture(grams, docs_, weights, x, k):
+        """Mixed probability, and the next order's estimate and bucket, of token k of x."""
+        one = [c for g, c in grams.items() if len(g) == 1]
+        p = (grams[(x[k],)] + smoothing) / (sums.setdefault(id(grams), sum(one)) + smoothing * (len(one) + 1))
+        for n in range(1, order):
+            context = docs_ if k == order - 1 else grams[tuple(x[k - n : k])]
+            b = min(int(math.log2(context)) + 1, lm_score.BUCKETS - 1) if context else 0
+            ml = grams[tuple(x[k - n : k + 1])] / context if context else 0.0
+            if n > len(weights):
+                return p, ml, b
+            p = weights[n - 1][b] * ml + (1 - weights[n - 1][b]) * p
+        return p, None, None
+
+    sums = {}
+    every, docs_ = counts(range(1, 10))
+    less, docs_less = counts(range(2, 10))
+    every, less = Counter({k: v for k, v in every.items()}), Counter({k: v for k, v in less.items()})
+    weights = []
+    for _ in range(1, order):
+        events = [mixture(less, docs_less, weights, x, k) for i, t in rows if part(i) == 1 for x in [[None] * (order - 1) + tokens(t)] for k in range(order - 1, len(x))]
+        weight = [0.0] + [0.5] * (lm_score.BUCKETS - 1)
+        for _ in range(4000):
+            total, share = Counter(), Counter()
+            for p, ml, b in events:
+                total[b] += 1
+                share[b] += weight[b] * ml / (weight[b] * ml + (1 - weight[b]) * p)
+            new = [0.0] + [min(share[b] / total[b], 0.9999) if total[b] else weight[b] for b in range(1, lm_score.BUCKETS)]
+            done, weight = max(abs(a - b) for a, b in zip(new, weight, strict=True)) < 1e-7, new
+            if done:
+                break
+        weights.append(weight)
+    out = []
     for i, t in rows:
-        if part(i) == 1:
-            x = tokens(t)
-            for k, w in enumerate(x):
-                v = x[k - 1] if k else None
-                c = context(less, n_less, v, k == 0)
-                events.append((bucket(c), bi_less[v, w] / c if c else 0.0, low(less)(w)))
-    weight = [0.0] + [0.5] * (lm_score.BUCKETS - 1)
-    for _ in range(model.iterations):
-        total, share = Counter(), Counter()
-        for b, p2, p1 in events:
-            total[b] += 1
-            share[b] += weight[b] * p2 / (weight[b] * p2 + (1 - weight[b]) * p1)
-        weight = [0.0] + [min(share[b] / total[b], 0.9999) if total[b] else weight[b] for b in range(1, lm_score.BUCKETS)]
+        x = [None] * (order - 1) + tokens(t)
+        at = range(order - 1, len(x))
+        base = sum(math.log10(mixture(every, docs_, [], x, k)[0]) for k in at)
+        out.append((i, part(i) == 0, len(at), sum(every[(x[k],)] > 0 for k in at), sums[id(every)], base, sum(math.log10(mixture(every, docs_, weights, x, k)[0]) for k in at)))
+    return out
+
+
+@pytest.mark.parametrize(
+    "model",
+    [lm_score.Model(block_bytes=4000), lm_score.Model(order=3, block_bytes=4000), lm_score.Model(order=3, block_bytes=900, bits=2, range_bytes=600, merged=4)],
+)
+def test_language_model(spark, model):
+    rng = random.Random(9)
+    follows = {k: rng.sample(range(60), 3) for k in range(60)}
+    rows = []
+    for k in range(130):
+        at, out = rng.randrange(60), []
+        for _ in range(rng.randint(0, 60)):
+            out.append(f"W{at}")
+            at = rng.choice(follows[at])
+        rows.append((k, " ".join(out)))
+    rows += [(1000, None), (1001, ""), (None, "W1 W2"), (1002, "never seen"), rows[3], rows[3], rows[3]]
+    got = sorted(map(tuple, lm_score.score(docs(spark, rows).repartition(3), model).collect()), key=repr)
+    want = sorted(brute_model(rows, model.order), key=repr)
     gain = 0.0
-    for i, t in rows:
-        x, r = tokens(t), got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (part(i) == 0, len(x), sum(uni[w] > 0 for w in x), sum(uni.values()))
-        assert math.isclose(r.base_score, sum(math.log10(low(uni)(w)) for w in x), rel_tol=1e-9)
-        exact = 0.0
-        for k, w in enumerate(x):
-            v = x[k - 1] if k else None
-            c = context(uni, n, v, k == 0)
-            lam = weight[bucket(c)]
-            exact += math.log10(lam * (bi[v, w] / c if c else 0) + (1 - lam) * low(uni)(w))
-        assert math.isclose(r.score, exact, rel_tol=0.01, abs_tol=0.05)
-        gain += (r.score - r.base_score) * r.held_out
+    for g, w in zip(got, want, strict=True):
+        assert g[:5] == w[:5] and math.isclose(g[5], w[5], rel_tol=1e-9) and math.isclose(g[6], w[6], rel_tol=1e-4)
+        gain += (g[6] - g[5]) * g[1]
     assert gain > 0
     assert lm_score.score(docs(spark, []), model).count() == 0
 
 
+def test_packed_keys():
+    rng = np.random.default_rng(2)
+    for keys in (np.zeros(0, np.uint64), np.array([7], np.uint64), np.sort(rng.integers(0, 2**64, 50, dtype=np.uint64)), np.unique(rng.integers(0, 2**64, 300_000, dtype=np.uint64)), np.arange(9, dtype=np.uint64)):
+        assert (lm_score.unpack_keys(lm_score.pack_keys(keys)) == keys).all()
+
+
 def test_model_without_training_documents(spark):
     ids = [k for k in range(200) if zlib.crc32(str(k).encode()) % 10 == 0][:5]
     got = lm_score.score(docs(spark, [(i, "a b") for i in ids])).collect()
