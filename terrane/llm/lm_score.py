@@ -1,6 +1,6 @@
 """Language-model scores by deleted interpolation.
 
-An n-gram model (`order` words; two by default): maximum-likelihood estimates of each order, mixed
+An n-gram model (`order` words; three by default): maximum-likelihood estimates of each order, mixed
 with those of the orders below by weights that depend on how often the context occurred (buckets of
 its count, by powers of two). The weights are learned by expectation-maximisation on counts held out
 from the training documents: one tenth of the documents is deleted from the counts, its tokens are
@@ -55,7 +55,7 @@ _ANSWER = "asker long, range long, totals binary, deleted binary, " + ", ".join(
 
 @dataclass(frozen=True)
 class Model:
-    order: int = 2
+    order: int = 3
     block_bytes: int = 6 << 20
     #: Of ten parts of the documents by crc32 of the id: 0 is held out for evaluation, this one teaches the weights.
     deleted_part: int = 1
