@@ -5,15 +5,20 @@ prefix hashes; a conversation whose whole is a proper prefix of another one's tu
 of equal conversations the one with the least id stays. The rest is rendered. DataFrame
 functions only.
 
-A turn's prefix hash is the sum of its own and all earlier turns' hashes, each of which
-takes in the turn's rank, so it is computed in blocks: turns are ordered within (conversation,
-block of turn numbers), and blocks add the totals of those before them. No conversation,
-however long, is in one task; a long one is rendered in parts of at most `block` turn numbers.
-
-Defined cases: turns are ordered by number, then role, then text; identical rows count once;
-null roles are rendered as "unknown", null texts as empty; a null turn number comes first; rows
-with null conv_id form one conversation; an empty table gives an empty result; other columns
-are ignored.
+A turn's prefix hash is the sum of its own and all earlier turns' hashes, each of which takes in
+the turn's rank. All turns are laid out in ranges of (conversation, turn, role, text) and written
+once with the number of their range, so a conversation of any size, and turns with one number or
+none, are spread over tasks. Ranks, hashes and lengths are summed inside (range, conversation), and
+the totals of the ranges before are added.
+
+A conversation is one row, however many turns it has, unless its rendering exceeds
+`max_bytes`; then it is cut into parts between turns, so that no row or task has to hold it all.
+
+Defined cases: turns are ordered by number (nulls first, then from the least), then role, then
+text. Rows that are equal in all of these are one turn that was logged repeatedly, and count once;
+without a number they can't be told apart from turns that were said repeatedly, so they count as
+often as they occur. Null roles are rendered as "unknown", null texts as empty; rows with null
+conv_id form one conversation; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,45 +33,54 @@ from .common import Scratch
 
 @dataclass(frozen=True)
 class Style:
-    #: Turn numbers of one block.
-    block: int = 1024
+    #: UTF-8 bytes of one part; a single turn is never cut.
+    max_bytes: int = 64 << 20
     start: str = "<|im_start|>"
     end: str = "<|im_end|>\n"
 
 
 #: Hashes are summed as decimals: 38 digits hold the exact sum of 10**19 of them.
 _EXACT = "decimal(38,0)"
+_ORDER = ("turn", "role", "text")
 
 
-def ranked(turns: DataFrame, style: Style) -> DataFrame:
-    """conv_id, block, rank (from 1), role, text, h (of the prefix up to the turn), for each distinct row."""
+def laid_out(turns: DataFrame, scratch: Scratch) -> DataFrame:
+    """conv_id, turn, role, text, n (how often the turn counts), range: distinct turns, each with the number of the range that holds it."""
     rows = turns.select(
         F.col("conv_id"),
-        F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / style.block).cast("long").alias("block"),
-        F.coalesce(F.col("turn"), F.lit(-1)).cast("long").alias("turn"),
+        F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role"), F.lit("unknown")).alias("role"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
-    # one shuffle serves both the removal of repeated rows and the order within blocks
-    rows = rows.repartition("conv_id", "block").dropDuplicates(["conv_id", "block", "turn", "role", "text"])
-    inside = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
-    rows = rows.withColumn("place", F.row_number().over(inside))
-    return rows
+    distinct = rows.groupBy("conv_id", *_ORDER).agg(F.count(F.lit(1)).alias("seen"))
+    counted = distinct.select("conv_id", *_ORDER, F.when(F.col("turn").isNull(), F.col("seen")).otherwise(1).cast("long").alias("n"))
+    # written with its number, so that every later step sees the same ranges
+    return scratch.keep(counted.repartitionByRange("conv_id", *_ORDER).withColumn("range", F.spark_partition_id()), "ranges")
+
+
+def _ahead(rows: DataFrame, **sums: Column) -> DataFrame:
+    """conv_id, range, and the sums over the conversation's ranges before this one: as many rows as ranges touch conversations."""
+    totals = rows.groupBy("conv_id", "range").agg(*(c.alias(k) for k, c in sums.items()))
+    earlier = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("conv_id", "range", *(F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(f"{k}_ahead") for k in sums))
 
 
 def prefix_hashes(turns: DataFrame, style: Style, scratch: Scratch) -> DataFrame:
-    """conv_id, block, turn, role, text, rank, h: the prefix hash."""
-    rows = scratch.keep(ranked(turns, style), "turns")
-    counts = rows.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("conv_id", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ahead"))
-    at = _join(rows, offsets, ["conv_id", "block"]).withColumn("rank", (F.col("ahead") + F.col("place")).cast("long"))
+    """conv_id, range, rank (from 1), role, text, h (of the prefix up to the turn), part (from 0), for each turn."""
+    rows = laid_out(turns, scratch)
+    inside = Window.partitionBy("range", "conv_id")
+    placed = rows.withColumn("last", F.sum("n").over(inside.orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, 0)))
+    ahead = _ahead(rows, n=F.sum("n"))
+    every = _join(placed, ahead, ["conv_id", "range"]).withColumn("rank", F.explode(F.sequence(F.col("last") - F.col("n") + 1, F.col("last")))).withColumn("rank", (F.col("rank") + F.col("n_ahead")).cast("long"))
     own = F.xxhash64("rank", "role", "text").cast(_EXACT)
-    running = F.sum(own).over(Window.partitionBy("conv_id", "block").orderBy("place"))
-    at = scratch.keep(at.withColumn("part", running).drop("ahead"), "ranked")
-    sums = at.groupBy("conv_id", "block").agg(F.max(F.struct("place", "part")).alias("x")).select("conv_id", "block", F.col("x.part").alias("part"))
-    before = sums.select("conv_id", "block", F.coalesce(F.sum("part").over(earlier), F.lit(0).cast(_EXACT)).alias("before"))
-    return _join(at, before, ["conv_id", "block"]).withColumn("h", (F.col("part") + F.col("before")).cast(_EXACT))
+    size = (F.octet_length("role") + F.octet_length("text") + len((style.start + style.end).encode()) + 1).cast("long")
+    so_far = inside.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    summed = every.select("conv_id", "range", "rank", "role", "text", own.alias("own"), size.alias("size"))
+    summed = summed.withColumns({"h_in": F.sum("own").over(so_far), "size_in": F.sum("size").over(so_far)})
+    summed = scratch.keep(summed, "summed")
+    both = _join(summed, _ahead(summed, h=F.sum("own"), size=F.sum("size")), ["conv_id", "range"])
+    before = F.col("size_in") + F.col("size_ahead") - F.col("size")
+    return both.select("conv_id", "range", "rank", "role", "text", (F.col("h_in") + F.col("h_ahead")).cast(_EXACT).alias("h"), F.floor(before / style.max_bytes).cast("int").alias("part"))
 
 
 def _join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -80,13 +94,13 @@ def _join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> Da
 
 
 def maximal(prefixes: DataFrame, scratch: Scratch) -> DataFrame:
-    """conv_id, n_turns: the conversations that no other continues, one of equal ones. prefixes: kept in a table."""
-    totals = prefixes.groupBy("conv_id").agg(F.max(F.struct("rank", "h")).alias("x")).select("conv_id", F.col("x.rank").alias("rank"), F.col("x.h").alias("h"))
+    """conv_id, n_turns, n_parts: the conversations that no other continues, one of equal ones. prefixes: kept in a table."""
+    totals = prefixes.groupBy("conv_id").agg(F.max(F.struct("rank", "h")).alias("x"), F.max("part").alias("part"))
     # kept, so that both sides of the join below are plain shuffles and a long conversation can be split
-    totals = scratch.keep(totals, "totals")
-    one = totals.groupBy("rank", "h").agg(F.min("conv_id").alias("conv_id"))
+    totals = scratch.keep(totals.select("conv_id", F.col("x.rank").alias("rank"), F.col("x.h").alias("h"), (F.col("part") + 1).alias("n_parts")), "totals")
+    one = totals.groupBy("rank", "h").agg(F.min(F.struct(F.col("conv_id").isNull(), "conv_id", "n_parts")).alias("x")).select("rank", "h", "x.conv_id", "x.n_parts")
     proper = _join(prefixes.select("conv_id", "rank", "h"), totals.select("conv_id", F.col("rank").alias("n")), ["conv_id"]).where("rank < n").select("rank", "h").distinct()
-    return one.join(proper, ["rank", "h"], "left_anti").select("conv_id", F.col("rank").alias("n_turns"))
+    return one.join(proper, ["rank", "h"], "left_anti").select("conv_id", F.col("rank").alias("n_turns"), "n_parts")
 
 
 def rendered(role: Column, text: Column, style: Style) -> Column:
@@ -98,8 +112,6 @@ def format_chats(turns: DataFrame, style: Style = Style()) -> DataFrame:
     scratch = Scratch(turns.sparkSession, "chats")
     prefixes = scratch.keep(prefix_hashes(turns, style, scratch), "prefixes")
     kept = scratch.keep(maximal(prefixes, scratch), "maximal")
-    rows = _join(prefixes.select("conv_id", "block", "place", "role", "text"), kept, ["conv_id"])
-    each = rows.groupBy("conv_id", "block", "n_turns").agg(F.array_sort(F.collect_list(F.struct(F.col("place"), rendered(F.col("role"), F.col("text"), style).alias("t")))).alias("turns"))
-    each = each.select("conv_id", "block", "n_turns", F.array_join(F.transform("turns", lambda x: x.t), "").alias("text"))
-    parts = Window.partitionBy("conv_id")
-    return each.select("conv_id", (F.row_number().over(parts.orderBy("block")) - 1).alias("part"), F.count(F.lit(1)).over(parts).alias("n_parts"), "n_turns", "text")
+    rows = _join(prefixes.select("conv_id", "part", "rank", "role", "text"), kept, ["conv_id"])
+    each = rows.groupBy("conv_id", "part", "n_parts", "n_turns").agg(F.array_sort(F.collect_list(F.struct(F.col("rank"), rendered(F.col("role"), F.col("text"), style).alias("t")))).alias("turns"))
+    return each.select("conv_id", "part", F.col("n_parts").cast("long").alias("n_parts"), "n_turns", F.array_join(F.transform("turns", lambda x: x.t), "").alias("text"))

@@ -62,8 +62,15 @@ FROM d JOIN r ON r.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d
 """
 
 SQL["op4_snapshot_collapse"] = """
-WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
-c AS (SELECT conv_id, count(*) AS n, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS s FROM t GROUP BY conv_id)
-SELECT conv_id, 0::INTEGER AS part, 1::BIGINT AS n_parts, n::BIGINT AS n_turns, s AS text FROM c a
-WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.conv_id <> a.conv_id AND starts_with(b.s, a.s) AND (b.n > a.n OR b.n = a.n AND b.conv_id < a.conv_id))
+WITH g AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, CASE WHEN turn IS NULL THEN count(*) ELSE 1 END AS n
+  FROM conversations GROUP BY 1, 2, 3, 4),
+t AS (SELECT conv_id, turn, role, text, unnest(range(n)) AS again FROM g),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS rank FROM t),
+c AS (SELECT conv_id, count(*) AS n, list({'r': role, 't': text} ORDER BY rank) AS l FROM k GROUP BY conv_id),
+p AS (SELECT DISTINCT md5(l[1:j]::VARCHAR) AS h, j FROM (SELECT l, unnest(range(1, n)) AS j FROM c)),
+one AS (SELECT l, any_value(n) AS n, min(conv_id) AS conv_id FROM c GROUP BY l)
+SELECT conv_id, 0::INTEGER AS part, 1::BIGINT AS n_parts, n::BIGINT AS n_turns,
+  array_to_string(list_transform(l, lambda x: '<|im_start|>' || x.r || chr(10) || x.t || '<|im_end|>' || chr(10)), '') AS text
+FROM one WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.h = md5(one.l::VARCHAR) AND p.j = one.n)
 """

@@ -82,17 +82,29 @@ def test_chats(spark):
     talks |= {200: talks[3], 201: [("user", ""), ("user", "")], 202: [("user", "")], 300: [("user", f"m{k}") for k in range(700)]}
     rows = [(c, t, r, x) for c, turns in talks.items() for t, (r, x) in enumerate(turns)]
     rows += [(5, 0, *talks[5][0]), (None, 0, "user", "anon"), (400, None, None, None)]
-    frame = spark.createDataFrame([(*r, 1, "z") for r in rows], "conv_id long, turn long, role string, text string, rank int, h string")
-    all_ = {**talks, None: [("user", "anon")], 400: [("unknown", "")]}
+    # turns far apart, negative, without number (repeats count, in order of role and text), and one number for several
+    rows += [(500, 0, "user", "near"), (500, 2000, "user", "far"), (501, -5, "user", "first"), (501, 0, "user", "last"), (501, None, "user", "none"), (503, 4, "user", "z"), (503, 4, "assistant", "z"), (503, 4, "user", "z")]
+    rows += [(502, None, "user", "b"), (502, None, "assistant", "a"), (502, None, "user", "b")] + [(504, None, "user", "same")] * 300 + [(505, None, "user", "same")] * 299
+    frame = spark.createDataFrame([(*r, 1, "z", 3) for r in rows], "conv_id long, turn long, role string, text string, rank int, h string, range int")
+    all_ = {**talks, None: [("user", "anon")], 400: [("unknown", "")], 500: [("user", "near"), ("user", "far")], 501: [("user", x) for x in ("none", "first", "last")], 502: [("assistant", "a"), ("user", "b"), ("user", "b")], 503: [("assistant", "z"), ("user", "z")], 504: [("user", "same")] * 300, 505: [("user", "same")] * 299}
     keep = [a for a in all_ if not any(b != a and (len(all_[b]) > len(all_[a]) and all_[b][: len(all_[a])] == all_[a] or all_[b] == all_[a] and b is not None and (a is None or b < a)) for b in all_)]
     want = {a: "".join(f"<|im_start|>{r}\n{x}<|im_end|>\n" for r, x in all_[a]) for a in keep}
-    for style in (chat.Style(), chat.Style(block=3)):
-        got = defaultdict(str)
+    for style in (chat.Style(), chat.Style(max_bytes=200)):
+        got, parts = defaultdict(str), Counter()
         for r in sorted(chat.format_chats(frame, style).collect(), key=lambda r: r.part):
             got[r.conv_id] += r.text
+            parts[r.conv_id] += 1
             assert r.n_turns == len(all_[r.conv_id]) and r.part < r.n_parts
         assert got == want
+        assert (max(parts.values()) == 1) == (style.max_bytes > 200)
     assert chat.format_chats(frame.limit(0)).count() == 0
+    import duckdb
+
+    from terrane.llm import sql
+
+    con = duckdb.connect()
+    con.register("conversations", frame.select("conv_id", "turn", "role", "text").toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+    assert sorted(con.execute(sql.SQL["op4_snapshot_collapse"]).fetchall(), key=repr) == sorted(((a, 0, 1, len(all_[a]), t) for a, t in want.items()), key=repr)
 
 
 def test_url_list(spark):
