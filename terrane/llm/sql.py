@@ -37,14 +37,14 @@ _ALNUM = rf"list_filter(regexp_split_to_array(translate({{t}}, '{_UPPER}', '{_LO
 
 SQL["op10_prefix_filter"] = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_ALNUM.format(t="coalesce(text, '')")} AS w FROM documents),
-it AS (SELECT item_id::VARCHAR AS item_id, {_ALNUM.format(t="text")} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+it AS (SELECT item_id::VARCHAR AS item_id, {_ALNUM.format(t="text")} AS w FROM benchmark WHERE text IS NOT NULL),
 win AS (SELECT DISTINCT item_id, len(w[i:i + 9]) AS k, array_to_string(w[i:i + 9], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM it WHERE len(w) > 0)),
 ks AS (SELECT DISTINCT k FROM win),
 dw AS (SELECT rid, k, i, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks WHERE len(w) >= k)),
 hit AS (SELECT rid, i, k, item_id FROM dw JOIN win USING (k, s)),
 hw AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT DISTINCT rid, unnest(range(i, i + k)) AS p FROM hit) GROUP BY rid),
-hi AS (SELECT rid, list_sort(list(DISTINCT item_id)) AS items FROM hit GROUP BY rid)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+hi AS (SELECT rid, list_sort(list(item_id) FILTER (WHERE item_id IS NOT NULL)) AS items, count(*) AS k FROM (SELECT DISTINCT rid, item_id FROM hit) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_hit, coalesce(hi.k, 0)::BIGINT AS n_items,
   sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
 FROM d LEFT JOIN hw USING (rid) LEFT JOIN hi USING (rid)
 """
