@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from terrane.llm import decontaminate, line_frequency, mixing, near_dup, sharding
 from terrane.llm.common import Scratch, read
 
+#: Domains' tokens in the mix, as a share of those they have: good text more often than plain text, none of both less than once, toxic text not.
+TARGETS = mixing.Mix(weights=(1.25, 1.1, 0.02))
 #: Shared lines go by an absolute count, so that the bar does not rise with a source; the fraction serves small sources.
 LIMITS = line_frequency.LineLimits(max_docs=10)
 
@@ -31,8 +33,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Gives documents the rates that remove toxic tokens and leave the other domains' totals."""
-    return mixing.clean(docs, read(spark, sf_dir, "labels"))
+    """Takes each document as often as the target weights of the domains ask: toxic ones not, others once or twice."""
+    return mixing.clean(docs, read(spark, sf_dir, "labels"), TARGETS)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
