@@ -15,7 +15,8 @@ the blocks' counts, and each block gets its numbers back in the order it asked.
 hold more keys than a task should, askers of a range are merged first, and their keys cut into finer
 ranges, as often as needed. So what is shuffled is the text, the distinct n-grams of each block
 (6 bytes each) and their counts, never a row per token; no table of counts is ever in one place.
-N-grams are 64-bit keys (unequal ones share a key with a chance of 2**-64 a pair).
+Words are 64-bit keys, n-grams of several words 56-bit keys: unequal ones share a key with a chance of
+2**-64 or 2**-56 a pair.
 
 Expectation-maximisation needs of a held-out token only its bucket and by how much the order's
 estimate is above that of the mixture below. Those ratios are summed up in cells of 1/64 octave, and
@@ -44,6 +45,8 @@ from .common import Scratch, text_bytes
 
 END = np.uint64(0x5851F42D4C957F2D)
 _CHAIN = np.uint64(0xD6E8FEB86659FD93)
+#: Keys of several words keep 56 bits.
+_HIGH = np.uint64(2**64 - 256)
 #: Context-count buckets: 0, 1, 2-3, 4-7, ... the last is open.
 BUCKETS = 24
 #: log2 of an order's probability over that of the mixture below, in steps of 1/64; no ratio of counts leaves these bounds.
@@ -91,8 +94,8 @@ def _tokens(texts: list[str | None], order: int) -> tuple[list[np.ndarray], np.n
         before = np.empty_like(out)
         before[1:] = keys[-1][:-1]
         before[first] = start
-        keys.append(textcodes.mix(before * _CHAIN + out + np.uint64(n)))
-        start = textcodes.mix(np.array([start]) * _CHAIN + END + np.uint64(n))[0]
+        keys.append(textcodes.mix(before * _CHAIN + out + np.uint64(n)) & _HIGH)
+        start = (textcodes.mix(np.array([start]) * _CHAIN + END + np.uint64(n)) & _HIGH)[0]
     return keys, counts + 1
 
 
@@ -122,18 +125,20 @@ def _unpack(blob: bytes, n: int) -> np.ndarray:
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys: the first, then differences of six bytes, where all fit; else all of eight."""
+    """Sorted keys: the first, then differences of five bytes (of keys without their low byte) or six, where all fit; else all of eight."""
     step = np.diff(keys)
-    if not len(keys) or (step >> np.uint64(48)).any():
-        return b"\x08" + keys.tobytes()
-    return b"\x06" + keys[:1].tobytes() + np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    for width, low in ((5, 1), (6, 0)):
+        if len(keys) and not (step >> np.uint64(8 * (width + low))).any() and not (low and (keys & np.uint64(255)).any()):
+            return bytes([width]) + keys[:1].tobytes() + np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8)[:, low : low + width]).tobytes()
+    return b"\x08" + keys.tobytes()
 
 
 def unpack_keys(blob: bytes) -> np.ndarray:
-    if blob[:1] == b"\x08":
+    width = blob[0]
+    if width == 8:
         return np.frombuffer(blob, dtype=np.uint64, offset=1)
-    step = np.zeros((1 + (len(blob) - 9) // 6, 8), dtype=np.uint8)
-    step[1:, :6] = np.frombuffer(blob, dtype=np.uint8, offset=9).reshape(-1, 6)
+    step = np.zeros((1 + (len(blob) - 9) // width, 8), dtype=np.uint8)
+    step[1:, 6 - width : 6] = np.frombuffer(blob, dtype=np.uint8, offset=9).reshape(-1, width)
     out = step.view(np.uint64).reshape(-1)
     out[0] = np.frombuffer(blob, dtype=np.uint64, count=1, offset=1)[0]
     return np.cumsum(out, dtype=np.uint64)
@@ -282,8 +287,8 @@ def answered(requests: DataFrame, askers: int, levels: int, model: Model, scratc
 
 def _n_keys(keys: str) -> Column:
     """How many keys a packed blob has."""
-    raw = F.substring(keys, 1, 1) == F.lit(b"\x08")
-    return F.when(raw, (F.length(keys) - 1) / 8).otherwise(1 + (F.length(keys) - 9) / 6).cast("long")
+    width = F.conv(F.hex(F.substring(keys, 1, 1)), 16, 10).cast("int")
+    return F.when(width == 8, (F.length(keys) - 1) / 8).otherwise(1 + (F.length(keys) - 9) / width).cast("long")
 
 
 # ---- learning and scoring --------------------------------------------------
