@@ -8,8 +8,10 @@ that share a band are candidates. Every link is confirmed on the full sets.
 
 No bucket is expanded into all pairs. In a first step the members of a bucket are held against
 one of them only (the most copied). Components of those links are found; then only buckets
-whose members still lie in several components are looked at again, in blocks that hold the
-members' full sets, and a block emits one link for two components that it joins, never pairs.
+whose members still lie in several components are looked at again, in blocks. A block first holds
+sketches only, and keeps the members whose sketch and size may match one of another component; the
+few that are left bring their full sets, and the block emits one link for two components that it
+joins, never pairs. Blocks are bounded by members and by shingles, so long texts make small blocks.
 
 With 80 bins in 20 bands of 4, a pair at the threshold 0.85 shares no band with a chance of
 4e-7, and its sketches agree in fewer than 48 bins with a chance of 4e-7.
@@ -44,8 +46,9 @@ class Similarity:
     rows: int = 4
     #: Pairs whose sketches agree in a smaller share of bins are not verified.
     sketch_floor: float = 0.55
-    #: Members of a bucket that one block holds when components are compared.
-    block: int = 384
+    #: Members of a bucket that one block holds when components are compared, and about how many shingles these have.
+    block: int = 1024
+    block_shingles: int = 2_000_000
 
 
 #: The digest query's contract.
@@ -213,6 +216,34 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return np.rint(out).astype(np.int64)
 
 
+def agreements(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """In how many bins each sketch left agrees with each sketch right."""
+    out = np.zeros((len(left), len(right)), dtype=np.int16)
+    for k in range(left.shape[1]):
+        out += left[:, k, None] == right[None, :, k]
+    return out
+
+
+def _open_members(spec: Similarity):
+    """Of two blocks of a bucket (or one, against itself), the members whose sketches and sizes may match one of another component."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        alone = not len(right)
+        if alone:
+            right = left
+        if not len(left) or len(set(left["label"]) | set(right["label"])) < 2:
+            return pdf.iloc[:0].drop(columns=["sketch", "n_shingles"])
+        name = {v: k for k, v in enumerate(set(left["label"]) | set(right["label"]))}
+        (sa, na, la), (sb, nb, lb) = ((np.frombuffer(b"".join(x["sketch"]), dtype=np.uint16).reshape(len(x), -1), x["n_shingles"].to_numpy(), np.array([name[v] for v in x["label"]])) for x in (left, right))
+        near = (la[:, None] != lb[None, :]) & (np.minimum.outer(na, nb) * 100 >= spec.percent * np.maximum.outer(na, nb))
+        near &= agreements(sa, sb) >= spec.sketch_floor * spec.bins
+        found = left[near.any(axis=1)] if alone else pd.concat([left[near.any(axis=1)], right[near.any(axis=0)]])
+        return found.drop(columns=["sketch", "n_shingles"])
+
+    return run
+
+
 def _across(spec: Similarity):
     """Links between components within two blocks of a bucket (or one, against itself), confirmed on the full sets; of links that join the same components one is enough."""
 
@@ -247,17 +278,20 @@ def _across(spec: Similarity):
 
 
 def open_links(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, spec: Similarity, scratch: Scratch) -> DataFrame:
-    """Confirmed links (a, b) between components, in the buckets that still hold several; they join all components that any link of the bucket would."""
+    """Confirmed links (a, b) between components, in the buckets that still hold several; they join all components that any link of the bucket would. members: band, cls, n_shingles."""
     own = members.join(labels.toDF("cls", "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    several = own.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y")
-    several = scratch.keep(several.select("band", "n"), "several")
-    rows = scratch.keep(own.join(several, "band").select("band", "cls", "label", "n"), "open")
-    sets = scratch.keep(class_texts(rows.select("cls").distinct(), classes, docs).mapInArrow(_sets(spec), "cls binary, shingles binary"), "sets")
-    rows = rows.withColumn("blocks", F.ceil(F.col("n") / spec.block).cast("int")).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / spec.block, F.sum("n_shingles") / spec.block_shingles)).cast("int")
+    several = own.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), blocks.alias("blocks")).where("x <> y")
+    several = scratch.keep(several.select("band", "blocks"), "several")
+    rows = scratch.keep(own.join(several, "band").select("band", "cls", "label", "n_shingles", "blocks"), "open")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     # block k meets each block of a higher number, and itself
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", "cls", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    links = dealt.join(sets, "cls").groupBy("band", "i", "j").applyInPandas(_across(spec), "a binary, b binary")
+    dealt = dealt.select("band", "cls", "label", "n_shingles", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    sketched = dealt.join(classes.select("cls", "sketch"), "cls").select("band", "i", "j", "side", "cls", "label", "n_shingles", "sketch")
+    near = scratch.keep(sketched.groupBy("band", "i", "j").applyInPandas(_open_members(spec), "band long, i int, j int, side int, cls binary, label binary"), "near-members")
+    sets = scratch.keep(class_texts(near.select("cls").distinct(), classes, docs).mapInArrow(_sets(spec), "cls binary, shingles binary"), "sets")
+    links = near.join(sets, "cls").groupBy("band", "i", "j").applyInPandas(_across(spec), "a binary, b binary")
     return links.distinct()
 
 
@@ -270,16 +304,16 @@ def classify(docs: DataFrame, spec: Similarity = Similarity()) -> DataFrame:
     # of a class's rows, one stands for it: its key, with which its text is found
     one = F.min(F.struct("_k1", "_k2", "n_shingles", "sketch", "bands")).alias("one")
     classes = scratch.keep(by_class.agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), one).select("cls", "first_id", "copies", "one.*"), "classes")
-    banded = classes.select("cls", "copies", F.explode("bands").alias("band"))
+    banded = classes.select("cls", "copies", "n_shingles", F.explode("bands").alias("band"))
     # a bucket's pivot: the class with most copies
     pivots = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("copies", "cls")).alias("top")).where("n > 1").select("band", F.col("top.cls").alias("pivot"))
     # kept, so that both sides of the join are plain shuffles and a large bucket can be split
     pivots = scratch.keep(pivots, "pivots")
-    members = scratch.keep(banded.join(pivots, "band").select("band", "cls", "pivot"), "members")
+    members = scratch.keep(banded.join(pivots, "band").select("band", "cls", "n_shingles", "pivot"), "members")
     stars = members.where("cls <> pivot").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
     links = verify(stars, classes, docs, spec, scratch)
     labels = components(links, scratch)
-    more = scratch.keep(open_links(members.select("band", "cls"), labels, classes, docs, spec, scratch), "links")
+    more = scratch.keep(open_links(members.select("band", "cls", "n_shingles"), labels, classes, docs, spec, scratch), "links")
     if not more.isEmpty():
         labels = components(links.union(more), scratch)
     named = classes.select("cls", "first_id").join(labels.toDF("cls", "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))

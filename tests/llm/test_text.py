@@ -161,15 +161,33 @@ def test_near_duplicate_cleaning(spark, corpus):
     assert near_dup.clean(frame(spark, [])).count() == 0
 
 
-def test_links_across_stars(spark):
-    """Chains in which neighbours are alike and ends are not, so that one pivot can't reach all."""
+@pytest.mark.parametrize("block", [{}, {"block": 3}, {"block_shingles": 500}])
+def test_links_across_stars(spark, block):
+    """Chains in which neighbours are alike and ends are not, so that one pivot can't reach all; and a crowd just below the threshold."""
     rng = random.Random(1)
-    rows, base = [], [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows, base = [], [word() for _ in range(200)]
     for k in range(40):
         rows.append((k, " ".join(base), "s"))
-        base = base[5:] + [f"w{rng.randrange(10**6)}" for _ in range(5)]
+        base = base[5:] + [word() for _ in range(5)]
+    core = [word() for _ in range(120)]
+    for k in range(50, 90):
+        own = list(core)
+        for at in rng.sample(range(120), 1 + k % 4):
+            own[at] = word()
+        rows.append((k, " ".join(own), "s"))
+    spec = near_dup.Similarity(**(vars(near_dup.CONTRACT) | block))
+    got = near_dup.near_duplicates(frame(spark, rows), spec).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == Counter(brute_components(rows, spec))
+    assert {r.component_id for r in got if r.doc_id < 40} == {0}
+
+
+def test_very_long_texts_in_a_bucket(spark):
+    rng = random.Random(3)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
+    rows = [(k, " ".join([*long[: 60_000 - 3000 * k], *(f"x{k}_{j}" for j in range(100 * k))]), "s") for k in range(6)] + [(9, "w " * 100_000, "s"), (10, "w " * 90_000, "s")]
     got = near_dup.near_duplicates(frame(spark, rows), near_dup.CONTRACT).collect()
-    assert {r.component_id for r in got} == {0}
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == Counter(brute_components(rows, near_dup.CONTRACT))
 
 
 def test_sketch_estimates():
