@@ -6,10 +6,15 @@ enough support and confidence is a rule, unless a part of it is as sure. Rules a
 an inverted index: each is filed under its rarest token, a page looks up its tokens, and the
 rest of the rule is compared with the page's tokens. DataFrame functions and Spark ML only.
 
+Only tokens of at least `min_pages` bad pages can be in a rule, and tokens that stand on the very
+same labelled pages say the same, so before mining the others go and each such set becomes one item,
+named by its least token (a page has the item if it has any of them). No rule is lost by that, and
+lists of query names that always come together don't multiply combinations.
+
 A label of a page is that of the document with its number. Defined cases: null urls, and those
 without "://", have no host, path or tokens, fit no rule and are allowed; labels without a page
 are ignored, of repeated labels the worst counts; without labels there are no mined rules;
-repeated rows get one result each; other columns are ignored.
+repeated rows get one result each and are one page in mining; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +38,6 @@ class Mining:
     #: So many labelled pages have all of a rule's tokens and the label, at any size of the table: a few pages prove nothing.
     min_pages: int = 8
     min_confidence: float = 0.6
-    #: Tokens of one URL that take part in mining and matching are those of its host, path, query and fragment, at most 2**n combinations of n tokens.
     bad: str = "toxic = 1"
 
 
@@ -81,41 +85,54 @@ def _parsed(pages: DataFrame) -> DataFrame:
     return both.withColumn("tokens", tokens(F.col("url"), F.col("host"), F.col("path")))
 
 
-def mine(pages: DataFrame, labels: DataFrame, mining: Mining) -> DataFrame:
-    """rule (its tokens, sorted), confidence, support: the rules that no part of theirs makes needless."""
+def items_of(known: DataFrame, mining: Mining) -> DataFrame:
+    """token, item: of the tokens that can be in a rule. known: page_id, url, tokens, bad; each page once."""
+    each = known.select(F.explode("tokens").alias("token"), "bad", F.xxhash64("page_id", "url").cast("decimal(38,0)").alias("page"))
+    by_token = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("n_bad"), F.sum("page").alias("pages")).where(F.col("n_bad") >= mining.min_pages)
+    same = by_token.groupBy("n", "pages").agg(F.min("token").alias("item"))
+    return by_token.join(same, ["n", "pages"]).select("token", "item")
+
+
+def mine(pages: DataFrame, labels: DataFrame, mining: Mining) -> tuple[DataFrame, DataFrame]:
+    """rule (its items, sorted), confidence, support: the rules that no part of theirs makes needless; and token, item."""
     spark = pages.sparkSession
     scratch = Scratch(spark, "url-rules")
     named = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.coalesce(F.expr(mining.bad), F.lit(False))).alias("bad"))
     known = _parsed(pages).join(named, F.col("page_id") == F.col("doc_id")).where(F.size("tokens") > 0)
-    items = scratch.keep(known.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items")), "labelled")
-    empty = spark.createDataFrame([], "rule array<string>, confidence double, support double")
-    n = items.count()
+    known = scratch.keep(known.select("page_id", "url", "tokens", "bad").dropDuplicates(["page_id", "url"]), "labelled")
+    named_items = scratch.keep(items_of(known, mining), "items")
+    each = known.select("page_id", "url", "bad", F.explode("tokens").alias("token")).join(named_items, "token")
+    baskets = each.groupBy("page_id", "url", "bad").agg(F.collect_set("item").alias("items"))
+    baskets = scratch.keep(baskets.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items")), "baskets")
+    n = baskets.count()
     if not n:
-        return empty
-    model = FPGrowth(minSupport=min(1.0, (mining.min_pages - 0.5) / n), minConfidence=mining.min_confidence, itemsCol="items").fit(items)
+        return spark.createDataFrame([], "rule array<string>, confidence double, support double"), named_items
+    model = FPGrowth(minSupport=min(1.0, (mining.min_pages - 0.5) / n), minConfidence=mining.min_confidence, itemsCol="items").fit(baskets)
     rules = model.associationRules.where(F.array_contains("consequent", BAD)).select(F.array_sort("antecedent").alias("rule"), "confidence", "support")
     rules = scratch.keep(rules, "rules")
-    # a rule goes if a proper part of it is a rule at least as sure: its parts are found by their rarest form, one token
+    # a rule goes if a proper part of it is a rule at least as sure; a part is found by its first item
     a, b = rules.alias("a"), rules.alias("b")
-    single = b.where(F.size("b.rule") > 0)
-    parts = a.select("a.rule", "a.confidence", F.explode("a.rule").alias("token"))
-    filed = single.select(F.col("b.rule").alias("part"), F.col("b.confidence").alias("sure"), F.get("b.rule", F.lit(0)).alias("token"))
-    needless = parts.join(filed, "token").where((F.size("part") < F.size("rule")) & (F.size(F.array_except("part", "rule")) == 0) & (F.col("sure") >= F.col("confidence"))).select("rule").distinct()
-    return rules.join(needless, "rule", "left_anti")
+    parts = a.select("a.rule", "a.confidence", F.explode("a.rule").alias("item"))
+    filed = b.select(F.col("b.rule").alias("part"), F.col("b.confidence").alias("sure"), F.get("b.rule", F.lit(0)).alias("item"))
+    needless = parts.join(filed, "item").where((F.size("part") < F.size("rule")) & (F.size(F.array_except("part", "rule")) == 0) & (F.col("sure") >= F.col("confidence"))).select("rule").distinct()
+    return rules.join(needless, "rule", "left_anti"), named_items
 
 
 def judge(pages: DataFrame, labels: DataFrame, mining: Mining = Mining()) -> DataFrame:
-    """Per row of pages: page_id, host, path, rule, verdict, and mined: the tokens of the surest mined rule that fits."""
+    """Per row of pages: page_id, host, path, rule, verdict, and mined: the items of the surest mined rule that fits."""
     scratch = Scratch(pages.sparkSession, "url-judge")
     parsed = _parsed(pages)
-    rules = scratch.keep(mine(pages, labels, mining), "rules")
+    rules, named_items = mine(pages, labels, mining)
+    rules = scratch.keep(rules, "rules")
     rows = parsed.select("page_id", "host", "path", "tokens", listed(F.col("host"), F.col("path")).alias("fit"))
     # pages with the same tokens share their rules; each combination is matched once
     kinds = scratch.keep(rows.where("fit is null").groupBy("tokens").agg(F.count(F.lit(1)).alias("n")), "kinds")
-    often = kinds.select(F.explode("tokens").alias("token"), "n").groupBy("token").agg(F.sum("n").alias("n"))
-    filed = rules.select("rule", "confidence", F.explode("rule").alias("token")).join(often, "token").groupBy("rule").agg(F.max("confidence").alias("confidence"), F.min(F.struct("n", "token")).alias("x"))
-    index = filed.select("rule", "confidence", F.col("x.token").alias("token"))
-    near = kinds.select("tokens", F.explode("tokens").alias("token")).join(index, "token").where(F.size(F.array_except("rule", "tokens")) == 0)
+    held = kinds.select("tokens", "n", F.explode("tokens").alias("token")).join(named_items, "token").groupBy("tokens").agg(F.first("n").alias("n"), F.collect_set("item").alias("items"))
+    held = scratch.keep(held, "held")
+    often = held.select(F.explode("items").alias("item"), "n").groupBy("item").agg(F.sum("n").alias("n"))
+    filed = rules.select("rule", "confidence", F.explode("rule").alias("item")).join(often, "item").groupBy("rule").agg(F.max("confidence").alias("confidence"), F.min(F.struct("n", "item")).alias("x"))
+    index = filed.select("rule", "confidence", F.col("x.item").alias("item"))
+    near = held.select("tokens", "items", F.explode("items").alias("item")).join(index, "item").where(F.size(F.array_except("rule", "items")) == 0)
     best = scratch.keep(near.groupBy("tokens").agg(F.max(F.struct("confidence", "rule")).alias("best")).select("tokens", F.col("best.rule").alias("mined")), "matched")
     both = rows.join(best, "tokens", "left")
     mined = F.when(F.col("fit").isNull(), F.array_join("mined", " "))

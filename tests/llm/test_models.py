@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -144,6 +145,67 @@ def test_mined_tokens_and_absolute_support(spark):
     assert {r.page_id for r in got if r.verdict == "block"} == set(range(100))
 
 
+def brute_rules(known, mining):
+    """Confidence of each minimal rule, from all subsets of all pages' tokens. known: {page: (tokens, bad)}."""
+    subsets = {frozenset(c) for t, bad in known.values() if bad for n in range(1, len(t) + 1) for c in combinations(sorted(t), n)}
+    found = {}
+    for x in subsets:
+        have = [bad for t, bad in known.values() if x <= t]
+        if sum(have) >= mining.min_pages and sum(have) >= mining.min_confidence * len(have):
+            found[x] = sum(have) / len(have)
+    return {x: c for x, c in found.items() if not any(y < x and found[y] >= c for y in found)}
+
+
+def check_rules(spark, rows, labels, mining):
+    frame = spark.createDataFrame(rows, "page_id long, url string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    tokens_ = {r.page_id: set(r.tokens) for r in url_rules._parsed(frame).collect()}
+    bad = {k: any(t for i, _, t in labels if i == k) for k, _, _ in labels}
+    rules = brute_rules({k: (tokens_[k], bad[k]) for k in bad if tokens_.get(k)}, mining)
+    got = url_rules.judge(frame, known, mining).collect()
+    for r in got:
+        sure = [c for x, c in rules.items() if x <= tokens_[r.page_id]]
+        if r.rule is None:
+            assert r.verdict == ("block" if sure else "allow"), r
+            if sure:  # the rule given is one of the surest, in one of its wordings
+                assert math.isclose(max(sure), max(c for x, c in rules.items() if x <= tokens_[r.page_id] | set(r.mined.split(" "))))
+    return rules, got
+
+
+def test_rules_against_brute_force(spark):
+    rng = random.Random(12)
+    words_ = ["casino", "news", "pills", "shop", "a1", "top"]
+    rows, labels = [], []
+    for k in range(240):
+        parts = rng.sample(words_, rng.randint(1, 3))
+        query = "&".join(rng.sample(["x=1", "ref=aff", "ref=own", "id=7"], rng.randint(0, 2)))
+        rows.append((k, f"http://{rng.choice(('a', 'b'))}.{rng.choice(('one', 'two'))}.org/{'/'.join(parts)}/?{query}"))
+        if k % 4:
+            spam = {"casino", "pills"} <= set(parts) or "ref=aff" in query and "shop" in parts
+            labels.append((k, 1, int(spam if rng.random() < 0.9 else not spam)))
+    rows += [rows[1], rows[2], (900, "nothing"), (901, None)]
+    rules, got = check_rules(spark, rows, labels, url_rules.Mining(min_pages=4))
+    assert len(rules) > 3 and {r.verdict for r in got} == {"allow", "block"} and len(got) == len(rows)
+
+
+def test_many_query_names(spark):
+    """Forty names that always come together are one item, not 2**40 combinations; any of them tells."""
+    names = "&".join(f"p{k}=z{k}" for k in range(40))
+    rows = [(k, f"http://h{k}.org/{k}?{names}") for k in range(12)] + [(k, f"http://h{k}.org/{k}") for k in range(12, 60)] + [(90, "http://new.org/90?p7=1")]
+    got = url_rules.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(k, 1, int(k < 12)) for k in range(60)], "doc_id long, quality int, toxic int")).collect()
+    assert {r.page_id for r in got if r.verdict == "block"} == {*range(12), 90}
+    long = [(1, "http://x.org/" + "seg/" * 200_000 + "?" + "&".join(f"k{j}=v" for j in range(3000)))]
+    assert url_rules.judge(spark.createDataFrame(long, "page_id long, url string"), spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")).first().verdict == "allow"
+
+
+def test_planted_rules_on_the_pages(spark):
+    """The driver's urls, with labels that follow a combination of their tokens: the mined verdicts are those of a brute-force miner."""
+    rows = [(r.page_id, r.url) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").where("page_id is not null").collect()]
+    labels = [(i, 1, int(bool(u) and "/fr/" in u and "#top" in u)) for i, u in rows if i % 5]
+    rules, got = check_rules(spark, rows, labels, url_rules.Mining())
+    assert rules and any(r.mined for r in got)
+
+
 def unigram(vocabulary):
     from tokenizers import Tokenizer, models
 
