@@ -404,3 +404,54 @@ def test_pipeline(spark, tmp_path):
     got = pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in got} == set(range(200)) and len(got) > 200  # the mix takes some clean documents twice
     assert {r.shard for r in got} == set(range(40))
+
+
+def brute_template(pages, deduction):
+    """Template texts of a host's distinct pages: classes of equal occurrence vectors, by dictionaries."""
+    profiles = []
+    for html in dict.fromkeys(pages):
+        blocks, elements = html_extract.parse(html)
+        seen = Counter({k: e.count for k, e in elements.items()})
+        size = dict.fromkeys(elements, 1)
+        texts = set()
+        for e, block in blocks:
+            if not e.aside:
+                key = html_extract._text_key(e, block)
+                seen[key] += 1
+                size[key] = len(block.split(" "))
+                texts.add(key)
+        profiles.append((seen, size, texts))
+    classes = defaultdict(list)
+    for token in {t for seen, _, _ in profiles for t in seen}:
+        classes[tuple(seen[token] for seen, _, _ in profiles)].append(token)
+    out = set()
+    for vector, members in classes.items():
+        support = sum(n > 0 for n in vector)
+        texts = {t for t in members if any(t in x for _, _, x in profiles)}
+        if support < deduction.min_text_pages:
+            members = [t for t in members if t not in texts]
+            texts = set()
+        if support >= deduction.min_pages * len(profiles) and sum(max(s.get(t, 0) for _, s, _ in profiles) for t in members) >= deduction.min_tokens:
+            out |= texts
+    return out
+
+
+def test_template_against_brute_force(spark):
+    rng = random.Random(14)
+    lines = [f"Line {k} of many" for k in range(6)] + ["Ad", "Two words"]
+    rows = []
+    for k in range(90):
+        host = "abc"[k % 3]
+        inner = "".join(f"<{t}>{rng.choice(lines)}</{t}>" for t in rng.choices(["p", "div", "h2"], k=rng.randint(0, 5)))
+        rows.append((k, f"http://{host}.example/{k}", f"<body><div class='x{k % 2}'><p>Own text {k}</p>{inner}</div><div class='low'>{rng.choice(lines[:3])}</div></body>"))
+    rows += rows[:9]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    deduction = html_extract.Deduction()
+    known = frame.selectExpr("substring(url, 8, 9) as host", "xxhash64(html) as page", "html")
+    got = {r.host: set(r.tokens) for r in html_extract.template_texts(known, deduction).collect()}
+    for host in "abc":
+        want = brute_template([h for _, u, h in rows if u.startswith(f"http://{host}.")], deduction)
+        assert got.get(f"{host}.example", set()) == want and want
+    full = {r.page_id: r.text for r in html_extract.extract(frame).collect()}
+    assert any(full[k] != " ".join(html_extract.extract_page(h, set(), [])) for k, _, h in rows)
+    assert all(full[k].startswith(f"Own text {k}") for k, _, _ in rows)
