@@ -77,12 +77,13 @@ def _repeat_words(words: Column) -> Column:
 
 
 def base_measures(docs: DataFrame) -> DataFrame:
-    """doc_id, the row key, the base rule's numbers, and the lines, for every row."""
+    """doc_id, host, the row key, the base rule's numbers, and the lines, for every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    first = docs.select("doc_id", *_key(), text.alias("text"), space_words(text).alias("words"))
+    first = docs.select("doc_id", F.col("source").alias("host"), *_key(), text.alias("text"), space_words(text).alias("words"))
     lines = F.filter(F.split(F.col("text"), "\n"), lambda x: strip_spaces(x) != "")
     out = first.select(
         "doc_id",
+        "host",
         "_k1",
         "_k2",
         F.size("words").cast("long").alias("n_words"),
@@ -102,16 +103,11 @@ def _lines(text: Column) -> Column:
     return F.transform(F.filter(trimmed, lambda x: x != ""), lambda x: F.struct(F.xxhash64(F.lower(x)).alias("line"), F.size(F.split(x, " ")).alias("words")))
 
 
-def _keyed_lines(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("source").alias("host"), *_key(), _lines(F.coalesce("text", F.lit(""))).alias("lines"))
-
-
-def common_lines(docs: DataFrame, limits: LineLimits) -> DataFrame:
-    """host, line: those above the limits. Lines of few documents go before hosts are joined, so that join stays small."""
-    keyed = _keyed_lines(docs)
-    lines = keyed.select("host", "_k2", F.explode(F.array_distinct(F.col("lines.line"))).alias("line"))
+def common_lines(base: DataFrame, limits: LineLimits) -> DataFrame:
+    """host, line: those above the limits. Lines of few documents go before hosts are joined, so that join stays small. base: base_measures(), kept in a table."""
+    lines = base.select("host", "_k2", F.explode(F.array_distinct(F.col("lines.line"))).alias("line"))
     counts = lines.groupBy("host", "line").agg(F.count_distinct("_k2").alias("docs")).where(F.col("docs") > limits.min_docs)
-    hosts = docs.select(F.col("source").alias("host"), *_key()).groupBy("host").agg(F.count_distinct("_k2").alias("all"))
+    hosts = base.groupBy("host").agg(F.count_distinct("_k2").alias("all"))
     joined = counts.alias("c").join(hosts.alias("h"), F.col("c.host").eqNullSafe(F.col("h.host")))
     above = F.col("docs") > limits.max_fraction * F.col("all")
     if limits.max_docs is not None:
@@ -119,40 +115,39 @@ def common_lines(docs: DataFrame, limits: LineLimits) -> DataFrame:
     return joined.where(above).select("c.host", "c.line")
 
 
-def removed_lines(docs: DataFrame, limits: LineLimits) -> DataFrame:
-    """Row key, removed: the hashes of the lines that rows with this key lose. Rows that lose none are absent."""
-    keyed = _keyed_lines(docs)
-    lines = keyed.select("host", "_k1", "_k2", F.explode(F.array_distinct(F.col("lines.line"))).alias("line"))
-    common = common_lines(docs, limits)
+def removed_lines(base: DataFrame, limits: LineLimits) -> DataFrame:
+    """Row key, removed: the hashes of the lines that rows with this key lose. Rows that lose none are absent. base: base_measures(), kept in a table."""
+    lines = base.select("host", "_k1", "_k2", F.explode(F.array_distinct(F.col("lines.line"))).alias("line"))
+    common = common_lines(base, limits)
     hit = lines.alias("l").join(common.alias("c"), (F.col("l.line") == F.col("c.line")) & F.col("l.host").eqNullSafe(F.col("c.host")))
     return hit.groupBy("_k1", "_k2").agg(F.collect_set("l.line").alias("removed"))
 
 
+def judged(docs: DataFrame, limits: LineLimits, scratch: Scratch) -> DataFrame:
+    """base_measures(), removed, n_words_left and kept, for every row of docs. Texts are read once; everything else comes from the measures and line hashes."""
+    base = scratch.keep(base_measures(docs), "measures")
+    both = base.join(removed_lines(base, limits), ["_k1", "_k2"], "left")
+    gone = F.filter("lines", lambda x: F.array_contains("removed", x.line))
+    lost = F.when(F.col("removed").isNull(), 0).otherwise(F.aggregate(gone, F.lit(0), lambda a, x: a + x.words))
+    both = both.withColumn("n_words_left", F.col("n_words") - lost)
+    depleted = F.col("n_words_left") < limits.min_left * F.col("n_words")
+    return both.withColumn("kept", ~F.col("base_failed") & ~depleted)
+
+
 def quality(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
     """Per row of docs: the base numbers, the verdict, and the words that stay.
 
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     kept, n_words_left.
     """
-    both = base_measures(docs).join(removed_lines(docs, limits), ["_k1", "_k2"], "left")
-    gone = F.filter("lines", lambda x: F.array_contains("removed", x.line))
-    lost = F.when(F.col("removed").isNull(), 0).otherwise(F.aggregate(gone, F.lit(0), lambda a, x: a + x.words))
-    both = both.withColumn("n_words_left", F.col("n_words") - lost)
-    depleted = F.col("n_words_left") < limits.min_left * F.col("n_words")
-    kept = (~F.col("base_failed") & ~depleted).alias("kept")
-    return both.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept, "n_words_left")
+    both = judged(docs, limits, Scratch(docs.sparkSession, "quality"))
+    return both.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_words_left")
 
 
 def clean(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
     """The documents that pass, without their common lines; the columns of documents."""
     keyed = docs.select(*DOCUMENT_COLUMNS, *_key())
-    # written first: a filter on computed columns would be pushed below them and compute words anew for every word
-    base = Scratch(docs.sparkSession, "quality").keep(base_measures(docs), "measures")
-    judged = base.join(removed_lines(docs, limits), ["_k1", "_k2"], "left")
-    gone = F.filter("lines", lambda x: F.array_contains("removed", x.line))
-    lost = F.when(F.col("removed").isNull(), 0).otherwise(F.aggregate(gone, F.lit(0), lambda a, x: a + x.words))
-    passed = judged.where(~F.col("base_failed") & (F.col("n_words") - lost >= limits.min_left * F.col("n_words")))
-    passed = passed.groupBy("_k1", "_k2").agg(F.first("removed").alias("removed"))
+    passed = judged(docs, limits, Scratch(docs.sparkSession, "quality")).where("kept").groupBy("_k1", "_k2").agg(F.first("removed").alias("removed"))
     both = keyed.join(passed, ["_k1", "_k2"])
     stays = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("removed", F.xxhash64(F.lower(F.regexp_replace(strip_spaces(x), SPACES_RE, " ")))))
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
