@@ -24,7 +24,12 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class LineLimits:
-    """A line goes if over min_docs documents and over max_fraction of its host's documents have it, or over max_docs, whatever the host's size."""
+    """A line goes if over min_docs documents and over max_fraction of its host's documents have it.
+
+    With max_docs it also goes if over max_docs documents have it, whatever the host's size. These
+    are documents that keep min_left of their words without such lines: in a group of near copies
+    all lines are shared, which is for near-duplicate removal to settle, and no reason to lose all.
+    """
 
     min_docs: int = 5
     max_fraction: float = 0.1
@@ -103,30 +108,40 @@ def _lines(text: Column) -> Column:
     return F.transform(F.filter(trimmed, lambda x: x != ""), lambda x: F.struct(F.xxhash64(F.lower(x)).alias("line"), F.size(F.split(x, " ")).alias("words")))
 
 
-def common_lines(base: DataFrame, limits: LineLimits) -> DataFrame:
+def _on_line(a: str, b: str) -> Column:
+    return (F.col(f"{a}.line") == F.col(f"{b}.line")) & F.col(f"{a}.host").eqNullSafe(F.col(f"{b}.host"))
+
+
+def common_lines(base: DataFrame, limits: LineLimits, scratch: Scratch) -> DataFrame:
     """host, line: those above the limits. Lines of few documents go before hosts are joined, so that join stays small. base: base_measures(), kept in a table."""
     lines = base.select("host", "_k2", F.explode(F.array_distinct(F.col("lines.line"))).alias("line"))
-    counts = lines.groupBy("host", "line").agg(F.count_distinct("_k2").alias("docs")).where(F.col("docs") > limits.min_docs)
+    counts = scratch.keep(lines.groupBy("host", "line").agg(F.count_distinct("_k2").alias("docs")).where(F.col("docs") > limits.min_docs), "counts")
     hosts = base.groupBy("host").agg(F.count_distinct("_k2").alias("all"))
     joined = counts.alias("c").join(hosts.alias("h"), F.col("c.host").eqNullSafe(F.col("h.host")))
-    above = F.col("docs") > limits.max_fraction * F.col("all")
-    if limits.max_docs is not None:
-        above |= F.col("docs") > limits.max_docs
-    return joined.where(above).select("c.host", "c.line")
-
-
-def removed_lines(base: DataFrame, limits: LineLimits) -> DataFrame:
+    common = joined.where(F.col("docs") > limits.max_fraction * F.col("all")).select("c.host", "c.line")
+    if limits.max_docs is None:
+        return common
+    often = counts.where(F.col("docs") > limits.max_docs)
+    every = base.select("host", "_k2", "n_words", F.explode("lines").alias("x")).select("host", "_k2", "n_words", F.col("x.line").alias("line"), F.col("x.words").alias("words"))
+    held = scratch.keep(every.alias("e").join(often.alias("o"), _on_line("e", "o"), "left_semi"), "often")
+    own = held.groupBy("host", "_k2", "n_words").agg(F.sum("words").alias("shared")).where(F.col("n_words") - F.col("shared") >= limits.min_left * F.col("n_words"))
+    own = scratch.keep(own.select("host", "_k2"), "own")
+    met = held.alias("e").join(own.alias("o"), (F.col("e._k2") == F.col("o._k2")) & F.col("e.host").eqNullSafe(F.col("o.host")), "left_semi")
+    return common.union(met.groupBy("host", "line").agg(F.count_distinct("_k2").alias("docs")).where(F.col("docs") > limits.max_docs).select("host", "line")).distinct()
+
+
+def removed_lines(base: DataFrame, limits: LineLimits, scratch: Scratch) -> DataFrame:
     """Row key, removed: the hashes of the lines that rows with this key lose. Rows that lose none are absent. base: base_measures(), kept in a table."""
     lines = base.select("host", "_k1", "_k2", F.explode(F.array_distinct(F.col("lines.line"))).alias("line"))
-    common = common_lines(base, limits)
-    hit = lines.alias("l").join(common.alias("c"), (F.col("l.line") == F.col("c.line")) & F.col("l.host").eqNullSafe(F.col("c.host")))
+    common = common_lines(base, limits, scratch)
+    hit = lines.alias("l").join(common.alias("c"), _on_line("l", "c"))
     return hit.groupBy("_k1", "_k2").agg(F.collect_set("l.line").alias("removed"))
 
 
 def judged(docs: DataFrame, limits: LineLimits, scratch: Scratch) -> DataFrame:
     """base_measures(), removed, n_words_left and kept, for every row of docs. Texts are read once; everything else comes from the measures and line hashes."""
     base = scratch.keep(base_measures(docs), "measures")
-    both = base.join(removed_lines(base, limits), ["_k1", "_k2"], "left")
+    both = base.join(removed_lines(base, limits, scratch), ["_k1", "_k2"], "left")
     gone = F.filter("lines", lambda x: F.array_contains("removed", x.line))
     lost = F.when(F.col("removed").isNull(), 0).otherwise(F.aggregate(gone, F.lit(0), lambda a, x: a + x.words))
     both = both.withColumn("n_words_left", F.col("n_words") - lost)

@@ -251,3 +251,16 @@ def test_shared_line_of_a_large_source(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: r.text for r in corpus_pipeline.quality(spark, table, "").where("doc_id < 400").collect()}
     assert got == {k: f"own{k} {words}" + ("\nShared by ten" if k < 10 else "") for k in range(400)}
+
+
+def test_near_copies_keep_their_lines(spark):
+    """Thirty near copies share all but one line: they stay for near-duplicate removal; a notice in thirty documents of their own goes."""
+    notice = "please accept our notice " + " ".join(f"n{k}" for k in range(60))
+    same = "\n".join(" ".join(f"c{j}_{k}" for k in range(10)) for j in range(9))
+    rows = [(k, f"{same}\nedited{k} last line", "s") for k in range(30)]
+    rows += [(100 + k, notice + "\n" + " ".join(f"own{k}_{j}" for j in range(90)), "s") for k in range(30)]
+    rows += [(200, notice + "\nlittle else", "s")]
+    rows += [(300 + k, " ".join(f"rest{k}_{j}" for j in range(60)), "s") for k in range(400)]
+    got = {r.doc_id: r.text for r in line_frequency.clean(frame(spark, rows), line_frequency.LineLimits(max_docs=10)).collect()}
+    assert all(got[k] == rows[k][1] for k in range(30))
+    assert all(notice not in got[100 + k] for k in range(30)) and 200 not in got and len(got) == 460
