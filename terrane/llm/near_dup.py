@@ -47,7 +47,9 @@ class Similarity:
     #: Pairs whose sketches agree in a smaller share of bins are not verified.
     sketch_floor: float = 0.55
     #: Members of a bucket that one block holds when components are compared, and about how many shingles these have.
-    block: int = 1024
+    block: int = 384
+    #: A block's members go on if one bit of each bin agrees in such a share of bins: at the threshold fewer agree with a chance below 1e-7.
+    bit_floor: float = 0.7
     block_shingles: int = 2_000_000
 
 
@@ -217,11 +219,9 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 
 def agreements(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """In how many bins each sketch left agrees with each sketch right."""
-    out = np.zeros((len(left), len(right)), dtype=np.int16)
-    for k in range(left.shape[1]):
-        out += left[:, k, None] == right[None, :, k]
-    return out
+    """In how many bins the lowest bits of each sketch left and each sketch right agree, as one product of matrices."""
+    a, b = (((x & 1) * 2.0 - 1.0).astype(np.float32) for x in (left, right))
+    return (a @ b.T + left.shape[1]) / 2
 
 
 def _open_members(spec: Similarity):
@@ -237,7 +237,7 @@ def _open_members(spec: Similarity):
         name = {v: k for k, v in enumerate(set(left["label"]) | set(right["label"]))}
         (sa, na, la), (sb, nb, lb) = ((np.frombuffer(b"".join(x["sketch"]), dtype=np.uint16).reshape(len(x), -1), x["n_shingles"].to_numpy(), np.array([name[v] for v in x["label"]])) for x in (left, right))
         near = (la[:, None] != lb[None, :]) & (np.minimum.outer(na, nb) * 100 >= spec.percent * np.maximum.outer(na, nb))
-        near &= agreements(sa, sb) >= spec.sketch_floor * spec.bins
+        near &= agreements(sa, sb) >= spec.bit_floor * spec.bins
         found = left[near.any(axis=1)] if alone else pd.concat([left[near.any(axis=1)], right[near.any(axis=0)]])
         return found.drop(columns=["sketch", "n_shingles"])
 
