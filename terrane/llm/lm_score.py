@@ -59,7 +59,7 @@ _ANSWER = "asker long, range long, totals binary, deleted binary, " + ", ".join(
 @dataclass(frozen=True)
 class Model:
     order: int = 3
-    block_bytes: int = 6 << 20
+    block_bytes: int = 8 << 20
     #: Of ten parts of the documents by crc32 of the id: 0 is held out for evaluation, this one teaches the weights.
     deleted_part: int = 1
     smoothing: float = 0.1
@@ -408,6 +408,8 @@ def score(docs: DataFrame, model: Model = Model()) -> DataFrame:
         levels += 1
     asked = blocks.select("block", "deleted", "parts", "texts").mapInArrow(_requests(model), _REQUEST)
     answers = scratch.keep(answered(asked, (known["bytes"] or 0) // model.block_bytes, levels, model, scratch), "answers")
+    del asked
+    scratch.forget()
     total = answers.agg(*(F.sum(c).alias(c) for c in _LESS)).first()
     size = {k: int(total[k] or 0) for k in _LESS} | {k: int(known[k] or 0) for k in ("docs", "docs_less")}
     back = answers.select(F.col("asker").alias("block"), "range", "totals", "deleted")
