@@ -10,10 +10,12 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import require
 from ..functions import expressions as X
 from ..sources.catalog import Store, Table, snake
+from ..sources.checkpoints import cut
 
 DEFAULT = object()
 
@@ -56,35 +58,44 @@ def values_frame(t: Table, rows: list[dict[str, Any]], store: Store) -> DataFram
         return X.compile_(X.lift(r[n]), X.Scope()).cast(types[n])
 
     # one array of rows, so that many rows stay one plan node
-    structs = [F.struct(*(cell(r, n).alias(n) for n in t.names())) for r in rows]
+    structs = [F.struct(*(cell(r, n).alias(n) for n in t.names()), F.lit(k).alias(PLACE)) for k, r in enumerate(rows)]
     return one.select(F.inline(F.array(*structs)))
 
 
+#: The place of a literal row among those given with it.
+PLACE = "_place"
+
+
 def assign_serials(new: DataFrame, old: DataFrame, t: Table, order: list[str]) -> DataFrame:
     """Numbers serial columns that are null, after the largest number so far, in the given order."""
     for name, c in t.columns:
         if c.serial:
-            top = old.agg(F.coalesce(F.max(name), F.lit(0)).alias("_top"))
-            # numbering within range partitions, so that no task orders all rows
-            parts = new.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+            top = old.agg(F.coalesce(F.max(name), F.lit(0))).first()[0]
+            # numbering within range partitions, so that no task orders all rows; they are written with
+            # their partition's number, since a plan that is run twice may cut them differently
+            parts = cut(new.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
             counts = parts.where(F.col(name).isNull()).groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
             ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
             offsets = counts.select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
             inside = Window.partitionBy("_part", F.col(name).isNull()).orderBy(*order)
-            numbered = parts.withColumn("_k", F.row_number().over(inside)).join(F.broadcast(offsets), "_part", "left").crossJoin(F.broadcast(top))
-            value = F.coalesce(F.col(name), F.col("_top") + F.coalesce("_ahead", F.lit(0)) + F.col("_k")).cast(c.spark_type())
+            # one offset a partition
+            numbered = parts.withColumn("_k", F.row_number().over(inside)).join(F.broadcast(offsets), "_part", "left")
+            value = F.coalesce(F.col(name), F.lit(top) + F.coalesce("_ahead", F.lit(0)) + F.col("_k")).cast(c.spark_type())
             new = numbered.withColumn(name, value).select(*new.columns)
     return new
 
 
-def insert_rows(t: Table, new: DataFrame, store: Store) -> Change:
+def insert_rows(t: Table, new: DataFrame, store: Store, order: list[str] | None = None) -> Change:
+    """Adds rows; serial columns that are null get the next numbers, in order (by all other columns, if none is given)."""
     old = store.read(t.key).select(*t.names())
+    if any(c.serial for _, c in t.columns):
+        new = assign_serials(new, old, t, order or [n for n, c in t.columns if not c.serial and sortable(new.schema[n].dataType)])
     new = new.select(*t.names())
     return Change(old.unionByName(new), new)
 
 
 def insert(t: Table, rows: list[dict[str, Any]], store: Store) -> Change:
-    return insert_rows(t, values_frame(t, rows, store), store)
+    return insert_rows(t, values_frame(t, rows, store), store, [PLACE])
 
 
 def _targets(t: Table, columns: list[str]) -> list[str]:
@@ -94,13 +105,23 @@ def _targets(t: Table, columns: list[str]) -> list[str]:
     return columns
 
 
+def sortable(kind: T.DataType) -> bool:
+    """Whether values of this type have an order; json values and maps, alone or inside others, have none."""
+    if isinstance(kind, T.ArrayType):
+        return sortable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(sortable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.VariantType, T.MapType))
+
+
 def first_of_each(new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Of new rows with equal keys the first in order; null keys equal nothing. The rows are compared as one value, so that partial results are combined before the shuffle."""
+    """Of new rows with equal keys the first in order, then by the other columns that can be ordered; null keys equal nothing. Partial results are combined before the shuffle."""
     complete = F.lit(True)
     for k in keys:
         complete = complete & F.col(k).isNotNull()
-    rest = [c for c in new.columns if c not in order]
-    one = new.where(complete).groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.min(F.struct(*order, *rest)).alias("_r")).select("_r.*").select(*new.columns)
+    terms = [*order, *(f.name for f in new.schema.fields if f.name not in order and sortable(f.dataType))]
+    first = F.min_by(F.struct(*new.columns), F.struct(*terms)).alias("_r")
+    one = new.where(complete).groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(first).select("_r.*").select(*new.columns)
     return one.unionByName(new.where(~complete))
 
 
@@ -131,15 +152,8 @@ def insert_or_update(t: Table, new: DataFrame, conflict: list[str], set_: dict[s
 
 def _flagged(t: Table, where: X.Expr | None, store: Store) -> DataFrame:
     """The old rows with _hit: whether the condition is true."""
-    old = _old(t, store)
     hit = F.lit(True) if where is None else F.coalesce(X.compile_(where, _row_scope(t, store)), F.lit(False))
-    if where is not None and any(e.op == "exists" for e in X.walk(where)):
-        # a subquery can stand in a filter only: the rows it keeps get the flag
-        keyed = store.read(t.key).select(*t.names())
-        yes = keyed.alias(X.alias(*t.key)).where(hit)
-        no = keyed.alias(X.alias(*t.key)).where(~hit)
-        return yes.withColumn("_hit", F.lit(True)).unionByName(no.withColumn("_hit", F.lit(False)))
-    return old.withColumn("_hit", hit)
+    return _old(t, store).withColumn("_hit", hit)
 
 
 def update(t: Table, set_: dict[str, Any], where: X.Expr | None, store: Store) -> Change:

@@ -75,6 +75,43 @@ def on_parent_delete(t: Table, fk: ForeignKey, child: DataFrame, deleted: DataFr
     return kept.unionByName(hit.withColumns(cleared).select(*child.columns)), hit.limit(0)
 
 
+def on_parent_update(t: Table, fk: ForeignKey, child: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The child after its parents' keys changed, and the child rows that would block (restrict, no action). changed: the target columns, and as old__<column> what they were; null keys refer to nothing."""
+    pairs = [(f"old__{b}", b) for b in fk.target_columns]
+    moved = changed.where(reduce(lambda a, b: a | b, (~F.col(o).eqNullSafe(F.col(n)) for o, n in pairs)))
+    keys = moved.select(*(F.col(o).alias(f"_p_{n}") for o, n in pairs), *(F.col(n).alias(f"_n_{n}") for _, n in pairs)).dropDuplicates([f"_p_{n}" for _, n in pairs])
+    on = [F.col(a) == F.col(f"_p_{b}") for a, b in zip(fk.columns, fk.target_columns, strict=True)]
+    if fk.on_update in ("restrict", "no action"):
+        return child, child.join(keys, on, "left_semi")
+    from .changes import default_of
+
+    met = child.join(keys.withColumn("_hit", F.lit(True)), on, "left")
+    value = {c: F.col(f"_n_{b}") if fk.on_update == "cascade" else F.lit(None).cast(child.schema[c].dataType) if fk.on_update == "set null" else default_of(t, c) for c, b in zip(fk.columns, fk.target_columns, strict=True)}
+    cells = [F.when(F.col("_hit"), value[c]).otherwise(F.col(c)).alias(c) if c in value else F.col(c) for c in child.columns]
+    return met.select(*cells), child.limit(0)
+
+
+def update_cascading(tables: list[Table], start: Table, changed: DataFrame, store: Store) -> dict[tuple[str, str], DataFrame]:
+    """The states of the tables that refer to start, after its keys changed. A key that is itself referred to is followed further. changed: as for on_parent_update, with all columns of start."""
+    states: dict[tuple[str, str], DataFrame] = {}
+    waiting = [(start.key, changed)]
+    while waiting:
+        key, moved = waiting.pop(0)
+        for t in tables:
+            for fk in t.foreign_keys:
+                if fk.target != key:
+                    continue
+                before = states.get(t.key, store.read(t.key)).select(*t.names())
+                keep = before.withColumns({f"old__{c}": F.col(c) for c in t.names()})
+                after, blocked = on_parent_update(t, fk, keep, moved)
+                require(blocked.isEmpty(), "still-referenced", f"rows of {t.name} refer to the changed ones")
+                states[t.key] = after.select(*t.names())
+                used = {c for u in tables for f in u.foreign_keys if f.target == t.key for c in f.target_columns}
+                if fk.on_update not in ("restrict", "no action") and used & set(fk.columns):
+                    waiting.append((t.key, cut(after)))
+    return states
+
+
 def delete_cascading(tables: list[Table], start: Table, deleted: DataFrame, store: Store) -> dict[tuple[str, str], DataFrame]:
     """Every table's state after rows of start went, following foreign keys from table to table. A self-reference is followed level by level until no row is hit."""
     states = {t.key: store.read(t.key) for t in tables}

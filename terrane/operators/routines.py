@@ -11,6 +11,7 @@ import json
 import keyword
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,7 @@ from ..errors import require
 from ..functions import expressions as X
 from ..plans.query import Select
 from ..sources.catalog import NAME, Store, Table
+from ..sources.checkpoints import cut
 from . import changes
 
 RESERVED = frozenset("new old found result select insert update delete from where begin end if then else loop return raise".split())
@@ -70,17 +72,21 @@ class Body:
         require(message.replace("%%", "").count("%") == len(args), "bad-message", "one % an argument")
         self.statements.append(Statement("raise", (message, *map(X.lift, args))))
 
-    def return_row(self, which: str = "new") -> None:
+    def return_row(self, which: str | None = "new") -> None:
+        """In a trigger: the row that goes on, new or old; None leaves it out."""
+        require(which in ("new", "old", None), "bad-body", "new, old or None")
         self.statements.append(Statement("return_row", (which,)))
 
     def return_query(self, query: Any) -> None:
         """Appends the rows of a select, or those that a change returns, to the result."""
         self.statements.append(Statement("return_query", (query,)))
 
-    def for_each(self, query: Select, record: Callable[[Body, dict[str, X.Expr]], None]) -> None:
+    def for_each(self, query: Select, record: Callable[[Body, dict[str, X.Expr]], None], name: str = "each") -> None:
+        """Runs a body for the rows of a query; name tells nested loops' rows apart. A body returns selects and inserts, raises, branches and loops."""
+        self._name(name)
         inner = Body(set(self.taken))
-        record(inner, {c: X.local(f"each.{c}", e.family) for c, e in query.projection})
-        self.statements.append(Statement("for_each", (query, tuple(inner.statements))))
+        record(inner, {c: X.local(f"{name}.{c}", e.family) for c, e in query.projection})
+        self.statements.append(Statement("for_each", (name, query, tuple(inner.statements))))
 
 
 def _plain(x: Any) -> Any:
@@ -88,7 +94,7 @@ def _plain(x: Any) -> Any:
         return [x.kind, _plain(x.parts)]
     if isinstance(x, (tuple, list)):
         return [_plain(y) for y in x]
-    if isinstance(x, (X.Expr, Select)):
+    if isinstance(x, (X.Expr, Select, Change)):
         return X.encode(x)
     return repr(x) if not isinstance(x, (str, int, float, bool, type(None))) else x
 
@@ -105,13 +111,16 @@ def record(body: Callable[..., None], arguments: dict[str, X.Expr]) -> tuple[Sta
 
 @dataclass(frozen=True)
 class Change:
-    """A data change that a body returns: kind is update or delete."""
+    """A data change that a body returns: kind is insert, update or delete. An insert's set is its row, whose other columns get their defaults."""
 
     kind: str
     table: Table
     where: X.Expr | None = None
     set: tuple[tuple[str, Any], ...] = ()
 
+    def encoded(self) -> list[Any]:
+        return [self.kind, list(self.table.key), None if self.where is None else X.encode(self.where), [[c, X.encode(X.lift(v))] for c, v in self.set]]
+
 
 @dataclass(frozen=True)
 class Routine:
@@ -161,38 +170,93 @@ def _run(statements: tuple[Statement, ...], store: Store, values: dict[str, Any]
         elif s.kind == "return_query":
             out.append(_result(s.parts[0], store, replace(scope, locals=tuple(values.items()))))
         elif s.kind == "for_each":
-            # the body's queries are joined to the rows it runs over, all at once
-            query, inner = s.parts
-            rows = query.frame(store, replace(scope, locals=tuple(values.items())))
-            for x in inner:
-                require(x.kind == "return_query" and isinstance(x.parts[0], Select), "bad-body", "a loop's body returns selects")
-                out.append(_per_row(rows, query, x.parts[0], store, values))
+            out += _loop(s, None, store, dict(values))
+        else:
+            require(False, "bad-body", "only a trigger returns a row")
     return out
 
 
 def _result(query: Any, store: Store, scope: X.Scope) -> DataFrame:
     if isinstance(query, Select):
         return query.frame(store, scope)
-    bound = None if query.where is None else X.rewrite(query.where, lambda e: X.lift(dict(scope.locals)[e.args[0]]) if e.op == "local" else e)
+    known = dict(scope.locals)
+
+    def bind(e: X.Expr) -> X.Expr:
+        return X.rewrite(e, lambda x: X.lift(known[x.args[0]]) if x.op == "local" else x)
+
+    if query.kind == "insert":
+        return changes.insert(query.table, [{c: bind(v) if isinstance(v, X.Expr) else v for c, v in query.set}], store).returned
+    bound = None if query.where is None else bind(query.where)
     if query.kind == "delete":
         return changes.delete(query.table, bound, store).returned
-    return changes.update(query.table, dict(query.set), bound, store).returned
-
-
-def _per_row(rows: DataFrame, over: Select, query: Select, store: Store, values: dict[str, Any]) -> DataFrame:
-    """A loop's select for all rows at once: its condition becomes a join."""
-    require(not query.order and query.count is None, "bad-body", "a loop's select has no order or limit of its own")
-    each = rows.select(*(F.col(c).alias(f"each__{c}") for c in over.columns()))
-    locals_ = tuple({**values, **{f"each.{c}": F.col(f"each__{c}") for c in over.columns()}}.items())
-    bare = replace(query, condition=None, projection=query.projection)
-    keys = [bare.base, *(k for k, _ in bare.joins)]
-    scope = X.Scope(frozenset(keys), locals=locals_, subquery=lambda q, s: q.frame(store, s))
-    out = store.read(bare.base).alias(X.alias(*bare.base))
-    for key, on in bare.joins:
+    return changes.update(query.table, {c: bind(v) if isinstance(v, X.Expr) else v for c, v in query.set}, bound, store).returned
+
+
+# A loop runs for all its rows at once: its rows are a frame whose columns are the body's local values.
+
+
+def _value(name: str) -> str:
+    """The column that holds a local value of a frame of rows."""
+    return f"v__{name.replace('.', '__')}"
+
+
+def _scope(rows: DataFrame, values: dict[str, Any], store: Store, visible: frozenset = frozenset()) -> X.Scope:
+    held = {c.removeprefix("v__").replace("__", ".", 1): F.col(c) for c in rows.columns if c.startswith("v__")}
+    return X.Scope(visible, locals=tuple({**values, **held}.items()), subquery=lambda q, s: q.frame(store, s))
+
+
+def _joined(rows: DataFrame, query: Select, store: Store, values: dict[str, Any], how: str = "inner") -> tuple[DataFrame, X.Scope]:
+    """A select's tables joined to the rows that its condition speaks of."""
+    keys = [query.base, *(k for k, _ in query.joins)]
+    out = store.read(query.base).alias(X.alias(*query.base))
+    scope = _scope(rows, values, store, frozenset(keys))
+    for key, on in query.joins:
         out = out.join(store.read(key).alias(X.alias(*key)), X.compile_(on, scope))
     condition = X.compile_(query.condition, scope) if query.condition is not None else F.lit(True)
-    met = out.join(each, condition)
-    return met.select(*(X.compile_(e, scope).alias(n) for n, e in query.projection))
+    return rows.join(out.withColumn("_there", F.lit(True)), condition, how), scope
+
+
+def _loop(s: Statement, rows: DataFrame | None, store: Store, values: dict[str, Any]) -> list[DataFrame]:
+    name, query, inner = s.parts
+    require(rows is None or not query.order and query.count is None, "bad-body", "an inner loop's select has no order or limit of its own")
+    if rows is None:
+        found = query.frame(store, X.Scope(locals=tuple(values.items()), subquery=lambda q, x: q.frame(store, x)))
+        each = found.select(*(F.col(c).alias(_value(f"{name}.{c}")) for c in query.columns()))
+    else:
+        met, scope = _joined(rows, query, store, values)
+        each = met.select(*(F.col(c) for c in rows.columns), *(X.compile_(e, scope).alias(_value(f"{name}.{n}")) for n, e in query.projection))
+    return _each(inner, each, store, values)
+
+
+def _each(statements: tuple[Statement, ...], rows: DataFrame, store: Store, values: dict[str, Any]) -> list[DataFrame]:
+    """A loop's body for all rows at once; what it returns, statement by statement."""
+    out: list[DataFrame] = []
+    for s in statements:
+        scope = _scope(rows, values, store)
+        if s.kind == "return_query" and isinstance(s.parts[0], Select):
+            query = s.parts[0]
+            require(not query.order and query.count is None, "bad-body", "a loop's select has no order or limit of its own")
+            met, here = _joined(rows, query, store, values)
+            out.append(met.select(*(X.compile_(e, here).alias(n) for n, e in query.projection)))
+        elif s.kind == "return_query" and s.parts[0].kind == "insert":
+            t, given = s.parts[0].table, dict(s.parts[0].set)
+            require(set(given) <= set(t.names()), "unknown-column", f"{set(given) - set(t.names())} aren't columns of {t.name}")
+            cells = [(X.compile_(X.lift(given[n]), scope) if n in given else changes.default_of(t, n)).cast(c.spark_type()).alias(n) for n, c in t.columns]
+            out.append(changes.insert_rows(t, rows.select(*cells), store).returned)
+        elif s.kind == "branch":
+            open_ = F.lit(True)
+            for condition, inner in s.parts:
+                here = F.lit(True) if condition is None else F.coalesce(X.compile_(condition, scope), F.lit(False))
+                out += _each(inner, rows.where(open_ & here), store, values)
+                open_ = open_ & ~here
+        elif s.kind == "raise":
+            first = rows.select(_message(s.parts[0], [X.compile_(a, scope) for a in s.parts[1:]])).first()
+            require(first is None, "raised", first[0] if first else "")
+        elif s.kind == "for_each":
+            out += _loop(s, rows, store, values)
+        else:
+            require(False, "bad-body", f"{s.kind} of a {type(s.parts[0]).__name__} can't stand in a loop")
+    return out
 
 
 # ---- triggers --------------------------------------------------------------
@@ -232,3 +296,91 @@ class Trigger:
         for condition, message, args in reversed(self.rules):
             text = F.when(X.compile_(condition, scope), _message(message, [X.compile_(X.lift(a), scope) for a in args])).otherwise(text)
         return rows.withColumn("message", text).where("message is not null").select(*(F.col(f"new__{c}").alias(c) for c in batch.columns), "message")
+
+
+@dataclass(frozen=True)
+class RowTrigger:
+    """A trigger with a body, run for all rows of a batch at once. timing: before or after."""
+
+    name: str
+    table: Table
+    events: tuple[str, ...]
+    statements: tuple[Statement, ...]
+    timing: str = "before"
+    update_of: tuple[str, ...] = ()
+
+    def __post_init__(self) -> None:
+        require(self.events and set(self.events) <= {"insert", "update", "delete"}, "bad-trigger", "insert, update or delete")
+        require(self.timing in ("before", "after"), "bad-trigger", "before or after")
+        require(not self.update_of or "update" in self.events, "bad-trigger", "columns are named for update only")
+
+    def fires(self, event: str, set_columns: tuple[str, ...] = ()) -> bool:
+        return event in self.events and (event != "update" or not self.update_of or bool(set(self.update_of) & set(set_columns)))
+
+    def run(self, store: Store, batch: DataFrame, event: str) -> tuple[DataFrame, DataFrame]:
+        """The rows that the body returns, with the batch's columns, and those it refuses, with message.
+
+        batch: the table's columns (those to insert, or to delete); for an update the new values, and
+        the old ones as old__<column>. A row for which the body ends without return is refused. An
+        update's row that is left out comes back with its old values.
+        """
+        names = self.table.names()
+        which = {"insert": ("new",), "delete": ("old",), "update": ("new", "old")}[event]
+        columns = [F.col(n if w == which[0] else f"old__{n}").alias(_value(f"{w}.{n}")) for w in which for n in names]
+        rows = cut(batch.select(*columns, F.monotonically_increasing_id().alias("_row")))
+        returned, refused, open_ = _triggered(self.statements, rows, store, which, names)
+        refused.append(_row(open_, which, which[0], names).withColumn("message", F.lit("the body ends without returning a row")))
+        none = _row(rows, which, which[0], names).limit(0)
+        return reduce(DataFrame.unionByName, returned, none), reduce(DataFrame.unionByName, refused, none.withColumn("message", F.lit("")))
+
+
+def trigger(name: str, table: Table, events: tuple[str, ...], body: Callable[..., None], timing: str = "before", update_of: tuple[str, ...] = ()) -> RowTrigger:
+    """body(ctx, new, old) records the statements; new and old hold the row's columns by name."""
+    new, old = ({n: X.local(f"{which}.{n}", table[n].family) for n in table.names()} for which in ("new", "old"))
+    return RowTrigger(name, table, events, record(lambda ctx, **_: body(ctx, new, old), {}), timing, update_of)
+
+
+def _row(rows: DataFrame, which: tuple[str, ...], values: str, names: list[str], *more: Column) -> DataFrame:
+    """The batch's columns, with the values of new or old, and more."""
+    old = [F.col(_value(f"old.{n}")).alias(f"old__{n}") for n in names] if len(which) == 2 else []
+    return rows.select(*(F.col(_value(f"{values}.{n}")).alias(n) for n in names), *old, *more)
+
+
+def _triggered(statements: tuple[Statement, ...], rows: DataFrame, store: Store, which: tuple[str, ...], names: list[str]) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
+    """Rows returned, rows refused, and the rows for which the statements end without either."""
+    returned: list[DataFrame] = []
+    refused: list[DataFrame] = []
+    for s in statements:
+        scope = _scope(rows, {}, store)
+        if s.kind in ("row", "row_or_null"):
+            name, query = s.parts
+            require(not query.order and query.count is None, "bad-body", "a trigger's lookup has no order or limit")
+            met, here = _joined(rows, query, store, {}, "left")
+            held = [F.col(c) for c in rows.columns]
+            found = met.select(*held, F.struct(*(X.compile_(e, here).alias(n) for n, e in query.projection)).alias("_found"), F.col("_there").isNotNull().alias("_hit"))
+            one = found.groupBy("_row").agg(F.min_by(F.struct(*rows.columns, "_found"), F.struct("_found")).alias("_r"), F.sum(F.col("_hit").cast("long")).alias("_n")).select("_r.*", "_n")
+            if s.kind == "row":
+                bad = one.where("_n <> 1")
+                refused.append(_row(bad, which, which[0], names).withColumn("message", F.lit(f"{name}: not exactly one row")))
+                one = one.where("_n = 1")
+            rows = one.select(*held, *(F.col(f"_found.{n}").alias(_value(f"{name}.{n}")) for n in query.columns()))
+        elif s.kind == "branch":
+            before, rest, ends = rows.columns, rows, []
+            for condition, inner in s.parts:
+                here = F.lit(True) if condition is None else F.coalesce(X.compile_(condition, scope), F.lit(False))
+                a, b, end = _triggered(inner, rest.where(here), store, which, names)
+                returned, refused, ends = returned + a, refused + b, [*ends, end.select(*before)]
+                rest = rest.where(~here)
+            rows = reduce(DataFrame.unionByName, ends, rest)
+        elif s.kind == "raise":
+            text = _message(s.parts[0], [X.compile_(a, scope) for a in s.parts[1:]])
+            refused.append(_row(rows, which, which[0], names, text.alias("message")))
+            rows = rows.limit(0)
+        elif s.kind == "return_row":
+            require(s.parts[0] is None or s.parts[0] in which, "bad-body", f"there is no {s.parts[0]} row")
+            if s.parts[0] is not None or len(which) == 2:
+                returned.append(_row(rows, which, s.parts[0] or "old", names))
+            rows = rows.limit(0)
+        else:
+            require(False, "bad-body", f"{s.kind} can't stand in a trigger")
+    return returned, refused, rows

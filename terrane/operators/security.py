@@ -82,11 +82,11 @@ class Session(Store):
         self.store, self.role, self.owner, self.values = store, role, owner, values
         self.protected = {p.table.key: p for p in protected}
 
-    def _scope(self, key: tuple[str, str]) -> X.Scope:
+    def scope(self, key: tuple[str, str]) -> X.Scope:
         # subqueries of a policy see other tables under this session's policies, too
         return X.Scope(frozenset([key]), locals=tuple(self.values.items()), subquery=lambda q, s: q.frame(self, s))
 
-    def _condition(self, key: tuple[str, str], command: str, side: str) -> X.Expr | None:
+    def condition(self, key: tuple[str, str], command: str, side: str) -> X.Expr | None:
         p = self.protected.get(key)
         if p is None or self.owner and not p.force:
             return None
@@ -94,17 +94,17 @@ class Session(Store):
 
     def read(self, key: tuple[str, str], command: str = "select") -> DataFrame:
         rows = self.store.read(key)
-        condition = self._condition(key, command, "using")
+        condition = self.condition(key, command, "using")
         if condition is None:
             return rows
-        return rows.alias(X.alias(*key)).where(X.compile_(condition, self._scope(key))).select(*(F.col(f"{X.alias(*key)}.{c}") for c in rows.columns))
+        return rows.alias(X.alias(*key)).where(X.compile_(condition, self.scope(key))).select(*(F.col(f"{X.alias(*key)}.{c}") for c in rows.columns))
 
     def refused(self, t: Table, new: DataFrame, command: str = "insert") -> DataFrame:
         """New rows that the policies for this command don't let in."""
-        condition = self._condition(t.key, command, "check")
+        condition = self.condition(t.key, command, "check")
         if condition is None:
             return new.limit(0)
-        return new.alias(X.alias(*t.key)).where(~F.coalesce(X.compile_(condition, self._scope(t.key)), F.lit(False)))
+        return new.alias(X.alias(*t.key)).where(~F.coalesce(X.compile_(condition, self.scope(t.key)), F.lit(False)))
 
 
 def read_view(view: View, session: Session) -> DataFrame:

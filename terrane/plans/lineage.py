@@ -9,9 +9,9 @@ from ..errors import require
 
 
 def chain(files: DataFrame) -> DataFrame:
-    """file, parent, current, status (ok, fork, broken), in file order. files: file, parent, current; a null parent starts the chain.
+    """file, parent, current, status (ok, fork, broken), in file order. files: file, parent, current.
 
-    A file is in order if its parent is the state that the file before it left. If not, and an
+    The first file starts the chain, whatever its parent. Another file is in order if its parent is the state that the file before it left. If not, and an
     earlier file had the same parent, it is a fork.
     """
     # a chain is a sequence by definition; its rows are file names and hashes
@@ -19,10 +19,19 @@ def chain(files: DataFrame) -> DataFrame:
     before = F.lag("current").over(order)
     seen = F.count(F.lit(1)).over(Window.partitionBy("parent").orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
     out = files.withColumn("before", before).withColumn("earlier", seen)
-    status = F.when(F.col("parent").eqNullSafe(F.col("before")), "ok").when(F.col("earlier") > 0, "fork").otherwise("broken")
+    first = F.row_number().over(order) == 1
+    status = F.when(first | F.col("parent").eqNullSafe(F.col("before")), "ok").when(F.col("earlier") > 0, "fork").otherwise("broken")
     return out.select("file", "parent", "current", status.alias("status"))
 
 
+def problem(files: DataFrame) -> DataFrame:
+    """code, file: the first file out of order, if there is one; if it is a fork, every file with the same parent, whether before or after it."""
+    links = chain(files)
+    first = links.where("status <> 'ok'").orderBy("file").limit(1).select(F.col("status").alias("code"), F.col("parent").alias("_parent"), F.col("file").alias("_file"))
+    same = (F.col("file") == F.col("_file")) | (F.col("code") == "fork") & F.col("parent").eqNullSafe(F.col("_parent"))
+    return files.join(F.broadcast(first), same).select("code", "file")
+
+
 def version(file: Column) -> Column:
     """The part of a file's name before the first underscore."""
     return F.regexp_extract(file, r"^([^_]+)_", 1)
@@ -60,10 +69,12 @@ def banner(text: Column) -> Column:
     return F.struct(F.when(parent != "", parent).alias("parent"), F.when(current != "", current).alias("current"))
 
 
-def slug(words: str) -> str:
-    import re
-
-    return re.sub(r"[^a-z0-9]+", "_", words.lower()).strip("_")[:60] or "change"
+def slug(first: tuple[str, str] | None) -> str:
+    """A file's name from its first change (operation, identity): add_posts, alter_posts, drop_posts."""
+    if first is None:
+        return "migration"
+    operation, identity = first
+    return f"{'add' if operation == 'create' else operation}_{identity.rsplit('.', 1)[-1]}"
 
 
 def history(files: DataFrame, commits: DataFrame) -> DataFrame:

@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from ..sources.catalog import Table
+from .query import View
 
-RESERVED_SCHEMAS = ("pg_catalog", "information_schema", "auth", "storage", "realtime", "vault", "extensions")
+#: Schemas that a platform manages itself.
+RESERVED_SCHEMAS = ("auth", "storage", "realtime")
 
 
 def _said(rows: DataFrame, code: str, severity: str = "warning") -> DataFrame:
@@ -40,9 +43,9 @@ def exposed_tables(tables: DataFrame, grants: DataFrame, protected: DataFrame, o
     return _said(bad.select(F.concat_ws(".", "schema", "table").alias("identity")), "exposed-table")
 
 
-def reserved_schemas(objects: DataFrame) -> DataFrame:
+def reserved_schemas(objects: DataFrame, reserved: Iterable[str] = RESERVED_SCHEMAS) -> DataFrame:
     """Objects declared in schemas that aren't the user's. objects: schema, identity."""
-    return _said(objects.where(F.col("schema").isin(*RESERVED_SCHEMAS)), "reserved-schema", "error")
+    return _said(objects.where(F.col("schema").isin(*reserved)), "reserved-schema", "error")
 
 
 def views_past_policies(views: DataFrame, protected: DataFrame) -> DataFrame:
@@ -59,6 +62,27 @@ def uncached_session_values(policies: Iterable[tuple[str, X.Expr]]) -> list[tupl
     return sorted({("uncached-session-call", "warning", name) for name, e in policies if any(x.op == "call" and x.args[0] in ("current_user", *SESSION_CALLS) for x in X.walk(e))})
 
 
+#: Local values that only a session has.
+SESSION_VALUES = frozenset(("uid", "jwt", "user_id", "claims"))
+
+
+def session_values_outside_policies(tables: Iterable[Table], views: Iterable[View] = (), names: Iterable[str] = SESSION_VALUES) -> list[tuple[str, str, str]]:
+    """Defaults, checks, index conditions and views that read a session's value, at any depth: it is there in policies only."""
+    known = frozenset(names)
+
+    def reads(e: X.Expr | None) -> bool:
+        return e is not None and any(x.op == "local" and x.args[0] in known for x in X.walk(e))
+
+    places = []
+    for t in tables:
+        own = f"{t.schema}.{t.name}"
+        places += [(f"{own}.{n} default", c.default_) for n, c in t.columns]
+        places += [(f"{own} check {c.name}", c.condition) for c in t.checks]
+        places += [(f"{own} index {', '.join(c for c, _, _ in i.columns)}", i.where) for i in t.indexes]
+    places += [(f"{v.schema}.{v.name} view", e) for v in views for e in v.query.expressions()]
+    return sorted({("session-value-outside-policy", "error", place) for place, e in places if reads(e)})
+
+
 @dataclass(frozen=True)
 class Bundle:
     """A named set of validators and kinds that a project adds."""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import expressions as X
-from .operators import changes, integrity, routines, security
+from .operators import changes, integrity, routines, security, writes
 from .plans import lineage, snapshot, validators
 from .plans.query import Select, View, select
 from .sources.catalog import Check, Enum, ForeignKey, Index, Store, Table, column, from_parquet, table
@@ -133,8 +133,8 @@ query("exists_with_join", "SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1
 query("exists_theta", "SELECT n_nationkey FROM nation WHERE EXISTS (SELECT 1 FROM region WHERE r_regionkey > n_nationkey)")(
     lambda w: select({"n_nationkey": w.nation["n_nationkey"]}, w.nation).where(X.exists(select(w.region).where(X.gt(w.region["r_regionkey"], w.nation["n_nationkey"]))))
 )
-query("sort_multi", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey < 200 ORDER BY o_totalprice DESC, o_orderkey")(
-    lambda w: select({"o_orderkey": w.orders["o_orderkey"], "o_totalprice": w.orders["o_totalprice"]}, w.orders).where(X.lt(w.orders["o_custkey"], 200)).order_by((w.orders["o_totalprice"], "desc"), w.orders["o_orderkey"])
+query("sort_multi", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey")(
+    lambda w: select({"o_orderkey": w.orders["o_orderkey"], "o_totalprice": w.orders["o_totalprice"]}, w.orders).order_by((w.orders["o_totalprice"], "desc"), w.orders["o_orderkey"])
 )
 query("topk", "SELECT o_orderkey FROM orders ORDER BY nullif(o_orderstatus, 'F') DESC NULLS FIRST, o_orderkey LIMIT 20")(
     lambda w: select({"o_orderkey": w.orders["o_orderkey"]}, w.orders).order_by((X.sql("nullif({}, 'F')", w.orders["o_orderstatus"]), "desc"), w.orders["o_orderkey"]).limit(20)
@@ -166,11 +166,11 @@ def _nation(w: World) -> Table:
 
 
 def _news(w: World) -> DataFrame:
-    """New line items: those of odd suppliers with their key shifted for every third one."""
-    return w.rows("lineitem").where("l_suppkey % 2 = 1").withColumn("l_orderkey", F.expr("l_orderkey + if(l_linenumber = 3, 1000000000, 0)"))
+    """New line items: all that there are, with a new key for those of line number 3."""
+    return w.rows("lineitem").withColumn("l_orderkey", F.expr("l_orderkey + if(l_linenumber = 3, 1000000000, 0)"))
 
 
-_NEWS = "SELECT * REPLACE (l_orderkey + CASE WHEN l_linenumber = 3 THEN 1000000000 ELSE 0 END AS l_orderkey) FROM lineitem WHERE l_suppkey % 2 = 1"
+_NEWS = "SELECT * REPLACE (l_orderkey + CASE WHEN l_linenumber = 3 THEN 1000000000 ELSE 0 END AS l_orderkey) FROM lineitem"
 _LINE_KEY = ["l_orderkey", "l_linenumber"]
 _LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 _FIRST_NEWS = f"SELECT * FROM ({_NEWS}) QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) = 1"
@@ -189,12 +189,12 @@ query("upsert_nothing_returning", f"SELECT l_orderkey, l_linenumber, l_partkey F
 
 
 def _customer_news(w: World) -> DataFrame:
-    return w.rows("customer").where("c_custkey % 3 = 0").withColumns({"c_custkey": F.expr("c_custkey + if(c_custkey % 2 = 0, 10000000, 0)"), "c_acctbal": F.lit(1.0)})
+    return w.rows("customer").withColumns({"c_custkey": F.expr("c_custkey + if(c_custkey % 2 = 0, 10000000, 0)"), "c_acctbal": F.lit(1.0)})
 
 
 query(
     "upsert_update",
-    """WITH n AS (SELECT * REPLACE (c_custkey + CASE WHEN c_custkey % 2 = 0 THEN 10000000 ELSE 0 END AS c_custkey, 1.0::DOUBLE AS c_acctbal) FROM customer WHERE c_custkey % 3 = 0)
+    """WITH n AS (SELECT * REPLACE (c_custkey + CASE WHEN c_custkey % 2 = 0 THEN 10000000 ELSE 0 END AS c_custkey, 1.0::DOUBLE AS c_acctbal) FROM customer)
 SELECT c.c_custkey, c.c_name, CASE WHEN n.c_custkey IS NULL THEN c.c_acctbal ELSE c.c_acctbal + n.c_acctbal END AS c_acctbal FROM customer c LEFT JOIN n USING (c_custkey)
 UNION ALL SELECT c_custkey, c_name, c_acctbal FROM n WHERE c_custkey NOT IN (SELECT c_custkey FROM customer)""",
 )(lambda w: changes.insert_or_update(w.customer, _customer_news(w), ["c_custkey"], {"c_acctbal": X.sql("`c_acctbal` + `_new_c_acctbal`")}, ["c_custkey"], w.store).state.select("c_custkey", "c_name", "c_acctbal"))
@@ -214,9 +214,9 @@ query("delete_returning", "SELECT o_orderkey FROM orders WHERE o_totalprice < 20
 query("delete_exists", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 350000)")(
     lambda w: changes.delete(w.customer, X.exists(_orders_of(w, X.gt(w.orders["o_totalprice"], 350000))), w.store).state.select("c_custkey")
 )
-query("serial_assign", "SELECT row_number() OVER (ORDER BY c_custkey)::INTEGER + 7 AS id, c_custkey FROM customer WHERE c_nationkey < 5")(
+query("serial_assign", "SELECT row_number() OVER (ORDER BY c_custkey)::INTEGER + 7 AS id, c_custkey FROM customer")(
     lambda w: changes.assign_serials(
-        w.rows("customer").where("c_nationkey < 5").select(F.lit(None).cast("int").alias("id"), "c_custkey"), w.spark.sql("select 7 as id, 0L as c_custkey"), table("w", "numbered", {"id": column("serial").primary_key(), "c_custkey": column("bigint")}), ["c_custkey"]
+        w.rows("customer").select(F.lit(None).cast("int").alias("id"), "c_custkey"), w.spark.sql("select 7 as id, 0L as c_custkey"), table("w", "numbered", {"id": column("serial").primary_key(), "c_custkey": column("bigint")}), ["c_custkey"]
     )
 )
 
@@ -267,6 +267,19 @@ def _tree(w: World, action: str) -> list[Table]:
     ]
 
 
+query("fk_update_cascade", "SELECT c_custkey, CASE WHEN c_nationkey < 5 THEN c_nationkey + 100 ELSE c_nationkey END AS c_nationkey FROM customer")(
+    lambda w: _updated_nations(w)
+)
+
+
+def _updated_nations(w: World) -> DataFrame:
+    """The customers after five nations got new keys."""
+    nation = _nation(w)
+    customer = table("w", "customer", {n: column(k) for n, k in (("c_custkey", "bigint"), ("c_nationkey", "integer"))}, foreign_keys=(ForeignKey(("c_nationkey",), nation.key, ("n_nationkey",), on_update="cascade"),))
+    changed = w.rows("nation").select(F.expr("if(n_nationkey < 5, n_nationkey + 100, n_nationkey)").alias("n_nationkey"), F.col("n_nationkey").alias("old__n_nationkey"))
+    return integrity.update_cascading([nation, customer], nation, changed, w.store)[customer.key]
+
+
 query("fk_cascade", "SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) OR c_nationkey IS NULL")(
     lambda w: integrity.delete_cascading(ts := _tree(w, "cascade"), ts[0], w.rows("region").where("r_regionkey = 1"), w.store)["w", "customer"].select("c_custkey")
 )
@@ -404,6 +417,38 @@ def _return_dml(w: World) -> DataFrame:
     return routines.routine("purge", {"price": "numeric"}, body)(w.store, price=2000).select("o_orderkey", "o_orderstatus")
 
 
+
+
+def _nested(w: World) -> DataFrame:
+    def body(ctx: routines.Body) -> None:
+        def region(c: routines.Body, r: dict[str, X.Expr]) -> None:
+            def nation(d: routines.Body, n: dict[str, X.Expr]) -> None:
+                poor = select({"region": X.coalesce(r["r_name"], ""), "nation": X.coalesce(n["n_name"], ""), "key": w.customer["c_custkey"]}, w.customer)
+                d.if_(
+                    (X.like(n["n_name"], "A%"), lambda e: e.return_query(poor.where(X.and_(X.eq(w.customer["c_nationkey"], n["n_nationkey"]), X.lt(w.customer["c_acctbal"], 0))))),
+                    (None, lambda e: e.return_query(poor.where(X.and_(X.eq(w.customer["c_nationkey"], n["n_nationkey"]), X.gt(w.customer["c_acctbal"], 9000))))),
+                )
+
+            c.for_each(select(w.nation).where(X.eq(w.nation["n_regionkey"], r["r_regionkey"])), nation, "nation")
+
+        ctx.for_each(select(w.region), region, "region")
+
+    return routines.routine("nested", {}, body)(w.store)
+
+
+query("fn_for_each_nested", "SELECT r_name AS region, n_name AS nation, c_custkey AS key FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey WHERE CASE WHEN n_name LIKE 'A%' THEN c_acctbal < 0 ELSE c_acctbal > 9000 END")(_nested)
+
+
+def _return_insert(w: World) -> DataFrame:
+    def body(ctx: routines.Body, shift: X.Expr) -> None:
+        nation = _nation(w)
+        ctx.return_query(routines.Change("insert", nation, set=(("n_nationkey", shift),)))
+        ctx.for_each(select(w.region), lambda c, r: c.return_query(routines.Change("insert", nation, set=(("n_nationkey", r["r_regionkey"]), ("n_name", r["r_name"])))), "region")
+
+    return routines.routine("add", {"shift": "numeric"}, body)(w.store, shift=100)
+
+
+query("fn_return_insert", "SELECT 100 AS n_nationkey, 'unnamed' AS n_name, NULL::INTEGER AS n_regionkey UNION ALL SELECT r_regionkey, r_name, NULL FROM region")(_return_insert)
 query("fn_return_dml", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice < 2000 UNION ALL SELECT o_orderkey, 'Q' FROM orders WHERE o_orderstatus = 'P'")(_return_dml)
 
 
@@ -416,6 +461,22 @@ def _depth_trigger(w: World, **more: object) -> routines.Trigger:
 query("trigger_validate", "SELECT o_orderkey, 'order ' || o_orderkey || ' of customer ' || c_name || ' is too large' AS message FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 300000 AND c_acctbal < 0")(
     lambda w: _depth_trigger(w).refused(w.rows("orders"), w.store).select("o_orderkey", "message")
 )
+
+
+def _good_orders(w: World) -> DataFrame:
+    """All orders written again under new keys, through a trigger that leaves out those of customers in debt and refuses nothing here."""
+
+    def body(ctx: routines.Body, new: dict[str, X.Expr], old: dict[str, X.Expr]) -> None:
+        customer = ctx.row_or_null(select(w.customer).where(X.eq(w.customer["c_custkey"], new["o_custkey"])), "customer")
+        ctx.if_((X.is_null(customer["c_custkey"]), lambda c: c.raise_("order % has no customer", new["o_orderkey"])), (X.lt(customer["c_acctbal"], 0), lambda c: c.return_row(None)))
+        ctx.return_row("new")
+
+    again = w.rows("orders").withColumn("o_orderkey", F.expr("o_orderkey + 1000000000"))
+    keyed = table("w", "orders", {n: c if n != "o_orderkey" else column("bigint").primary_key() for n, c in w.orders.columns})
+    return writes.insert(keyed, again, w.store, [routines.trigger("in_credit", keyed, ("insert",), body)]).returned.select("o_orderkey", "o_custkey")
+
+
+query("trigger_write", "SELECT o_orderkey + 1000000000 AS o_orderkey, o_custkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE NOT coalesce(c_acctbal < 0, false)")(_good_orders)
 query("trigger_update_of", "SELECT true AS price, false AS status")(lambda w: w.spark.createDataFrame([(_depth_trigger(w).fires("update", ("o_totalprice",)), _depth_trigger(w).fires("update", ("o_orderstatus",)))], "price boolean, status boolean"))
 query("fn_raise", "SELECT c_custkey, 'customer ' || c_custkey || ' owes' AS message FROM customer WHERE c_acctbal < -500")(
     lambda w: routines.Trigger("debt", w.customer, ("insert",), rules=((X.lt(X.local("new.c_acctbal"), -500), "customer % owes", (X.local("new.c_custkey"),)),)).refused(w.rows("customer"), w.store).select("c_custkey", "message")
@@ -469,9 +530,12 @@ def _files(w: World) -> DataFrame:
 
 
 _FILES = "(VALUES ('001_a.sql', NULL, 'h1'), ('002_b.sql', 'h1', 'h2'), ('003_c.sql', 'h1', 'h3'), ('003_d.sql', 'h9', 'h4'), ('004_e.sql', 'h4', 'h5')) AS f(file, parent, current)"
-_CHAIN = f"SELECT file, CASE WHEN parent IS NOT DISTINCT FROM lag(current) OVER (ORDER BY file) THEN 'ok' WHEN row_number() OVER (PARTITION BY parent ORDER BY file) > 1 THEN 'fork' ELSE 'broken' END AS status FROM {_FILES}"
+_CHAIN = f"SELECT file, CASE WHEN row_number() OVER (ORDER BY file) = 1 OR parent IS NOT DISTINCT FROM lag(current) OVER (ORDER BY file) THEN 'ok' WHEN row_number() OVER (PARTITION BY parent ORDER BY file) > 1 THEN 'fork' ELSE 'broken' END AS status FROM {_FILES}"
 query("chain_check", _CHAIN)(lambda w: lineage.chain(_files(w)).select("file", "status"))
 query("chain_fork", f"SELECT file FROM ({_CHAIN}) WHERE status = 'fork'")(lambda w: lineage.chain(_files(w)).where("status = 'fork'").select("file"))
+query("chain_problem", f"WITH c AS (SELECT f.*, s.status FROM (SELECT * FROM {_FILES}) f JOIN ({_CHAIN}) s USING (file)), p AS (SELECT * FROM c WHERE status <> 'ok' ORDER BY file LIMIT 1) SELECT p.status AS code, c.file FROM p JOIN c ON c.file = p.file OR p.status = 'fork' AND c.parent IS NOT DISTINCT FROM p.parent")(
+    lambda w: lineage.problem(_files(w))
+)
 query("duplicate_versions", f"SELECT split_part(file, '_', 1) AS version, array_to_string(list_sort(list(file)), ',') AS files FROM {_FILES} GROUP BY 1 HAVING count(*) > 1")(lambda w: _flat(lineage.duplicate_versions(_files(w)), "files"))
 query("banner_parse", "SELECT 'ab12' AS parent, 'cd34' AS current")(lambda w: w.spark.sql("select '-- change\\n-- parent: ab12\\n-- current: cd34\\ncreate table t' as t").select(lineage.banner(F.col("t")).alias("x")).select("x.*"))
 query("history_state", "SELECT * FROM (VALUES ('a', 'ok'), ('b', 'rewritten'), ('c', 'uncommitted'), ('d', 'lost')) v(file, state)")(

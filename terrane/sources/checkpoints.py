@@ -10,7 +10,11 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        # the cluster names its folder in spark.checkpoint.dir; without it, as in tests, a local one serves
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terrane-")
+        # the cluster names its folder in spark.checkpoint.dir; a local master without one, as in tests, gets one of its own
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="terrane-")
         context.setCheckpointDir(folder)
     return df.checkpoint()

@@ -207,7 +207,7 @@ def test_renumber():
     group = [("003_b.sql", "h2", "h3"), ("003_a.sql", "h1", "h2"), ("003_c.sql", "h3", "h4")]
     assert lineage.renumber(group, {"003", "004"}) == [("003_b.sql", "005_b.sql"), ("003_c.sql", "006_c.sql")]
     fails("no-chain-order", lambda: lineage.renumber([("003_b.sql", "h2", "h3"), ("003_a.sql", "h8", "h9")], set()))
-    assert lineage.slug("Add  Posts & tags!") == "add_posts_tags"
+    assert [lineage.slug(x) for x in (("create", "app.posts"), ("alter", "app.posts"), ("drop", "tags"), None)] == ["add_posts", "alter_posts", "drop_tags", "migration"]
 
 
 def test_stream(spark, tmp_path):
@@ -221,3 +221,123 @@ def test_stream(spark, tmp_path):
         q.stop()
     assert [r.id for r in spark.table("seen").collect()] == [2]
     assert sorted((r.id, r.broken) for r in spark.table("checks").collect()) == [(1, []), (2, ["some"])]
+
+
+def test_serial_numbers_are_unique(spark, tmp_path):
+    """Three million rows with a payload column, written and read."""
+    from pyspark.sql import functions as F
+
+    t = table("w", "numbered", {"id": column("serial").primary_key(), "k": column("bigint"), "payload": column("text")})
+    rows = spark.range(3_000_000).select(F.lit(None).cast("int").alias("id"), F.xxhash64("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+    old = spark.createDataFrame([(7, 0, "x")], t.struct())
+    changes.assign_serials(rows, old, t, ["k"]).write.parquet(f"{tmp_path}/numbered")
+    got = spark.read.parquet(f"{tmp_path}/numbered").agg(F.count_distinct("id"), F.min("id"), F.max("id")).first()
+    assert tuple(got) == (3_000_000, 8, 3_000_007)
+
+
+def test_insert_numbers_serials(spark):
+    t = table("w", "tags", {"id": column("serial").primary_key(), "label": column("text").default("none")})
+    store = Store(spark).bind(t, spark.createDataFrame([(3, "a")], t.struct()))
+    out = changes.insert(t, [{"label": "z"}, {"id": 50, "label": "m"}, {}, {"label": "b"}], store)
+    assert sorted(map(tuple, out.returned.collect())) == [(4, "z"), (5, "none"), (6, "b"), (50, "m")]
+    assert out.state.count() == 5
+
+
+def test_upsert_with_json(spark):
+    t = table("w", "docs", {"id": column("integer").primary_key(), "body": column("jsonb"), "at": column("integer")})
+    make = lambda rows: spark.createDataFrame(rows, "id int, b string, at int").selectExpr("id", "parse_json(b) as body", "at")
+    store = Store(spark).bind(t, make([(1, '{"a": 1}', 1)]))
+    new = make([(1, '{"a": 2}', 2), (2, '{"b": 2}', 2), (2, '{"b": 1}', 1)])
+    skip = changes.insert_or_skip(t, new, ["id"], ["at"], store).state
+    assert sorted(map(tuple, skip.selectExpr("id", "to_json(body)").collect())) == [(1, '{"a":1}'), (2, '{"b":1}')]
+    done = changes.insert_or_update(t, new, ["id"], {"body": X.local("new_body")}, ["at"], store).state
+    assert sorted(map(tuple, done.selectExpr("id", "to_json(body)").collect())) == [(1, '{"a":2}'), (2, '{"b":1}')]
+
+
+def blog(spark):
+    posts_ = table("app", "posts", {"id": column("integer").primary_key(), "slug": column("text"), "published": column("boolean")})
+    comments = table("app", "comments", {"id": column("serial").primary_key(), "post_id": column("integer").not_null(), "parent_id": column("integer"), "body": column("text").not_null()})
+    store = Store(spark).bind(posts_, spark.createDataFrame([(1, "a", True), (2, "b", False), (3, "c", None)], posts_.struct()))
+    store.bind(comments, spark.createDataFrame([(1, 1, None, "root"), (2, 1, 1, "reply")], comments.struct()))
+    return posts_, comments, store
+
+
+def test_trigger_bodies_and_writes(spark):
+    from terrane.operators import writes
+
+    posts_, comments, store = blog(spark)
+
+    def depth(ctx, new, old):
+        post = ctx.row(select(posts_).where(X.eq(posts_["id"], new["post_id"])), "post")
+        ctx.if_((X.not_(X.coalesce(post["published"], False)), lambda c: c.return_row(None)))
+        parent = ctx.row_or_null(select(comments).where(X.eq(comments["id"], new["parent_id"])), "parent")
+        ctx.if_((X.is_not_null(parent["parent_id"]), lambda c: c.raise_("% answers an answer", new["body"])), (None, lambda c: c.return_row("new")))
+
+    rule = routines.trigger("depth", comments, ("insert", "update"), depth, update_of=("parent_id",))
+    frame = lambda rows: spark.createDataFrame(rows, "id int, post_id int, parent_id int, body string")
+    done = writes.insert(comments, frame([(None, 1, None, "n1"), (None, 1, 1, "n2"), (None, 2, None, "hidden"), (9, 3, None, "draft")]), store, [rule], ["body"])
+    assert sorted(r.body for r in done.returned.collect()) == ["n1", "n2"] and len({r.id for r in done.state.collect()}) == 4
+    assert done.state.count() == 4
+    fails("raised", lambda: writes.insert(comments, frame([(None, 1, 2, "deep")]), store, [rule]))
+    fails("raised", lambda: writes.insert(comments, frame([(None, 77, None, "no post")]), store, [rule]))
+    fails("constraint-violated", lambda: writes.insert(comments, frame([(1, 1, None, "same id")]), store, [rule]))
+    # an update fires for the named column only, sees old and new, and leaves a row as it was
+    assert {r.body for r in writes.update(comments, {"body": "x"}, None, store, [rule]).state.collect()} == {"x"}
+    fails("raised", lambda: writes.update(comments, {"parentId": 2}, X.eq(comments["id"], 1), store, [rule]))
+
+    def frozen(ctx, new, old):
+        ctx.if_((X.eq(old["body"], "root"), lambda c: c.return_row(None)), (None, lambda c: c.return_row("new")))
+
+    keep = routines.trigger("frozen", comments, ("update",), frozen)
+    assert {r.id: r.body for r in writes.update(comments, {"body": "y"}, None, store, [keep]).state.collect()} == {1: "root", 2: "y"}
+    spare = routines.trigger("spare", comments, ("delete",), lambda ctx, new, old: ctx.if_((X.eq(old["id"], 1), lambda c: c.return_row(None)), (None, lambda c: c.return_row("old"))))
+    assert [r.id for r in writes.delete(comments, None, store, [spare]).state.collect()] == [1]
+    fails("raised", lambda: writes.delete(comments, None, store, [routines.trigger("no", comments, ("delete",), lambda ctx, new, old: ctx.raise_("never"), timing="after")]))
+    fails("raised", lambda: writes.insert(comments, frame([(None, 1, None, "q")]), store, [routines.trigger("open", comments, ("insert",), lambda ctx, new, old: ctx.if_((X.literal(False), lambda c: c.return_row()))), ]))
+    # policies hold for what is written
+    session = security.Session(store, "user", [security.Protected(comments, (security.Policy("own", "all", ("public",), using=X.eq(comments["post_id"], X.local("mine"))),))], mine=1)
+    assert writes.insert(comments, frame([(None, 1, None, "ok")]), session).returned.count() == 1
+    fails("policy-violated", lambda: writes.insert(comments, frame([(None, 2, None, "other")]), session))
+    other = security.Session(store, "user", list(session.protected.values()), mine=2)
+    assert writes.update(comments, {"body": "z"}, None, other).returned.count() == 0 and writes.delete(comments, None, other).state.count() == 2
+
+
+def test_loops(spark):
+    posts_, comments, store = blog(spark)
+
+    def body(ctx, least):
+        def post(c, p):
+            c.if_((X.eq(p["slug"], "zz"), lambda d: d.raise_("bad slug")), (X.coalesce(p["published"], False), lambda d: d.return_query(routines.Change("insert", comments, set=(("post_id", p["id"]), ("body", p["slug"]))))))
+            c.for_each(select(comments).where(X.eq(comments["post_id"], p["id"])), lambda d, q: d.return_query(select({"id": comments["id"], "post_id": comments["post_id"], "parent_id": comments["parent_id"], "body": X.coalesce(p["slug"], "")}, comments).where(X.eq(comments["parent_id"], q["id"]))), "inner")
+
+        ctx.for_each(select(posts_).where(X.gte(posts_["id"], least)), post)
+
+    r = routines.routine("walk", {"least": "numeric"}, body)
+    assert sorted(map(tuple, r(store, least=1).collect()), key=repr) == [(2, 1, 1, "a"), (3, 1, None, "a")]
+    assert r(store, least=2).count() == 0
+    bad = routines.routine("bad", {}, lambda ctx: ctx.for_each(select(posts_), lambda c, p: c.raise_("post %", p["id"])))
+    fails("raised", lambda: bad(store))
+    new = routines.routine("new", {"s": "text"}, lambda ctx, s: ctx.return_query(routines.Change("insert", posts_, set=(("id", 9), ("slug", s)))))
+    assert [tuple(x) for x in new(store, s="nine").collect()] == [(9, "nine", None)]
+    fails("bad-body", lambda: routines.routine("row", {}, lambda ctx: ctx.return_row())(store))
+    fails("duplicate-local", lambda: routines.routine("twice", {}, lambda ctx: ctx.for_each(select(posts_), lambda c, p: c.for_each(select(comments), lambda d, q: d.raise_("x")))))
+
+
+@pytest.mark.parametrize(("action", "want"), [("cascade", [(1, 10), (2, 2), (3, None)]), ("set null", [(1, None), (2, 2), (3, None)]), ("set default", [(1, 2), (2, 2), (3, None)])])
+def test_foreign_keys_on_update(spark, action, want):
+    parent = table("w", "parent", {"id": column("integer").primary_key()})
+    child = table("w", "child", {"id": column("integer").primary_key(), "p": column("integer").default(2)}, foreign_keys=(ForeignKey(("p",), ("w", "parent"), ("id",), on_update=action),))
+    store = Store(spark).bind(child, spark.createDataFrame([(1, 1), (2, 2), (3, None)], child.struct()))
+    changed = spark.createDataFrame([(10, 1), (2, 2)], "id int, old__id int")
+    assert sorted(map(tuple, integrity.update_cascading([parent, child], parent, changed, store)[child.key].collect()), key=lambda r: r[0]) == want
+    strict = table("w", "child", {"id": column("integer").primary_key(), "p": column("integer")}, foreign_keys=(ForeignKey(("p",), ("w", "parent"), ("id",)),))
+    fails("still-referenced", lambda: integrity.update_cascading([parent, strict], parent, changed, store))
+
+
+def test_chain_problems(spark):
+    of = lambda rows: sorted(map(tuple, lineage.problem(spark.createDataFrame(rows, "file string, parent string, current string")).collect()))
+    good = [("1", "empty", "a"), ("2", "a", "b"), ("3", "b", "c")]
+    assert of(good) == []
+    assert of([*good, ("4", "a", "d"), ("5", "a", "e")]) == [("fork", "2"), ("fork", "4"), ("fork", "5")]
+    assert of([*good, ("4", "x", "d"), ("5", "a", "e")]) == [("broken", "4")]
+    assert of([*good, ("4", "c", "a"), ("5", "a", "e")]) == []  # back to an earlier state
