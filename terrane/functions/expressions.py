@@ -166,8 +166,18 @@ def random_uuid() -> Expr:
 CALLABLE = frozenset("abs btrim char_length length lower upper trim round concat left right substring date_trunc md5 sha2 current_user".split())
 
 
+#: Functions that a project adds: any of Spark's, or one registered with the session.
+_added: set[str] = set()
+
+
+def allow_call(name: str) -> None:
+    """Lets call() name a function beyond the built-in ones, such as a scalar that a project brings."""
+    require(name.isidentifier(), "bad-name", f"{name!r} can't name a function")
+    _added.add(name)
+
+
 def call(name: str, *args: Any, family: str = UNKNOWN) -> Expr:
-    require(name in CALLABLE, "unknown-function", f"{name} can't be called")
+    require(name in CALLABLE or name in _added, "unknown-function", f"{name} can't be called")
     return Expr("call", (name, *map(lift, args)), family)
 
 

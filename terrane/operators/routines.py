@@ -7,6 +7,7 @@ operations, never row by row.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import keyword
 from collections.abc import Callable
@@ -99,6 +100,11 @@ def _plain(x: Any) -> Any:
     return repr(x) if not isinstance(x, (str, int, float, bool, type(None))) else x
 
 
+def body_hash(statements: tuple[Statement, ...]) -> str:
+    """Names a body by what it does: equal recordings have equal hashes."""
+    return hashlib.sha256(json.dumps(_plain(statements), sort_keys=True).encode()).hexdigest()[:16]
+
+
 def record(body: Callable[..., None], arguments: dict[str, X.Expr]) -> tuple[Statement, ...]:
     runs = []
     for _ in range(2):

@@ -102,11 +102,18 @@ def save(rows: DataFrame, path: str) -> None:
     rows.withColumn("version", F.lit(VERSION)).write.mode("error").json(path)
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
+def load(spark: SparkSession, path: str, required: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """The rows of a saved snapshot. required: keys that nodes of each kind must have, such as kinds.REQUIRED."""
     got = spark.read.schema(SCHEMA + ", version int").json(path)
     bad = got.where((F.col("version") != VERSION) | F.col("kind").isNull() | F.col("identity").isNull() | F.try_parse_json("node").isNull())
     require(bad.isEmpty(), "bad-snapshot", f"{path} has rows of another version or without a key or node")
-    return got.select("kind", "identity", "node")
+    rows = got.select("kind", "identity", "node")
+    if required is not None:
+        from .kinds import missing_keys
+
+        lacking = missing_keys(rows, required).first()
+        require(lacking is None, "bad-snapshot", f"{path}: {lacking and lacking['identity']} lacks {lacking and lacking['missing']}")
+    return rows
 
 
 # ---- differences -----------------------------------------------------------

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import expressions as X
 from .operators import changes, integrity, routines, security, writes
-from .plans import lineage, snapshot, validators
+from .plans import kinds, lineage, snapshot, validators
 from .plans.query import Select, View, select
 from .sources.catalog import Check, Enum, ForeignKey, Index, Store, Table, column, from_parquet, table
 
@@ -545,8 +545,65 @@ query("file_diff", "SELECT * FROM (VALUES ('b', 'change'), ('c', 'add'), ('d', '
     lambda w: lineage.tree_diff(w.spark.sql("select * from values ('a', '1'), ('b', '2'), ('d', '4') t(path, hash)"), w.spark.sql("select * from values ('a', '1'), ('b', '3'), ('c', '5') t(path, hash)"))
 )
 query("verify_report", "SELECT * FROM (VALUES ('versions', 'failed'), ('chain', 'skipped'), ('rebuild', 'ok'), ('tip', 'skipped')) v(\"check\", status)")(lambda w: lineage.verify(_files(w), _two(w)[0], _two(w)[0], "h5").select("check", "status"))
-query("snapshot_required_keys", "SELECT 'app.posts' AS identity")(
-    lambda w: w.spark.createDataFrame([("table", "app.posts", json.dumps({"columns": []})), ("table", "app.tags", json.dumps({"columns": [], "checks": []}))], snapshot.SCHEMA).where(F.get_json_object("node", "$.checks").isNull()).select("identity")
+
+
+# Catalogs of some thousand generated objects: node and SQL are made from the same rows, parts of the driver's tables.
+
+_CATALOG = """
+SELECT 'enum' AS kind, 'app.e' || p_partkey AS identity, p_partkey AS k, p_size AS x FROM part
+UNION ALL SELECT 'view', 'app.v' || p_partkey, p_partkey, p_size FROM part
+UNION ALL SELECT 'policy', 'app.t.p' || p_partkey, p_partkey, p_size FROM part
+UNION ALL SELECT 'grant', 'app.tables.*.r' || p_partkey, p_partkey, p_size FROM part
+UNION ALL SELECT 'table', 'app.t' || p_partkey, p_partkey, p_size FROM part
+"""
+
+
+def _objects(w: World) -> DataFrame:
+    part = w.rows("part")
+    of = {"enum": "app.e", "view": "app.v", "policy": "app.t.p", "grant": "app.tables.*.r", "table": "app.t"}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.concat(F.lit(p), F.col("p_partkey")).alias("identity")) for k, p in of.items())))
+    return part.select(each.alias("o"), F.col("p_partkey").alias("k"), F.col("p_size").alias("x")).select("o.*", "k", "x")
+
+
+def _generated(w: World, after: bool) -> DataFrame:
+    """A snapshot of them. Before: k not divisible by 5. After: k not divisible by 7, and changed where k is divisible by 3: grown if x is even, else cut."""
+    rows = _objects(w).where("k % 7 <> 0" if after else "k % 5 <> 0")
+    changed, even = (F.col("k") % 3 == 0) & F.lit(after), F.col("x") % 2 == 0
+    values = F.when(changed & even, F.lit('["a","b","c"]')).when(changed, F.lit('["b","c"]')).otherwise(F.lit('["a","b"]'))
+    columns = '{"name":"id","type":"bigint","length":[],"dimensions":0,"nullable":false,"primary":true,"unique":false,"default":null}'
+    check = F.concat(F.lit('{"condition":'), F.when(changed & even, F.lit("2")).otherwise(F.lit("1")), F.lit(',"name":"c"}'))
+    foreign = F.when(changed, F.lit("[]")).otherwise(F.lit('[{"columns":["id"],"name":"t_fk"}]'))
+    table_ = F.concat(F.lit(f'{{"checks":['), check, F.lit(f'],"columns":[{columns}],"foreign_keys":'), foreign, F.lit(',"indexes":[]}'))
+    node = (
+        F.when(F.col("kind") == "enum", F.concat(F.lit('{"values":'), values, F.lit("}")))
+        .when(F.col("kind") == "view", F.concat(F.lit('{"columns":'), values, F.lit(',"query":{},"security_invoker":true}')))
+        .when(F.col("kind") == "policy", F.concat(F.lit('{"check":null,"command":"all","restrictive":false,"roles":'), values, F.lit(',"using":1}')))
+        .when(F.col("kind") == "grant", F.concat(F.lit('{"privileges":'), values, F.lit("}")))
+        .otherwise(table_)
+    )
+    return rows.select("kind", "identity", node.alias("node"))
+
+
+_MEANS = f"""WITH o AS ({_CATALOG}), d AS (
+  SELECT kind, identity, k, x, CASE WHEN k % 5 = 0 THEN 'create' WHEN k % 7 = 0 THEN 'drop' ELSE 'alter' END AS operation FROM o
+  WHERE k % 5 = 0 AND k % 7 <> 0 OR k % 7 = 0 AND k % 5 <> 0 OR k % 5 <> 0 AND k % 7 <> 0 AND k % 3 = 0)
+SELECT kind, identity, operation, CASE WHEN operation <> 'alter' THEN operation WHEN kind = 'policy' THEN 'recreate'
+  WHEN kind = 'enum' THEN CASE WHEN x % 2 = 0 THEN 'alter' ELSE 'recreate' END WHEN kind = 'view' THEN CASE WHEN x % 2 = 0 THEN 'replace' ELSE 'recreate' END ELSE 'alter' END AS means FROM d"""
+query("catalog_meaning", _MEANS)(lambda w: kinds.meaning(snapshot.diff(_generated(w, False), _generated(w, True))).select("kind", "identity", "operation", "means"))
+query(
+    "alter_steps",
+    f"""WITH t AS (SELECT identity, x FROM ({_CATALOG}) WHERE kind = 'table' AND k % 5 <> 0 AND k % 7 <> 0 AND k % 3 = 0)
+SELECT identity, 0 AS stage, 'drop' AS action, 'foreign key' AS member, 't_fk' AS name FROM t
+UNION ALL SELECT identity, 1, unnest(['drop', 'add']), 'check', 'c' FROM t WHERE x % 2 = 0""",
+)(lambda w: kinds.alter_steps(_generated(w, False), _generated(w, True)))
+query(
+    "privilege_changes",
+    f"""WITH g AS (SELECT identity, k, x FROM ({_CATALOG}) WHERE kind = 'grant'),
+n AS (SELECT identity, CASE WHEN k % 5 <> 0 THEN ['a', 'b'] ELSE [] END AS old, CASE WHEN k % 7 = 0 THEN [] WHEN k % 3 <> 0 THEN ['a', 'b'] WHEN x % 2 = 0 THEN ['a', 'b', 'c'] ELSE ['b', 'c'] END AS new FROM g WHERE k % 5 <> 0 OR k % 7 <> 0)
+SELECT identity, array_to_string(list_filter(new, lambda p: NOT list_contains(old, p)), ',') AS granted, array_to_string(list_filter(old, lambda p: NOT list_contains(new, p)), ',') AS revoked FROM n WHERE old <> new""",
+)(lambda w: _flat(kinds.privilege_changes(_generated(w, False), _generated(w, True)), "granted", "revoked"))
+query("snapshot_required_keys", f"SELECT kind, identity, CASE kind WHEN 'enum' THEN 'values' WHEN 'grant' THEN 'privileges' WHEN 'table' THEN 'checks,columns' WHEN 'view' THEN 'columns' ELSE 'check' END AS missing FROM ({_CATALOG}) WHERE k % 7 <> 0 AND x = 1")(
+    lambda w: _flat(kinds.missing_keys(_generated(w, True).join(_objects(w).where("x = 1").select("kind", "identity"), ["kind", "identity"]).withColumn("node", F.regexp_replace("node", '"(values|privileges|checks|columns|check)":', '"gone":'))).select("kind", "identity", "missing"), "missing")
 )
 _TABLES = "select * from values ('app', 'posts'), ('app', 'tags'), ('auth', 'users') t(schema, table)"
 query("warn_unreachable", "SELECT 'unreachable-policy' AS code, 'warning' AS severity, 'auth.users.own' AS identity")(

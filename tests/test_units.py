@@ -341,3 +341,62 @@ def test_chain_problems(spark):
     assert of([*good, ("4", "a", "d"), ("5", "a", "e")]) == [("fork", "2"), ("fork", "4"), ("fork", "5")]
     assert of([*good, ("4", "x", "d"), ("5", "a", "e")]) == [("broken", "4")]
     assert of([*good, ("4", "c", "a"), ("5", "a", "e")]) == []  # back to an earlier state
+
+
+def test_every_kind_is_a_node(spark, tmp_path):
+    from terrane.plans import kinds, validators
+    from terrane.plans.query import View
+
+    posts_, comments, store = blog(spark)
+    view = View("app", "open_posts", select(posts_).where(X.eq(posts_["published"], True)))
+    rule = routines.trigger("depth", comments, ("insert",), lambda ctx, new, old: ctx.return_row())
+    shielded = security.Protected(comments, (security.Policy("own", "select", ("member", "anon"), using=X.eq(comments["post_id"], 1)),))
+    grant = {"schema": "app", "kind": "tables", "roles": ["anon", "member"], "privileges": ["select"]}
+    find = routines.routine("find", {"least": "numeric"}, lambda ctx, least: ctx.return_query(select(posts_).where(X.gte(posts_["id"], least))))
+    make = lambda **more: kinds.expand(**({"tables": [posts_, comments], "enums": [Enum("app", "status", ("a", "b"))], "views": [view], "routines": [("app", find)], "triggers": [rule], "protected": [shielded], "grants": [grant]} | more))
+    rows = make()
+    assert {k for k, _, _ in rows} == set(kinds.REQUIRED) and rows == make()
+    assert [i for k, i, _ in rows if k in ("trigger", "policy", "rls", "grant", "sequence", "schema")] == ["app.tables.*.anon", "app.tables.*.member", "app.comments.own", "app.comments", "app", "app.comments_id_seq", "app.comments.depth"]
+    assert [i for k, i, _ in rows if k == "function"] == ["app.comments_depth", "app.find"]
+    fails("duplicate-object", lambda: make(views=[view, view]))
+    before = snapshot.snapshot(spark, rows)
+    assert kinds.missing_keys(before).isEmpty()
+    snapshot.save(before, f"{tmp_path}/s")
+    assert snapshot.load(spark, f"{tmp_path}/s", kinds.REQUIRED).count() == len(rows)
+    snapshot.save(spark.createDataFrame([("view", "app.v", '{"columns":[]}')], snapshot.SCHEMA), f"{tmp_path}/bad")
+    fails("bad-snapshot", lambda: snapshot.load(spark, f"{tmp_path}/bad", kinds.REQUIRED))
+    other = routines.trigger("depth", comments, ("insert",), lambda ctx, new, old: ctx.return_row(None))
+    after = snapshot.snapshot(spark, make(triggers=[other], enums=[Enum("app", "status", ("b", "a"))], grants=[grant | {"privileges": ["insert"]}]))
+    got = {(r.kind, r.identity): r.means for r in kinds.meaning(snapshot.diff(before, after)).collect()}
+    assert got == {("function", "app.comments_depth"): "replace", ("enum", "app.status"): "recreate", ("grant", "app.tables.*.anon"): "alter", ("grant", "app.tables.*.member"): "alter"}
+    # a kind and a scalar that a project brings
+    bundle = validators.Bundle("notes", kinds=(("comment", ("schema",)),))
+    noted = snapshot.snapshot(spark, make(more=[("comment", "app", {"text": "ours"})]))
+    steps = snapshot.ordered(snapshot.diff(before, noted), bundle.depends(snapshot.DEPENDS)).collect()
+    assert [(r.kind, r.operation) for r in steps] == [("comment", "create")]
+    assert kinds.missing_keys(noted, kinds.REQUIRED | {"comment": ("text", "by")}).first().missing == ["by"]
+    fails("unknown-function", lambda: X.call("half", posts_["id"]))
+    spark.udf.register("half", lambda x: x // 2, "int")
+    X.allow_call("half")
+    assert [r.h for r in select({"h": X.call("half", posts_["id"])}, posts_).frame(store).collect()] == [0, 1, 1]
+
+
+def test_members_of_altered_tables(spark):
+    from terrane.plans import kinds
+
+    one = table("w", "a", {"id": column("integer").primary_key(), "b": column("integer"), "c": column("text")}, checks=(Check("ck", X.sql("b > 1", family="boolean")),), foreign_keys=(ForeignKey(("b",), ("w", "p"), ("id",)),), indexes=(Index((("b", "asc", None),)),))
+    two = table("w", "a", {"id": column("integer").primary_key(), "b": column("bigint").primary_key(), "d": column("text")}, checks=(Check("ck", X.sql("b > 2", family="boolean")),), foreign_keys=(ForeignKey(("b",), ("w", "p"), ("id",), on_delete="cascade"),), indexes=(Index((("b", "desc", None),)),))
+    before, after = (snapshot.snapshot(spark, snapshot.expand([t])) for t in (one, two))
+    got = {tuple(r)[1:] for r in kinds.alter_steps(before, after).collect()}
+    fk, idx = one.derived_names()["fk"][0], one.derived_names()["idx"][0]
+    want = {(0, "drop", "foreign key", fk), (2, "add", "foreign key", fk)}
+    want |= {(1, a, m, n) for m, n in (("index", idx), ("check", "ck"), ("key", "key")) for a in ("drop", "add")}
+    want |= {(1, "alter", "column", "b"), (1, "drop", "column", "c"), (1, "add", "column", "d")}
+    assert got == want
+
+
+def test_session_values_outside_policies():
+    from terrane.plans import validators
+
+    t = table("app", "posts", {"id": column("integer").primary_key(), "owner": column("text").default(X.local("uid"))}, indexes=(Index((("id", "asc", None),), where=X.not_(X.eq(X.local("uid"), "a"))),))
+    assert [p for _, _, p in validators.session_values_outside_policies([t, posts()])] == ["app.posts index id", "app.posts.owner default"]
