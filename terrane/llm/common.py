@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -78,11 +77,6 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def forget(self) -> None:
-        """Lets Spark delete the shuffle files of finished steps now: it does when their plans are collected as garbage on the driver."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, df: DataFrame) -> None:
         """Deletes a table that keep() returned, once nothing reads it any more."""
         jvm = self.spark.sparkContext._jvm

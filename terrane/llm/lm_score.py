@@ -59,7 +59,7 @@ _ANSWER = "asker long, range long, totals binary, deleted binary, " + ", ".join(
 @dataclass(frozen=True)
 class Model:
     order: int = 3
-    block_bytes: int = 8 << 20
+    block_bytes: int = 6 << 20
     #: Of ten parts of the documents by crc32 of the id: 0 is held out for evaluation, this one teaches the weights.
     deleted_part: int = 1
     smoothing: float = 0.1
@@ -162,7 +162,7 @@ def _table(columns: dict[str, list], schema: str) -> pa.RecordBatch:
 
 def _packed(model: Model):
     """Documents as blocks, one row each; the deleted documents have blocks of their own, with odd numbers, so that learning reads no others."""
-    schema = pa.schema([("block", pa.int64()), ("deleted", pa.bool_()), ("ids", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32())), ("texts", pa.list_(pa.string()))])
+    schema = pa.schema([("block", pa.int64()), ("deleted", pa.bool_()), ("ids", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int64())), ("texts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bool, list] = {False: [[], [], [], 0], True: [[], [], [], 0]}
@@ -170,7 +170,9 @@ def _packed(model: Model):
         def close(deleted: bool) -> pa.RecordBatch:
             ids, parts, texts, _ = held[deleted]
             held[deleted] = [[], [], [], 0]
-            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 66 << 1 | deleted]), pa.array([deleted]), *(pa.array([x], f.type) for x, f in zip((ids, parts, texts), list(schema)[2:], strict=True))], schema=schema)
+            raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+            values = (uuid.uuid4().int >> 66 << 1 | deleted, deleted, ids, parts, [len(r) for r in raw], pa.compress(b"".join(raw), "zstd", asbytes=True))
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, schema, strict=True)], schema=schema)
 
         for b in batches:
             for i, p, t in zip(b.column("doc_id").to_pylist(), b.column("part").to_pylist(), b.column("text"), strict=True):
@@ -184,7 +186,14 @@ def _packed(model: Model):
             if held[deleted][0]:
                 yield close(deleted)
 
-    return run, "block long, deleted boolean, ids array<long>, parts array<int>, texts array<string>"
+    return run, "block long, deleted boolean, ids array<long>, parts array<int>, sizes array<long>, texts binary"
+
+
+def _texts(b: pa.RecordBatch | pa.Table, at: int = 0) -> list[str]:
+    """The texts of a block, which travels compressed."""
+    ends = np.cumsum([0, *_rows(b, "sizes", at)]).tolist()
+    raw = pa.decompress(_rows(b, "texts", at), ends[-1], "zstd", asbytes=True)
+    return [raw[x:y].decode("utf-8", "surrogatepass") for x, y in zip(ends, ends[1:], strict=False)]
 
 
 def _rows(b: pa.RecordBatch | pa.Table, name: str, at: int = 0) -> list:
@@ -198,7 +207,7 @@ def _requests(model: Model):
         for b in batches:
             for at in range(b.num_rows):
                 block, deleted, parts = _rows(b, "block", at), _rows(b, "deleted", at), np.array(_rows(b, "parts", at))
-                every, counts = _tokens(_rows(b, "texts", at), model.order)
+                every, counts = _tokens(_texts(b, at), model.order)
                 learned = np.repeat(parts > 0, counts).astype(np.int64)
                 out: dict[str, list] = {"asker": [], "range": [], "keys": [], "sums": [], "deleted": []}
                 for order, keys in enumerate(every, 1):
@@ -340,7 +349,7 @@ def _histogram(model: Model, size: dict[str, int], weights: list[np.ndarray]):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         cells: dict[str, np.ndarray] = {"cell": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "ratio": np.zeros(0)}
         if blocks.num_rows and answers.num_rows:
-            every, counts = _tokens(_rows(blocks, "texts"), model.order)
+            every, counts = _tokens(_texts(blocks), model.order)
             found = _counts(every, answers, model.bits, less=True)
             _, low, estimate, context = _mixture(found, counts, size["docs_less"], size["tokens_less"], size["types_less"], weights, model.smoothing)
             ratio = estimate / low
@@ -384,7 +393,7 @@ def _scores(model: Model, size: dict[str, int], weights: list[np.ndarray]):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         if not blocks.num_rows:
             return pa.Table.from_batches([_table({f.split()[0]: [] for f in _SCORED.split(", ")}, _SCORED)])
-        every, counts = _tokens(_rows(blocks, "texts"), model.order)
+        every, counts = _tokens(_texts(blocks), model.order)
         found = _counts(every, answers, model.bits, less=False)
         base, p, _, _ = _mixture(found, counts, size["docs"], size["tokens"], size["types"], weights, model.smoothing)
         starts = np.cumsum(counts) - counts
@@ -406,14 +415,12 @@ def score(docs: DataFrame, model: Model = Model()) -> DataFrame:
     levels = 1
     while (known["bytes"] or 0) > model.range_bytes << (model.bits * levels):
         levels += 1
-    asked = blocks.select("block", "deleted", "parts", "texts").mapInArrow(_requests(model), _REQUEST)
+    asked = blocks.select("block", "deleted", "parts", "sizes", "texts").mapInArrow(_requests(model), _REQUEST)
     answers = scratch.keep(answered(asked, (known["bytes"] or 0) // model.block_bytes, levels, model, scratch), "answers")
-    del asked
-    scratch.forget()
     total = answers.agg(*(F.sum(c).alias(c) for c in _LESS)).first()
     size = {k: int(total[k] or 0) for k in _LESS} | {k: int(known[k] or 0) for k in ("docs", "docs_less")}
     back = answers.select(F.col("asker").alias("block"), "range", "totals", "deleted")
-    chosen = blocks.where("deleted").select("block", "texts")
+    chosen = blocks.where("deleted").select("block", "sizes", "texts")
     mine = back.where("block % 2 = 1")
     weights: list[np.ndarray] = []
     for _ in range(2, model.order + 1):
@@ -421,6 +428,6 @@ def score(docs: DataFrame, model: Model = Model()) -> DataFrame:
         cells = met.applyInArrow(_histogram(model, size, weights), "cell long, n long, ratio double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("ratio").alias("ratio"))
         # at most BUCKETS * RATIO_BINS rows, whatever the input
         weights.append(learn([(r["cell"], r["n"], r["ratio"]) for r in cells.collect()], model.converged))
-    met = blocks.select("block", "ids", "parts", "texts").groupBy("block").cogroup(back.drop("deleted").groupBy("block"))
+    met = blocks.select("block", "ids", "parts", "sizes", "texts").groupBy("block").cogroup(back.drop("deleted").groupBy("block"))
     out = met.applyInArrow(_scores(model, size, weights), _SCORED)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(size["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
