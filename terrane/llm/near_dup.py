@@ -28,7 +28,6 @@ from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -227,39 +226,44 @@ def agreements(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def _open_members(spec: Similarity):
     """Of two blocks of a bucket (or one, against itself), the members whose sketches and sizes may match one of another component."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        alone = not len(right)
-        if alone:
-            right = left
-        if not len(left) or len(set(left["label"]) | set(right["label"])) < 2:
-            return pdf.iloc[:0].drop(columns=["sketch", "n_shingles"])
-        name = {v: k for k, v in enumerate(set(left["label"]) | set(right["label"]))}
-        (sa, na, la), (sb, nb, lb) = ((np.frombuffer(b"".join(x["sketch"]), dtype=np.uint16).reshape(len(x), -1), x["n_shingles"].to_numpy(), np.array([name[v] for v in x["label"]])) for x in (left, right))
-        near = (la[:, None] != lb[None, :]) & (np.minimum.outer(na, nb) * 100 >= spec.percent * np.maximum.outer(na, nb))
-        near &= agreements(sa, sb) >= spec.bit_floor * spec.bins
-        found = left[near.any(axis=1)] if alone else pd.concat([left[near.any(axis=1)], right[near.any(axis=0)]])
-        return found.drop(columns=["sketch", "n_shingles"])
+    def run(group: pa.Table) -> pa.Table:
+        left, right, label = _sides(group)
+        stays = np.zeros(group.num_rows, dtype=bool)
+        if len(left) and label.max() > 0:
+            sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), dtype=np.uint16).reshape(group.num_rows, -1)
+            n = group.column("n_shingles").to_numpy()
+            near = (label[left][:, None] != label[right][None, :]) & (np.minimum.outer(n[left], n[right]) * 100 >= spec.percent * np.maximum.outer(n[left], n[right]))
+            near &= agreements(sketch[left], sketch[right]) >= spec.bit_floor * spec.bins
+            stays[left[near.any(axis=1)]] = True
+            stays[right[near.any(axis=0)]] = True
+        return group.filter(pa.array(stays)).drop_columns(["sketch", "n_shingles"])
 
     return run
 
 
+def _numbered(labels: list[bytes]) -> np.ndarray:
+    name: dict[bytes, int] = {}
+    return np.array([name.setdefault(x, len(name)) for x in labels], dtype=np.int64)
+
+
+def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the members left and right (the same, if a block meets itself), and all members' components as numbers."""
+    side = group.column("side").to_numpy()
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    return left, right if len(right) else left, _numbered(group.column("label").to_pylist())
+
+
 def _across(spec: Similarity):
     """Links between components within two blocks of a bucket (or one, against itself), confirmed on the full sets; of links that join the same components one is enough."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if not len(right):
-            right = left
+    def run(group: pa.Table) -> pa.Table:
+        left, right, label = _sides(group)
         found: list[tuple[bytes, bytes]] = []
-        if len(left) and len(set(left["label"]) | set(right["label"])) > 1:
-            a, b = ([np.frombuffer(v, dtype=np.uint64) for v in x["shingles"]] for x in (left, right))
-            both = intersections(a, b)
-            sizes = np.add.outer([len(x) for x in a], [len(x) for x in b])
-            name = {v: k for k, v in enumerate(sorted(set(left["label"]) | set(right["label"])))}
-            la, lb = (np.array([name[v] for v in x["label"]]) for x in (left, right))
-            ca, cb = left["cls"].to_numpy(), right["cls"].to_numpy()
-            root = list(range(len(name)))
+        if len(left) and label.max() > 0:
+            sets, cls = [np.frombuffer(v, dtype=np.uint64) for v in group.column("shingles").to_pylist()], group.column("cls").to_pylist()
+            both = intersections([sets[k] for k in left], [sets[k] for k in right])
+            sizes = np.add.outer([len(sets[k]) for k in left], [len(sets[k]) for k in right])
+            root = list(range(label.max() + 1))
 
             def top(k: int) -> int:
                 while root[k] != k:
@@ -267,12 +271,13 @@ def _across(spec: Similarity):
                     k = root[k]
                 return k
 
-            for k, j in np.argwhere((100 * both >= spec.percent * (sizes - both)) & (la[:, None] != lb[None, :])):
-                x, y = top(la[k]), top(lb[j])
+            for k, j in np.argwhere((100 * both >= spec.percent * (sizes - both)) & (label[left][:, None] != label[right][None, :])):
+                x, y = top(label[left[k]]), top(label[right[j]])
                 if x != y:
                     root[x] = y
-                    found.append((min(ca[k], cb[j]), max(ca[k], cb[j])))
-        return pd.DataFrame(found, columns=["a", "b"])
+                    found.append((min(cls[left[k]], cls[right[j]]), max(cls[left[k]], cls[right[j]])))
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return run
 
@@ -289,9 +294,9 @@ def open_links(members: DataFrame, labels: DataFrame, classes: DataFrame, docs:
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("band", "cls", "label", "n_shingles", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
     sketched = dealt.join(classes.select("cls", "sketch"), "cls").select("band", "i", "j", "side", "cls", "label", "n_shingles", "sketch")
-    near = scratch.keep(sketched.groupBy("band", "i", "j").applyInPandas(_open_members(spec), "band long, i int, j int, side int, cls binary, label binary"), "near-members")
+    near = scratch.keep(sketched.groupBy("band", "i", "j").applyInArrow(_open_members(spec), "band long, i int, j int, side int, cls binary, label binary"), "near-members")
     sets = scratch.keep(class_texts(near.select("cls").distinct(), classes, docs).mapInArrow(_sets(spec), "cls binary, shingles binary"), "sets")
-    links = near.join(sets, "cls").groupBy("band", "i", "j").applyInPandas(_across(spec), "a binary, b binary")
+    links = near.join(sets, "cls").groupBy("band", "i", "j").applyInArrow(_across(spec), "a binary, b binary")
     return links.distinct()
 
 
