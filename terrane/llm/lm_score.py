@@ -14,9 +14,9 @@ fixed number of key ranges, one row each, so the rows grow with the text and no
 the blocks' counts, and each block gets its numbers back in the order it asked. Where a range would
 hold more keys than a task should, askers of a range are merged first, and their keys cut into finer
 ranges, as often as needed. So what is shuffled is the text, the distinct n-grams of each block
-(6 bytes each) and their counts, never a row per token; no table of counts is ever in one place.
-Words are 64-bit keys, n-grams of several words 56-bit keys: unequal ones share a key with a chance of
-2**-64 or 2**-56 a pair.
+(4 to 6 bytes each) and their counts, never a row per token; no table of counts is ever in one place.
+Words are 64-bit keys, pairs 56-bit keys, longer n-grams 48-bit keys: unequal ones share a key with a
+chance of 2**-64, 2**-56 or 2**-48 a pair.
 
 Expectation-maximisation needs of a held-out token only its bucket and by how much the order's
 estimate is above that of the mixture below. Those ratios are summed up in cells of 1/64 octave, and
@@ -45,8 +45,9 @@ from .common import Scratch, text_bytes
 
 END = np.uint64(0x5851F42D4C957F2D)
 _CHAIN = np.uint64(0xD6E8FEB86659FD93)
-#: Keys of several words keep 56 bits.
-_HIGH = np.uint64(2**64 - 256)
+#: Bits that the keys of each order keep: all for words, 56 for pairs, 48 for longer n-grams, of which one in 2**48 / n shares its key with another of n.
+_KEPT = {2: np.uint64(2**64 - 2**8)}
+_KEPT_LONG = np.uint64(2**64 - 2**16)
 #: Context-count buckets: 0, 1, 2-3, 4-7, ... the last is open.
 BUCKETS = 24
 #: log2 of an order's probability over that of the mixture below, in steps of 1/64; no ratio of counts leaves these bounds.
@@ -91,11 +92,11 @@ def _tokens(texts: list[str | None], order: int) -> tuple[list[np.ndarray], np.n
     keys, start = [out], END
     first = np.cumsum(counts + 1) - counts - 1
     for n in range(2, order + 1):
-        before = np.empty_like(out)
+        before, kept = np.empty_like(out), _KEPT.get(n, _KEPT_LONG)
         before[1:] = keys[-1][:-1]
         before[first] = start
-        keys.append(textcodes.mix(before * _CHAIN + out + np.uint64(n)) & _HIGH)
-        start = (textcodes.mix(np.array([start]) * _CHAIN + END + np.uint64(n)) & _HIGH)[0]
+        keys.append(textcodes.mix(before * _CHAIN + out + np.uint64(n)) & kept)
+        start = (textcodes.mix(np.array([start]) * _CHAIN + END + np.uint64(n)) & kept)[0]
     return keys, counts + 1
 
 
@@ -125,10 +126,10 @@ def _unpack(blob: bytes, n: int) -> np.ndarray:
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys: the first, then differences of five bytes (of keys without their low byte) or six, where all fit; else all of eight."""
+    """Sorted keys: the first, then differences of four bytes (of keys without their two low bytes), five (without one) or six, where all fit; else all of eight."""
     step = np.diff(keys)
-    for width, low in ((5, 1), (6, 0)):
-        if len(keys) and not (step >> np.uint64(8 * (width + low))).any() and not (low and (keys & np.uint64(255)).any()):
+    for width, low in ((4, 2), (5, 1), (6, 0)):
+        if len(keys) and not (step >> np.uint64(8 * (width + low))).any() and not (keys & np.uint64(256**low - 1)).any():
             return bytes([width]) + keys[:1].tobytes() + np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8)[:, low : low + width]).tobytes()
     return b"\x08" + keys.tobytes()
 

@@ -374,7 +374,7 @@ def test_language_model(spark, model):
 
 def test_packed_keys():
     rng = np.random.default_rng(2)
-    for keys in (np.zeros(0, np.uint64), np.array([7], np.uint64), np.sort(rng.integers(0, 2**64, 50, dtype=np.uint64)), np.unique(rng.integers(0, 2**64, 300_000, dtype=np.uint64)), np.arange(9, dtype=np.uint64), np.unique(rng.integers(0, 2**56, 200_000, dtype=np.uint64)) << np.uint64(8), np.array([256, 2**63], np.uint64)):
+    for keys in (np.zeros(0, np.uint64), np.array([7], np.uint64), np.sort(rng.integers(0, 2**64, 50, dtype=np.uint64)), np.unique(rng.integers(0, 2**64, 300_000, dtype=np.uint64)), np.arange(9, dtype=np.uint64), np.unique(rng.integers(0, 2**56, 200_000, dtype=np.uint64)) << np.uint64(8), np.unique(rng.integers(0, 2**48, 200_000, dtype=np.uint64)) << np.uint64(16), np.array([256, 2**63], np.uint64)):
         assert (lm_score.unpack_keys(lm_score.pack_keys(keys)) == keys).all()
 
 
