@@ -26,15 +26,16 @@ SYMBOLS = "#*$%&|<>"
 class LineLimits:
     """A line goes if over min_docs documents and over max_fraction of its host's documents have it.
 
-    With max_docs it also goes if over max_docs documents have it, whatever the host's size. These
-    are documents that keep min_left of their words without such lines: in a group of near copies
-    all lines are shared, which is for near-duplicate removal to settle, and no reason to lose all.
+    It also goes if over max_docs documents have it, whatever the host's size, so that the bar does
+    not rise with a host. These are documents that keep min_left of their words without such lines:
+    in a group of near copies all lines are shared, which is for near-duplicate removal to settle,
+    and no reason to lose all.
     """
 
     min_docs: int = 5
     max_fraction: float = 0.1
-    #: None: no absolute limit, as in the SQL of the query op2.
-    max_docs: int | None = None
+    #: None: no absolute limit.
+    max_docs: int | None = 10
     #: A document is depleted if less than this share of its words stays.
     min_left: float = 0.5
 
@@ -122,8 +123,9 @@ def common_lines(base: DataFrame, limits: LineLimits, scratch: Scratch) -> DataF
     if limits.max_docs is None:
         return common
     often = counts.where(F.col("docs") > limits.max_docs)
-    every = base.select("host", "_k2", "n_words", F.explode("lines").alias("x")).select("host", "_k2", "n_words", F.col("x.line").alias("line"), F.col("x.words").alias("words"))
-    held = scratch.keep(every.alias("e").join(often.alias("o"), _on_line("e", "o"), "left_semi"), "often")
+    every = base.select("host", "_k2", "n_words", F.posexplode("lines").alias("at", "x")).select("host", "_k2", "n_words", "at", F.col("x.line").alias("line"), F.col("x.words").alias("words"))
+    # copies of one text have the same lines in the same places, and count once
+    held = scratch.keep(every.alias("e").join(often.alias("o"), _on_line("e", "o"), "left_semi").dropDuplicates(["host", "_k2", "at"]), "often")
     own = held.groupBy("host", "_k2", "n_words").agg(F.sum("words").alias("shared")).where(F.col("n_words") - F.col("shared") >= limits.min_left * F.col("n_words"))
     own = scratch.keep(own.select("host", "_k2"), "own")
     met = held.alias("e").join(own.alias("o"), (F.col("e._k2") == F.col("o._k2")) & F.col("e.host").eqNullSafe(F.col("o.host")), "left_semi")

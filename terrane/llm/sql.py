@@ -16,9 +16,15 @@ ln AS (SELECT rid, source, txt, line, lower(array_to_string({_WORDS.format(t="li
 full_l AS (SELECT * FROM ln WHERE words > 0),
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM full_l GROUP BY rid),
 host AS (SELECT source, count(DISTINCT md5(text)) AS n FROM d GROUP BY source),
+cnt AS (SELECT source, norm, count(DISTINCT txt) AS c FROM full_l GROUP BY source, norm),
+one AS (SELECT min(rid) AS rid FROM d GROUP BY source, md5(text)),
+held AS (
+  SELECT f.rid, f.source, f.norm, f.words FROM full_l f JOIN one USING (rid)
+  JOIN cnt ON cnt.norm = f.norm AND cnt.source IS NOT DISTINCT FROM f.source WHERE cnt.c > 10),
+own AS (SELECT rid FROM (SELECT rid, sum(words) AS n FROM held GROUP BY rid) x JOIN w USING (rid) WHERE len(w.w) - x.n >= 0.5 * len(w.w)),
 common AS (
-  SELECT c.source, c.norm FROM (SELECT source, norm, count(DISTINCT txt) AS c FROM full_l GROUP BY source, norm) c
-  JOIN host h ON h.source IS NOT DISTINCT FROM c.source WHERE c.c > 5 AND c.c > 0.1 * h.n),
+  SELECT cnt.source, cnt.norm FROM cnt JOIN host h ON h.source IS NOT DISTINCT FROM cnt.source WHERE cnt.c > 5 AND cnt.c > 0.1 * h.n
+  UNION SELECT source, norm FROM held JOIN own USING (rid) GROUP BY source, norm HAVING count(DISTINCT rid) > 10),
 lost AS (SELECT f.rid, sum(f.words) AS n FROM full_l f JOIN common c ON c.norm = f.norm AND c.source IS NOT DISTINCT FROM f.source GROUP BY f.rid),
 b AS (
   SELECT d.doc_id, len(w.w) AS n_words, length(regexp_replace(d.text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
