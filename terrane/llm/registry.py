@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_extract, line_frequency, lm_score, mixing, near_dup, sharding, sql, token_counts, url_rules
+from . import chat, decontaminate, fill_middle, html_extract, line_frequency, lm_score, mixing, near_dup, sharding, sql, token_counts, url_rules
 from .common import read
 
 
@@ -50,6 +51,12 @@ def op10_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_distinct_text_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(read(spark, sf_dir, "documents"))
+    back = fill_middle.restored(F.col("form"), F.col("output"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_template_deduction,
@@ -62,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_fast_similarity,
         op9_deleted_interpolation,
         op10_prefix_filter,
+        op12_distinct_text_index,
     )
     return {f.__name__: f for f in found}
 
