@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fill_middle, html_extract, line_frequency, lm_score, mixing, near_dup, sharding, sql, token_counts, url_rules
+from . import chat, decontaminate, fill_middle, html_extract, line_frequency, lm_score, mixing, near_dup, repair, sharding, sql, token_counts, url_rules
 from .common import read
 
 
@@ -57,6 +57,10 @@ def op12_distinct_text_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
 
 
+def op13_cost_to_go_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_template_deduction,
@@ -70,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_deleted_interpolation,
         op10_prefix_filter,
         op12_distinct_text_index,
+        op13_cost_to_go_repair,
     )
     return {f.__name__: f for f in found}
 

@@ -93,3 +93,65 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre)
   sha256(out) AS output_sha256, sha256(t) AS restored_sha256
 FROM o
 """
+
+# Forward over a conversation's rows, with the best (cost, edits) of each grammar state as text that sorts by cost, then edits.
+_CRC = "xor(list_reduce(list_transform(string_split(s, ''), lambda x: ascii(x)::BIGINT), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, (v & 1) * 3988292384)), 4294967295::BIGINT), 4294967295)"
+
+
+def _op13() -> str:
+    def add(state: str, cost: str, letter: str, given: str) -> str:
+        return f"CASE WHEN a.{state} IS NOT NULL AND {given} THEN lpad((a.{state}[1:9]::BIGINT + {cost})::VARCHAR, 9, '0') || a.{state}[10:] || '{letter}' END"
+
+    stays, more = "x.f NOT IN (1, 2)", "CASE WHEN x.f = 3 THEN 3 ELSE 0 END"
+    keep = lambda s, role: add(s, f"({more})", "K", f"{stays} AND x.i = '{role}'")
+    rerole = lambda s: add(s, f"(3 + {more})", "R", stays)
+    gone = lambda s: add(s, "4", "D", "true")
+    insert = lambda x: f"lpad(({x}[1:9]::BIGINT + 3)::VARCHAR, 9, '0') || {x}[10:] || 'I'"
+    row = {
+        "o": gone("o"),
+        "s": f"least({gone('s')}, {keep('o', 's')})",
+        "u": f"least({gone('u')}, {', '.join(keep(x, 'u') + ', ' + rerole(x) for x in 'osa')})",
+        "a": f"least({gone('a')}, {keep('u', 'a')}, {rerole('u')})",
+    }
+    # inserts behind the row: a user turn from everywhere but u, then an assistant turn, then a user turn again
+    settle = lambda e: (
+        f"list_transform(list_transform([{e}], lambda a: {{'o': a.o, 's': a.s, 'u': least(a.u, {insert('a.o')}, {insert('a.s')}, {insert('a.a')}), 'a': a.a}}), "
+        f"lambda a: {{'o': a.o, 's': a.s, 'u': a.u, 'a': least(a.a, {insert('a.u')})}})[1]"
+    )
+    step = settle("{" + ", ".join(f"'{k}': {v}" for k, v in row.items()) + "}")
+    first = settle("{'o': '000000000', 's': NULL::VARCHAR, 'u': NULL::VARCHAR, 'a': NULL::VARCHAR}")
+    return rf"""
+WITH o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations),
+k AS (SELECT *, {_CRC} % 20 AS kind FROM o),
+d AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS again
+  FROM k WHERE kind <> 0),
+p AS (
+  SELECT *, row_number() OVER w AS pos, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, again) AS seen, lag(role[1:1]) OVER w AS before
+  FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again)),
+f AS (
+  SELECT *, CASE WHEN regexp_full_match(text, '[ 	-]*') THEN 1 WHEN seen > 1 THEN 2 WHEN rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))[-1:] NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS f
+  FROM p),
+c AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE f = 1) AS blank, count(*) FILTER (WHERE f = 2) AS duplicate, count(*) FILTER (WHERE f = 3) AS truncated,
+    count(*) FILTER (WHERE before || role[1:1] NOT IN ('su', 'ua', 'au')) AS illegal, list({{'f': f, 'i': role[1:1], 'r': role, 't': text}} ORDER BY pos) AS rows
+  FROM f GROUP BY conv_id),
+b AS (SELECT *, least(e.o, e.a) AS best FROM (SELECT *, list_reduce(list_transform(rows, lambda x: {{'a': NULL::STRUCT(o VARCHAR, s VARCHAR, u VARCHAR, a VARCHAR), 'x': x}}),
+    lambda y, z: {{'a': list_transform([{{'a': y.a, 'x': z.x}}], lambda q: list_transform([q.a], lambda a: list_transform([q.x], lambda x: {step})[1])[1])[1], 'x': z.x}},
+    {{'a': {first}, 'x': NULL::STRUCT(f INTEGER, i VARCHAR, r VARCHAR, t VARCHAR)}}).a AS e FROM c)),
+g AS (SELECT *, best[1:9]::BIGINT AS cost, best[10:] AS audit FROM b),
+w AS (
+  SELECT conv_id, rows, audit, unnest(range(1, len(audit) + 1)) AS j FROM g),
+v AS (
+  SELECT conv_id, j, audit[j:j] AS e, rows[len(replace(audit[1:j], 'I', ''))] AS x FROM w WHERE audit[j:j] <> 'D'),
+n AS (
+  SELECT conv_id, j, e, x, row_number() OVER (PARTITION BY conv_id ORDER BY j) - (CASE WHEN first_value(e || x.i) OVER (PARTITION BY conv_id ORDER BY j) = 'Ks' THEN 1 ELSE 0 END) AS nth FROM v),
+t AS (
+  SELECT conv_id, string_agg(CASE e WHEN 'K' THEN x.r ELSE CASE nth % 2 WHEN 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE e WHEN 'I' THEN '' ELSE x.t END, chr(10) ORDER BY j) AS text FROM n GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(t.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
+SQL["op13_cost_to_go_repair"] = _op13()
