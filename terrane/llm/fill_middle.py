@@ -8,8 +8,7 @@ which are put together with sentinels in one of two orders, or left plain.
 The index holds a text once, compressed, however many documents share it, so a group of copies
 of any size moves its text once; the documents' side of the join is ids and digests, which
 adaptive execution splits where one text has many rows. Distinct texts are told apart by all of
-their bytes: rows are grouped by digest and text, and a document whose text doesn't have the
-digest it was joined by is an error.
+their bytes, and a digest that stands for two of them, or for another text, is an error.
 
 Defined cases: null text is empty; an empty text is plain, with no lines; a null doc_id is seeded
 by the empty string; repeated rows get one result each, all alike; bytes that aren't UTF-8 are cut
@@ -87,7 +86,7 @@ def _chars(data: bytes) -> int:
 
 # ---- the index
 
-_TEXTS = pa.schema([("digest", pa.binary()), ("packed", pa.binary())])
+_TEXTS = pa.schema([("packed", pa.binary())])
 _INDEX = pa.schema([("digest", pa.binary()), ("packed", pa.binary()), ("n", pa.int64()), ("low_bits", pa.int32()), ("low", pa.binary()), ("high", pa.binary())])
 _INDEX_DDL = "digest binary, packed binary, n long, low_bits int, low binary, high binary"
 
@@ -97,8 +96,8 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     pack = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        texts = set(batch.column(0).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array(map(pack.compress, texts), pa.binary())], schema=_TEXTS)
+        texts = dict.fromkeys(batch.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(map(pack.compress, texts), pa.binary())], schema=_TEXTS)
 
 
 def _unpack(packed: bytes) -> bytes:
@@ -109,7 +108,7 @@ def _unpack(packed: bytes) -> bytes:
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(d, p, *_entry(_unpack(p))) for d, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        rows = [(hashlib.sha256(text := _unpack(p)).digest(), p, *_entry(text)) for p in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [()] * 6, _INDEX, strict=True)], schema=_INDEX)
 
 
@@ -124,7 +123,7 @@ def _text() -> Column:
 
 def text_index(docs: DataFrame) -> DataFrame:
     """digest, packed, n, low_bits, low, high: each distinct text of docs with its SHA-256, itself compressed, and the list of its line ends."""
-    texts = docs.select(_text().alias("text")).mapInArrow(_packed, "digest binary, packed binary").distinct()
+    texts = docs.select(_text().alias("text")).mapInArrow(_packed, "packed binary").distinct()
     return texts.mapInArrow(_listed, _INDEX_DDL)
 
 
@@ -180,11 +179,11 @@ def fill_in_middle(docs: DataFrame, fim: Fim = Fim(), index: DataFrame | None =
     index: text_index() of the same documents, if it was kept in a table.
     """
     kind = docs.schema["doc_id"].dataType
-    seeds = F.sha2(F.concat(F.lit(f"{fim.seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
-    # the id travels as text: whatever its type is, it comes back as it was
-    rows = docs.select(F.col("doc_id").cast("string").cast("binary").alias("doc_id"), F.unhex(F.sha2(_text(), 256)).alias("digest"), F.array(*(_part(seeds, k) for k in range(4))).alias("h"))
-    met = rows.join(text_index(docs) if index is None else index, "digest")
-    cut = met.select("digest", "doc_id", "h", "packed", "n", "low_bits", "low", "high").mapInArrow(_cutter(fim), "doc_id binary, n long, form string, prefix_chars long, middle_chars long, output binary")
+    # ids become text behind the shuffle: whatever their type is, they come back as they were
+    met = docs.select("doc_id", F.unhex(F.sha2(_text(), 256)).alias("digest")).join(text_index(docs) if index is None else index, "digest")
+    name = F.col("doc_id").cast("string")
+    seeds = F.sha2(F.concat(F.lit(f"{fim.seed}:"), F.coalesce(name, F.lit(""))), 256)
+    cut = met.select("digest", name.cast("binary").alias("doc_id"), F.array(*(_part(seeds, k) for k in range(4))).alias("h"), "packed", "n", "low_bits", "low", "high").mapInArrow(_cutter(fim), "doc_id binary, n long, form string, prefix_chars long, middle_chars long, output binary")
     return cut.select(F.col("doc_id").cast("string").cast(kind).alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.col("output").cast("string").alias("output"))
 
 
