@@ -150,7 +150,7 @@ def _cutter(fim: Fim):  # noqa: ANN202
             size = 0
             for k, digest in enumerate(c["digest"]):
                 packed = held[k].as_py()
-                if packed != last[1]:  # copies follow each other: the join has sorted its rows
+                if (digest, packed) != last[:2]:  # copies follow each other: the join has sorted its rows
                     if digest == last[0] or hashlib.sha256(text := _unpack(packed)).digest() != digest:
                         raise ValueError("a digest stands for two texts, or for another text")
                     last = digest, packed, text
