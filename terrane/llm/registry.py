@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fill_middle, html_extract, line_frequency, lm_score, mixing, near_dup, repair, sharding, sql, token_counts, url_rules
+from . import chat, decontaminate, fill_middle, html_extract, line_frequency, lm_score, mixing, near_dup, pii, repair, sharding, sql, token_counts, url_rules
 from .common import read
 
 
@@ -51,6 +51,16 @@ def op10_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def _equals(k: int) -> Callable[[Column], Column]:
+    return lambda x: x == k
+
+
+def op11_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(read(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter(F.transform("base", lambda e: e.kind), _equals(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op12_distinct_text_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_middle.fill_in_middle(read(spark, sf_dir, "documents"))
     back = fill_middle.restored(F.col("form"), F.col("output"))
@@ -73,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_fast_similarity,
         op9_deleted_interpolation,
         op10_prefix_filter,
+        op11_weak_supervision,
         op12_distinct_text_index,
         op13_cost_to_go_repair,
     )
