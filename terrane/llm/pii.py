@@ -204,7 +204,7 @@ def _votes(kind: int, h: Column) -> list[Column]:
         layout = _vote((F.rlike(s, F.lit(r"^[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}$|^[0-9]{4}([ -])[0-9]{6}\2[0-9]{5}$")), 1), (F.rlike(h.left, F.lit(r"[A-Za-z0-9_=/#-]$")) | F.rlike(h.right, F.lit(r"^[A-Za-z0-9_/]")), -1))
     else:
         code = "|".join(CALLING_CODES)
-        form = _vote((~n.between(7, 15), -1), (F.rlike(s, F.lit(r"^(?:\+|00|\(|0)")) & n.between(9, 15), 1))
+        form = _vote((~n.between(7, 15), -1), (F.rlike(s, F.lit(r"^[+(0]")) & n.between(9, 15), 1), (~F.rlike(s, F.lit(r"^[2-9][0-9]{2}[\x20.-][2-9][0-9]{2}[\x20.-][0-9]{4}$")), -1))
         gazetteer = _vote((F.rlike(s, F.lit(rf"^(?:\+|00)(?:{code})")), 1), (F.rlike(s, F.lit(r"^(?:\+|00)")), -1))
         layout = _vote((F.rlike(s, F.lit(r"^[0-9]{1,2}([./-])[0-9]{1,2}\1[0-9]{2,4}$|^[0-9]{4}([./-])[0-9]{1,2}\2[0-9]{1,2}$|/|^[0-9.]+$")), -1), (F.rlike(s, F.lit(r"[()-]")), 1))
     return [form, gazetteer, context, layout]

@@ -72,7 +72,7 @@ def planted():
         number = f"(212) 555-{d(4)}"
         texts.append(f"You can phone {number} at noon.")
         wanted.append(("phone", number))
-        texts.append(f"It was built on {d(3)} {d(3)} {d(3)} pages and order 555-{d(3)}-{d(3)} of version 1.2.{300 + k}.4 came.")
+        texts.append(f"It was built on {rng.randint(100, 999)} {d(3)} {d(3)} pages and order 555-{d(3)}-{d(3)} of version 1.2.{300 + k}.4 came.")
         wanted.append(())
         texts.append(f"token {d(15)}{'x'} and numbers such as 1234567890123{k:03d}")
         wanted.append(())
