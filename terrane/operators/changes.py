@@ -5,7 +5,7 @@ Right-hand sides see the old row. A condition that is null leaves the row alone.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,10 +22,11 @@ DEFAULT = object()
 
 @dataclass(frozen=True)
 class Change:
-    """state: the table afterwards. returned: the rows the statement inserted, changed or removed, all columns in order."""
+    """state: the table afterwards. returned: the rows the statement inserted, changed or removed, all columns in order. others: states of tables that foreign keys' actions changed."""
 
     state: DataFrame
     returned: DataFrame
+    others: dict[tuple[str, str], DataFrame] = field(default_factory=dict)
 
 
 def _row_scope(t: Table, store: Store) -> X.Scope:

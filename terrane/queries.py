@@ -9,8 +9,9 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import DeclarationError
 from .functions import expressions as X
-from .operators import changes, integrity, routines, security, writes
+from .operators import batches, changes, integrity, routines, security, writes
 from .plans import kinds, lineage, snapshot, validators
 from .plans.query import Select, View, select
 from .sources.catalog import Check, Enum, ForeignKey, Index, Store, Table, column, from_parquet, table
@@ -477,6 +478,97 @@ def _good_orders(w: World) -> DataFrame:
 
 
 query("trigger_write", "SELECT o_orderkey + 1000000000 AS o_orderkey, o_custkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE NOT coalesce(c_acctbal < 0, false)")(_good_orders)
+def _keyed(w: World, on_delete: str = "cascade", on_update: str = "cascade", **more: object) -> tuple[Table, Table, Table, Store]:
+    """Customers, their orders and these orders' line items, with keys between them."""
+    keyed = lambda t, key: {n: c.primary_key() if n == key else c for n, c in t.columns}
+    customer = table("w", "customer", keyed(w.customer, "c_custkey"))
+    orders = table("w", "orders", keyed(w.orders, "o_orderkey"), foreign_keys=(ForeignKey(("o_custkey",), customer.key, ("c_custkey",), on_delete, on_update),), **more)
+    lines = table("w", "lineitem", dict(w.lineitem.columns), foreign_keys=(ForeignKey(("l_orderkey",), orders.key, ("o_orderkey",), "cascade", "cascade"),))
+    store = Store(w.spark)
+    for t in (customer, orders, lines):
+        store.bind(t, w.rows(t.name))
+    return customer, orders, lines, store
+
+
+def _delete_debtors(w: World, on_delete: str) -> writes.changes.Change:
+    customer, _, _, store = _keyed(w, on_delete)
+    return writes.delete(customer, X.lt(customer["c_acctbal"], 0), store)
+
+
+query("write_delete_cascade", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal < 0)")(
+    lambda w: _delete_debtors(w, "cascade").others["w", "lineitem"].select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+)
+query("write_delete_set_null", "SELECT o_orderkey, CASE WHEN c_acctbal < 0 THEN NULL ELSE o_custkey END AS o_custkey FROM orders JOIN customer ON c_custkey = o_custkey")(
+    lambda w: _delete_debtors(w, "set null").others["w", "orders"].select("o_orderkey", "o_custkey")
+)
+
+
+def _outcome(w: World, act: Callable[[], object]) -> str:
+    try:
+        act()
+    except DeclarationError as e:
+        return e.code
+    return "done"
+
+
+def _restrict(w: World) -> DataFrame:
+    """What becomes of deleting debtors, and of customers that nobody has heard of, under restrict and no action."""
+    rows = []
+    for action in ("restrict", "no action"):
+        customer, _, _, store = _keyed(w, action)
+        rows.append((action, "debtors", _outcome(w, lambda: _delete_debtors(w, action))))  # noqa: B023
+        rows.append((action, "strangers", _outcome(w, lambda: writes.delete(customer, X.and_(X.is_null(customer["c_name"]), X.lt(customer["c_acctbal"], 0)), store))))  # noqa: B023
+    return w.spark.createDataFrame(rows, "action string, who string, outcome string")
+
+
+query(
+    "write_restrict",
+    """WITH w AS (SELECT 'debtors' AS who, EXISTS (SELECT 1 FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal < 0) AS held
+  UNION ALL SELECT 'strangers', EXISTS (SELECT 1 FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal < 0 AND c_name IS NULL))
+SELECT a AS action, who, CASE WHEN held THEN 'still-referenced' ELSE 'done' END AS outcome FROM w, (VALUES ('restrict'), ('no action')) x(a)""",
+)(_restrict)
+
+
+def _moved_keys(w: World) -> DataFrame:
+    customer, _, _, store = _keyed(w)
+    done = writes.update(customer, {"c_custkey": X.sql("{} + 1000000", customer["c_custkey"])}, X.lt(customer["c_acctbal"], 0), store)
+    return done.others["w", "orders"].select("o_orderkey", "o_custkey")
+
+
+query("write_update_cascade", "SELECT o_orderkey, CASE WHEN c_acctbal < 0 THEN o_custkey + 1000000 ELSE o_custkey END AS o_custkey FROM orders JOIN customer ON c_custkey = o_custkey")(_moved_keys)
+
+
+def _bad_batch(w: World) -> DataFrame:
+    """All orders once more, some under new keys, against orders that have six constraints."""
+    more = {"checks": (Check("dear", X.gt(w.orders["o_totalprice"], 5000)),), "indexes": (Index((("o_custkey", "asc", None), ("o_orderdate", "asc", None), ("o_totalprice", "asc", None)), unique=True),)}
+    _, orders, _, store = _keyed(w, **more)
+    shifted = F.when(F.col("o_orderstatus") == "O", F.col("o_orderkey") + 1000000000).otherwise(F.col("o_orderkey"))
+    batch = w.rows("orders").select(*(shifted.alias(n) if n == "o_orderkey" else F.expr("o_custkey + IF(o_totalprice > 400000, 1000000000, 0)").alias(n) if n == "o_custkey" else F.expr("nullif(o_orderstatus, 'P')").alias(n) if n == "o_orderstatus" else F.col(n) for n in orders.names()))
+    required = table("w", "orders", {n: c.not_null() if n == "o_orderstatus" else c for n, c in orders.columns}, foreign_keys=orders.foreign_keys, **more)
+    return w.spark.createDataFrame(batches.batch_violations(required, batch, store.read(orders.key), store), "constraint string, n long")
+
+
+query(
+    "write_batch_check",
+    """WITH b AS (SELECT * REPLACE (CASE WHEN o_orderstatus = 'O' THEN o_orderkey + 1000000000 ELSE o_orderkey END AS o_orderkey, CASE WHEN o_totalprice > 400000 THEN o_custkey + 1000000000 ELSE o_custkey END AS o_custkey, nullif(o_orderstatus, 'P') AS o_orderstatus) FROM orders),
+k AS (SELECT o_orderkey AS k, count(*) AS n FROM b GROUP BY 1), i AS (SELECT o_custkey, o_orderdate, o_totalprice, count(*) AS n FROM b GROUP BY 1, 2, 3),
+r AS (
+  SELECT 'not null' AS "constraint", count(*) AS n FROM b WHERE o_orderkey IS NULL OR o_orderstatus IS NULL
+  UNION ALL SELECT 'check dear', count(*) FROM b WHERE NOT coalesce(o_totalprice > 5000, true)
+  UNION ALL SELECT 'primary key', count(*) FROM k WHERE n > 1 OR k IN (SELECT o_orderkey FROM orders)
+  UNION ALL SELECT 'index o_custkey, o_orderdate, o_totalprice', count(*) FROM i WHERE n > 1 OR EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = i.o_custkey AND o.o_orderdate = i.o_orderdate AND o.o_totalprice = i.o_totalprice)
+  UNION ALL SELECT 'foreign key o_custkey', count(DISTINCT o_custkey) FROM b WHERE o_custkey NOT IN (SELECT c_custkey FROM customer))
+SELECT * FROM r WHERE n > 0""",
+)(_bad_batch)
+
+
+def _hidden(w: World) -> DataFrame:
+    """An update that every row may get, by one who may read open orders only."""
+    session = _session(w, [_p("change", X.literal(True), "update"), _p("look", X.eq(w.orders["o_orderstatus"], "O"))])
+    return writes.update(w.orders, {"o_orderpriority": "later"}, X.gt(w.orders["o_totalprice"], 100000), session).state.select("o_orderkey", "o_orderpriority")
+
+
+query("policy_update_hidden", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 AND o_orderstatus = 'O' THEN 'later' ELSE o_orderpriority END AS o_orderpriority FROM orders")(_hidden)
 query("trigger_update_of", "SELECT true AS price, false AS status")(lambda w: w.spark.createDataFrame([(_depth_trigger(w).fires("update", ("o_totalprice",)), _depth_trigger(w).fires("update", ("o_orderstatus",)))], "price boolean, status boolean"))
 query("fn_raise", "SELECT c_custkey, 'customer ' || c_custkey || ' owes' AS message FROM customer WHERE c_acctbal < -500")(
     lambda w: routines.Trigger("debt", w.customer, ("insert",), rules=((X.lt(X.local("new.c_acctbal"), -500), "customer % owes", (X.local("new.c_custkey"),)),)).refused(w.rows("customer"), w.store).select("c_custkey", "message")

@@ -228,12 +228,15 @@ class Store:
 
     def __init__(self, spark: SparkSession, sources: dict[tuple[str, str], Callable[[], DataFrame]] | None = None):
         self.spark, self.sources = spark, dict(sources or {})
+        #: Declarations of the tables that were bound.
+        self.tables: dict[tuple[str, str], Table] = {}
 
     def bind(self, table_: Table, source: Callable[[], DataFrame] | DataFrame | str) -> Store:
         """source: a DataFrame, a function that returns one, or the path of a Parquet table, read with the declared types."""
         if isinstance(source, str):
             path = source
             source = lambda: self.spark.read.parquet(path)
+        self.tables[table_.key] = table_
         self.sources[table_.key] = source if callable(source) and not isinstance(source, DataFrame) else lambda: source
         return self
 

@@ -302,6 +302,92 @@ def test_trigger_bodies_and_writes(spark):
     assert writes.update(comments, {"body": "z"}, None, other).returned.count() == 0 and writes.delete(comments, None, other).state.count() == 2
 
 
+def family(spark, **actions):
+    """Parents, their children, these children's toys, and a tree."""
+    parent = table("app", "parent", {"id": column("integer").primary_key(), "name": column("text")})
+    child = table("app", "child", {"id": column("integer").primary_key(), "pid": column("integer").default(1)}, foreign_keys=(ForeignKey(("pid",), parent.key, ("id",), actions.get("on_delete", "cascade"), actions.get("on_update", "cascade")),))
+    toy = table("app", "toy", {"cid": column("integer").not_null()}, foreign_keys=(ForeignKey(("cid",), child.key, ("id",), actions.get("toys", "cascade")),))
+    tree = table("app", "tree", {"id": column("integer").primary_key(), "up": column("integer")}, foreign_keys=(ForeignKey(("up",), ("app", "tree"), ("id",), "cascade", "cascade"),))
+    rows = {parent: [(1, "a"), (2, "b"), (3, "c")], child: [(10, 1), (20, 2), (21, 2), (30, None)], toy: [(10,), (20,)], tree: [(1, None), (2, 1), (3, 2), (4, None)]}
+    store = Store(spark)
+    for t, r in rows.items():
+        store.bind(t, spark.createDataFrame(r, t.struct()))
+    return parent, child, toy, tree, store
+
+
+def held(done, *keys):
+    return [sorted(tuple(r) for r in (done.others[k] if k else done.state).collect()) for k in keys]
+
+
+def test_foreign_keys_of_others_are_followed(spark):
+    from terrane.operators import writes
+
+    parent, child, toy, tree, store = family(spark)
+    done = writes.delete(parent, X.eq(parent["id"], 2), store)
+    assert held(done, None, child.key, toy.key) == [[(1, "a"), (3, "c")], [(10, 1), (30, None)], [(10,)]]
+    assert writes.delete(parent, X.eq(parent["id"], 3), store).others == {}
+    done = writes.update(parent, {"id": X.sql("{} + 7", parent["id"])}, None, store)
+    assert held(done, child.key) == [[(10, 8), (20, 9), (21, 9), (30, None)]] and toy.key not in done.others
+    assert held(writes.delete(tree, X.eq(tree["id"], 1), store), None) == [[(4, None)]]
+    assert [(r.id, r.up) for r in writes.update(tree, {"id": X.sql("{} + 10", tree["id"])}, None, store).state.orderBy("id").collect()] == [(11, None), (12, 11), (13, 12), (14, None)]
+    # a cascade that is refused further down, and actions that clear a key
+    for actions in ({"on_delete": "restrict"}, {"on_delete": "no action"}, {"toys": "restrict"}):
+        parent, child, toy, tree, store = family(spark, **actions)
+        fails("still-referenced", lambda: writes.delete(parent, X.eq(parent["id"], 2), store))  # noqa: B023
+        assert writes.delete(parent, X.eq(parent["id"], 3), store).state.count() == 2
+    for action in ("restrict", "no action"):
+        parent, child, toy, tree, store = family(spark, on_update=action)
+        fails("still-referenced", lambda: writes.update(parent, {"id": 9}, X.eq(parent["id"], 2), store))  # noqa: B023
+        assert writes.update(parent, {"name": "z"}, None, store).others == {}
+    parent, child, toy, tree, store = family(spark, on_delete="set null")
+    assert held(writes.delete(parent, None, store), None, child.key) == [[], [(10, None), (20, None), (21, None), (30, None)]]
+    parent, child, toy, tree, store = family(spark, on_delete="set default")
+    assert held(writes.delete(parent, X.eq(parent["id"], 2), store), child.key) == [[(10, 1), (20, 1), (21, 1), (30, None)]]
+    fails("constraint-violated", lambda: writes.delete(parent, None, store))  # the default is gone as well
+
+
+def test_keys_that_come_back_block_nothing(spark):
+    from terrane.operators import writes
+
+    parent, child, toy, tree, store = family(spark, on_update="no action")
+    swap = X.sql("CASE {} WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 3 END", parent["id"])
+    assert writes.update(parent, {"id": swap}, None, store).state.count() == 3
+
+
+def test_batches_are_checked_against_themselves_and_the_rest(spark):
+    from terrane.operators import batches, writes
+
+    t = table(
+        "app", "t", {"id": column("integer").primary_key(), "a": column("text").not_null(), "b": column("double precision").unique(), "up": column("integer")},
+        checks=(Check("short", X.lt(X.call("length", X.ref("app", "t", "a")), 3)),), indexes=(Index((("a", "asc", None),), unique=True, where=X.gt(X.ref("app", "t", "up", "numeric"), 0)),), foreign_keys=(ForeignKey(("up",), ("app", "t"), ("id",)),),
+    )
+    rest = spark.createDataFrame([(1, "x", 0.0, None), (2, "y", None, 1)], t.struct())
+    store = Store(spark).bind(t, rest)
+    frame = lambda rows: spark.createDataFrame(rows, "id int, a string, b double, up int")
+    bad = frame([(1, "p", -0.0, None), (3, None, 5.0, 9), (3, "long", 5.0, 3), (4, "y", None, 2), (None, "q", None, None)])
+    assert dict(batches.batch_violations(t, bad, rest, store)) == {"not null": 2, "primary key": 2, "unique b": 2, "index a": 1, "check short": 1, "foreign key up": 1}
+    assert batches.batch_violations(t, frame([(5, "z", 1.0, 6), (6, "w", 2.0, 1)]), rest, store) == []
+    # the table is scanned for its keys only, and once
+    scans = []
+    seen = Store(spark).bind(t, lambda: scans.append(1) or rest)
+    assert writes.insert(t, frame([(5, "z", 1.0, None)]), seen).state.count() == 3
+    assert len(scans) == 2  # the old rows for their keys; numbering needs none, the new state holds them
+
+
+def test_updates_reach_what_may_be_read(spark):
+    from terrane.operators import writes
+
+    t = table("app", "notes", {"id": column("integer").primary_key(), "owner": column("integer")})
+    store = Store(spark).bind(t, spark.createDataFrame([(1, 1), (2, 2)], t.struct()))
+    policies = (security.Policy("w", "update", ("public",), using=X.literal(True)), security.Policy("d", "delete", ("public",), using=X.literal(True)), security.Policy("i", "insert", ("public",), with_check=X.literal(True)), security.Policy("r", "select", ("public",), using=X.eq(t["owner"], 1)))
+    session = security.Session(store, "user", [security.Protected(t, policies)])
+    done = writes.update(t, {"id": X.sql("{} + 10", t["id"])}, None, session)
+    assert sorted(tuple(r) for r in done.state.collect()) == [(2, 2), (11, 1)] and [r.id for r in done.returned.collect()] == [11]
+    assert [r.id for r in writes.delete(t, None, session).state.collect()] == [2]
+    done = writes.insert(t, spark.createDataFrame([(5, 1), (6, 2)], t.struct()), session)
+    assert done.state.count() == 4 and [r.id for r in done.returned.collect()] == [5]
+
+
 def test_loops(spark):
     posts_, comments, store = blog(spark)
 
