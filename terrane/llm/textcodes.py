@@ -1,13 +1,15 @@
 """Words of many texts as 64-bit codes, computed on whole byte buffers with numpy.
 
-Words are runs of bytes other than 0x20 and 0x09-0x0D, with A-Z lowered. A code is a
-polynomial hash of the word's bytes, mixed; equal words have equal codes, and unequal ones
-share a code with a chance of about 2**-64 a pair.
+Words are runs of bytes other than 0x20 and 0x09-0x0D, with A-Z lowered. Equal words have equal
+codes. The code of a word up to 64 bytes is a polynomial hash modulo 2**64 of its bytes, mixed:
+such polynomials collide only for far longer words, built for it. A longer word's code is a digest
+(BLAKE2b, 8 bytes). Unequal words share a code with a chance of about 2**-64 a pair.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 
@@ -16,6 +18,8 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _K = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407], dtype=np.uint64)
 #: Bytes that are coded at once; a longer text is one piece of its own.
 PIECE = 1 << 20
+#: Bytes from which on a word is digested; polynomials of structured words collide from some hundreds on.
+LONG = 64
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -47,7 +51,10 @@ def _codes(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64, out=total[1:])
     raw = (total[ends] - total[starts]) * down[starts]
-    return mix(raw + (ends - starts).astype(np.uint64) * _K[2]), starts
+    codes = mix(raw + (ends - starts).astype(np.uint64) * _K[2])
+    for k in np.flatnonzero(ends - starts > LONG):
+        codes[k] = int.from_bytes(blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return codes, starts
 
 
 def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

@@ -76,6 +76,37 @@ def test_template_text(spark):
     assert end in html_extract.extract_page(rows[0][2], set(), [])
 
 
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_copies_of_an_article_stay(spark):
+    """Three pages of seven have one article and different adverts; a block of the menu's stands in some articles."""
+    story = "The council voted on the bridge over the river last night after long debate"
+    own = lambda k: f"Story {k} about topic{k} and its people number{k}"
+    rows = [(k, "http://copy.example/", f"<body><p>Read more of our best stories here</p><div class=z><p>advert number {k} buy it</p></div><article><h1>Bridge</h1><p>{story}</p><p>Read more of our best stories here</p></article></body>") for k in range(3)]
+    rows += [(k, "http://copy.example/", f"<body><p>Read more of our best stories here</p><div class=z><p>advert number {k} buy it</p></div><article><p>{own(k)}</p></article></body>") for k in range(3, 7)]
+    rows += [(20 + k, "http://role.example/", f"<body><div>advert {k}</div><div role=main><p>{story}</p></div></body>") for k in range(4)]
+    want = {k: f"Bridge {story}" for k in range(3)} | {k: own(k) for k in range(3, 7)} | {20 + k: story for k in range(4)}
+    assert extracted(spark, rows) == want
+
+
+def test_template_words_inside_blocks(spark):
+    names = "ada bob cem dua eva fay".split()
+    rows = [(k, "http://w.example/", f"<body><div><p>Written by {n} in the forum subscribe to our newsletter today</p><p>Thoughts of {n}: item{k} thing{k} word{k}</p></div></body>") for k, n in enumerate(names)]
+    assert extracted(spark, rows) == {k: f"Written by {n} Thoughts of {n}: item{k} thing{k} word{k}" for k, n in enumerate(names)}
+
+
+def test_slots_of_words():
+    e = html_extract.Element("p", 1, False, 0, None)
+    template = {html_extract._threes(e, "a b c d e".split())[k] for k in (2, 3)}
+    assert html_extract.slot(e, "a b c d e", template) == "a"
+    assert html_extract.slot(e, "b c d x", template) == "x"
+    assert html_extract.slot(e, "q d e", {html_extract._threes(e, ["q", "d", "e"])[2]}) == "q d e"  # two words are no run
+    assert html_extract.slot(html_extract.Element("p", 1, False, 0, None, within=True), "a b c d e", template) == "a b c d e"
+    assert html_extract.block_tokens(html_extract.Element("p", 1, True, 0, None), "menu") == {}
+
+
 def test_chats(spark):
     rng = random.Random(2)
     talks = {k: [(("user", "assistant")[j % 2], rng.choice("abcdef") * 3) for j in range(rng.randint(1, 6))] for k in range(60)}
@@ -415,10 +446,9 @@ def brute_template(pages, deduction):
         size = dict.fromkeys(elements, 1)
         texts = set()
         for e, block in blocks:
-            if not e.aside:
-                key = html_extract._text_key(e, block)
+            for key, words in html_extract.block_tokens(e, block).items():
                 seen[key] += 1
-                size[key] = len(block.split(" "))
+                size[key] = words
                 texts.add(key)
         profiles.append((seen, size, texts))
     classes = defaultdict(list)

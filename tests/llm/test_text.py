@@ -285,3 +285,16 @@ def test_copies_of_a_text_count_once(spark):
     got = line_frequency.quality(frame(spark, rows), limits).collect()
     assert Counter(map(tuple, got)) == Counter(brute_quality(rows, limits))
     assert all(r.n_words_left == 60 and r.kept for r in got)
+
+
+def test_codes_of_structured_long_words():
+    """Thue-Morse words and their complements, whose polynomial hashes agree modulo any power of two from some length on."""
+    made = []
+    for n in range(4, 14):
+        bits = [bin(k).count("1") & 1 for k in range(1 << n)]
+        made += ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits), "x" + "".join("ab"[b] for b in bits)]
+    codes, counts = textcodes.words([" ".join(made), *made])
+    assert len(set(codes[: len(made)].tolist())) == len(made) and codes[: len(made)].tolist() == codes[len(made) :].tolist()
+    assert counts.tolist() == [len(made)] + [1] * len(made)
+    upper, _ = textcodes.words([made[-1].upper()])
+    assert upper[0] == codes[-1]
