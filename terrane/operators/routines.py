@@ -90,11 +90,12 @@ class Body:
         self.statements.append(Statement("for_each", (name, query, tuple(inner.statements))))
 
 
-def _plain(x: Any) -> Any:
+def plain(x: Any) -> Any:
+    """A recording as lists and JSON values."""
     if isinstance(x, Statement):
-        return [x.kind, _plain(x.parts)]
+        return [x.kind, plain(x.parts)]
     if isinstance(x, (tuple, list)):
-        return [_plain(y) for y in x]
+        return [plain(y) for y in x]
     if isinstance(x, (X.Expr, Select, Change)):
         return X.encode(x)
     return repr(x) if not isinstance(x, (str, int, float, bool, type(None))) else x
@@ -102,7 +103,7 @@ def _plain(x: Any) -> Any:
 
 def body_hash(statements: tuple[Statement, ...]) -> str:
     """Names a body by what it does: equal recordings have equal hashes."""
-    return hashlib.sha256(json.dumps(_plain(statements), sort_keys=True).encode()).hexdigest()[:16]
+    return hashlib.sha256(json.dumps(plain(statements), sort_keys=True).encode()).hexdigest()[:16]
 
 
 def record(body: Callable[..., None], arguments: dict[str, X.Expr]) -> tuple[Statement, ...]:
@@ -111,7 +112,7 @@ def record(body: Callable[..., None], arguments: dict[str, X.Expr]) -> tuple[Sta
         b = Body(set(arguments))
         body(b, **arguments)
         runs.append(tuple(b.statements))
-    require(json.dumps(_plain(runs[0])) == json.dumps(_plain(runs[1])), "not-deterministic", "the body records different statements each time")
+    require(json.dumps(plain(runs[0])) == json.dumps(plain(runs[1])), "not-deterministic", "the body records different statements each time")
     return runs[0]
 
 

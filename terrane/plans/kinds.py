@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..errors import require
 from ..functions import expressions as X
-from ..operators.routines import Routine, RowTrigger, body_hash
+from ..operators.routines import Routine, RowTrigger, body_hash, plain
 from ..operators.security import Protected
 from ..sources.catalog import Enum, Table
 from . import snapshot as S
@@ -58,10 +58,10 @@ def expand(
     for v in views:
         rows.append(("view", f"{v.schema}.{v.name}", {"columns": v.query.columns(), "query": v.query.encoded(), "security_invoker": v.security_invoker}))
     for schema, r in routines:
-        rows.append(("function", f"{schema}.{r.name}", {"arguments": [list(a) for a in r.arguments], "returns": "rows", "definer": r.definer, "body": body_hash(r.statements)}))
+        rows.append(("function", f"{schema}.{r.name}", {"arguments": [list(a) for a in r.arguments], "returns": "rows", "definer": r.definer, "body": body_hash(r.statements), "source": plain(r.statements)}))
     for t in triggers:
         owner = f"{t.table.schema}.{t.table.name}"
-        rows.append(("function", f"{t.table.schema}.{t.table.name}_{t.name}", {"arguments": [], "returns": "trigger", "definer": False, "body": body_hash(t.statements)}))
+        rows.append(("function", f"{t.table.schema}.{t.table.name}_{t.name}", {"arguments": [], "returns": "trigger", "definer": False, "body": body_hash(t.statements), "source": plain(t.statements), "table": owner}))
         rows.append(("trigger", f"{owner}.{t.name}", {"table": owner, "function": f"{t.table.name}_{t.name}", "timing": t.timing, "events": sorted(t.events), "update_of": list(t.update_of)}))
     for p in protected:
         owner = f"{p.table.schema}.{p.table.name}"

@@ -195,60 +195,18 @@ def rename_candidates(columns: DataFrame) -> DataFrame:
 
 
 def apply_renames(rows: list[tuple[str, str, str]], renames: list[Rename]) -> list[tuple[str, str, str]]:
-    """A snapshot as if the renames had been made before: names, and every reference to them in stored conditions and keys."""
-    tables: dict[tuple[str, str], tuple[str, str]] = {}
-    columns: dict[tuple[str, str, str], str] = {}
+    """Rows of a small snapshot at hand as if the renames had been made before; renames.renamed() is the same for DataFrames."""
+    from .renames import Names, rewritten
+
     known = {i: json.loads(n) for k, i, n in rows if k == "table"}
     for r in renames:
         require(r.identity in known, "unknown-rename", f"{r.identity} is no table of the snapshot")
-        schema, name = r.identity.split(".")
-        if r.of == "table":
-            tables[schema, name] = (schema, r.new)
-        else:
-            require(r.old in [c["name"] for c in known[r.identity]["columns"]], "unknown-rename", f"{r.identity} has no column {r.old}")
-            columns[schema, name, r.old] = r.new
-
-    def fix(x: Any, own: tuple[str, str]) -> Any:
-        if isinstance(x, dict) and "op" in x:
-            return X.encode(X.retarget(X.decode(x), tables, columns))
-        return x
-
-    def column(key: tuple[str, str], name: str) -> str:
-        return columns.get((*key, name), name)
-
+        require(r.of == "table" or r.old in [c["name"] for c in known[r.identity]["columns"]], "unknown-rename", f"{r.identity} has no column {r.old}")
+    names = Names.of((r.of, r.identity, r.old, r.new) for r in renames)
     out = []
     for kind, identity, node in rows:
-        if kind == "table":
-            key, n = tuple(identity.split(".")), json.loads(node)
-            to = tables.get(key, key)
-            for c in n["columns"]:
-                c["name"], c["default"] = column(key, c["name"]), fix(c["default"], key)
-            for i in n["indexes"]:
-                derived = "_".join((key[1], *(c[0] for c in i["columns"]), "idx"))
-                i["columns"] = [[column(key, c[0]), *c[1:]] for c in i["columns"]]
-                i["where"] = fix(i["where"], key)
-                if i["name"] == derived:
-                    i["name"] = "_".join((to[1], *(c[0] for c in i["columns"]), "idx"))
-            for f in n["foreign_keys"]:
-                derived, target = "_".join((key[1], *f["columns"], "fk")), tuple(f["target"])
-                f["columns"] = [column(key, c) for c in f["columns"]]
-                f["target_columns"] = [column(target, c) for c in f["target_columns"]]
-                f["target"] = list(tables.get(target, target))
-                if f["name"] == derived:
-                    f["name"] = "_".join((to[1], *f["columns"], "fk"))
-            for c in n["checks"]:
-                c["condition"] = fix(c["condition"], key)
-            out.append((kind, ".".join(to), canonical(n)))
-        elif kind == "sequence":
-            schema, name = identity.split(".")
-            owner = json.loads(node)["table"]
-            to, moved = tables.get((schema, owner), (schema, owner)), name
-            for (s, t, old), new in [*columns.items(), *(((schema, owner, c["name"]), column((schema, owner), c["name"])) for c in known.get(f"{schema}.{owner}", {"columns": []})["columns"])]:
-                if (s, t) == (schema, owner) and name == f"{owner}_{old}_seq":
-                    moved = f"{to[1]}_{new}_seq"
-            out.append((kind, f"{schema}.{moved}", canonical({"table": to[1]})))
-        else:
-            out.append((kind, identity, node))
+        new, changed = rewritten(kind, identity, json.loads(node), names)
+        out.append((kind, new, canonical(changed)))
     return sorted(out)
 
 

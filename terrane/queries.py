@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import DeclarationError
 from .functions import expressions as X
 from .operators import batches, changes, integrity, routines, security, writes
-from .plans import kinds, lineage, snapshot, validators
+from .plans import kinds, lineage, renames, snapshot, validators
 from .plans.query import Select, View, select
 from .sources.catalog import Check, Enum, ForeignKey, Index, Store, Table, column, from_parquet, table
 
@@ -706,3 +707,77 @@ query("warn_reserved", "SELECT 'reserved-schema' AS code, 'error' AS severity, '
 query("warn_view_invoker", "SELECT 'view-past-policies' AS code, 'warning' AS severity, 'app.v1' AS identity")(
     lambda w: validators.views_past_policies(w.spark.sql("select * from values ('app.v1', false, array('app.posts')), ('app.v2', true, array('app.posts')), ('app.v3', false, array('app.tags')) t(identity, security_invoker, tables)"), w.spark.sql("select 'app' schema, 'posts' table"))
 )
+
+
+# Renames over a catalog of several rows for each part: templates give Spark the rows before, and SQL those after.
+
+_REF = '{"args":["app","%t","%c"],"family":"numeric","op":"ref"}'
+_IS = '{"args":[' + _REF + ',{"args":["number",1],"family":"numeric","op":"literal"}],"family":"boolean","op":"gt"}'
+_COL = '{"default":null,"dimensions":0,"length":[],"name":"%c","nullable":true,"primary":false,"type":"bigint","unique":false}'
+_KEY = _COL.replace('"%c"', '"id"').replace('"nullable":true,"primary":false', '"nullable":false,"primary":true')
+_TEMPLATES = {
+    "table": ("app.%t", '{"checks":[{"condition":' + _IS + ',"name":"some"}],"columns":[' + _KEY + "," + _COL + '],"foreign_keys":[{"columns":["%c"],"name":"%t_%c_fk","on_delete":"cascade","on_update":"no action","target":["app","%t"],"target_columns":["id"]}],"indexes":[{"columns":[["%c","asc",null]],"name":"%t_%c_idx","unique":false,"where":null},{"columns":[["id","asc",null]],"name":"own%k","unique":true,"where":' + _IS + "}]}"),
+    "sequence": ("app.%t_%c_seq", '{"table":"%t"}'),
+    "rls": ("app.%t", '{"force":true}'),
+    "policy": ("app.%t.look", '{"check":null,"command":"select","restrictive":false,"roles":["a"],"using":' + _IS + "}"),
+    "trigger": ("app.%t.watch", '{"events":["update"],"function":"%t_watch","table":"app.%t","timing":"before","update_of":["%c"]}'),
+    "grant": ("app.tables.%t.reader", '{"privileges":["select"]}'),
+    "view": ("app.v%k", '{"columns":["x"],"query":{"base":["app","%t"],"condition":' + _IS + ',"count":null,"joins":[],"order":[],"projection":[["x",' + _REF + ']]},"security_invoker":true}'),
+}
+
+
+def _filled(template: str, sql: bool, t: str, c: str, k: str) -> str | Column:
+    """The template with columns in its gaps, as a Spark column or as SQL."""
+    values = {"%t": t, "%c": c, "%k": k}
+    parts = [x for x in re.split("(%[tck])", template) if x]
+    if sql:
+        return " || ".join(f"({values[x]})::VARCHAR" if x in values else "'" + x.replace("'", "''") + "'" for x in parts)
+    return F.concat(*(F.expr(values[x]).cast("string") if x in values else F.lit(x) for x in parts))
+
+
+def _mentioned(w: World) -> DataFrame:
+    each = [F.struct(F.lit(kind).alias("kind"), _filled(i, False, "'t' || p_partkey", "'c'", "p_partkey").alias("identity"), _filled(n, False, "'t' || p_partkey", "'c'", "p_partkey").alias("node")) for kind, (i, n) in _TEMPLATES.items()]
+    return w.rows("part").select(F.inline(F.array(*each)))
+
+
+def _part_renames(w: World) -> DataFrame:
+    """Tables of parts of even size get a new name, and of parts of sizes that 3 divides the column does."""
+    of = F.array(F.when(F.col("p_size") % 2 == 0, F.struct(F.lit("table").alias("of"), F.expr("'t' || p_partkey").alias("old"), F.expr("'r' || p_partkey").alias("new"))), F.when(F.col("p_size") % 3 == 0, F.struct(F.lit("column").alias("of"), F.lit("c").alias("old"), F.expr("'d' || p_size").alias("new"))))
+    return w.rows("part").select(F.expr("'app.t' || p_partkey").alias("identity"), F.explode(of).alias("r")).where("r is not null").select("r.of", "identity", "r.old", "r.new")
+
+
+_NEW_T, _NEW_C = "CASE WHEN p_size % 2 = 0 THEN 'r' ELSE 't' END || p_partkey", "CASE WHEN p_size % 3 = 0 THEN 'd' || p_size ELSE 'c' END"
+query("rename_cascade", " UNION ALL ".join(f"SELECT '{kind}' AS kind, {_filled(i, True, _NEW_T, _NEW_C, 'p_partkey')} AS identity, md5({_filled(n, True, _NEW_T, _NEW_C, 'p_partkey')}) AS node FROM part" for kind, (i, n) in _TEMPLATES.items()))(
+    lambda w: renames.renamed(_mentioned(w), _part_renames(w)).select("kind", "identity", F.md5("node").alias("node"))
+)
+
+
+def _one_column(w: World, t: str, column_: str, where: str) -> DataFrame:
+    """Tables of parts with a check that holds the part's number for odd sizes, so their definitions differ, and its size for even ones."""
+    mark = "CASE WHEN p_size % 2 = 1 THEN 'k' || p_partkey ELSE 's' || p_size END"
+    node = _filled('{"checks":["%k"],"columns":[' + _KEY + "," + _COL + '],"foreign_keys":[],"indexes":[]}', False, "''", column_, mark)
+    return w.rows("part").where(where).select(F.lit("table").alias("kind"), F.expr(f"'app.' || {t}").alias("identity"), node.alias("node"))
+
+
+def _planned(w: World) -> DataFrame:
+    """Before: t and the part's number. After: those that 7 divides are r and the number (named for sizes over 45), those that 11 divides are gone (meant for sizes over 25), of others those that 5 divides have another column."""
+    before = _one_column(w, "'t' || p_partkey", "'c'", "true")
+    after = _one_column(w, "CASE WHEN p_partkey % 7 = 0 THEN 'r' ELSE 't' END || p_partkey", "CASE WHEN p_partkey % 7 > 0 AND p_partkey % 5 = 0 THEN 'd' ELSE 'c' END", "p_partkey % 7 = 0 or p_partkey % 11 > 0")
+    part = w.rows("part")
+    named = part.where("p_partkey % 7 = 0 and p_size > 45").selectExpr("'table' as of", "'app' as identity", "'t' || p_partkey as old", "'r' || p_partkey as new").union(part.where("p_partkey % 7 > 0 and p_partkey % 11 > 0 and p_size = 1").selectExpr("'column'", "'app.t' || p_partkey", "'gone'", "'d'"))
+    drops = part.where("p_partkey % 7 > 0 and p_partkey % 11 = 0 and p_size > 25").selectExpr("'table' as of", "'app' as identity", "'t' || p_partkey as name")
+    return renames.plan(before, after, named, drops)
+
+
+query(
+    "rename_plan",
+    """WITH p AS (SELECT p_partkey AS k, p_size AS x, CASE WHEN p_size % 2 = 1 THEN 'k' || p_partkey ELSE 's' || p_size END AS d FROM part),
+lost AS (SELECT * FROM p WHERE k % 7 = 0 AND x <= 45 OR k % 7 > 0 AND k % 11 = 0 AND x <= 25), came AS (SELECT * FROM p WHERE k % 7 = 0 AND x <= 45),
+g AS (SELECT d, count(*) AS n FROM lost GROUP BY d), h AS (SELECT d, count(*) AS n FROM came GROUP BY d)
+SELECT 'table' AS of, 'app' AS identity, 't' || lost.k AS old, 'r' || came.k AS new, CASE WHEN g.n = 1 AND h.n = 1 THEN 'matched' ELSE 'ambiguous' END AS verdict FROM lost JOIN came USING (d) JOIN g USING (d) JOIN h USING (d)
+UNION ALL SELECT 'table', 'app', 't' || k, NULL, 'unconfirmed' FROM lost WHERE d NOT IN (SELECT d FROM came)
+UNION ALL SELECT 'table', 'app', 't' || k, 'r' || k, 'named' FROM p WHERE k % 7 = 0 AND x > 45
+UNION ALL SELECT 'table', 'app', 't' || k, NULL, 'confirmed' FROM p WHERE k % 7 > 0 AND k % 11 = 0 AND x > 25
+UNION ALL SELECT 'column', 'app.t' || k, 'c', 'd', 'matched' FROM p WHERE k % 7 > 0 AND k % 11 > 0 AND k % 5 = 0
+UNION ALL SELECT 'column', 'app.t' || k, 'gone', 'd', 'unknown' FROM p WHERE k % 7 > 0 AND k % 11 > 0 AND x = 1""",
+)(_planned)

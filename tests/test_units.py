@@ -388,6 +388,54 @@ def test_updates_reach_what_may_be_read(spark):
     assert done.state.count() == 4 and [r.id for r in done.returned.collect()] == [5]
 
 
+def catalog(spark, posts_name, status):
+    """Declarations in which one table and one of its columns have these names, as snapshot rows."""
+    from terrane.plans import kinds
+    from terrane.plans.query import View
+
+    posts_ = table("app", posts_name, {"id": column("serial").primary_key(), status: column("text").not_null()}, indexes=(Index(((status, "asc", None),)),))
+    comments = table("app", "comments", {"id": column("integer").primary_key(), "post": column("integer")}, foreign_keys=(ForeignKey(("post",), posts_.key, ("id",)),))
+    view = View("app", "live", select({"id": posts_["id"]}, posts_).where(X.exists(select(comments).where(X.eq(comments["post"], posts_["id"])))))
+
+    def body(ctx, new, old):
+        post = ctx.row(select(posts_).where(X.eq(posts_["id"], new["id"])), "post")
+        ctx.if_((X.eq(post[status], new[status]), lambda c: c.raise_("% is the same", old[status])), (None, lambda c: c.return_row("new")))
+
+    rule = routines.trigger("watch", posts_, ("update",), body, update_of=(status,))
+    shielded = security.Protected(comments, (security.Policy("own", "select", ("public",), using=X.exists(select(posts_).where(X.eq(posts_["id"], comments["post"])))),))
+    own = security.Protected(posts_, (security.Policy("live", "update", ("public",), using=X.eq(posts_[status], "live")),))
+    purge = routines.routine("purge", {"s": "text"}, lambda ctx, s: ctx.return_query(routines.Change("delete", posts_, X.eq(posts_[status], s))))
+    grants = [{"schema": "app", "kind": "tables", "object": posts_name, "roles": ["a", "b"], "privileges": ["select"]}, {"schema": "app", "kind": "usage", "roles": ["a"], "privileges": ["usage"]}]
+    return kinds.expand(tables=[posts_, comments], views=[view], routines=[("app", purge)], triggers=[rule], protected=[shielded, own], grants=grants)
+
+
+def test_renames_leave_no_difference(spark):
+    from terrane.plans import renames
+
+    before, after = (snapshot.snapshot(spark, catalog(spark, *names)) for names in (("posts", "status"), ("articles", "state")))
+    given = spark.createDataFrame([("table", "app.posts", "posts", "articles"), ("column", "app.posts", "status", "state")], renames.RENAMES)
+    assert snapshot.diff(before, after).count() > 10
+    assert snapshot.diff(renames.renamed(before, given), after).collect() == []
+    assert sorted(snapshot.apply_renames(catalog(spark, "posts", "status"), [snapshot.Rename(*r) for r in given.collect()])) == sorted(catalog(spark, "articles", "state"))
+    fails("unknown-rename", lambda: renames.renamed(before, spark.createDataFrame([("table", "app.nope", "nope", "x")], renames.RENAMES)))
+    fails("unknown-rename", lambda: renames.renamed(before, spark.createDataFrame([("column", "app.posts", "nope", "x")], renames.RENAMES)))
+
+
+def test_rename_plan_settles(spark):
+    from terrane.plans import renames
+
+    make = lambda *tables: snapshot.snapshot(spark, snapshot.expand(tables))
+    t = lambda name, *columns: table("app", name, {"id": column("integer").primary_key(), **{c: column("text") for c in columns}})
+    before, after = make(t("a", "x"), t("b", "x", "y"), t("c")), make(t("n", "x"), t("b", "z", "y"))
+    named = spark.createDataFrame([], "of string, identity string, old string, new string")
+    drops = lambda *names: spark.createDataFrame([("table", "app", n) for n in names], "of string, identity string, name string")
+    fails("open-rename", lambda: renames.settled(renames.plan(before, after, named, drops())))
+    found = renames.settled(renames.plan(before, after, named, drops("c")))
+    assert sorted(map(tuple, found.collect())) == [("column", "app.b", "x", "z"), ("table", "app.a", "a", "n")]
+    left = snapshot.diff(renames.renamed(before, found), after)
+    assert [(r.kind, r.identity, r.operation) for r in left.collect()] == [("table", "app.c", "drop")]
+
+
 def test_loops(spark):
     posts_, comments, store = blog(spark)
 
