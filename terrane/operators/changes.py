@@ -115,22 +115,37 @@ def sortable(kind: T.DataType) -> bool:
     return not isinstance(kind, (T.VariantType, T.MapType))
 
 
-def first_of_each(new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Of new rows with equal keys the first in order, then by the other columns that can be ordered; null keys equal nothing. Partial results are combined before the shuffle."""
+def _complete(keys: list[str]) -> Column:
     complete = F.lit(True)
     for k in keys:
         complete = complete & F.col(k).isNotNull()
-    terms = [*order, *(f.name for f in new.schema.fields if f.name not in order and sortable(f.dataType))]
-    first = F.min_by(F.struct(*new.columns), F.struct(*terms)).alias("_r")
-    one = new.where(complete).groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(first).select("_r.*").select(*new.columns)
-    return one.unionByName(new.where(~complete))
+    return complete
+
+
+def _first(rows: DataFrame, keys: list[str], order: list[str], ahead: Column | None = None) -> DataFrame:
+    """Of rows with equal keys the first by ahead, then in order, then by the other columns that can be ordered; null keys equal nothing.
+
+    Each task leaves one row a key before the shuffle, and rows with null keys are keyed one by one, so no key gathers rows.
+    """
+    terms = [*order, *(f.name for f in rows.schema.fields if f.name not in order and sortable(f.dataType))]
+    lone = rows.withColumn("_lone", F.when(_complete(keys), F.lit(-1)).otherwise(F.monotonically_increasing_id()))
+    place = F.row_number().over(Window.partitionBy(*keys, "_lone").orderBy(*([] if ahead is None else [ahead]), *terms))
+    return lone.withColumn("_place", place).where("_place = 1").drop("_lone", "_place")
+
+
+def first_of_each(new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of new rows with equal keys the first in order; null keys equal nothing."""
+    return _first(new, keys, order)
 
 
 def insert_or_skip(t: Table, new: DataFrame, conflict: list[str], order: list[str], store: Store) -> Change:
-    """Adds the new rows whose keys the table lacks; of equal new keys the first in order."""
+    """Adds the new rows whose keys the table lacks; of equal new keys the first in order. Old keys and new rows are settled together, by one shuffle."""
     keys = _targets(t, conflict)
     old = store.read(t.key).select(*t.names())
-    fresh = first_of_each(new.select(*t.names()), keys, order).join(old.select(*keys), keys, "left_anti").select(*t.names())
+    there = old.where(_complete(keys)).select(*keys, F.lit(True).alias("_old"))
+    # an old row with its key comes first, and stands for "there is one"
+    both = new.select(*t.names(), F.lit(False).alias("_old")).unionByName(there, allowMissingColumns=True)
+    fresh = _first(both, keys, order, F.desc("_old")).where("not _old").select(*t.names())
     return Change(old.unionByName(fresh), fresh)
 
 
