@@ -120,8 +120,12 @@ GRANTS = "schema string, kind string, object string, role string, privileges arr
 def grants_frame(spark: SparkSession, grants: list[dict]) -> DataFrame:
     """One row per schema, kind (usage, tables, default), object and role, from declarations that name several roles."""
     rows = [(g["schema"], g["kind"], g.get("object"), g["roles"], sorted(set(g["privileges"]))) for g in grants]
-    df = spark.createDataFrame(rows, "schema string, kind string, object string, roles array<string>, privileges array<string>")
-    wide = df.select("schema", "kind", "object", F.explode("roles").alias("role"), F.explode("privileges").alias("p"))
+    return fanned_out(spark.createDataFrame(rows, "schema string, kind string, object string, roles array<string>, privileges array<string>"))
+
+
+def fanned_out(declared: DataFrame) -> DataFrame:
+    """One row per schema, kind, object and role. declared: the same with roles and privileges as arrays."""
+    wide = declared.select("schema", "kind", "object", F.explode("roles").alias("role"), "privileges").select("schema", "kind", "object", "role", F.explode("privileges").alias("p"))
     return wide.groupBy("schema", "kind", "object", "role").agg(F.array_sort(F.collect_set("p")).alias("privileges"))
 
 

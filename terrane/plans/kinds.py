@@ -130,6 +130,28 @@ def alter_steps(before: DataFrame, after: DataFrame) -> DataFrame:
     return each.select("identity", stage.alias("stage"), "action", "member", "name").unionByName(columns)
 
 
+def steps(before: DataFrame, after: DataFrame) -> DataFrame:
+    """kind, identity, stage, action, member, name: everything to be done, so that what a step needs is there by its stage.
+
+    Stage 0: views, functions, triggers and policies that go, and foreign keys, of tables that go as well. 1: creations and alterations, in
+    order of their kinds' ranks. 2: what waits until every table is there: foreign keys of new tables and altered ones, and the tables that own
+    new sequences. 3: other drops. So tables that refer to each other are created, and dropped, in any order.
+    """
+    changes = S.diff(before, after)
+    text = F.lit(None).cast("string")
+    drop, dependent = F.col("operation") == "drop", F.col("kind").isin("view", "function", "trigger", "policy")
+    whole = changes.where("not (kind = 'table' and operation = 'alter')").select("kind", "identity", F.when(drop & dependent, 0).when(drop, 3).otherwise(1).alias("stage"), F.col("operation").alias("action"), text.alias("member"), text.alias("name"))
+
+    def keys(side: str, operation: str, stage: int, action: str) -> DataFrame:
+        found = F.from_json(F.get_json_object(side, "$.foreign_keys"), "array<struct<name string>>")
+        rows = changes.where((F.col("kind") == "table") & (F.col("operation") == operation))
+        return rows.select("kind", "identity", F.lit(stage).alias("stage"), F.lit(action).alias("action"), F.lit("foreign key").alias("member"), F.explode(found.getField("name")).alias("name"))
+
+    owned = changes.where("kind = 'sequence' and operation = 'create'").select("kind", "identity", F.lit(2).alias("stage"), F.lit("own").alias("action"), F.lit("table").alias("member"), F.get_json_object("next", "$.table").alias("name"))
+    altered = alter_steps(before, after).select(F.lit("table").alias("kind"), "identity", "stage", "action", "member", "name")
+    return whole.unionByName(keys("next", "create", 2, "add")).unionByName(keys("previous", "drop", 0, "drop")).unionByName(owned).unionByName(altered)
+
+
 def _names(node: str, path: str) -> Column:
     return F.from_json(F.get_json_object(node, f"$.{path}"), "array<string>")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import require
+from ..sources.checkpoints import cut
 
 
 def chain(files: DataFrame) -> DataFrame:
@@ -14,14 +15,17 @@ def chain(files: DataFrame) -> DataFrame:
     The first file starts the chain, whatever its parent. Another file is in order if its parent is the state that the file before it left. If not, and an
     earlier file had the same parent, it is a fork.
     """
-    # a chain is a sequence by definition; its rows are file names and hashes
-    order = Window.orderBy("file")
-    before = F.lag("current").over(order)
-    seen = F.count(F.lit(1)).over(Window.partitionBy("parent").orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
-    out = files.withColumn("before", before).withColumn("earlier", seen)
-    first = F.row_number().over(order) == 1
-    status = F.when(first | F.col("parent").eqNullSafe(F.col("before")), "ok").when(F.col("earlier") > 0, "fork").otherwise("broken")
-    return out.select("file", "parent", "current", status.alias("status"))
+    # ranges of files are looked at by themselves, and joined to the state that the range before leaves
+    ranges = cut(files.select("file", "parent", "current").repartitionByRange("file").withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part").orderBy("file")
+    ends = ranges.groupBy("_part").agg(F.max_by("current", "file").alias("_last"))
+    left = ends.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_left"), (F.row_number().over(Window.orderBy("_part")) == 1).alias("_begins"))  # a row a range
+    earliest = ranges.groupBy("parent").agg(F.min("file").alias("_earliest")).withColumnRenamed("parent", "_parent")
+    placed = ranges.withColumns({"_place": F.row_number().over(inside), "_lag": F.lag("current").over(inside)}).join(F.broadcast(left), "_part").join(earliest, F.col("parent").eqNullSafe(F.col("_parent")), "left")
+    before = F.when(F.col("_place") == 1, F.col("_left")).otherwise(F.col("_lag"))
+    first = F.col("_begins") & (F.col("_place") == 1)
+    status = F.when(first | F.col("parent").eqNullSafe(before), "ok").when(F.col("file") > F.col("_earliest"), "fork").otherwise("broken")
+    return placed.select("file", "parent", "current", status.alias("status"))
 
 
 def problem(files: DataFrame) -> DataFrame:

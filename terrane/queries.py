@@ -181,7 +181,6 @@ query("insert_single", "SELECT * FROM nation UNION ALL SELECT 100, 'NOWHERE', 1"
 query("insert_multi_default", "SELECT * FROM nation UNION ALL SELECT 100, 'unnamed', 1 UNION ALL SELECT 101, 'B', NULL")(
     lambda w: changes.insert(_nation(w), [{"n_nationkey": 100, "n_regionkey": 1}, {"n_nationkey": 101, "n_name": "B"}], w.store).state
 )
-query("insert_returning", "SELECT 100 AS n_nationkey, 'unnamed' AS n_name, 1 AS n_regionkey")(lambda w: changes.insert(_nation(w), [{"n_nationkey": 100, "n_regionkey": 1}], w.store).returned)
 query("upsert_nothing", f"SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM ({_FIRST_NEWS}) n WHERE NOT EXISTS (SELECT 1 FROM lineitem o WHERE o.l_orderkey = n.l_orderkey AND o.l_linenumber = n.l_linenumber)")(
     lambda w: changes.insert_or_skip(w.lineitem, _news(w), _LINE_KEY, _LINE_ORDER, w.store).state.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
 )
@@ -225,17 +224,6 @@ query("serial_assign", "SELECT row_number() OVER (ORDER BY c_custkey)::INTEGER +
 _BUCKET = table("storage", "buckets", {"id": column("text").primary_key(), "name": column("text").not_null(), "public": column("boolean"), "file_size_limit": column("bigint")})
 
 
-def _buckets(w: World) -> DataFrame:
-    """Declared buckets are put into the table again and again with the same result."""
-    there = w.spark.sql("select * from values ('avatars', 'avatars', false, 100L), ('old', 'old', true, null) t(id, name, public, file_size_limit)")
-    declared = w.spark.sql("select * from values ('avatars', 'avatars', true, 200L), ('docs', 'docs', false, null) t(id, name, public, file_size_limit)")
-    sets = {c: X.local(f"new_{c}") for c in ("name", "public", "file_size_limit")}
-    once = changes.insert_or_update(_BUCKET, declared, ["id"], sets, ["id"], Store(w.spark).bind(_BUCKET, there)).state
-    return changes.insert_or_update(_BUCKET, declared, ["id"], sets, ["id"], Store(w.spark).bind(_BUCKET, once)).state
-
-
-query("bucket_upsert", "SELECT * FROM (VALUES ('avatars', 'avatars', true, 200::BIGINT), ('docs', 'docs', false, NULL), ('old', 'old', true, NULL)) t(id, name, public, file_size_limit)")(_buckets)
-
 # ---- constraints -----------------------------------------------------------
 
 query("viol_not_null", "SELECT o_orderkey FROM orders WHERE nullif(o_orderstatus, 'P') IS NULL")(
@@ -330,20 +318,6 @@ query("view_invoker", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' A
     lambda w: security.read_view(View("w", "large", select({"o_orderkey": w.orders["o_orderkey"]}, w.orders).where(X.gt(w.orders["o_totalprice"], 200000)), True), _session(w, [_p("open", X.eq(w.orders["o_orderstatus"], "O"))]))
 )
 
-_BEFORE = [{"schema": "app", "kind": "usage", "roles": ["anon", "member"], "privileges": ["usage"]}, {"schema": "app", "kind": "tables", "roles": ["member"], "privileges": ["select", "insert"]}]
-_AFTER = [{"schema": "app", "kind": "usage", "roles": ["member"], "privileges": ["usage"]}, {"schema": "app", "kind": "tables", "roles": ["member", "anon"], "privileges": ["select", "update"]}]
-_GRANT_ROWS = "(VALUES ('app', 'usage', 'anon', ['usage']), ('app', 'usage', 'member', ['usage']), ('app', 'tables', 'member', ['insert', 'select'])) AS b(schema, kind, role, privileges)"
-_AFTER_ROWS = "(VALUES ('app', 'usage', 'member', ['usage']), ('app', 'tables', 'member', ['select', 'update']), ('app', 'tables', 'anon', ['select', 'update'])) AS a(schema, kind, role, privileges)"
-query("grant_fanout", f"SELECT schema, kind, role, array_to_string(privileges, ',') AS privileges FROM {_GRANT_ROWS}")(lambda w: _flat(security.grants_frame(w.spark, _BEFORE).select("schema", "kind", "role", "privileges"), "privileges"))
-query(
-    "grant_delta",
-    f"""SELECT schema, kind, role, array_to_string(granted, ',') AS granted, array_to_string(revoked, ',') AS revoked FROM (SELECT schema, kind, role, list_sort(list_filter(coalesce(a.privileges, []), lambda x: NOT list_contains(coalesce(b.privileges, []), x))) AS granted,
-list_sort(list_filter(coalesce(b.privileges, []), lambda x: NOT list_contains(coalesce(a.privileges, []), x))) AS revoked FROM {_GRANT_ROWS} FULL JOIN {_AFTER_ROWS} USING (schema, kind, role)) WHERE len(granted) > 0 OR len(revoked) > 0""",
-)(lambda w: _flat(security.grant_delta(security.grants_frame(w.spark, _BEFORE), security.grants_frame(w.spark, _AFTER)).drop("object"), "granted", "revoked"))
-query("grant_standing", "SELECT 'app' AS schema, 'fresh' AS table, 'member' AS role, 'insert,select' AS privileges")(
-    lambda w: _flat(security.standing_grants(w.spark.sql("select 'app' schema, 'fresh' table"), security.grants_frame(w.spark, _BEFORE), security.grants_frame(w.spark, [{"schema": "app", "kind": "tables", "roles": ["anon"], "privileges": ["select"]}])), "privileges")
-)
-query("grant_effective", "SELECT 'app' AS schema, 'posts' AS table, 'member' AS role, p AS privilege FROM (VALUES ('select'), ('insert')) v(p)")(lambda w: security.effective(security.grants_frame(w.spark, _BEFORE), w.spark.sql("select 'app' schema, 'posts' table")))
 
 # ---- routines --------------------------------------------------------------
 
@@ -419,8 +393,6 @@ def _return_dml(w: World) -> DataFrame:
     return routines.routine("purge", {"price": "numeric"}, body)(w.store, price=2000).select("o_orderkey", "o_orderstatus")
 
 
-
-
 def _nested(w: World) -> DataFrame:
     def body(ctx: routines.Body) -> None:
         def region(c: routines.Body, r: dict[str, X.Expr]) -> None:
@@ -570,7 +542,6 @@ def _hidden(w: World) -> DataFrame:
 
 
 query("policy_update_hidden", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 AND o_orderstatus = 'O' THEN 'later' ELSE o_orderpriority END AS o_orderpriority FROM orders")(_hidden)
-query("trigger_update_of", "SELECT true AS price, false AS status")(lambda w: w.spark.createDataFrame([(_depth_trigger(w).fires("update", ("o_totalprice",)), _depth_trigger(w).fires("update", ("o_orderstatus",)))], "price boolean, status boolean"))
 query("fn_raise", "SELECT c_custkey, 'customer ' || c_custkey || ' owes' AS message FROM customer WHERE c_acctbal < -500")(
     lambda w: routines.Trigger("debt", w.customer, ("insert",), rules=((X.lt(X.local("new.c_acctbal"), -500), "customer % owes", (X.local("new.c_custkey"),)),)).refused(w.rows("customer"), w.store).select("c_custkey", "message")
 )
@@ -578,35 +549,6 @@ query("fn_raise", "SELECT c_custkey, 'customer ' || c_custkey || ' owes' AS mess
 # ---- catalogs --------------------------------------------------------------
 
 
-def _two(w: World) -> tuple[DataFrame, DataFrame]:
-    posts = table("app", "posts", {"id": column("uuid").primary_key(), "status": column("text").not_null(), "title": column("text")})
-    comments = table("app", "comments", {"id": column("serial").primary_key(), "body": column("text")})
-    posts2 = table("app", "posts", {"id": column("uuid").primary_key(), "state": column("text").not_null(), "title": column("varchar", 80)})
-    tags = table("app", "tags", {"id": column("bigserial").primary_key()})
-    return snapshot.snapshot(w.spark, snapshot.expand([posts, comments])), snapshot.snapshot(w.spark, snapshot.expand([posts2, tags]))
-
-
-query("snapshot_build", "SELECT * FROM (VALUES ('schema', 'app'), ('table', 'app.posts'), ('table', 'app.comments'), ('sequence', 'app.comments_id_seq')) v(kind, identity)")(lambda w: _two(w)[0].select("kind", "identity"))
-query("catalog_diff", "SELECT * FROM (VALUES ('table', 'app.posts', 'alter'), ('table', 'app.comments', 'drop'), ('table', 'app.tags', 'create'), ('sequence', 'app.comments_id_seq', 'drop'), ('sequence', 'app.tags_id_seq', 'create')) v(kind, identity, operation)")(
-    lambda w: snapshot.diff(*_two(w)).select("kind", "identity", "operation")
-)
-query("change_order", "SELECT * FROM (VALUES (1, 'app.tags_id_seq'), (2, 'app.posts'), (3, 'app.tags'), (4, 'app.comments'), (5, 'app.comments_id_seq')) v(place, identity)")(
-    lambda w: w.spark.createDataFrame([(k + 1, r["identity"]) for k, r in enumerate(snapshot.ordered(snapshot.diff(*_two(w))).collect())], "place int, identity string")
-)
-query("stage_order", "SELECT * FROM (VALUES ('app.tags_id_seq', 1), ('app.posts', 1), ('app.tags', 1), ('app.comments', 2), ('app.comments_id_seq', 2)) v(identity, stage)")(lambda w: snapshot.ordered(snapshot.diff(*_two(w))).select("identity", "stage"))
-query("column_diff", "SELECT * FROM (VALUES ('app.posts', 'status', 'drop'), ('app.posts', 'state', 'add'), ('app.posts', 'title', 'alter')) v(identity, \"column\", operation)")(lambda w: snapshot.column_changes(*_two(w)).select("identity", "column", "operation"))
-query("rename_ambiguity", "SELECT 'app.posts' AS identity, 'status' AS dropped, 'state' AS added")(lambda w: _flat(snapshot.rename_candidates(snapshot.column_changes(*_two(w))), "dropped", "added"))
-query("warn_not_null", "SELECT 'not-null-without-default' AS code, 'warning' AS severity, 'app.posts.state' AS identity")(lambda w: validators.required_without_default(snapshot.column_changes(*_two(w))))
-query("column_order", "SELECT 'id,title,level,note' AS names")(lambda w: _flat(w.spark.sql("select array('id', 'title', 'archived') b, array('id', 'level', 'title', 'note') d").select(snapshot.physical_order(F.col("b"), F.col("d")).alias("names")), "names"))
-query("view_prefix_rule", "SELECT true AS grows, false AS shrinks")(lambda w: w.spark.sql("select array('a', 'b') x, array('a', 'b', 'c') y").select(snapshot.replaces_view(F.col("x"), F.col("y")).alias("grows"), snapshot.replaces_view(F.col("y"), F.col("x")).alias("shrinks")))
-query("enum_append_only", "SELECT true AS appended, false AS inserted")(
-    lambda w: w.spark.sql("select array('draft', 'live') a, array('draft', 'live', 'old') b, array('draft', 'new', 'live') c").select(snapshot.appends_enum(F.col("a"), F.col("b")).alias("appended"), snapshot.appends_enum(F.col("a"), F.col("c")).alias("inserted"))
-)
-query("routine_change", "SELECT true AS body_only, false AS signature")(
-    lambda w: w.spark.sql("""select '{"arguments":["a"],"returns":"t","body":"x"}' a, '{"arguments":["a"],"returns":"t","body":"y"}' b, '{"arguments":["a","b"],"returns":"t","body":"y"}' c""").select(
-        snapshot.replaces_routine(F.col("a"), F.col("b")).alias("body_only"), snapshot.replaces_routine(F.col("b"), F.col("c")).alias("signature")
-    )
-)
 query("alter_apply", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name AS label, 5 AS level FROM nation")(
     lambda w: snapshot.apply_table_change(
         w.rows("nation"),
@@ -617,29 +559,6 @@ query("alter_apply", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name AS label
 )
 
 
-def _files(w: World) -> DataFrame:
-    rows = [("001_a.sql", None, "h1"), ("002_b.sql", "h1", "h2"), ("003_c.sql", "h1", "h3"), ("003_d.sql", "h9", "h4"), ("004_e.sql", "h4", "h5")]
-    return w.spark.createDataFrame(rows, "file string, parent string, current string")
-
-
-_FILES = "(VALUES ('001_a.sql', NULL, 'h1'), ('002_b.sql', 'h1', 'h2'), ('003_c.sql', 'h1', 'h3'), ('003_d.sql', 'h9', 'h4'), ('004_e.sql', 'h4', 'h5')) AS f(file, parent, current)"
-_CHAIN = f"SELECT file, CASE WHEN row_number() OVER (ORDER BY file) = 1 OR parent IS NOT DISTINCT FROM lag(current) OVER (ORDER BY file) THEN 'ok' WHEN row_number() OVER (PARTITION BY parent ORDER BY file) > 1 THEN 'fork' ELSE 'broken' END AS status FROM {_FILES}"
-query("chain_check", _CHAIN)(lambda w: lineage.chain(_files(w)).select("file", "status"))
-query("chain_fork", f"SELECT file FROM ({_CHAIN}) WHERE status = 'fork'")(lambda w: lineage.chain(_files(w)).where("status = 'fork'").select("file"))
-query("chain_problem", f"WITH c AS (SELECT f.*, s.status FROM (SELECT * FROM {_FILES}) f JOIN ({_CHAIN}) s USING (file)), p AS (SELECT * FROM c WHERE status <> 'ok' ORDER BY file LIMIT 1) SELECT p.status AS code, c.file FROM p JOIN c ON c.file = p.file OR p.status = 'fork' AND c.parent IS NOT DISTINCT FROM p.parent")(
-    lambda w: lineage.problem(_files(w))
-)
-query("duplicate_versions", f"SELECT split_part(file, '_', 1) AS version, array_to_string(list_sort(list(file)), ',') AS files FROM {_FILES} GROUP BY 1 HAVING count(*) > 1")(lambda w: _flat(lineage.duplicate_versions(_files(w)), "files"))
-query("banner_parse", "SELECT 'ab12' AS parent, 'cd34' AS current")(lambda w: w.spark.sql("select '-- change\\n-- parent: ab12\\n-- current: cd34\\ncreate table t' as t").select(lineage.banner(F.col("t")).alias("x")).select("x.*"))
-query("history_state", "SELECT * FROM (VALUES ('a', 'ok'), ('b', 'rewritten'), ('c', 'uncommitted'), ('d', 'lost')) v(file, state)")(
-    lambda w: lineage.history(w.spark.sql("select * from values ('a', '1'), ('b', '2'), ('c', '3') t(file, hash)"), w.spark.sql("select * from values ('a', '0', 1), ('a', '1', 2), ('b', '9', 1), ('d', '4', 1) t(file, hash, at)"))
-)
-query("file_diff", "SELECT * FROM (VALUES ('b', 'change'), ('c', 'add'), ('d', 'remove')) v(path, operation)")(
-    lambda w: lineage.tree_diff(w.spark.sql("select * from values ('a', '1'), ('b', '2'), ('d', '4') t(path, hash)"), w.spark.sql("select * from values ('a', '1'), ('b', '3'), ('c', '5') t(path, hash)"))
-)
-query("verify_report", "SELECT * FROM (VALUES ('versions', 'failed'), ('chain', 'skipped'), ('rebuild', 'ok'), ('tip', 'skipped')) v(\"check\", status)")(lambda w: lineage.verify(_files(w), _two(w)[0], _two(w)[0], "h5").select("check", "status"))
-
-
 # Catalogs of some thousand generated objects: node and SQL are made from the same rows, parts of the driver's tables.
 
 _CATALOG = """
@@ -698,15 +617,6 @@ SELECT identity, array_to_string(list_filter(new, lambda p: NOT list_contains(ol
 query("snapshot_required_keys", f"SELECT kind, identity, CASE kind WHEN 'enum' THEN 'values' WHEN 'grant' THEN 'privileges' WHEN 'table' THEN 'checks,columns' WHEN 'view' THEN 'columns' ELSE 'check' END AS missing FROM ({_CATALOG}) WHERE k % 7 <> 0 AND x = 1")(
     lambda w: _flat(kinds.missing_keys(_generated(w, True).join(_objects(w).where("x = 1").select("kind", "identity"), ["kind", "identity"]).withColumn("node", F.regexp_replace("node", '"(values|privileges|checks|columns|check)":', '"gone":'))).select("kind", "identity", "missing"), "missing")
 )
-_TABLES = "select * from values ('app', 'posts'), ('app', 'tags'), ('auth', 'users') t(schema, table)"
-query("warn_unreachable", "SELECT 'unreachable-policy' AS code, 'warning' AS severity, 'auth.users.own' AS identity")(
-    lambda w: validators.unreachable_policies(w.spark.sql("select * from values ('app', 'posts', 'all', array('member')), ('auth', 'users', 'own', array('public', 'member')) t(schema, table, name, roles)"), security.grants_frame(w.spark, _BEFORE))
-)
-query("warn_exposed", "SELECT 'exposed-table' AS code, 'warning' AS severity, 'app.tags' AS identity")(lambda w: validators.exposed_tables(w.spark.sql(_TABLES), security.grants_frame(w.spark, _AFTER), w.spark.sql("select 'app' schema, 'posts' table")))
-query("warn_reserved", "SELECT 'reserved-schema' AS code, 'error' AS severity, 'auth.users' AS identity")(lambda w: validators.reserved_schemas(w.spark.sql(_TABLES).selectExpr("schema", "schema || '.' || table as identity")))
-query("warn_view_invoker", "SELECT 'view-past-policies' AS code, 'warning' AS severity, 'app.v1' AS identity")(
-    lambda w: validators.views_past_policies(w.spark.sql("select * from values ('app.v1', false, array('app.posts')), ('app.v2', true, array('app.posts')), ('app.v3', false, array('app.tags')) t(identity, security_invoker, tables)"), w.spark.sql("select 'app' schema, 'posts' table"))
-)
 
 
 # Renames over a catalog of several rows for each part: templates give Spark the rows before, and SQL those after.
@@ -781,3 +691,6 @@ UNION ALL SELECT 'table', 'app', 't' || k, NULL, 'confirmed' FROM p WHERE k % 7
 UNION ALL SELECT 'column', 'app.t' || k, 'c', 'd', 'matched' FROM p WHERE k % 7 > 0 AND k % 11 > 0 AND k % 5 = 0
 UNION ALL SELECT 'column', 'app.t' || k, 'gone', 'd', 'unknown' FROM p WHERE k % 7 > 0 AND k % 11 > 0 AND x = 1""",
 )(_planned)
+
+
+from . import generated  # noqa: E402, F401 - registers its queries
