@@ -10,22 +10,32 @@ from __future__ import annotations
 import hashlib
 import json
 import keyword
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import require
 from ..functions import expressions as X
-from ..plans.query import Select
-from ..sources.catalog import NAME, Store, Table
+from ..plans.query import Select, sort_key
+from ..sources.catalog import NAME, TYPES, Store, Table
 from ..sources.checkpoints import cut
 from . import changes
 
-RESERVED = frozenset("new old found result select insert update delete from where begin end if then else loop return raise".split())
+# Words of the procedural language that can't name a local value.
+RESERVED = frozenset(
+    (
+        "all and any array as asc asymmetric begin between both by case cast check collate column constraint create current_date current_role current_time current_timestamp current_user "
+        "declare default deferrable desc distinct do else end exception execute exists false fetch for foreach foreign from get grant group having if in initially intersect into leading limit "
+        "localtime localtimestamp loop new not null offset old on only or order perform placing primary raise references return returning select session_user some strict symmetric table then to "
+        "trailing true union unique user using variadic when where while window with"
+    ).split()
+)
+#: Names that this library's routines use themselves.
+_OWN = frozenset("found result insert update delete cursor record".split())
 
 
 @dataclass(frozen=True)
@@ -42,7 +52,7 @@ class Body:
         self.taken = taken
 
     def _name(self, name: str) -> str:
-        require(NAME.fullmatch(name) and name not in RESERVED and not keyword.iskeyword(name), "bad-local", f"{name!r} can't name a local value")
+        require(NAME.fullmatch(name) and name not in RESERVED | _OWN and not keyword.iskeyword(name), "bad-local", f"{name!r} can't name a local value")
         require(name not in self.taken, "duplicate-local", f"{name} is there already")
         self.taken.add(name)
         return name
@@ -83,7 +93,7 @@ class Body:
         self.statements.append(Statement("return_query", (query,)))
 
     def for_each(self, query: Select, record: Callable[[Body, dict[str, X.Expr]], None], name: str = "each") -> None:
-        """Runs a body for the rows of a query; name tells nested loops' rows apart. A body returns selects and inserts, raises, branches and loops."""
+        """Runs a body for the rows of a query; name tells nested loops' rows apart. A body looks rows up, returns selects and changes, raises, branches and loops; its rounds run at once, so an update may not read what it sets, and of several updates of a row the last round's stays."""
         self._name(name)
         inner = Body(set(self.taken))
         record(inner, {c: X.local(f"{name}.{c}", e.family) for c, e in query.projection})
@@ -135,6 +145,30 @@ class Routine:
     arguments: tuple[tuple[str, str], ...]  # name, family
     statements: tuple[Statement, ...] = field(default=())
     definer: bool = False
+    #: A table: rows of it. A type's name: one value. None: whatever the body returns.
+    returns: Table | str | None = None
+
+    def __post_init__(self) -> None:
+        require(self.returns is None or isinstance(self.returns, Table) or self.returns in TYPES, "bad-result", f"{self.name} returns a table's rows or a value of a type")
+        for query in _returned(self.statements):
+            self._check(query)
+
+    def _check(self, query: Any) -> None:
+        """Whether a returned query has the declared result's columns."""
+        if isinstance(query, Select):
+            got = {n: e.family for n, e in query.projection}
+        else:
+            got = {n: c.family for n, c in query.table.columns}
+        if isinstance(self.returns, Table):
+            want = {n: c.family for n, c in self.returns.columns}
+            require(list(got) == list(want) and all(X.UNKNOWN in (got[n], want[n]) or got[n] == want[n] for n in want), "bad-result", f"{self.name} returns rows of {self.returns.name}, not {got}")
+        elif self.returns is not None:
+            family = TYPES[self.returns][0]
+            require(len(got) == 1 and {*got.values()} <= {family, X.UNKNOWN}, "bad-result", f"{self.name} returns one {self.returns}, not {got}")
+
+    def signature(self) -> Any:
+        """The result as a snapshot has it; with the arguments it tells whether a routine can be replaced."""
+        return {"setof": list(self.returns.key)} if isinstance(self.returns, Table) else self.returns or "rows"
 
     def __call__(self, store: Store, **values: Any) -> DataFrame:
         """Runs the body; its result is the union of what it returns, in order. A definer routine reads past the session's policies."""
@@ -144,11 +178,26 @@ class Routine:
         first, *rest = out
         for df in rest:
             first = first.unionByName(df)
+        if isinstance(self.returns, str):
+            first = cut(first.select(F.col(first.columns[0]).cast(TYPES[self.returns][1]).alias(self.name)).limit(2))
+            require(first.count() < 2, "bad-result", f"{self.name} returns one value, and there are more")
         return first
 
 
-def routine(name: str, arguments: dict[str, str], body: Callable[..., None], definer: bool = False) -> Routine:
-    return Routine(name, tuple(arguments.items()), record(body, {n: X.local(n, f) for n, f in arguments.items()}), definer)
+def _returned(statements: tuple[Statement, ...]) -> Iterator[Any]:
+    """Every query that a body returns, at any depth."""
+    for s in statements:
+        if s.kind == "return_query":
+            yield s.parts[0]
+        elif s.kind == "branch":
+            for _, inner in s.parts:
+                yield from _returned(inner)
+        elif s.kind == "for_each":
+            yield from _returned(s.parts[2])
+
+
+def routine(name: str, arguments: dict[str, str], body: Callable[..., None], definer: bool = False, returns: Table | str | None = None) -> Routine:
+    return Routine(name, tuple(arguments.items()), record(body, {n: X.local(n, f) for n, f in arguments.items()}), definer, returns)
 
 
 def _message(template: str, args: list[Column]) -> Column:
@@ -227,12 +276,58 @@ def _loop(s: Statement, rows: DataFrame | None, store: Store, values: dict[str,
     name, query, inner = s.parts
     require(rows is None or not query.order and query.count is None, "bad-body", "an inner loop's select has no order or limit of its own")
     if rows is None:
-        found = query.frame(store, X.Scope(locals=tuple(values.items()), subquery=lambda q, x: q.frame(store, x)))
-        each = found.select(*(F.col(c).alias(_value(f"{name}.{c}")) for c in query.columns()))
+        # what the loop is ordered by goes along, for statements of which the last run counts
+        keyed = replace(query, projection=(*query.projection, *((f"order__{k}", e) for k, (e, _) in enumerate(query.order))))
+        found = keyed.frame(store, X.Scope(locals=tuple(values.items()), subquery=lambda q, x: q.frame(store, x)))
+        each = found.select(*(F.col(c).alias(_value(f"{name}.{c}")) for c in query.columns()), *(F.col(f"order__{k}").alias(f"order__{k}__{d}") for k, (_, d) in enumerate(query.order)))
     else:
         met, scope = _joined(rows, query, store, values)
         each = met.select(*(F.col(c) for c in rows.columns), *(X.compile_(e, scope).alias(_value(f"{name}.{n}")) for n, e in query.projection))
-    return _each(inner, each, store, values)
+    return _each(inner, each.withColumn(ROUND, F.monotonically_increasing_id()), store, values)
+
+
+#: The column that tells a loop's rounds apart.
+ROUND = "round__"
+
+
+def _latest(rows: DataFrame) -> list[Column]:
+    """Sort keys that bring a loop's last round first: by the order of the loop, the last, then by its rows' values."""
+    turned = [F.col(c).asc_nulls_last() if c.endswith("desc") else F.col(c).desc_nulls_first() for c in rows.columns if c.startswith("order__")]
+    return [*turned, *(F.col(f.name).desc_nulls_last() for f in rows.schema.fields if f.name.startswith("v__") and changes.sortable(f.dataType))]
+
+
+def _looked_up(s: Statement, rows: DataFrame, store: Store, values: dict[str, Any]) -> DataFrame:
+    """The rounds with the row that each looks up, as local values. A strict look-up has exactly one row in every round, another the first one or nulls."""
+    name, query = s.parts
+    require(query.count in (None, 1), "bad-body", "a look-up in a loop has no limit but 1")
+    met, scope = _joined(rows, query, store, values, "left")
+    found = met.select(*(F.col(c) for c in rows.columns), *(X.compile_(e, scope).alias(_value(f"{name}.{n}")) for n, e in query.projection), F.col("_there"), *(X.compile_(e, scope).alias(f"key__{i}") for i, (e, _) in enumerate(query.order)))
+    if s.kind == "row":
+        bad = found.groupBy(ROUND).agg(F.count("_there").alias("n")).where("n <> 1").first()
+        require(bad is None, "not-one-row", f"{name}: {'no' if bad and not bad['n'] else 'more than one'} row")
+        return found.drop("_there", *(f"key__{i}" for i in range(len(query.order))))
+    order = [sort_key(F.col(f"key__{i}"), d) for i, (_, d) in enumerate(query.order)] + [F.col(_value(f"{name}.{n}")).asc_nulls_last() for n in query.columns() if changes.sortable(found.schema[_value(f"{name}.{n}")].dataType)]
+    place = F.row_number().over(Window.partitionBy(ROUND).orderBy(*order))
+    return found.withColumn("_place", place).where("_place = 1").drop("_place", "_there", *(f"key__{i}" for i in range(len(query.order))))
+
+
+def _changed(change: Change, rows: DataFrame, store: Store, values: dict[str, Any]) -> DataFrame:
+    """Rows that an update or delete in a loop reaches, each once: as the last round leaves it, or as it was before it went."""
+    t = change.table
+    require(change.where is not None, "bad-body", f"a loop's {change.kind} has a condition")
+    target = store.read(t.key).select(*t.names()).alias(X.alias(*t.key))
+    scope = _scope(rows, values, store, frozenset([t.key]))
+    condition = X.compile_(change.where, scope)
+    if change.kind == "delete":
+        return target.join(rows, condition, "left_semi").select(*t.names())
+    sets = {c: X.lift(v) for c, v in change.set}
+    require(set(sets) <= set(t.names()), "unknown-column", f"{set(sets) - set(t.names())} aren't columns of {t.name}")
+    read = {x.args[2] for e in (change.where, *sets.values()) for x in X.walk(e) if x.op == "ref" and x.args[:2] == t.key}
+    require(not read & set(sets), "bad-body", f"a loop's update doesn't read what it sets ({sorted(read & set(sets))}): its rounds run at once")
+    met = target.withColumn("_row", F.monotonically_increasing_id()).alias(X.alias(*t.key)).join(rows, condition)
+    last = met.withColumn("_place", F.row_number().over(Window.partitionBy("_row").orderBy(*_latest(rows)))).where("_place = 1")
+    types = {n: c.spark_type() for n, c in t.columns}
+    return last.select(*((X.compile_(sets[n], scope).cast(types[n]) if n in sets else F.col(f"{X.alias(*t.key)}.{n}")).alias(n) for n in t.names()))
 
 
 def _each(statements: tuple[Statement, ...], rows: DataFrame, store: Store, values: dict[str, Any]) -> list[DataFrame]:
@@ -250,6 +345,10 @@ def _each(statements: tuple[Statement, ...], rows: DataFrame, store: Store, valu
             require(set(given) <= set(t.names()), "unknown-column", f"{set(given) - set(t.names())} aren't columns of {t.name}")
             cells = [(X.compile_(X.lift(given[n]), scope) if n in given else changes.default_of(t, n)).cast(c.spark_type()).alias(n) for n, c in t.columns]
             out.append(changes.insert_rows(t, rows.select(*cells), store).returned)
+        elif s.kind == "return_query":
+            out.append(_changed(s.parts[0], rows, store, values))
+        elif s.kind in ("row", "row_or_null"):
+            rows = _looked_up(s, rows, store, values)
         elif s.kind == "branch":
             open_ = F.lit(True)
             for condition, inner in s.parts:

@@ -15,7 +15,7 @@ from ..errors import require
 from ..functions import expressions as X
 from ..operators.routines import Routine, RowTrigger, body_hash, plain
 from ..operators.security import Protected
-from ..sources.catalog import Enum, Table
+from ..sources.catalog import Enum, Table, check_references
 from . import snapshot as S
 from .query import View
 
@@ -52,13 +52,15 @@ def expand(
 
     routines: (schema, routine). grants: as for security.grants_frame(). more: rows of kinds that a project adds.
     """
+    tables = list(tables)
+    check_references(tables)
     rows: list[tuple[str, str, Any]] = []
     for e in enums:
         rows.append(("enum", f"{e.schema}.{e.name}", {"values": list(e.values)}))
     for v in views:
         rows.append(("view", f"{v.schema}.{v.name}", {"columns": v.query.columns(), "query": v.query.encoded(), "security_invoker": v.security_invoker}))
     for schema, r in routines:
-        rows.append(("function", f"{schema}.{r.name}", {"arguments": [list(a) for a in r.arguments], "returns": "rows", "definer": r.definer, "body": body_hash(r.statements), "source": plain(r.statements)}))
+        rows.append(("function", f"{schema}.{r.name}", {"arguments": [list(a) for a in r.arguments], "returns": r.signature(), "definer": r.definer, "body": body_hash(r.statements), "source": plain(r.statements)}))
     for t in triggers:
         owner = f"{t.table.schema}.{t.table.name}"
         rows.append(("function", f"{t.table.schema}.{t.table.name}_{t.name}", {"arguments": [], "returns": "trigger", "definer": False, "body": body_hash(t.statements), "source": plain(t.statements), "table": owner}))

@@ -141,6 +141,8 @@ def rewritten(kind: str, identity: str, node: dict[str, Any], n: Names) -> tuple
         owner = tuple(node["table"].split(".")) if node.get("table") else None
         source = _body(node["source"], n, owner)
         out = {**node, "source": source, "body": source_hash(source)}
+        if isinstance(node["returns"], dict):
+            out["returns"] = {"setof": n.table(*node["returns"]["setof"])}
         if owner:
             to, (schema, name) = n.table(*owner), identity.split(".")
             out["table"] = ".".join(to)

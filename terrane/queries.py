@@ -422,6 +422,48 @@ def _return_insert(w: World) -> DataFrame:
     return routines.routine("add", {"shift": "numeric"}, body)(w.store, shift=100)
 
 
+def _each_row(w: World) -> DataFrame:
+    """Every nation's round looks up its region, which must be there, and its richest customer, who may not be."""
+
+    def body(ctx: routines.Body) -> None:
+        def one(c: routines.Body, n: dict[str, X.Expr]) -> None:
+            region = c.row(select(w.region).where(X.eq(w.region["r_regionkey"], n["n_regionkey"])), "area")
+            best = c.row_or_null(select(w.customer).where(X.and_(X.eq(w.customer["c_nationkey"], n["n_nationkey"]), X.gt(w.customer["c_acctbal"], 9500))).order_by((w.customer["c_acctbal"], "desc"), w.customer["c_custkey"]).limit(1), "best")
+            c.return_query(select({"s_suppkey": w.supplier["s_suppkey"], "r_name": region["r_name"], "c_name": best["c_name"]}, w.supplier).where(X.eq(w.supplier["s_nationkey"], n["n_nationkey"])))
+
+        ctx.for_each(select(w.nation), one, "n")
+
+    return routines.routine("best_of", {}, body)(w.store)
+
+
+query(
+    "fn_for_each_row",
+    """SELECT s_suppkey, r_name, c_name FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey
+LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 9500 QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) = 1) b ON b.c_nationkey = n_nationkey""",
+)(_each_row)
+
+
+def _each_update(w: World) -> DataFrame:
+    """Orders give their customers their priority as segment, one after the other by date."""
+
+    def body(ctx: routines.Body) -> None:
+        rounds = select(w.orders).order_by(w.orders["o_orderdate"], w.orders["o_orderkey"])
+        ctx.for_each(rounds, lambda c, o: c.return_query(routines.Change("update", w.customer, X.eq(w.customer["c_custkey"], o["o_custkey"]), (("c_mktsegment", o["o_orderpriority"]),))), "o")
+
+    return routines.routine("follow", {}, body, returns=w.customer)(w.store).select("c_custkey", "c_mktsegment")
+
+
+query("fn_for_each_update", "SELECT o_custkey AS c_custkey, o_orderpriority AS c_mktsegment FROM orders JOIN customer ON c_custkey = o_custkey QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS FIRST, o_orderkey DESC) = 1")(_each_update)
+
+
+def _each_delete(w: World) -> DataFrame:
+    def body(ctx: routines.Body) -> None:
+        ctx.for_each(select(w.customer).where(X.lt(w.customer["c_acctbal"], 0)), lambda c, r: c.return_query(routines.Change("delete", w.orders, X.eq(w.orders["o_custkey"], r["c_custkey"]))), "r")
+
+    return routines.routine("forget", {}, body, returns=w.orders)(w.store).select("o_orderkey", "o_custkey")
+
+
+query("fn_for_each_delete", "SELECT o_orderkey, o_custkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal < 0")(_each_delete)
 query("fn_return_insert", "SELECT 100 AS n_nationkey, 'unnamed' AS n_name, NULL::INTEGER AS n_regionkey UNION ALL SELECT r_regionkey, r_name, NULL FROM region")(_return_insert)
 query("fn_return_dml", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice < 2000 UNION ALL SELECT o_orderkey, 'Q' FROM orders WHERE o_orderstatus = 'P'")(_return_dml)
 

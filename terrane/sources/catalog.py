@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -217,6 +217,28 @@ def table(schema: str, name: str, columns: dict[str, Column], **extras: Any) ->
     return Table(schema, name, tuple((snake(k), c) for k, c in columns.items()), **extras)
 
 
+def check_references(tables: Iterable[Table]) -> None:
+    """Foreign keys of declared tables refer to tables among them, to columns that these have, of the same type, and that are unique together. Names of indexes and keys stand once in a table."""
+    by_key = {t.key: t for t in tables}
+    for t in by_key.values():
+        for kind, names in t.derived_names().items():
+            twice = sorted({n for n in names if names.count(n) > 1})
+            require(not twice, "duplicate-name", f"{t.name} has two of {kind} named {twice}")
+        for i in t.indexes:
+            require({c for c, _, _ in i.columns} <= set(t.names()), "unknown-index-column", f"an index of {t.name} has other columns than the table")
+        for f in t.foreign_keys:
+            target = by_key.get(f.target)
+            require(target is not None, "unknown-target", f"{t.name} refers to {'.'.join(f.target)}, which isn't declared")
+            theirs = dict(target.columns)
+            require(set(f.target_columns) <= set(theirs), "unknown-target-column", f"{t.name} refers to {f.target_columns} of {target.name}, which has no such columns")
+            for mine, other in zip(f.columns, f.target_columns, strict=True):
+                a, b = dict(t.columns)[mine], theirs[other]
+                same = (SERIAL.get(a.type, a.type), a.dimensions) == (SERIAL.get(b.type, b.type), b.dimensions)
+                require(same, "target-type", f"{t.name}.{mine} is {a.type}, and {target.name}.{other} {b.type}")
+            keys = [set(target.primary_key()), *({n} for n, c in target.columns if c.is_unique), *({c for c, _, _ in i.columns} for i in target.indexes if i.unique and i.where is None)]
+            require(target.existing or set(f.target_columns) in keys, "target-not-unique", f"{f.target_columns} of {target.name} are no key of it")
+
+
 def from_parquet(schema: str, name: str, struct: T.StructType) -> Table:
     """A reference-only table over files that exist, with the columns they have."""
     by_type = {t: n for n, (_, t) in reversed(TYPES.items())}

@@ -436,6 +436,62 @@ def test_rename_plan_settles(spark):
     assert [(r.kind, r.identity, r.operation) for r in left.collect()] == [("table", "app.c", "drop")]
 
 
+def test_lookups_and_changes_in_loops(spark):
+    posts_, comments, store = blog(spark)
+
+    def run(record, returns=None, base=comments):
+        query = select(base).order_by((base["id"], "desc"))
+        return routines.routine("f", {}, lambda ctx: ctx.for_each(query, record, "c"), returns=returns)(store)
+
+    def strict(kind):
+        def record(c, r):
+            post = getattr(c, kind)(select(posts_).where(X.eq(posts_["id"], r["parent_id"])), "post")
+            c.return_query(select({"slug": post["slug"], "id": r["id"]}, posts_).where(X.eq(posts_["id"], r["post_id"])))
+
+        return record
+
+    assert sorted((r.id, r.slug) for r in run(strict("row_or_null")).collect()) == [(1, None), (2, "a")]
+    fails("not-one-row", lambda: run(strict("row")))
+    # both comments change post 1; they go by falling id, so the last round is comment 1's
+    change = lambda where, **set_: (lambda c, r: c.return_query(routines.Change("update", posts_, where(r), tuple((k, r[v]) for k, v in set_.items()))))
+    done = run(change(lambda r: X.eq(posts_["id"], r["post_id"]), slug="body"), posts_)
+    assert [(r.id, r.slug) for r in done.collect()] == [(1, "root")]
+    fails("bad-body", lambda: run(change(lambda r: X.eq(posts_["slug"], r["body"]), slug="body")))
+    gone = run(lambda c, r: c.return_query(routines.Change("delete", posts_, X.eq(posts_["id"], r["post_id"]))), posts_)
+    assert [r.id for r in gone.collect()] == [1]
+
+
+def test_declared_results(spark):
+    posts_, comments, store = blog(spark)
+    whole = lambda ctx: ctx.return_query(select(posts_))
+    assert routines.routine("f", {}, whole, returns=posts_)(store).count() == 3
+    fails("bad-result", lambda: routines.routine("f", {}, whole, returns=comments))
+    fails("bad-result", lambda: routines.routine("f", {}, whole, returns="integer"))
+    fails("bad-result", lambda: routines.routine("f", {}, whole, returns="nothing"))
+    one = lambda n: routines.routine("top", {}, lambda ctx: ctx.return_query(select({"id": posts_["id"]}, posts_).limit(n)), returns="integer")
+    assert one(1)(store).columns == ["top"] and one(1)(store).count() == 1
+    fails("bad-result", lambda: one(2)(store))
+    assert one(1).signature() == "integer" and routines.routine("f", {}, whole, returns=posts_).signature() == {"setof": ["app", "posts"]}
+    for word in ("declare", "record", "cursor", "perform", "exists", "table"):
+        fails("bad-local", lambda: routines.routine("f", {}, lambda ctx: ctx.row(select(posts_), word)))  # noqa: B023
+
+
+def test_targets_of_keys():
+    from terrane.plans import kinds
+
+    t = lambda name, fk=None, **columns: table("app", name, {"id": column("integer").primary_key(), **columns}, foreign_keys=() if fk is None else (ForeignKey(("p",), ("app", "a"), (fk,)),))
+    a = t("a", x=column("integer"), u=column("text").unique())
+    kinds.expand(tables=[a, t("b", "id", p=column("serial"))])
+    kinds.expand(tables=[a, t("b", "u", p=column("text"))])
+    fails("unknown-target", lambda: kinds.expand(tables=[t("b", "id", p=column("integer"))]))
+    fails("unknown-target-column", lambda: kinds.expand(tables=[a, t("b", "nope", p=column("integer"))]))
+    fails("target-type", lambda: kinds.expand(tables=[a, t("b", "id", p=column("text"))]))
+    fails("target-not-unique", lambda: kinds.expand(tables=[a, t("b", "x", p=column("integer"))]))
+    twice = table("app", "c", {"id": column("integer")}, indexes=(Index((("id", "asc", None),)), Index((("id", "desc", None),))))
+    fails("duplicate-name", lambda: kinds.expand(tables=[twice]))
+    fails("unknown-index-column", lambda: kinds.expand(tables=[table("app", "c", {"id": column("integer")}, indexes=(Index((("no", "asc", None),)),))]))
+
+
 def test_loops(spark):
     posts_, comments, store = blog(spark)
 
