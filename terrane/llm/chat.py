@@ -7,8 +7,8 @@ functions only.
 
 A turn's prefix hash is the sum of its own and all earlier turns' hashes, each of which takes in
 the turn's rank. All turns are laid out in ranges of (conversation, turn, role, text) and written
-once with the number of their range, so a conversation of any size, and turns with one number or
-none, are spread over tasks. Ranks, hashes and lengths are summed inside (range, conversation), and
+once with the number of their range, so a conversation of any size, turns with one number, and turns without
+number that repeat, in pieces, are spread over tasks. Ranks, hashes and lengths are summed inside (range, conversation), and
 the totals of the ranges before are added.
 
 A conversation is one row, however many turns it has, unless its rendering exceeds
@@ -45,7 +45,7 @@ _ORDER = ("turn", "role", "text")
 
 
 def laid_out(turns: DataFrame, scratch: Scratch) -> DataFrame:
-    """conv_id, turn, role, text, n (how often the turn counts), range: distinct turns, each with the number of the range that holds it."""
+    """conv_id, turn, role, text, piece, n (how often the turn counts here), range: distinct turns, in pieces of PIECE repeats, each with the number of the range that holds it."""
     rows = turns.select(
         F.col("conv_id"),
         F.col("turn").cast("long").alias("turn"),
@@ -54,8 +54,19 @@ def laid_out(turns: DataFrame, scratch: Scratch) -> DataFrame:
     )
     distinct = rows.groupBy("conv_id", *_ORDER).agg(F.count(F.lit(1)).alias("seen"))
     counted = distinct.select("conv_id", *_ORDER, F.when(F.col("turn").isNull(), F.col("seen")).otherwise(1).cast("long").alias("n"))
+    pieces = _pieces(_pieces(counted.withColumn("piece", F.lit(0).cast("long")), 1 << 20), PIECE)
     # written with its number, so that every later step sees the same ranges
-    return scratch.keep(counted.repartitionByRange("conv_id", *_ORDER).withColumn("range", F.spark_partition_id()), "ranges")
+    return scratch.keep(pieces.repartitionByRange("conv_id", *_ORDER, "piece").withColumn("range", F.spark_partition_id()), "ranges")
+
+
+#: Repeats of a turn that stand in one row; more are laid out over ranges like other turns.
+PIECE = 64
+
+
+def _pieces(rows: DataFrame, size: int) -> DataFrame:
+    """Rows that stand for n repeats, cut into rows of up to size; piece: how many repeats stand before."""
+    first = rows.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(size).cast("long"))))
+    return first.withColumns({"piece": F.col("piece") + F.col("_at"), "n": F.least(F.col("n") - F.col("_at"), F.lit(size).cast("long"))}).drop("_at")
 
 
 def _ahead(rows: DataFrame, **sums: Column) -> DataFrame:
@@ -69,7 +80,7 @@ def prefix_hashes(turns: DataFrame, style: Style, scratch: Scratch) -> DataFrame
     """conv_id, range, rank (from 1), role, text, h (of the prefix up to the turn), part (from 0), for each turn."""
     rows = laid_out(turns, scratch)
     inside = Window.partitionBy("range", "conv_id")
-    placed = rows.withColumn("last", F.sum("n").over(inside.orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, 0)))
+    placed = rows.withColumn("last", F.sum("n").over(inside.orderBy(*_ORDER, "piece").rowsBetween(Window.unboundedPreceding, 0)))
     ahead = _ahead(rows, n=F.sum("n"))
     every = _join(placed, ahead, ["conv_id", "range"]).withColumn("rank", F.explode(F.sequence(F.col("last") - F.col("n") + 1, F.col("last")))).withColumn("rank", (F.col("rank") + F.col("n_ahead")).cast("long"))
     own = F.xxhash64("rank", "role", "text").cast(_EXACT)

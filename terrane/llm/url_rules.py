@@ -107,15 +107,35 @@ def mine(pages: DataFrame, labels: DataFrame, mining: Mining) -> tuple[DataFrame
     n = baskets.count()
     if not n:
         return spark.createDataFrame([], "rule array<string>, confidence double, support double"), named_items
-    model = FPGrowth(minSupport=min(1.0, (mining.min_pages - 0.5) / n), minConfidence=mining.min_confidence, itemsCol="items").fit(baskets)
+    model = FPGrowth(minSupport=min(1.0, (mining.min_pages - 0.5) / n), minConfidence=0.0, itemsCol="items").fit(baskets)
     rules = model.associationRules.where(F.array_contains("consequent", BAD)).select(F.array_sort("antecedent").alias("rule"), "confidence", "support")
-    rules = scratch.keep(rules, "rules")
-    # a rule goes if a proper part of it is a rule at least as sure; a part is found by its first item
-    a, b = rules.alias("a"), rules.alias("b")
-    parts = a.select("a.rule", "a.confidence", F.explode("a.rule").alias("item"))
-    filed = b.select(F.col("b.rule").alias("part"), F.col("b.confidence").alias("sure"), F.get("b.rule", F.lit(0)).alias("item"))
-    needless = parts.join(filed, "item").where((F.size("part") < F.size("rule")) & (F.size(F.array_except("part", "rule")) == 0) & (F.col("sure") >= F.col("confidence"))).select("rule").distinct()
-    return rules.join(needless, "rule", "left_anti"), named_items
+    rules = scratch.keep(rules, "combinations")
+    return minimal(rules, mining.min_confidence, scratch), named_items
+
+
+def minimal(combinations: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """The combinations that are rules, of confidence `least` or more, without those of which a proper part is a rule at least as sure.
+
+    combinations: rule, confidence, support of all frequent ones, so every part of one is there. Sizes are settled from
+    the smallest up: what is best among a combination's parts is its parts without one item, and what was best
+    among theirs; so each combination meets as many rows as it has items, never other combinations.
+    """
+    most = combinations.agg(F.max(F.size("rule")).alias("n")).first()["n"] or 0
+    own = F.when(F.col("confidence") >= least, F.col("confidence"))
+    kept = before = None
+    for size in range(1, most + 1):
+        mine = combinations.where(F.size("rule") == size)
+        if before is None:
+            met = mine.withColumn("best", F.lit(None).cast("double"))
+        else:
+            parts = mine.select("rule", F.explode(F.transform("rule", lambda x: F.array_except("rule", F.array(x)))).alias("part"))
+            best = parts.join(before, "part").groupBy("rule").agg(F.max("reach").alias("best"))
+            met = mine.join(best, "rule", "left")
+        met = scratch.keep(met, "size")
+        before = met.select(F.col("rule").alias("part"), F.greatest(own, F.col("best")).alias("reach"))
+        rules = met.where((F.col("confidence") >= least) & ~F.coalesce(F.col("best") >= F.col("confidence"), F.lit(False))).drop("best")
+        kept = rules if kept is None else kept.unionByName(rules)
+    return combinations.limit(0) if kept is None else kept
 
 
 def judge(pages: DataFrame, labels: DataFrame, mining: Mining = Mining()) -> DataFrame:

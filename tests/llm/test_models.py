@@ -139,6 +139,24 @@ def test_chats(spark):
     assert sorted(con.execute(sql.SQL["op4_snapshot_collapse"]).fetchall(), key=repr) == sorted(((a, 0, 1, len(all_[a]), t) for a, t in want.items()), key=repr)
 
 
+def test_repeats_are_laid_out_over_ranges(spark):
+    """A turn without number that stands very often is cut into rows of a bounded count, in several ranges."""
+    from terrane.llm.common import Scratch
+
+    n = 200_000
+    rows = spark.range(n).selectExpr("7L as conv_id", "cast(null as bigint) as turn", "'user' as role", "'same' as text")
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = chat.laid_out(rows, Scratch(spark, "t")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    assert sum(r.n for r in placed) == n and max(r.n for r in placed) == chat.PIECE
+    assert sorted(r.piece for r in placed) == list(range(0, n, chat.PIECE)) and len({r.range for r in placed}) > 2
+    out = chat.format_chats(rows).collect()
+    assert [(r.n_turns, len(r.text)) for r in out] == [(n, n * len("<|im_start|>user\nsame<|im_end|>\n"))]
+
+
 def test_url_list(spark):
     urls = {"http://x.com/a": "com/", "https://a.EXAMPLE.com/en/1": "example.com/en/", "http://example.com/en/": "example.com/en/", "http://www.example.com/en/5?q": "www.example.com/en/", "http://m.www.example.com/en/": "www.example.com/en/", "http://b.net/es/x": "net/es/", "http://net/fr/": "net/fr/", "http://b.net/en/": None, "http://badexample.com/en/": "com/", "http://x.com": None, "nothing": None, "http://x.com?u=://b.net/es/": None, "": None}
     rows = [(k, u, "h") for k, u in enumerate(urls)] + [(99, None, "h"), (99, None, "h")]
