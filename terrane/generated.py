@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import changes, security
-from .plans import kinds, lineage, snapshot, validators
+from .plans import kinds, lineage, renames, snapshot, validators
 from .queries import _BUCKET, _CATALOG, _KEY, NAMES, World, _depth_trigger, _filled, _flat, _generated, _nation, query
 from .functions import expressions as X
 from .sources.catalog import Store, table
@@ -204,6 +204,45 @@ def _routines(w: World) -> DataFrame:
 
 query("routine_change", f"SELECT k, x % 2 = k % 2 AND x % 5 = k % 5 AS replaced FROM ({P})")(_routines)
 
+_PINS = '{"level":%k,"table":"app.%t","when":{"args":["app","%t","c"],"family":"text","op":"ref"}}'
+
+
+def _pin_rename(identity: str, node: dict, n: renames.Names) -> tuple[str, dict]:
+    identity, node = renames.owned(identity, node, n)
+    return identity, {**node, "table": ".".join(identity.split(".")[:2])}
+
+
+def _pin() -> kinds.Kind:
+    """A kind that a project brings: pins on tables, made anew if their level changes."""
+    same = lambda: F.when(F.get_json_object("previous", "$.level") == F.get_json_object("next", "$.level"), "alter").otherwise("recreate")
+    return kinds.Kind("pin", ("table", "policy"), ("level", "table", "when"), same, _pin_rename, dependent=True)
+
+
+def _pinned(w: World, t: str, level: str, column_: str, where: str) -> DataFrame:
+    """A pin for each part, and the tables that they are on."""
+    pin = F.struct(F.lit("pin").alias("kind"), F.expr(f"'app.' || {t} || '.x'").alias("identity"), _filled(_PINS.replace('"c"', f'"{column_}"'), False, t, "''", level).alias("node"))
+    own = F.struct(F.lit("table").alias("kind"), F.expr(f"'app.' || {t}").alias("identity"), F.lit('{"checks":[],"columns":[' + _KEY + "," + _KEY.replace('"id"', f'"{column_}"') + '],"foreign_keys":[],"indexes":[]}').alias("node"))
+    return parts(w, where).select(F.inline(F.array(pin, own)))
+
+
+def _pins(w: World) -> DataFrame:
+    """Before, under new names for tables of even size and for all their columns c, and after, where levels differ for sizes that 3 divides."""
+    known = kinds.registry(_pin())
+    before = _pinned(w, "'t' || k", "1", "c", "k % 5 > 0")
+    given = parts(w, "k % 5 > 0 and x % 2 = 0").selectExpr("'table' as of", "'app.t' || k as identity", "'t' || k as old", "'r' || k as new").union(parts(w, "k % 5 > 0").selectExpr("'column'", "'app.t' || k", "'c'", "'d'"))
+    after = _pinned(w, "CASE WHEN x % 2 = 0 THEN 'r' ELSE 't' END || k", "CASE WHEN x % 3 = 0 THEN 2 ELSE 1 END", "d", "k % 7 > 0")
+    changed = kinds.ordered(kinds.meaning(snapshot.diff(kinds.renamed(before, given, known), after), known), known)
+    return changed.select("kind", "identity", "means", "stage")
+
+
+query(
+    "kind_custom",
+    f"""WITH p AS (SELECT *, 'app.' || CASE WHEN x % 2 = 0 THEN 'r' ELSE 't' END || k AS t FROM ({P})),
+d AS (SELECT *, CASE WHEN k % 5 = 0 THEN 'create' WHEN k % 7 = 0 THEN 'drop' ELSE 'alter' END AS o FROM p WHERE NOT (k % 5 = 0 AND k % 7 = 0))
+SELECT 'pin' AS kind, t || '.x' AS identity, CASE o WHEN 'alter' THEN 'recreate' ELSE o END AS means, CASE o WHEN 'drop' THEN 0 ELSE 1 END AS stage FROM d WHERE o <> 'alter' OR x % 3 = 0
+UNION ALL SELECT 'table', t, o, CASE o WHEN 'drop' THEN 2 ELSE 1 END FROM d WHERE o <> 'alter'""",
+)(_pins)
+
 # ---- files of a chain
 
 _LINKS = f"SELECT k, x, lpad('' || CASE WHEN x = 7 THEN k - 1 ELSE k END, 9, '0') || '_f' || k || '.sql' AS file, CASE WHEN x = 11 THEN 'h' || (k - 2) WHEN x = 13 THEN 'lost' || k WHEN k > 0 THEN 'h' || (k - 1) END AS parent, 'h' || k AS current FROM ({P})"

@@ -5,7 +5,8 @@ Rows are (kind, identity, node), as in `snapshot`. Everything that compares is a
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,7 @@ from ..functions import expressions as X
 from ..operators.routines import Routine, RowTrigger, body_hash, plain
 from ..operators.security import Protected
 from ..sources.catalog import Enum, Table, check_references
+from . import renames as R
 from . import snapshot as S
 from .query import View
 
@@ -158,28 +160,72 @@ def _names(node: str, path: str) -> Column:
     return F.from_json(F.get_json_object(node, f"$.{path}"), "array<string>")
 
 
-def meaning(changes: DataFrame) -> DataFrame:
-    """changes (kind, identity, operation, previous, next) with means: create, drop, alter in place, replace, or recreate.
+def _if(condition: Column, then: str) -> Column:
+    return F.when(condition, then).otherwise("recreate")
 
-    Triggers and policies are recreated; an enum or view whose old values or columns come first in the
-    new is altered or replaced, else recreated; a routine of the same signature is replaced; schemas,
-    tables, sequences, row protection and grants are altered in place.
-    """
-    kind = F.col("kind")
-    grows = S.appends_enum(_names("previous", "values"), _names("next", "values"))
-    view = S.replaces_view(_names("previous", "columns"), _names("next", "columns"))
-    routine = S.replaces_routine(F.col("previous"), F.col("next"))
-    means = (
-        F.when(F.col("operation") != "alter", F.col("operation"))
-        .when(kind.isin("trigger", "policy"), "recreate")
-        .when(kind == "enum", F.when(grows, "alter").otherwise("recreate"))
-        .when(kind == "view", F.when(view, "replace").otherwise("recreate"))
-        .when(kind == "function", F.when(routine, "replace").otherwise("recreate"))
-        .otherwise("alter")
-    )
+
+@dataclass(frozen=True)
+class Kind:
+    """What the library has to know of a kind of objects: the built-in ones and those of a project alike."""
+
+    name: str
+    #: Kinds that have to be there first.
+    depends: tuple[str, ...] = ()
+    #: Keys that a node has.
+    required: tuple[str, ...] = ()
+    #: What an alteration means, from the columns previous and next: alter, replace or recreate.
+    means: Callable[[], Column] = lambda: F.lit("alter")
+    #: A new identity and node under renames of tables and columns; None: it mentions none.
+    rename: R.Rule | None = None
+    #: Dropped before anything else.
+    dependent: bool = False
+
+
+#: What alterations mean, of kinds for which it isn't "alter": triggers and policies are made anew, an enum or view stays if its old values or
+#: columns come first in the new, a routine if its arguments and result are the same.
+_MEANS: dict[str, Callable[[], Column]] = {
+    "trigger": lambda: F.lit("recreate"),
+    "policy": lambda: F.lit("recreate"),
+    "enum": lambda: _if(S.appends_enum(_names("previous", "values"), _names("next", "values")), "alter"),
+    "view": lambda: _if(S.replaces_view(_names("previous", "columns"), _names("next", "columns")), "replace"),
+    "function": lambda: _if(S.replaces_routine(F.col("previous"), F.col("next")), "replace"),
+}
+KINDS: dict[str, Kind] = {k: Kind(k, on, REQUIRED[k], _MEANS.get(k, lambda: F.lit("alter")), R.RULES.get(k), k in S.DEPENDENT) for k, on in S.DEPENDS.items()}
+
+
+def registry(*added: Kind) -> dict[str, Kind]:
+    """The built-in kinds and those of a project; what they depend on must be there, without a circle."""
+    out = {**KINDS}
+    for k in added:
+        require(k.name not in out, "duplicate-kind", f"{k.name} is a kind already")
+        out[k.name] = k
+    S.ranks({k.name: k.depends for k in out.values()})
+    return out
+
+
+def meaning(changes: DataFrame, kinds: dict[str, Kind] = KINDS) -> DataFrame:
+    """changes (kind, identity, operation, previous, next) with means: create, drop, alter in place, replace, or recreate, as each kind says."""
+    means = F.when(F.col("operation") != "alter", F.col("operation"))
+    for k in kinds.values():
+        means = means.when(F.col("kind") == k.name, k.means())
     return changes.withColumn("means", means)
 
 
+def ordered(changes: DataFrame, kinds: dict[str, Kind] = KINDS) -> DataFrame:
+    """snapshot.ordered() over these kinds."""
+    return S.ordered(changes, {k.name: k.depends for k in kinds.values()}, tuple(k.name for k in kinds.values() if k.dependent))
+
+
+def renamed(rows: DataFrame, given: DataFrame, kinds: dict[str, Kind] = KINDS) -> DataFrame:
+    """renames.renamed() over these kinds."""
+    return R.renamed(rows, given, {k.name: k.rename for k in kinds.values() if k.rename})
+
+
+def required(kinds: dict[str, Kind] = KINDS) -> dict[str, tuple[str, ...]]:
+    """Keys of each kind, for missing_keys() and snapshot.load()."""
+    return {k.name: k.required for k in kinds.values()}
+
+
 def privilege_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """identity, granted, revoked: of grants in either snapshot."""
     rows = S.diff(before.where("kind = 'grant'"), after.where("kind = 'grant'"))

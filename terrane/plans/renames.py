@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -52,13 +52,13 @@ class Names:
 # ---- one row
 
 
-def _walk(x: Any, n: Names, locals_: dict[str, str]) -> Any:
+def walk(x: Any, n: Names, locals_: dict[str, str]) -> Any:
     """Stored expressions, queries and statements under new names. locals_: local values that stand for columns."""
     if isinstance(x, list):
         if len(x) == 4 and x[0] in ("insert", "update", "delete") and isinstance(x[1], list) and len(x[1]) == 2:
             schema, table = x[1]
-            return [x[0], n.table(schema, table), _walk(x[2], n, locals_), [[n.column(schema, table, c), _walk(v, n, locals_)] for c, v in x[3]]]
-        return [_walk(y, n, locals_) for y in x]
+            return [x[0], n.table(schema, table), walk(x[2], n, locals_), [[n.column(schema, table, c), walk(v, n, locals_)] for c, v in x[3]]]
+        return [walk(y, n, locals_) for y in x]
     if not isinstance(x, dict):
         return x
     if x.get("op") == "ref":
@@ -71,10 +71,10 @@ def _walk(x: Any, n: Names, locals_: dict[str, str]) -> Any:
         query = x["args"][0]["query"]
         names = _projected(query, n)
         x = {**x, "args": [{"query": {**query, "projection": [[names.get(c, c), e] for c, e in query["projection"]]}}]}
-    out = {k: _walk(v, n, locals_) for k, v in x.items()}
+    out = {k: walk(v, n, locals_) for k, v in x.items()}
     if "base" in x and "projection" in x:
         out["base"] = n.table(*x["base"])
-        out["joins"] = [[n.table(*key), _walk(on, n, locals_)] for key, on in x["joins"]]
+        out["joins"] = [[n.table(*key), walk(on, n, locals_)] for key, on in x["joins"]]
     return out
 
 
@@ -98,61 +98,87 @@ def _body(statements: Any, n: Names, owner: Key | None) -> Any:
 
     statements = json.loads(json.dumps(statements))
     rows(statements)
-    return _walk(statements, n, locals_)
+    return walk(statements, n, locals_)
 
 
-def rewritten(kind: str, identity: str, node: dict[str, Any], n: Names) -> tuple[str, dict[str, Any]]:
+Rule = Callable[[str, dict[str, Any], Names], tuple[str, dict[str, Any]]]
+
+
+def _table(identity: str, node: dict[str, Any], n: Names) -> tuple[str, dict[str, Any]]:
+    schema, name = key = tuple(identity.split("."))
+    to = n.table(*key)
+
+    def derived(x: dict[str, Any], columns: list[str], end: str, new: list[str]) -> None:
+        if x["name"] == "_".join((name, *columns, end)):
+            x["name"] = "_".join((to[1], *new, end))
+
+    node = walk(node, n, {})
+    for c in node["columns"]:
+        c["name"] = n.column(*key, c["name"])
+    for i in node["indexes"]:
+        old = [c[0] for c in i["columns"]]
+        i["columns"] = [[n.column(*key, c[0]), *c[1:]] for c in i["columns"]]
+        derived(i, old, "idx", [c[0] for c in i["columns"]])
+    for f in node["foreign_keys"]:
+        old, target = f["columns"], f["target"]
+        f["columns"], f["target_columns"], f["target"] = [n.column(*key, c) for c in old], [n.column(*target, c) for c in f["target_columns"]], n.table(*target)
+        derived(f, old, "fk", f["columns"])
+    return ".".join(to), node
+
+
+def _sequence(identity: str, node: dict[str, Any], n: Names) -> tuple[str, dict[str, Any]]:
+    schema, name = identity.split(".")
+    owner, to = node["table"], n.table(schema, node["table"])[1]
+    column = name[len(owner) + 1 : -len("_seq")]
+    return f"{schema}.{to}_{n.column(schema, owner, column)}_seq", {**node, "table": to}
+
+
+def _stored(identity: str, node: dict[str, Any], n: Names) -> tuple[str, dict[str, Any]]:
+    """An object with a name of its own that mentions tables."""
+    return identity, walk(node, n, {})
+
+
+def owned(identity: str, node: dict[str, Any], n: Names) -> tuple[str, dict[str, Any]]:
+    """An object whose name starts with its table's."""
+    schema, name, *rest = identity.split(".", 2)
+    return ".".join((*n.table(schema, name), *rest)), walk(node, n, {})
+
+
+def _trigger(identity: str, node: dict[str, Any], n: Names) -> tuple[str, dict[str, Any]]:
+    schema, name, trigger = identity.split(".", 2)
+    to = n.table(schema, name)
+    function = f"{to[1]}_{trigger}" if node["function"] == f"{name}_{trigger}" else node["function"]
+    return ".".join((*to, trigger)), {**node, "table": ".".join(to), "function": function, "update_of": [n.column(schema, name, c) for c in node["update_of"]]}
+
+
+def _function(identity: str, node: dict[str, Any], n: Names) -> tuple[str, dict[str, Any]]:
+    if "source" not in node:
+        return identity, node
+    owner = tuple(node["table"].split(".")) if node.get("table") else None
+    source = _body(node["source"], n, owner)
+    out = {**node, "source": source, "body": source_hash(source)}
+    if isinstance(node["returns"], dict):
+        out["returns"] = {"setof": n.table(*node["returns"]["setof"])}
+    if owner:
+        to, (schema, name) = n.table(*owner), identity.split(".")
+        out["table"] = ".".join(to)
+        if name.startswith(f"{owner[1]}_"):
+            identity = f"{schema}.{to[1]}{name[len(owner[1]):]}"
+    return identity, out
+
+
+def _grant(identity: str, node: dict[str, Any], n: Names) -> tuple[str, dict[str, Any]]:
+    schema, of, thing, role = identity.split(".", 3)
+    return ".".join((schema, of, n.table(schema, thing)[1] if of == "tables" else thing, role)), node
+
+
+#: What a rename does to a row of each kind: the new identity and node. Other kinds stay as they are.
+RULES: dict[str, Rule] = {"table": _table, "sequence": _sequence, "view": _stored, "rls": owned, "policy": owned, "trigger": _trigger, "function": _function, "grant": _grant}
+
+
+def rewritten(kind: str, identity: str, node: dict[str, Any], n: Names, rules: dict[str, Rule] = RULES) -> tuple[str, dict[str, Any]]:
     """A snapshot row's identity and node as if the renames had been made before."""
-    if kind == "table":
-        schema, name = key = tuple(identity.split("."))
-        to = n.table(*key)
-
-        def derived(x: dict[str, Any], columns: list[str], end: str, new: list[str]) -> None:
-            if x["name"] == "_".join((name, *columns, end)):
-                x["name"] = "_".join((to[1], *new, end))
-
-        node = _walk(node, n, {})
-        for c in node["columns"]:
-            c["name"] = n.column(*key, c["name"])
-        for i in node["indexes"]:
-            old = [c[0] for c in i["columns"]]
-            i["columns"] = [[n.column(*key, c[0]), *c[1:]] for c in i["columns"]]
-            derived(i, old, "idx", [c[0] for c in i["columns"]])
-        for f in node["foreign_keys"]:
-            old, target = f["columns"], f["target"]
-            f["columns"], f["target_columns"], f["target"] = [n.column(*key, c) for c in old], [n.column(*target, c) for c in f["target_columns"]], n.table(*target)
-            derived(f, old, "fk", f["columns"])
-        return ".".join(to), node
-    if kind == "sequence":
-        schema, name = identity.split(".")
-        owner, to = node["table"], n.table(schema, node["table"])[1]
-        column = name[len(owner) + 1 : -len("_seq")]
-        return f"{schema}.{to}_{n.column(schema, owner, column)}_seq", {**node, "table": to}
-    if kind == "view":
-        return identity, _walk(node, n, {})
-    if kind in ("rls", "policy"):
-        schema, name, *rest = identity.split(".", 2)
-        return ".".join((*n.table(schema, name), *rest)), _walk(node, n, {})
-    if kind == "trigger":
-        schema, name, trigger = identity.split(".", 2)
-        to = n.table(schema, name)
-        return ".".join((*to, trigger)), {**node, "table": ".".join(to), "function": f"{to[1]}_{trigger}" if node["function"] == f"{name}_{trigger}" else node["function"], "update_of": [n.column(schema, name, c) for c in node["update_of"]]}
-    if kind == "function" and "source" in node:
-        owner = tuple(node["table"].split(".")) if node.get("table") else None
-        source = _body(node["source"], n, owner)
-        out = {**node, "source": source, "body": source_hash(source)}
-        if isinstance(node["returns"], dict):
-            out["returns"] = {"setof": n.table(*node["returns"]["setof"])}
-        if owner:
-            to, (schema, name) = n.table(*owner), identity.split(".")
-            out["table"] = ".".join(to)
-            if name.startswith(f"{owner[1]}_"):
-                identity = f"{schema}.{to[1]}{name[len(owner[1]):]}"
-        return identity, out
-    if kind == "grant":
-        schema, of, thing, role = identity.split(".", 3)
-        return ".".join((schema, of, n.table(schema, thing)[1] if of == "tables" else thing, role)), node
-    return identity, node
+    return rules[kind](identity, node, n) if kind in rules else (identity, node)
 
 
 def source_hash(source: Any) -> str:
@@ -175,19 +201,23 @@ def mentions(rows: DataFrame) -> DataFrame:
 _ROW = pa.schema([("kind", pa.string()), ("identity", pa.string()), ("node", pa.string())])
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _applied(rules: dict[str, Rule]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     from .snapshot import canonical
 
-    for b in batches:
-        out = []
-        for r in b.to_pylist():
-            identity, node = rewritten(r["kind"], r["identity"], json.loads(r["node"]), Names.of((x["of"], x["identity"], x["old"], x["new"]) for x in r["renames"]))
-            out.append((r["kind"], identity, canonical(node)))
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.string())] * 3, schema=_ROW)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                names = Names.of((x["of"], x["identity"], x["old"], x["new"]) for x in r["renames"])
+                identity, node = rewritten(r["kind"], r["identity"], json.loads(r["node"]), names, rules)
+                out.append((r["kind"], identity, canonical(node)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.string())] * 3, schema=_ROW)
+
+    return run
 
 
-def renamed(rows: DataFrame, renames: DataFrame) -> DataFrame:
-    """A snapshot as if the renames had been made before. renames: of (table, column), identity (the table's, before), old, new."""
+def renamed(rows: DataFrame, renames: DataFrame, rules: dict[str, Rule] = RULES) -> DataFrame:
+    """A snapshot as if the renames had been made before. rules: by kind. renames: of (table, column), identity (the table's, before), old, new."""
     tables = rows.where("kind = 'table'")
     lost = renames.join(tables.select("identity"), "identity", "left_anti").first()
     require(lost is None, "unknown-rename", f"{lost and lost['identity']} is no table of the snapshot")
@@ -197,7 +227,7 @@ def renamed(rows: DataFrame, renames: DataFrame) -> DataFrame:
     each = F.struct("of", F.col("r.identity").alias("identity"), "old", "new")
     touched = mentions(rows).alias("m").join(renames.alias("r"), F.col("m.table") == F.col("r.identity")).groupBy("m.kind", "m.identity").agg(F.collect_set(each).alias("renames"))
     met = rows.select("kind", "identity", "node").join(touched, ["kind", "identity"], "left")
-    changed = met.where("renames is not null").mapInArrow(_apply, "kind string, identity string, node string")
+    changed = met.where("renames is not null").mapInArrow(_applied(rules), "kind string, identity string, node string")
     return met.where("renames is null").select("kind", "identity", "node").unionByName(changed)
 
 

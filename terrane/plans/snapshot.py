@@ -127,11 +127,15 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("kind", "identity", operation.alias("operation"), "previous", "next")
 
 
-def ordered(changes: DataFrame, depends: dict[str, tuple[str, ...]] = DEPENDS) -> DataFrame:
+#: Kinds that are dropped before anything else, as others don't stand on them.
+DEPENDENT = ("view", "function", "trigger", "policy")
+
+
+def ordered(changes: DataFrame, depends: dict[str, tuple[str, ...]] = DEPENDS, dependent_kinds: tuple[str, ...] = DEPENDENT) -> DataFrame:
     """Changes with their stage and rank, in order: objects that lose what they depend on are dropped first, then creations and alterations by rising rank, drops by falling rank."""
     rank = F.create_map(*(F.lit(x) for k, n in ranks(depends).items() for x in (k, n)))
     out = changes.withColumn("rank", F.element_at(rank, F.col("kind")))
-    dependent = F.col("kind").isin("view", "function", "trigger", "policy")
+    dependent = F.col("kind").isin(*dependent_kinds)
     drop = F.col("operation") == "drop"
     out = out.withColumn("stage", F.when(drop & dependent, 0).when(drop, 2).otherwise(1))
     return out.orderBy("stage", F.when(drop, -F.col("rank")).otherwise(F.col("rank")), "kind", "identity")

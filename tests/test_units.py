@@ -492,6 +492,21 @@ def test_targets_of_keys():
     fails("unknown-index-column", lambda: kinds.expand(tables=[table("app", "c", {"id": column("integer")}, indexes=(Index((("no", "asc", None),)),))]))
 
 
+def test_kinds_of_a_project(spark):
+    from terrane.plans import kinds
+
+    pin = kinds.Kind("pin", ("table",), ("level",), dependent=True)
+    known = kinds.registry(pin)
+    assert kinds.required(known)["pin"] == ("level",) and list(known)[:-1] == list(kinds.KINDS)
+    rows = snapshot.snapshot(spark, [("pin", "app.p", "{}"), ("pin", "app.q", '{"level":1}')])
+    assert [(r.identity, r.missing) for r in kinds.missing_keys(rows, kinds.required(known)).collect()] == [("app.p", ["level"])]
+    changed = kinds.ordered(kinds.meaning(snapshot.diff(rows, rows.limit(0)), known), known)
+    assert {(r.means, r.stage) for r in changed.collect()} == {("drop", 0)}
+    fails("duplicate-kind", lambda: kinds.registry(kinds.Kind("table")))
+    fails("unknown-kind", lambda: kinds.registry(kinds.Kind("pin", ("nothing",))))
+    assert kinds.KINDS["policy"].dependent and not kinds.KINDS["table"].dependent
+
+
 def test_loops(spark):
     posts_, comments, store = blog(spark)
 
