@@ -285,13 +285,20 @@ def _across(spec: Similarity):
 def open_links(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, spec: Similarity, scratch: Scratch) -> DataFrame:
     """Confirmed links (a, b) between components, in the buckets that still hold several; they join all components that any link of the bucket would. members: band, cls, n_shingles."""
     own = members.join(labels.toDF("cls", "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / spec.block, F.sum("n_shingles") / spec.block_shingles)).cast("int")
-    several = own.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), blocks.alias("blocks")).where("x <> y")
-    several = scratch.keep(several.select("band", "blocks"), "several")
-    rows = scratch.keep(own.join(several, "band").select("band", "cls", "label", "n_shingles", "blocks"), "open")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    # block k meets each block of a higher number, and itself
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # a bucket's largest component needs no look at itself: only blocks of the rest meet all blocks, itself and the largest's
+    sizes = own.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    most = F.max(F.struct("n", "label", "s"))
+    several = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("labels"), most.alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("labels > 1")
+
+    def blocks(n: Column, s: Column) -> Column:
+        return F.ceil(F.greatest(n / spec.block, s / spec.block_shingles)).cast("int")
+
+    several = scratch.keep(several.select("band", F.col("top.label").alias("largest"), blocks(F.col("top.n"), F.col("top.s")).alias("large"), blocks(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("rest")), "several")
+    rows = scratch.keep(own.join(several, "band").select("band", "cls", "label", "n_shingles", (F.col("label") == F.col("largest")).alias("in_large"), "large", "rest"), "open")
+    at = F.xxhash64("cls")
+    rows = rows.withColumn("block", F.when(F.col("in_large"), F.col("rest") + F.pmod(at, F.col("large"))).otherwise(F.pmod(at, F.col("rest"))).cast("int"))
+    # a block meets each block of a higher number, and itself
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("in_large"), F.col("rest") - 1).otherwise(F.col("rest") + F.col("large") - 1))))
     dealt = dealt.select("band", "cls", "label", "n_shingles", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
     sketched = dealt.join(classes.select("cls", "sketch"), "cls").select("band", "i", "j", "side", "cls", "label", "n_shingles", "sketch")
     near = scratch.keep(sketched.groupBy("band", "i", "j").applyInArrow(_open_members(spec), "band long, i int, j int, side int, cls binary, label binary"), "near-members")
