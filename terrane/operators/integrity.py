@@ -139,18 +139,18 @@ def delete_cascading(tables: list[Table], start: Table, deleted: DataFrame, stor
 
 def violations(t: Table, rows: DataFrame, store: Store) -> DataFrame:
     """constraint, n: how many rows or keys break each of the table's constraints; only those that are broken."""
-    found: list[tuple[str, DataFrame]] = []
-    if any(not c.nullable for _, c in t.columns):
-        found.append(("not null", not_null_violations(t, rows)))
-    if t.primary_key():
-        found.append(("primary key", primary_key_violations(t, rows)))
-    found += [(f"unique {n}", duplicate_keys(rows, [n])) for n, c in t.columns if c.is_unique]
-    found += [(f"index {', '.join(c for c, _, _ in i.columns)}", unique_index_violations(i, rows)) for i in t.indexes if i.unique]
-    found += [(f"check {c.name}", check_violations(c, rows)) for c in t.checks]
-    found += [(f"enum {n}", enum_violations(Enum("", n, c.values), n, rows)) for n, c in t.columns if c.values]
-    found += [(f"foreign key {', '.join(f.columns)}", foreign_key_violations(f, rows, rows if f.target == t.key else store.read(f.target))) for f in t.foreign_keys]
-    require(found, "no-constraint", f"{t.name} has no constraint")
-    counted = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("constraint"), "n") for name, df in found]
+    from .batches import row_rules, uniques
+
+    counted: list[DataFrame] = []
+    rules = row_rules(t)
+    if rules:
+        # what a row can break by itself: one scan for all
+        sums = rows.agg(*(F.count_if(broken).alias(f"_{k}") for k, (_, broken) in enumerate(rules)))
+        counted.append(sums.select(F.inline(F.array(*(F.struct(F.lit(name).alias("constraint"), F.col(f"_{k}").alias("n")) for k, (name, _) in enumerate(rules))))))
+    keys = [(u.name, primary_key_violations(t, rows) if u.name == "primary key" else duplicate_keys(rows, list(u.columns), u.where)) for u in uniques(t)]
+    keys += [(f"foreign key {', '.join(f.columns)}", foreign_key_violations(f, rows, rows if f.target == t.key else store.read(f.target))) for f in t.foreign_keys]
+    counted += [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("constraint"), "n") for name, df in keys]
+    require(counted, "no-constraint", f"{t.name} has no constraint")
     return reduce(DataFrame.unionByName, counted).where("n > 0")
 
 

@@ -296,12 +296,35 @@ def _latest(rows: DataFrame) -> list[Column]:
     return [*turned, *(F.col(f.name).desc_nulls_last() for f in rows.schema.fields if f.name.startswith("v__") and changes.sortable(f.dataType))]
 
 
+def _unique(query: Select, store: Store) -> bool:
+    """Whether a look-up finds one row at most: its condition fixes a whole key of the one table that it reads."""
+    table = getattr(store, "store", store).tables.get(query.base)
+    if table is None or query.joins or query.condition is None:
+        return False
+
+    def parts(e: X.Expr) -> Iterator[X.Expr]:
+        for x in e.args if e.op == "and" else (e,):
+            yield from parts(x) if x.op == "and" else (x,)
+
+    fixed = set()
+    for e in parts(query.condition):
+        for a, b in (e.args, e.args[::-1]) if e.op == "eq" else ():
+            if a.op == "ref" and a.args[:2] == table.key and table.key not in X.tables_of(b):
+                fixed.add(a.args[2])
+    keys = [set(table.primary_key()), *({n} for n, c in table.columns if c.is_unique)]
+    return any(k and k <= fixed for k in keys)
+
+
 def _looked_up(s: Statement, rows: DataFrame, store: Store, values: dict[str, Any]) -> DataFrame:
     """The rounds with the row that each looks up, as local values. A strict look-up has exactly one row in every round, another the first one or nulls."""
     name, query = s.parts
     require(query.count in (None, 1), "bad-body", "a look-up in a loop has no limit but 1")
     met, scope = _joined(rows, query, store, values, "left")
     found = met.select(*(F.col(c) for c in rows.columns), *(X.compile_(e, scope).alias(_value(f"{name}.{n}")) for n, e in query.projection), F.col("_there"), *(X.compile_(e, scope).alias(f"key__{i}") for i, (e, _) in enumerate(query.order)))
+    if _unique(query, store):
+        lost = found.where("_there is null").first() if s.kind == "row" else None
+        require(lost is None, "not-one-row", f"{name}: no row")
+        return found.drop("_there", *(f"key__{i}" for i in range(len(query.order))))
     if s.kind == "row":
         bad = found.groupBy(ROUND).agg(F.count("_there").alias("n")).where("n <> 1").first()
         require(bad is None, "not-one-row", f"{name}: {'no' if bad and not bad['n'] else 'more than one'} row")
@@ -463,6 +486,13 @@ def _triggered(statements: tuple[Statement, ...], rows: DataFrame, store: Store,
             require(not query.order and query.count is None, "bad-body", "a trigger's lookup has no order or limit")
             met, here = _joined(rows, query, store, {}, "left")
             held = [F.col(c) for c in rows.columns]
+            if _unique(query, store):  # a plain left join; no batch is grouped again
+                one = met.select(*held, *(X.compile_(e, here).alias(_value(f"{name}.{n}")) for n, e in query.projection), F.col("_there"))
+                if s.kind == "row":
+                    refused.append(_row(one.where("_there is null"), which, which[0], names).withColumn("message", F.lit(f"{name}: not exactly one row")))
+                    one = one.where("_there is not null")
+                rows = one.drop("_there")
+                continue
             found = met.select(*held, F.struct(*(X.compile_(e, here).alias(n) for n, e in query.projection)).alias("_found"), F.col("_there").isNotNull().alias("_hit"))
             one = found.groupBy("_row").agg(F.min_by(F.struct(*rows.columns, "_found"), F.struct("_found")).alias("_r"), F.sum(F.col("_hit").cast("long")).alias("_n")).select("_r.*", "_n")
             if s.kind == "row":

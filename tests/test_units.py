@@ -436,6 +436,19 @@ def test_rename_plan_settles(spark):
     assert [(r.kind, r.identity, r.operation) for r in left.collect()] == [("table", "app.c", "drop")]
 
 
+def test_lookups_by_a_whole_key_are_plain_joins(spark):
+    posts_, comments, store = blog(spark)
+    by = lambda *parts: select(posts_).where(X.and_(*parts) if len(parts) > 1 else parts[0])
+    assert routines._unique(by(X.eq(posts_["id"], X.local("x"))), store) and routines._unique(by(X.gt(posts_["slug"], "a"), X.eq(X.local("x"), posts_["id"])), store)
+    assert not routines._unique(by(X.gt(posts_["id"], 1)), store) and not routines._unique(by(X.eq(posts_["slug"], "a")), store)
+    assert not routines._unique(by(X.or_(X.eq(posts_["id"], 1), X.eq(posts_["id"], 2))), store) and not routines._unique(select(posts_), store)
+    rule = routines.trigger("t", comments, ("insert",), lambda ctx, new, old: (ctx.row(select(posts_).where(X.eq(posts_["id"], new["post_id"])), "post"), ctx.return_row("new"))[0])
+    batch = spark.createDataFrame([(9, 1, None, "a"), (10, 99, None, "b"), (11, None, None, "c")], comments.struct().simpleString().removeprefix("struct<").removesuffix(">"))
+    returned, refused = rule.run(store, batch, "insert")
+    assert [r.id for r in returned.collect()] == [9] and sorted(r.id for r in refused.collect()) == [10, 11]
+    assert "Window" not in returned._jdf.queryExecution().toString() and "min_by" not in returned._jdf.queryExecution().toString()
+
+
 def test_lookups_and_changes_in_loops(spark):
     posts_, comments, store = blog(spark)
 
