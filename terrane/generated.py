@@ -10,10 +10,10 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .functions import expressions as X
 from .operators import changes, security
 from .plans import kinds, lineage, renames, snapshot, validators
 from .queries import _BUCKET, _CATALOG, _KEY, NAMES, World, _depth_trigger, _filled, _flat, _generated, _nation, query
-from .functions import expressions as X
 from .sources.catalog import Store, table
 
 P = "SELECT p_partkey AS k, p_size AS x FROM part"
@@ -127,7 +127,7 @@ def _own_tables(w: World) -> DataFrame:
     return rows.where("kind = 'table'").select("identity", F.explode(F.from_json("node", snapshot._NODE).columns).alias("c")).select("identity", F.col("c.name").alias("column"))
 
 
-query("snapshot_build", "SELECT 'w.' || table_name AS identity, column_name AS \"column\" FROM information_schema.columns WHERE table_name IN (" + ", ".join(f"'{n}'" for n in NAMES) + ")")(_own_tables)
+query("snapshot_build", "SELECT DISTINCT 'w.' || table_name AS identity, column_name AS \"column\" FROM information_schema.columns WHERE table_name IN (" + ", ".join(f"'{n}'" for n in NAMES) + ")")(_own_tables)
 
 _DIFF = f"""SELECT kind, identity, CASE WHEN k % 5 = 0 THEN 'create' WHEN k % 7 = 0 THEN 'drop' ELSE 'alter' END AS operation FROM ({_CATALOG})
 WHERE k % 5 = 0 AND k % 7 <> 0 OR k % 7 = 0 AND k % 5 <> 0 OR k % 5 <> 0 AND k % 7 <> 0 AND k % 3 = 0"""
@@ -265,6 +265,21 @@ query("banner_parse", f"SELECT k, md5('p' || x) AS parent, CASE WHEN k % 3 > 0 T
 )
 
 
+def _headers(w: World) -> DataFrame:
+    """A change file for each size: the changes of its parts, and the states before and after."""
+    rows = parts(w).selectExpr("'f' || x as file", "k as place", "CASE k % 2 WHEN 0 THEN 'table' ELSE 'view' END as kind", "'app.o' || k as identity", "CASE k % 3 WHEN 0 THEN 'create' WHEN 1 THEN 'alter' ELSE 'drop' END as operation", "CASE k % 3 WHEN 1 THEN array('n' || x, 'm' || k) END as notes")
+    states = parts(w).selectExpr("'f' || x as file", "CASE WHEN x > 1 THEN md5(cast('s' || (x - 1) as binary)) END as parent", "md5(cast('s' || x as binary)) as current").distinct()
+    made = lineage.headers(rows, states)
+    return made.select("file", F.md5(F.col("text").cast("binary")).alias("text"), lineage.banner(F.col("text")).alias("b")).select("file", "text", "b.*")
+
+
+query(
+    "banner_write",
+    f"""WITH l AS (SELECT x, k, '-- ' || CASE k % 3 WHEN 0 THEN '+' WHEN 1 THEN '~' ELSE '-' END || ' ' || CASE k % 2 WHEN 0 THEN 'table' ELSE 'view' END || ' app.o' || k || CASE k % 3 WHEN 1 THEN ' [n' || x || ', m' || k || ']' ELSE '' END AS line FROM ({P}))
+SELECT 'f' || x AS file, md5(string_agg(line, chr(10) ORDER BY k) || CASE WHEN x > 1 THEN chr(10) || '-- parent: ' || md5('s' || (x - 1)) ELSE '' END || chr(10) || '-- current: ' || md5('s' || x)) AS text, CASE WHEN x > 1 THEN md5('s' || (x - 1)) END AS parent, md5('s' || x) AS current FROM l GROUP BY x""",
+)(_headers)
+
+
 def _history(w: World) -> DataFrame:
     files = parts(w, "k % 5 > 0").selectExpr("'f' || k as file", "'h' || x as hash")
     commits = parts(w, "k % 3 > 0").selectExpr("'f' || k as file", "'h' || CASE WHEN k % 7 = 0 THEN 0 ELSE x END as hash", "2 as at").union(parts(w, "k % 2 = 0").selectExpr("'f' || k", "'first'", "1"))

@@ -73,6 +73,27 @@ def banner(text: Column) -> Column:
     return F.struct(F.when(parent != "", parent).alias("parent"), F.when(current != "", current).alias("current"))
 
 
+#: How a change of each operation starts its line in a header.
+MARKS = {"create": "+", "alter": "~", "drop": "-"}
+
+
+def headers(changes: DataFrame, states: DataFrame) -> DataFrame:
+    """file, text: the header of each change file, a line for each change in order of place, then the states before and after, as banner() reads them.
+
+    changes: file, place, kind, identity, operation, notes (array, may be null). states: file, parent, current (hex; a
+    null parent has no line). A file without changes has the states only.
+    """
+    mark = F.element_at(F.create_map(*(F.lit(x) for pair in MARKS.items() for x in pair)), F.col("operation"))
+    notes = F.when(F.size("notes") > 0, F.concat(F.lit(" ["), F.array_join("notes", ", "), F.lit("]"))).otherwise("")
+    line = F.concat(F.lit("-- "), mark, F.lit(" "), F.col("kind"), F.lit(" "), F.col("identity"), notes)
+    # a file's changes are what one step of a catalog changes
+    lines = changes.select("file", F.struct("place", line.alias("line")).alias("x")).groupBy("file").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    both = states.join(lines, "file", "left")
+    body = F.coalesce(F.transform("xs", lambda x: x.line), F.array().cast("array<string>"))
+    end = F.array(*(F.when(F.col(k).isNotNull(), F.concat(F.lit(f"-- {k}: "), F.col(k))) for k in ("parent", "current")))
+    return both.select("file", F.array_join(F.concat(body, F.filter(end, lambda x: x.isNotNull())), "\n").alias("text"))
+
+
 def slug(first: tuple[str, str] | None) -> str:
     """A file's name from its first change (operation, identity): add_posts, alter_posts, drop_posts."""
     if first is None:

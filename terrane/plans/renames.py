@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import require
@@ -249,17 +249,22 @@ def _columns(rows: DataFrame) -> DataFrame:
     return parsed.select("identity", F.col("c.name").alias("name"), F.to_json(F.col("c").dropFields("name")).alias("definition"))
 
 
-def _lost_and_new(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """of, identity (a schema for tables, else a table), name, definition: of what only one side has. Columns are compared in tables that both have."""
+def _lost_and_new(before: DataFrame, after: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """of, identity (a schema for tables, else a table, by its old name), name, definition: of what only one side has. Columns are compared in tables that both have, under one name or under two that were named."""
+    # tables that were named, after, under their old name
+    pairs = named.where("of = 'table'").select(F.concat_ws(".", "identity", "old").alias("_old"), F.concat_ws(".", "identity", "new").alias("identity"))
+    known = _defined(before).select(F.col("identity").alias("_old"))
+    pairs = pairs.join(known, "_old", "left_semi").join(known.select(F.col("_old").alias("identity")), "identity", "left_anti").dropDuplicates(["identity"])
+    back = after.join(pairs, "identity", "left").withColumn("identity", F.coalesce("_old", "identity")).drop("_old")
 
-    def sides(a: DataFrame, b: DataFrame) -> DataFrame:
+    def sides(a: DataFrame, b: DataFrame, own: DataFrame, others: DataFrame) -> DataFrame:
         x, y = _defined(a), _defined(b)
         tables = x.join(y.select("identity"), "identity", "left_anti").select(F.lit("table").alias("of"), F.substring_index("identity", ".", 1).alias("identity"), F.element_at(F.split("identity", r"\."), -1).alias("name"), "definition")
-        both = _columns(a).join(y.select("identity"), "identity", "left_semi")
-        columns = both.join(_columns(b).select("identity", "name"), ["identity", "name"], "left_anti")
+        both = _columns(own).join(_defined(others).select("identity"), "identity", "left_semi")
+        columns = both.join(_columns(others).select("identity", "name"), ["identity", "name"], "left_anti")
         return tables.unionByName(columns.select(F.lit("column").alias("of"), "identity", "name", "definition"))
 
-    return sides(before, after), sides(after, before)
+    return sides(before, after, before, back), sides(after, before, back, before)
 
 
 def _kept(lost: DataFrame, side: str, given: DataFrame) -> DataFrame:
@@ -270,13 +275,18 @@ def plan(before: DataFrame, after: DataFrame, named: DataFrame, drops: DataFrame
     """of, identity, old, new, verdict: what becomes of each table and column that is gone, and of each rename that was named.
 
     named: of, identity (a schema for tables, else a table), old, new. drops: of, identity, name: losses that
-    are meant. Verdicts: named; unknown (a named rename whose old name isn't gone, or whose new name isn't new);
+    are meant. Columns of a table that is renamed stand under its old name. Verdicts: named; twice (two named renames claim
+    one old or new name); unknown (a named rename whose old name isn't gone, or whose new name isn't new);
     confirmed (a drop that is meant); matched (its definition has come back once, under one other name);
     ambiguous (one row for each pair of equal definitions, where it is more than one pair); unconfirmed
     (gone, nothing like it has come, and nobody said so).
     """
-    lost, new = _lost_and_new(before, after)
     at = ["of", "identity"]
+    named = named.select(*at, "old", "new").distinct()
+    claims = F.count(F.lit(1)).over(Window.partitionBy(*at, "old")) + F.count(F.lit(1)).over(Window.partitionBy(*at, "new"))
+    claimed = named.withColumn("_claims", claims)
+    twice, named = claimed.where("_claims > 2").drop("_claims"), claimed.where("_claims = 2").drop("_claims")
+    lost, new = _lost_and_new(before, after, named)
     right = named.join(lost.select(*at, F.col("name").alias("old")), [*at, "old"], "left_semi").join(new.select(*at, F.col("name").alias("new")), [*at, "new"], "left_semi")
     wrong = named.select(*at, "old", "new").exceptAll(right.select(*at, "old", "new"))
     meant = drops.join(lost.select(*at, "name"), [*at, "name"], "left_semi").join(right.select(*at, F.col("old").alias("name")), [*at, "name"], "left_anti")
@@ -291,12 +301,12 @@ def plan(before: DataFrame, after: DataFrame, named: DataFrame, drops: DataFrame
     alone = met.where("news is null").select(*at, F.explode("olds").alias("old"), F.lit(None).cast("string").alias("new"), F.lit("unconfirmed").alias("verdict"))
     said = lambda x, verdict, new: x.select(*at, "old", new.alias("new"), F.lit(verdict).alias("verdict"))
     none = F.lit(None).cast("string")
-    return pairs.unionByName(alone).unionByName(said(right, "named", F.col("new"))).unionByName(said(wrong, "unknown", F.col("new"))).unionByName(said(meant.withColumnRenamed("name", "old"), "confirmed", none))
+    return pairs.unionByName(alone).unionByName(said(right, "named", F.col("new"))).unionByName(said(twice, "twice", F.col("new"))).unionByName(said(wrong, "unknown", F.col("new"))).unionByName(said(meant.withColumnRenamed("name", "old"), "confirmed", none))
 
 
 def settled(planned: DataFrame) -> DataFrame:
-    """The renames of a plan, for renamed(); an error if something is ambiguous, unknown or unconfirmed."""
-    bad = planned.where("verdict in ('ambiguous', 'unknown', 'unconfirmed')").orderBy("of", "identity", "old", "new").first()
+    """The renames of a plan, for renamed(); an error if something is ambiguous, unknown, claimed twice or unconfirmed."""
+    bad = planned.where("verdict in ('ambiguous', 'twice', 'unknown', 'unconfirmed')").orderBy("of", "identity", "old", "new").first()
     require(bad is None, "open-rename", f"{bad and bad['verdict']}: {bad and bad['of']} {bad and bad['identity']} {bad and bad['old']}")
     ok = planned.where("verdict in ('named', 'matched')")
     identity: Column = F.when(F.col("of") == "table", F.concat_ws(".", "identity", "old")).otherwise(F.col("identity"))

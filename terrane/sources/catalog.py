@@ -217,6 +217,32 @@ def table(schema: str, name: str, columns: dict[str, Column], **extras: Any) ->
     return Table(schema, name, tuple((snake(k), c) for k, c in columns.items()), **extras)
 
 
+@dataclass(frozen=True)
+class Schema:
+    """A namespace that tables, enums and views are declared in."""
+
+    name: str
+
+    def __post_init__(self) -> None:
+        check_name(self.name)
+
+    def table(self, name: str, columns: dict[str, Column], **extras: Any) -> Table:
+        return table(self.name, name, columns, **extras)
+
+    def enum(self, name: str, *values: str) -> Enum:
+        require(values and len(set(values)) == len(values), "bad-enum", f"{name} has values, each once")
+        return Enum(self.name, check_name(name), values)
+
+    def view(self, name: str, query: Any, security_invoker: bool = False) -> Any:
+        from ..plans.query import View
+
+        return View(self.name, check_name(name), query, security_invoker)
+
+
+def schema(name: str) -> Schema:
+    return Schema(name)
+
+
 def check_references(tables: Iterable[Table]) -> None:
     """Foreign keys of declared tables refer to tables among them, to columns that these have, of the same type, and that are unique together. Names of indexes and keys stand once in a table."""
     by_key = {t.key: t for t in tables}

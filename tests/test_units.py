@@ -505,6 +505,32 @@ def test_targets_of_keys():
     fails("unknown-index-column", lambda: kinds.expand(tables=[table("app", "c", {"id": column("integer")}, indexes=(Index((("no", "asc", None),)),))]))
 
 
+def test_renamed_tables_are_compared_by_column(spark):
+    from terrane.plans import renames
+
+    make = lambda *tables: snapshot.snapshot(spark, snapshot.expand(tables))
+    t = lambda name, *columns: table("app", name, {"id": column("integer").primary_key(), **{c: column("text") for c in columns}})
+    before, after = make(t("a", "x"), t("b"), t("c")), make(t("n", "y"), t("o"))
+    given = lambda *rows: spark.createDataFrame(list(rows), "of string, identity string, old string, new string")
+    none = spark.createDataFrame([], "of string, identity string, name string")
+    verdicts = lambda *rows: sorted((r.old, r.new, r.verdict) for r in renames.plan(before, after, given(*rows), none).collect())
+    # the table's other column is a match under the table's old name
+    assert verdicts(("table", "app", "a", "n")) == [("a", "n", "named"), ("b", "o", "ambiguous"), ("c", "o", "ambiguous"), ("x", "y", "matched")]
+    assert ("x", "y", "named") in verdicts(("table", "app", "a", "n"), ("column", "app.a", "x", "y"))
+    assert [v for v in verdicts(("table", "app", "b", "o"), ("table", "app", "c", "o")) if v[2] == "twice"] == [("b", "o", "twice"), ("c", "o", "twice")]
+    fails("open-rename", lambda: renames.settled(renames.plan(before, after, given(("table", "app", "b", "o"), ("table", "app", "c", "o")), none)))
+
+
+def test_schema_object():
+    from terrane.sources.catalog import schema
+
+    app = schema("app")
+    t = app.table("posts", {"id": column("integer").primary_key()})
+    assert t.key == ("app", "posts") and app.enum("e", "a", "b").values == ("a", "b") and app.view("v", select(t)).schema == "app"
+    fails("bad-name", lambda: schema("App"))
+    fails("bad-enum", lambda: app.enum("e", "a", "a"))
+
+
 def test_kinds_of_a_project(spark):
     from terrane.plans import kinds
 
