@@ -107,6 +107,103 @@ def test_slots_of_words():
     assert html_extract.block_tokens(html_extract.Element("p", 1, True, 0, None), "menu") == {}
 
 
+def settle(pages, deduction):
+    """All rounds of the deduction on one host's lists of tokens, without Spark."""
+    members = None
+    told = {p: [(k, k, 0, None, None) for k in keys] for p, keys in enumerate(pages)}
+    for rounds in range(1, 30):
+        at = defaultdict(lambda: defaultdict(list))
+        kind = {}
+        for p, keys in told.items():
+            for i, (token, _, *what) in enumerate(keys):
+                at[token][p].append(i)
+                kind[token] = what
+        members = []
+        for token, places in at.items():
+            ctx, cls, place = kind[token]
+            if len(places) >= deduction.min_pages * len(pages):
+                vector = hash(tuple(len(places.get(p, ())) for p in told))
+                members.append({"token": token, "vector": vector, "pages": len(places), "n": sum(map(len, places.values())), "pos": min(places[min(places)]), "size": 1, "ctx": ctx, "cls": cls, "place": place})
+        known = {m["token"] for m in members}
+        lists = [[k for k, *_ in keys if k in known] for keys in told.values()]
+        classes = html_extract.grouped(members)
+        for find, do in ((html_extract.disorder, html_extract.ordered), (html_extract.crossings, html_extract.nested), (html_extract.stands, html_extract.fixed)):
+            classes = do(members, classes, set().union(*(find(x, html_extract._places(classes)) for x in lists)), deduction)
+        places = html_extract._places(classes)
+        told = {p: [(r, k, c, *places.get(k, (None, None))[:2]) for k, r, c in zip(x, html_extract._roles(x, places), html_extract.contexts(x, places), strict=True)] for p, x in enumerate(lists)}
+        if len({r for x in told.values() for r, *_ in x}) == len({k for x in told.values() for _, k, *_ in x}):
+            return classes, lists, rounds
+    raise AssertionError("no end")
+
+
+def test_classes_are_ordered_and_nested():
+    """On random pages: every valid class comes in one order, whole, doesn't cross another, and stands in one gap of those that are earlier."""
+    rng = random.Random(31)
+    most, found = 0, 0
+    for _ in range(300):
+        pages = []
+        frame = [[10, 11, 12], [20, 21, 22], [30, 31, 32, 33]]
+        for _ in range(rng.randint(3, 9)):
+            keys = [1, 2]
+            for part in rng.sample(frame, rng.randint(1, 3)) if rng.random() < 0.4 else frame:
+                part = part * rng.choice((1, 1, 2))
+                for _ in range(rng.randint(0, 2)):
+                    part = [*part[: (i := rng.randint(0, len(part)))], rng.choice((40, 41, 42)), *part[i:]]
+                keys += part
+            pages.append([*keys, *rng.choice(([3, 4], [4, 3], [3, 50, 4])), 5])
+        classes, lists, rounds = settle(pages, html_extract.Deduction(min_tokens=2))
+        most, found = max(most, rounds), found + len(classes)
+        for c, tokens in enumerate(classes):
+            for keys in lists:
+                mine = [k for k in keys if k in tokens]
+                assert mine == tokens * (len(mine) // len(tokens))
+            for other in classes[:c]:
+                gaps = set()
+                for keys in lists:
+                    inside, last = set(), None
+                    for k in keys:
+                        if k in other:
+                            last = None if k == other[-1] else k
+                            assert not inside or inside == set(tokens) or not inside & set(tokens)
+                        if k == tokens[0]:
+                            gaps.add(last)
+                    for a, b in zip([i for i, k in enumerate(keys) if k == tokens[0]], [i for i, k in enumerate(keys) if k == tokens[-1]], strict=True):
+                        between = [k for k in keys[a:b] if k in other]
+                        assert between == other * (len(between) // len(other))  # whole, or none
+                assert len(gaps) <= 1
+    assert most > 2 and found > 300
+
+
+def test_cuts_of_classes():
+    places = html_extract._places
+    assert html_extract.disorder([1, 2, 3, 1, 2, 3], places([[1, 2, 3]])) == set()
+    assert html_extract.disorder([1, 2, 1, 3, 2, 3], places([[1, 2, 3]])) == {(0, 2), (0, 1)}
+    assert html_extract.crossings([1, 7, 2, 8], places([[1, 2], [7, 8]])) == {(1, 1)}
+    assert html_extract.crossings([7, 1, 8, 2], places([[1, 2], [7, 8]])) == {(1, 1)}
+    assert html_extract.crossings([1, 7, 8, 2], places([[1, 2], [7, 8]])) == set()
+    assert html_extract.stands([1, 7, 8, 2, 7, 8, 3], places([[1, 2, 3], [7, 8]])) == {(0, 0), (1, 1), (1, 2)}
+    assert html_extract.contexts([5, 1, 5, 7, 5, 8, 5, 2, 5], places([[1, 2], [7, 8]])) == [0, 0, 1, 0, 7, 0, 1, 0, 0]
+
+
+def test_tokens_without_fixed_order_are_data(spark):
+    """Two forms of words that every page has once, now the one first and now the other, are no template; in one order they are."""
+    say = lambda k: (f"<p>We sell books author{k}</p>", f"<p>You may like title{k}</p>")
+    rows = [(k, "http://mixed.example/", f"<body><p>Own words of page{k}</p>{''.join(say(k)[:: 1 if k % 2 else -1])}</body>") for k in range(8)]
+    rows += [(20 + k, "http://same.example/", f"<body><p>Own words of page{k}</p>{''.join(say(k))}</body>") for k in range(8)]
+    got = extracted(spark, rows)
+    plain = lambda html: re.sub(r" +", " ", re.sub(r"<[^>]*>", " ", html)).strip()
+    assert {k: got[k] for k in range(8)} == {k: plain(h).replace("Own words of ", "") for k, _, h in rows[:8]}
+    assert {k: got[k] for k in range(20, 28)} == {20 + k: f"page{k} author{k} title{k}" for k in range(8)}
+
+
+def test_roles_of_a_label(spark):
+    """A label of the template that is also a title of some pages: only the label goes."""
+    top, end = "All the books of our shop", "Write to us for more of them"
+    title = lambda k: "Reviews" if k % 4 == 0 else f"Title{k}"
+    rows = [(k, "http://label.example/", f"<body><p>{top}</p><p>{title(k)}</p><p>{end}</p><p>Reviews</p><p>Said{k} of it</p><p>Printed by the shop itself</p></body>") for k in range(12)]
+    assert extracted(spark, rows) == {k: f"{title(k)} Said{k} of it" for k in range(12)}
+
+
 def test_chats(spark):
     rng = random.Random(2)
     talks = {k: [(("user", "assistant")[j % 2], rng.choice("abcdef") * 3) for j in range(rng.randint(1, 6))] for k in range(60)}
