@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -198,6 +199,19 @@ def mentions(rows: DataFrame) -> DataFrame:
     return rows.select("kind", "identity", F.explode(F.array_distinct(F.concat(F.array(own), more, pairs))).alias("table"))
 
 
+def _met(a: DataFrame, b: DataFrame, on: str | list[str], how: str) -> DataFrame:
+    """A join by shuffle alone. Spark guesses a snapshot's size from the file that it is made of, which may be far smaller, and would send it whole through the driver."""
+    return a.join(b.hint("merge"), on, how)
+
+
+def unknown(rows: DataFrame, renames: DataFrame) -> DataFrame:
+    """of, identity, old: renames of tables or columns that the snapshot hasn't."""
+    columns = F.from_json(F.get_json_object("node", "$.columns"), "array<struct<name string>>").getField("name")
+    tables = rows.where("kind = 'table'").select("identity", F.lit(True).alias("_there"), columns.alias("_columns"))
+    lacks = (F.col("of") == "column") & ~F.coalesce(F.array_contains("_columns", F.col("old")), F.lit(False))
+    return _met(renames, tables, "identity", "left").where(F.col("_there").isNull() | lacks).select(F.when(F.col("_there").isNull(), "table").otherwise("column").alias("of"), "identity", "old")
+
+
 _ROW = pa.schema([("kind", pa.string()), ("identity", pa.string()), ("node", pa.string())])
 
 
@@ -206,29 +220,29 @@ def _applied(rules: dict[str, Rule]) -> Callable[[Iterator[pa.RecordBatch]], Ite
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            # rows without renames pass as they are
+            same = b.filter(pc.is_null(b["renames"]))
+            yield pa.RecordBatch.from_arrays([same[c].cast(pa.string()) for c in _ROW.names], schema=_ROW)
             out = []
-            for r in b.to_pylist():
+            for r in b.filter(pc.is_valid(b["renames"])).to_pylist():
                 names = Names.of((x["of"], x["identity"], x["old"], x["new"]) for x in r["renames"])
                 identity, node = rewritten(r["kind"], r["identity"], json.loads(r["node"]), names, rules)
                 out.append((r["kind"], identity, canonical(node)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.string())] * 3, schema=_ROW)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], schema=_ROW)
 
     return run
 
 
 def renamed(rows: DataFrame, renames: DataFrame, rules: dict[str, Rule] = RULES) -> DataFrame:
     """A snapshot as if the renames had been made before. rules: by kind. renames: of (table, column), identity (the table's, before), old, new."""
-    tables = rows.where("kind = 'table'")
-    lost = renames.join(tables.select("identity"), "identity", "left_anti").first()
-    require(lost is None, "unknown-rename", f"{lost and lost['identity']} is no table of the snapshot")
-    columns = tables.select("identity", F.explode(F.from_json(F.get_json_object("node", "$.columns"), "array<struct<name string>>")).alias("c")).select("identity", F.col("c.name").alias("old"))
-    lost = renames.where("of = 'column'").join(columns, ["identity", "old"], "left_anti").first()
-    require(lost is None, "unknown-rename", f"{lost and lost['identity']} has no column {lost and lost['old']}")
-    each = F.struct("of", F.col("r.identity").alias("identity"), "old", "new")
-    touched = mentions(rows).alias("m").join(renames.alias("r"), F.col("m.table") == F.col("r.identity")).groupBy("m.kind", "m.identity").agg(F.collect_set(each).alias("renames"))
-    met = rows.select("kind", "identity", "node").join(touched, ["kind", "identity"], "left")
-    changed = met.where("renames is not null").mapInArrow(_applied(rules), "kind string, identity string, node string")
-    return met.where("renames is null").select("kind", "identity", "node").unionByName(changed)
+    lost = unknown(rows, renames).first()
+    require(lost is None, "unknown-rename", f"{lost and lost['identity']} " + (f"has no column {lost['old']}" if lost and lost["of"] == "column" else "is no table of the snapshot"))
+    each = F.collect_set(F.struct("of", "identity", "old", "new"))
+    of_table = renames.groupBy("identity").agg(each.alias("renames")).withColumnRenamed("identity", "table")
+    touched = _met(mentions(rows), of_table, "table", "inner").groupBy("kind", "identity").agg(F.flatten(F.collect_list("renames")).alias("renames"))
+    met = _met(rows.select("kind", "identity", "node"), touched, ["kind", "identity"], "left")
+    return met.mapInArrow(_applied(rules), "kind string, identity string, node string")
 
 
 # ---- finding renames

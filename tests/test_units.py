@@ -644,3 +644,22 @@ def test_session_values_outside_policies():
 
     t = table("app", "posts", {"id": column("integer").primary_key(), "owner": column("text").default(X.local("uid"))}, indexes=(Index((("id", "asc", None),), where=X.not_(X.eq(X.local("uid"), "a"))),))
     assert [p for _, _, p in validators.session_values_outside_policies([t, posts()])] == ["app.posts index id", "app.posts.owner default"]
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_renames_send_no_snapshot_through_the_driver(spark, tmp_path):
+    """A snapshot's file is far smaller than its rows; Spark broadcast them whole."""
+    from terrane.plans import renames
+
+    snapshot.snapshot(spark, catalog(spark, "posts", "status")).write.parquet(f"{tmp_path}/before")
+    given = [("table", "app.posts", "posts", "articles"), ("column", "app.posts", "status", "state")]
+    spark.createDataFrame(given, renames.RENAMES).write.parquet(f"{tmp_path}/given")
+    before, given = spark.read.parquet(f"{tmp_path}/before"), spark.read.parquet(f"{tmp_path}/given")
+    out = renames.renamed(before, given)
+    assert "Broadcast" not in _plan(out) and "Broadcast" not in _plan(renames.unknown(before, given))
+    assert sorted(map(tuple, out.collect())) == sorted(catalog(spark, "articles", "state"))
+    more = spark.createDataFrame([("column", "app.posts", "nope", "x"), ("table", "app.nope", "nope", "x"), ("column", "app.nope", "status", "x")], renames.RENAMES)
+    assert sorted(map(tuple, renames.unknown(before, given.union(more)).collect())) == [("column", "app.posts", "nope"), ("table", "app.nope", "nope"), ("table", "app.nope", "status")]
