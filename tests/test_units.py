@@ -663,3 +663,35 @@ def test_renames_send_no_snapshot_through_the_driver(spark, tmp_path):
     assert sorted(map(tuple, out.collect())) == sorted(catalog(spark, "articles", "state"))
     more = spark.createDataFrame([("column", "app.posts", "nope", "x"), ("table", "app.nope", "nope", "x"), ("column", "app.nope", "status", "x")], renames.RENAMES)
     assert sorted(map(tuple, renames.unknown(before, given.union(more)).collect())) == [("column", "app.posts", "nope"), ("table", "app.nope", "nope"), ("table", "app.nope", "status")]
+
+
+def test_rename_plan_spreads_equal_definitions(spark, tmp_path):
+    """Many tables of one definition: every pair once, from cells of a grid, and no snapshot is broadcast."""
+    from pyspark.sql import functions as F
+
+    from terrane.plans import renames
+
+    node = lambda mark: '{"checks":["' + mark + '"],"columns":[],"foreign_keys":[],"indexes":[]}'
+    side = lambda letter, n: [("table", f"app.{letter}{k}", node("a")) for k in range(n)]
+    tables = {"before": [*side("t", 1500), ("table", "app.alone", node("b"))], "after": side("r", 1100)}
+    for name, rows in tables.items():
+        snapshot.snapshot(spark, rows).write.parquet(f"{tmp_path}/{name}")
+    before, after = (spark.read.parquet(f"{tmp_path}/{name}") for name in tables)
+    none = lambda third: spark.createDataFrame([], f"of string, identity string, {third}")
+    planned = renames.plan(before, after, none("old string, new string"), none("name string"))
+    assert "Broadcast" not in _plan(planned)
+    assert sorted(map(tuple, planned.where("verdict <> 'ambiguous'").collect())) == [("table", "app", "alone", None, "unconfirmed")]
+    pairs = planned.where("verdict = 'ambiguous'").groupBy("old").agg(F.count("new").alias("n"), F.countDistinct("new").alias("d"))
+    assert {(r.n, r.d) for r in pairs.collect()} == {(1100, 1100)} and pairs.count() == 1500
+
+
+def test_a_wrong_named_rename_moves_no_columns(spark):
+    """The old name is still there, so its columns are compared with its own, not with those of the new name."""
+    from terrane.plans import renames
+
+    make = lambda *tables: snapshot.snapshot(spark, snapshot.expand(tables))
+    t = lambda name, *columns: table("app", name, {"id": column("integer").primary_key(), **{c: column("text") for c in columns}})
+    named = spark.createDataFrame([("table", "app", "a", "n")], "of string, identity string, old string, new string")
+    meant = spark.createDataFrame([("column", "app.a", "y"), ("column", "app.a", "y"), ("column", "app.a", "none")], "of string, identity string, name string")
+    planned = renames.plan(make(t("a", "x", "y")), make(t("a"), t("n", "x", "z")), named, meant)
+    assert sorted((r.old, r.new, r.verdict) for r in planned.collect()) == [("a", "n", "unknown"), ("x", None, "unconfirmed"), ("y", None, "confirmed")]
