@@ -695,3 +695,11 @@ def test_a_wrong_named_rename_moves_no_columns(spark):
     meant = spark.createDataFrame([("column", "app.a", "y"), ("column", "app.a", "y"), ("column", "app.a", "none")], "of string, identity string, name string")
     planned = renames.plan(make(t("a", "x", "y")), make(t("a"), t("n", "x", "z")), named, meant)
     assert sorted((r.old, r.new, r.verdict) for r in planned.collect()) == [("a", "n", "unknown"), ("x", None, "unconfirmed"), ("y", None, "confirmed")]
+
+
+def test_kinds_of_a_project_are_renamed_by_shuffles(spark):
+    """The query's own check of its renames, and its plan: nothing of the generated catalogs is broadcast."""
+    from terrane import queries
+
+    out = queries.QUERIES["kind_custom"](spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in _plan(out) and out.count() > 100
