@@ -15,7 +15,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,8 @@ class Unique:
     name: str
     columns: tuple[str, ...]
     where: X.Expr | None = None
+    #: Whether all its columns are compared as text.
+    text: bool = False
 
 
 def uniques(t: Table) -> list[Unique]:
@@ -49,27 +51,56 @@ def row_rules(t: Table) -> list[tuple[str, Column]]:
     return out + [(f"enum {n}", ~F.col(n).isin(*c.values)) for n, c in t.columns if c.values]
 
 
-def _cell(t: Table, name: str) -> Column:
-    """A key column as text that is equal when values are."""
+def _cell(t: Table, name: str, text: bool = False) -> tuple[str, Column]:
+    """A key column as a value that is equal when values are, with its type's name: of its declared type, or text where that type compares otherwise (two zeros) or not at all."""
     kind, c = dict(t.columns)[name].spark_type(), F.col(name)
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return (c.cast(kind) + F.lit(0.0).cast(kind)).cast("string")  # one zero
+        return "string", (c.cast(kind) + F.lit(0.0).cast(kind)).cast("string")  # one zero
     if isinstance(kind, (T.ArrayType, T.StructType)):
-        return F.to_json(F.struct(c))
+        return "string", F.to_json(F.struct(c))
     if isinstance(kind, T.BinaryType):
-        return F.hex(c)
-    return c.cast("string") if isinstance(kind, (T.StringType, T.VarcharType, T.CharType)) else c.cast(kind).cast("string")
+        return "string", F.hex(c)
+    if isinstance(kind, (T.StringType, T.VarcharType, T.CharType)):
+        return "string", c.cast("string")
+    if not text and isinstance(kind, (T.IntegralType, T.DecimalType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return kind.simpleString(), c.cast(kind)
+    return "string", c.cast(kind).cast("string")
+
+
+def _fields(t: Table, u: Unique) -> dict[str, Column]:
+    """A constraint's key as named fields. Names tell types apart and are numbered within a type, so that constraints share fields."""
+    out: dict[str, Column] = {}
+    for c in u.columns:
+        kind, cell = _cell(t, c, u.text)
+        out[f"{kind} {sum(n.startswith(f'{kind} ') for n in out)}"] = cell
+    return out
+
+
+def _unused(name: str) -> Column:
+    """The value of a field that a constraint doesn't use. It isn't null, as fields are joined on."""
+    kind = name.rsplit(" ", 1)[0]
+    return F.lit("" if kind == "string" else "1970-01-01" if kind.startswith(("date", "timestamp")) else 0).cast(kind)
 
 
-def _entries(rows: DataFrame, t: Table, keys: list[tuple[str, tuple[str, ...], X.Expr | None]]) -> DataFrame:
-    """of, key: each row's complete keys, of all constraints, in one scan of their columns. t: whose declared types the columns have."""
+def _entries(rows: DataFrame, t: Table, keys: list[Unique], places: range | None = None) -> DataFrame:
+    """of, and fields of keys: each row's complete keys, of all constraints or those at some places, in one scan of their columns.
+
+    of: the constraint's place. t: whose declared types the columns have.
+    """
+    fields = [_fields(t, u) for u in keys]
+    names = sorted({n for f in fields for n in f})
     each = []
-    for name, columns, where in keys:
-        full = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in columns))
-        if where is not None:
-            full = full & F.coalesce(X.compile_(where, X.Scope(bare=True)), F.lit(False))
-        each.append(F.when(full, F.struct(F.lit(name).alias("of"), F.array(*(_cell(t, c) for c in columns)).alias("key"))))
-    return rows.select(F.explode(F.array(*each)).alias("e")).where("e is not null").select("e.of", "e.key")
+    for k in places or range(len(keys)):
+        full = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in keys[k].columns))
+        if keys[k].where is not None:
+            full = full & F.coalesce(X.compile_(keys[k].where, X.Scope(bare=True)), F.lit(False))
+        each.append((full, [F.lit(k).alias("of"), *((fields[k][n] if n in fields[k] else _unused(n)).alias(n) for n in names)]))
+    if len(each) == 1:
+        out = rows.where(each[0][0]).select(*each[0][1])
+    else:
+        out = rows.select(F.inline(F.array(*(F.when(full, F.struct(*entry)) for full, entry in each))))
+    # said here for all of them, so that a join adds no filter of its own, and its shuffle can be one that is there already
+    return out.where(reduce(lambda a, b: a & b, (F.col(f"`{n}`").isNotNull() for n in out.columns)))
 
 
 def batch_violations(t: Table, batch: DataFrame, rest: DataFrame, read: Store | None = None, others: dict[Key, DataFrame] | None = None) -> list[tuple[str, int]]:
@@ -85,22 +116,29 @@ def batch_violations(t: Table, batch: DataFrame, rest: DataFrame, read: Store |
         found += [(name, sums[k]) for k, (name, _) in enumerate(rules) if sums[k]]
     own = [f for f in t.foreign_keys if f.target == t.key]
     mine = uniques(t)
-    keys = [(u.name, u.columns, u.where) for u in mine]
-    probes = [_entries(batch, t, keys)] if keys else []
+    asking = mine + [Unique(_name(f), f.columns, text=True) for f in own]
+    holding = mine + [Unique(_name(f), f.target_columns, text=True) for f in own]
+    referring = range(len(mine), len(asking))
+    probes = [_entries(batch, t, asking, range(len(mine)))] if mine else []
     if own:
         # what rows of the batch refer to counts as there if the batch or the rest has it
-        given = _entries(batch, t, [(_name(f), f.target_columns, None) for f in own]).distinct()
-        wanted = _entries(batch, t, [(_name(f), f.columns, None) for f in own]).distinct().join(given, ["of", "key"], "left_anti")
-        probes.append(wanted)
+        given = _entries(batch, t, holding, referring).distinct()
+        wanted = _entries(batch, t, asking, referring).distinct()
+        probes.append(wanted.join(given, wanted.columns, "left_anti"))
     if probes:
-        counted = cut(reduce(DataFrame.unionByName, probes).groupBy("of", "key").agg(F.count(F.lit(1)).alias("n")))
-        there = _entries(rest, t, keys + [(_name(f), f.target_columns, None) for f in own])
-        # the rest is streamed past the batch's keys, which are the small side
-        known = cut(there.join(counted.select("of", "key"), ["of", "key"], "left_semi").distinct())
-        names = [u.name for u in mine]
-        twice = counted.where(F.col("of").isin(names)).join(known.withColumn("_known", F.lit(True)), ["of", "key"], "left").where("n > 1 or _known")
-        missing = counted.where(~F.col("of").isin(names)).join(known, ["of", "key"], "left_anti")
-        found += [(r["of"], r["n"]) for r in twice.unionByName(missing, allowMissingColumns=True).groupBy("of").agg(F.count(F.lit(1)).alias("n")).collect()]  # one row a constraint
+        entries = reduce(DataFrame.unionByName, probes)
+        counted = entries.groupBy(*entries.columns).agg(F.count(F.lit(1)).alias("n"))
+        # the rest is streamed past the batch's keys, which are the small side; keys that stand twice are broken already
+        met = _entries(rest, t, holding).join(counted.where("n = 1"), entries.columns, "left_semi")
+        # each once: a merge join leaves them sorted, so a sorted window holds less than a hash table
+        place = F.row_number().over(Window.partitionBy(*entries.columns).orderBy("of"))
+        known = met.withColumn("_place", place).where("_place = 1")
+        # a key is broken if it stands twice or is known, a reference if it isn't known; both counts read one shuffle of the batch's keys
+        at = [F.col("of") == k for k in range(len(asking))]
+        alone = counted.agg(*(F.count_if(here & (F.col("n") > 1) if k < len(mine) else here).alias(f"_{k}") for k, here in enumerate(at)))
+        among = known.agg(*((F.count_if(here) * (1 if k < len(mine) else -1)).alias(f"_{k}") for k, here in enumerate(at)))
+        sums = [sum(ns) for ns in zip(*alone.unionByName(among).collect(), strict=True)]  # two rows
+        found += [(u.name, n) for u, n in zip(asking, sums, strict=True) if n]
     for f in t.foreign_keys:
         if f.target != t.key:
             n = missing_targets(t, f, batch, (others or {}).get(f.target) if others and f.target in others else read.read(f.target)).count()

@@ -703,3 +703,25 @@ def test_kinds_of_a_project_are_renamed_by_shuffles(spark):
 
     out = queries.QUERIES["kind_custom"](spark, "/root/testdata/sf0.001")
     assert "Broadcast" not in _plan(out) and out.count() > 100
+
+
+def test_batch_keys_keep_their_types(spark, monkeypatch):
+    """Keys of all types, empty, twice in the batch or in the rest: grouped as they are, in one pass that writes nothing aside."""
+    from terrane.operators import batches
+
+    t = table(
+        "app", "t", {"id": column("bigint").primary_key(), "d": column("double precision").unique(), "s": column("text"), "at": column("timestamp"), "day": column("date"), "num": column("numeric"), "flag": column("boolean"), "up": column("bigint")},
+        indexes=(Index(tuple((c, "asc", None) for c in ("s", "at", "day", "num", "flag")), unique=True), Index((("s", "asc", None),), unique=True, where=X.ref("app", "t", "flag", "boolean")), Index((("s", "asc", None),), unique=True, where=X.gt(X.ref("app", "t", "id", "numeric"), 7))),
+        foreign_keys=(ForeignKey(("up",), ("app", "t"), ("id",)),),
+    )
+    frame = lambda *rows: spark.createDataFrame(list(rows), "id long, d double, s string, at string, day string, num string, flag boolean, up long").selectExpr("id", "d", "s", "cast(at as timestamp_ntz) at", "cast(day as date) day", "cast(num as decimal(38,18)) num", "flag", "up")
+    day, nan = ("2020-01-01 00:00:00", "2020-01-01"), float("nan")
+    old = (1, 0.0, "", *day, "0", False, None)
+    rest = frame(old, old, (0, nan, "a", *day, "1", True, None), (2, None, None, *day, "1", True, 1))
+    batch = frame((0, -0.0, "", *day, "0.00", False, 4), (3, nan, "", *day, "0.01", False, 3), (4, 5.0, "a", *day, "1", True, 0), (None, 5.0, None, *day, "1", True, 99), (5, 6.0, "a", None, None, None, None, 99), (8, 7.0, "b", *day, "1", True, 98))
+    monkeypatch.setattr(batches, "cut", lambda rows: (_ for _ in ()).throw(AssertionError("a check keeps no copy")))
+    # "b" stands once in each of the two indexes with a condition
+    assert batches.batch_violations(t, batch, rest) == [("not null", 1), ("primary key", 1), ("unique d", 3), ("index s, at, day, num, flag", 2), ("index s", 1), ("foreign key up", 2)]
+    kinds = dict(batches._entries(rest, t, batches.uniques(t)).dtypes)
+    assert {"bigint", "string", "timestamp_ntz", "date", "decimal(38,18)", "boolean"} == {k for n, k in kinds.items() if n != "of"}
+    assert batches._entries(rest, t, batches.uniques(t)[:1]).dtypes == [("of", "int"), ("bigint 0", "bigint")]
