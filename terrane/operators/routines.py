@@ -485,21 +485,17 @@ def _triggered(statements: tuple[Statement, ...], rows: DataFrame, store: Store,
             name, query = s.parts
             require(not query.order and query.count is None, "bad-body", "a trigger's lookup has no order or limit")
             met, here = _joined(rows, query, store, {}, "left")
-            held = [F.col(c) for c in rows.columns]
-            if _unique(query, store):  # a plain left join; no batch is grouped again
-                one = met.select(*held, *(X.compile_(e, here).alias(_value(f"{name}.{n}")) for n, e in query.projection), F.col("_there"))
-                if s.kind == "row":
-                    refused.append(_row(one.where("_there is null"), which, which[0], names).withColumn("message", F.lit(f"{name}: not exactly one row")))
-                    one = one.where("_there is not null")
-                rows = one.drop("_there")
-                continue
-            found = met.select(*held, F.struct(*(X.compile_(e, here).alias(n) for n, e in query.projection)).alias("_found"), F.col("_there").isNotNull().alias("_hit"))
-            one = found.groupBy("_row").agg(F.min_by(F.struct(*rows.columns, "_found"), F.struct("_found")).alias("_r"), F.sum(F.col("_hit").cast("long")).alias("_n")).select("_r.*", "_n")
+            held, values = rows.columns, [_value(f"{name}.{n}") for n in query.columns()]
+            # written once: what the body returns and what it refuses are both read from it
+            one = cut(met.select(*(F.col(c) for c in held), *(X.compile_(e, here).alias(v) for v, (_, e) in zip(values, query.projection, strict=True)), F.col("_there")))
+            if not _unique(query, store) and one.count() > rows.count():
+                # only where some row found several is the batch grouped again; the least of them stays
+                least = F.min_by(F.struct(*held, *values), F.struct(*values)).alias("_r")
+                one = cut(one.groupBy("_row").agg(least, F.count("_there").alias("_n")).select("_r.*", F.when(F.col("_n") == 1, True).alias("_there")))
             if s.kind == "row":
-                bad = one.where("_n <> 1")
-                refused.append(_row(bad, which, which[0], names).withColumn("message", F.lit(f"{name}: not exactly one row")))
-                one = one.where("_n = 1")
-            rows = one.select(*held, *(F.col(f"_found.{n}").alias(_value(f"{name}.{n}")) for n in query.columns()))
+                refused.append(_row(one.where("_there is null"), which, which[0], names).withColumn("message", F.lit(f"{name}: not exactly one row")))
+                one = one.where("_there is not null")
+            rows = one.drop("_there")
         elif s.kind == "branch":
             before, rest, ends = rows.columns, rows, []
             for condition, inner in s.parts:

@@ -725,3 +725,32 @@ def test_batch_keys_keep_their_types(spark, monkeypatch):
     kinds = dict(batches._entries(rest, t, batches.uniques(t)).dtypes)
     assert {"bigint", "string", "timestamp_ntz", "date", "decimal(38,18)", "boolean"} == {k for n, k in kinds.items() if n != "of"}
     assert batches._entries(rest, t, batches.uniques(t)[:1]).dtypes == [("of", "int"), ("bigint 0", "bigint")]
+
+
+def test_lookups_of_triggers_are_run_once(spark):
+    """What a trigger returns and refuses is read from one join, and a batch is grouped again only if a row found several; the least stays, a strict look-up refuses them."""
+    there = table("app", "there", {"k": column("integer"), "a": column("text"), "b": column("integer")})
+    rows = table("app", "rows", {"id": column("integer"), "k": column("integer")})
+    batch = spark.createDataFrame([(1, 1), (2, 2), (2, 2), (3, None), (4, 9), (5, 3), (None, 1)], rows.struct())
+
+    def ran(found, kind, batch=batch):
+        store = Store(spark).bind(there, spark.createDataFrame(found, there.struct()))
+
+        def body(ctx, new, old):
+            row = getattr(ctx, kind)(select(there).where(X.eq(there["k"], new["k"])), "x")
+            ctx.if_((X.is_null(row["k"]), lambda c: c.raise_("none")), (X.gt(row["b"], 5), lambda c: c.raise_("%", X.coalesce(row["a"], "null"))))
+            ctx.return_row("new")
+
+        returned, refused = routines.trigger("t", rows, ("insert",), body).run(store, batch, "insert")
+        assert not {w for w in ("Join", "Exchange", "min_by") if w in _plan(returned) + _plan(refused)}
+        return tuple(sorted(map(repr, map(tuple, x.collect()))) for x in (returned, refused))
+
+    none = ["(3, None, 'none')", "(4, 9, 'none')"]
+    one = [(1, "y", 1), (2, None, 7), (3, "z", None), (None, "n", 1)]
+    assert ran(one, "row_or_null") == (["(1, 1)", "(5, 3)", "(None, 1)"], ["(2, 2, 'null')"] * 2 + none)
+    strict = [r.replace("none", "x: not exactly one row") for r in none]
+    assert ran(one, "row") == (["(1, 1)", "(5, 3)", "(None, 1)"], ["(2, 2, 'null')"] * 2 + strict)
+    several = [*one, (1, "x", 9), (2, "u", 1), (2, None, 8), (3, "z", None)]
+    assert ran(several, "row_or_null") == (["(5, 3)"], ["(1, 1, 'x')", "(2, 2, 'null')", "(2, 2, 'null')", *none, "(None, 1, 'x')"])
+    assert ran(several, "row") == ([], [f"({r}, 'x: not exactly one row')" for r in ("1, 1", "2, 2", "2, 2", "3, None", "4, 9", "5, 3", "None, 1")])
+    assert ran([], "row_or_null")[0] == [] and ran(several, "row", batch.limit(0)) == ([], [])
