@@ -10,7 +10,7 @@ from ..sources.checkpoints import cut
 
 
 def chain(files: DataFrame) -> DataFrame:
-    """file, parent, current, status (ok, fork, broken), in file order. files: file, parent, current.
+    """file, parent, current, status (ok, fork, broken), follows (whether it is ok), in file order. files: file, parent, current.
 
     The first file starts the chain, whatever its parent. Another file is in order if its parent is the state that the file before it left. If not, and an
     earlier file had the same parent, it is a fork.
@@ -20,12 +20,15 @@ def chain(files: DataFrame) -> DataFrame:
     inside = Window.partitionBy("_part").orderBy("file")
     ends = ranges.groupBy("_part").agg(F.max_by("current", "file").alias("_last"))
     left = ends.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_left"), (F.row_number().over(Window.orderBy("_part")) == 1).alias("_begins"))  # a row a range
-    earliest = ranges.groupBy("parent").agg(F.min("file").alias("_earliest")).withColumnRenamed("parent", "_parent")
-    placed = ranges.withColumns({"_place": F.row_number().over(inside), "_lag": F.lag("current").over(inside)}).join(F.broadcast(left), "_part").join(earliest, F.col("parent").eqNullSafe(F.col("_parent")), "left")
+    placed = ranges.withColumns({"_place": F.row_number().over(inside), "_lag": F.lag("current").over(inside)}).join(F.broadcast(left), "_part")
     before = F.when(F.col("_place") == 1, F.col("_left")).otherwise(F.col("_lag"))
     first = F.col("_begins") & (F.col("_place") == 1)
-    status = F.when(first | F.col("parent").eqNullSafe(before), "ok").when(F.col("file") > F.col("_earliest"), "fork").otherwise("broken")
-    return placed.select("file", "parent", "current", status.alias("status"))
+    # forks are told by a plain column, never null and unique on the other side: who asks only which files follow gets a plan without this join
+    parent = F.coalesce(F.concat(F.lit("="), F.col("parent")), F.lit("")).alias("_parent")
+    earliest = ranges.groupBy(parent).agg(F.min("file").alias("_earliest"))
+    links = placed.select("file", "parent", "current", parent, (first | F.col("parent").eqNullSafe(before)).alias("follows")).join(earliest, "_parent", "left")
+    status = F.when(F.col("follows"), "ok").when(F.col("file") > F.col("_earliest"), "fork").otherwise("broken")
+    return links.select("file", "parent", "current", status.alias("status"), "follows")
 
 
 def problem(files: DataFrame) -> DataFrame:
@@ -130,10 +133,11 @@ def verify(files: DataFrame, stored: DataFrame, rebuilt: DataFrame, tip: str) ->
 
     spark = files.sparkSession
     n_versions = duplicate_versions(files).count()
-    links = chain(files)
-    n_chain = None if n_versions else links.where("status <> 'ok'").count()
+    n_chain = last = None
+    if not n_versions:
+        # one pass for both: files that don't follow, and the state that the last file leaves
+        n_chain, last = chain(files).agg(F.count_if(~F.col("follows")), F.max_by("current", F.struct("file"))).first()
     n_rebuild = S.diff(stored, rebuilt).count()
-    last = None if n_versions or n_chain else links.orderBy(F.col("file").desc()).select("current").first()
-    n_tip = None if n_versions or n_chain or n_rebuild else int((last[0] if last else None) != tip)
+    n_tip = None if n_versions or n_chain or n_rebuild else int(last != tip)
     rows = [("versions", n_versions), ("chain", n_chain), ("rebuild", n_rebuild), ("tip", n_tip)]
     return spark.createDataFrame([(c, "skipped" if n is None else "failed" if n else "ok", n) for c, n in rows], "check string, status string, n int")

@@ -754,3 +754,26 @@ def test_lookups_of_triggers_are_run_once(spark):
     assert ran(several, "row_or_null") == (["(5, 3)"], ["(1, 1, 'x')", "(2, 2, 'null')", "(2, 2, 'null')", *none, "(None, 1, 'x')"])
     assert ran(several, "row") == ([], [f"({r}, 'x: not exactly one row')" for r in ("1, 1", "2, 2", "2, 2", "3, None", "4, 9", "5, 3", "None, 1")])
     assert ran([], "row_or_null")[0] == [] and ran(several, "row", batch.limit(0)) == ([], [])
+
+
+def test_chains_that_nobody_asks_forks_of(spark, monkeypatch):
+    """Whether files follow is told without the join that tells forks; odd rows are as they were."""
+    frame = lambda *rows: spark.createDataFrame(list(rows), "file string, parent string, current string")
+    odd = [("1_a", None, "a"), ("2_b", "a", None), ("3_c", None, "c"), ("4_d", "", "d"), ("5_e", "x", "e"), ("6_f", None, "f"), ("7_g", "", "f"), ("8_h", "f", "h"), ("9_i", "=", "i")]
+    links = lineage.chain(frame(*odd))
+    want = {"1_a": "ok", "2_b": "ok", "3_c": "ok", "4_d": "broken", "5_e": "broken", "6_f": "fork", "7_g": "fork", "8_h": "ok", "9_i": "broken"}
+    assert {r.file: r.status for r in links.collect()} == want and all(r.follows == (want[r.file] == "ok") for r in links.collect())
+    asked = links.where("not follows").select("file")
+    assert asked.count() == 5 and "_earliest" not in _plan(asked) and "_earliest" in _plan(links.select("status"))
+    none = spark.createDataFrame([], snapshot.SCHEMA)
+    other = spark.createDataFrame([("table", "app.t", "{}"), ("table", "app.u", "{}")], snapshot.SCHEMA)
+    checked = lambda files, tip, after=none: [(r.status, r.n) for r in lineage.verify(files, none, after, tip).collect()]
+    good = [("1_a", None, "a"), ("2_b", "a", "b"), ("3_c", "b", "c")]
+    assert checked(frame(*good), "c") == [("ok", 0)] * 4 and checked(frame(*good), "b") == [*[("ok", 0)] * 3, ("failed", 1)]
+    assert checked(frame(*good), "c", other) == [("ok", 0), ("ok", 0), ("failed", 2), ("skipped", None)]
+    assert checked(frame(*odd), "i") == [("ok", 0), ("failed", 5), ("ok", 0), ("skipped", None)]
+    assert checked(frame(), "c") == [*[("ok", 0)] * 3, ("failed", 1)]
+    assert checked(frame(("1_a", None, "a"), (None, "x", "y")), "a") == [("ok", 0), ("failed", 1), ("ok", 0), ("skipped", None)]
+    # without its versions a chain isn't looked at
+    monkeypatch.setattr(lineage, "chain", lambda files: (_ for _ in ()).throw(AssertionError("nobody asks for the chain")))
+    assert checked(frame(*good, ("3_d", "c", "d")), "d") == [("failed", 1), ("skipped", None), ("ok", 0), ("skipped", None)]
